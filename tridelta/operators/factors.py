@@ -34,8 +34,22 @@ def init_factor(spark: SparkSession, mode: int, first: int, last: int, rank: int
     return spark.range(int(first), int(last) + 1).select(idx.alias("idx"), *values)
 
 
+def num(x: float) -> str:
+    """A double literal for SQL text (exact round trip)."""
+    x = float(x)
+    if not np.isfinite(x):
+        raise ValueError(f"non-finite coefficient {x}")
+    return f"({repr(x)}D)"
+
+
+def lin_expr(coefs, names) -> str:
+    """``sum_i coefs[i] * names[i]`` as SQL text (zero terms left out)."""
+    terms = [f"{n} * {num(c)}" for c, n in zip(coefs, names) if float(c) != 0.0]
+    return " + ".join(terms) if terms else "CAST(0.0 AS DOUBLE)"
+
+
 def rename_cols(block: DataFrame, rank: int, key: str, prefix: str) -> DataFrame:
-    return block.select(F.col("idx").alias(key), *[F.col(f"c{q}").alias(f"{prefix}{q}") for q in range(rank)])
+    return block.selectExpr(f"idx AS {key}", *[f"c{q} AS {prefix}{q}" for q in range(rank)])
 
 
 def factor_lookup(cells: DataFrame, block: DataFrame, coord_col: str, rank: int, prefix: str,
@@ -56,8 +70,7 @@ def filter_factors(factors: DataFrame, index_sets: DataFrame) -> DataFrame:
 def gram(a: DataFrame, rank_a: int, b: DataFrame | None = None, rank_b: int | None = None) -> np.ndarray:
     """``A^T A`` or ``A^T B`` (joined on idx) as a small NumPy matrix."""
     if b is None:
-        exprs = [F.sum(F.col(f"c{p}") * F.col(f"c{q}")).alias(f"g{p}_{q}")
-                 for p in range(rank_a) for q in range(p, rank_a)]
+        exprs = [F.expr(f"sum(c{p} * c{q}) AS g{p}_{q}") for p in range(rank_a) for q in range(p, rank_a)]
         row = a.agg(*exprs).collect()[0]
         g = np.zeros((rank_a, rank_a))
         for p in range(rank_a):
@@ -66,11 +79,68 @@ def gram(a: DataFrame, rank_a: int, b: DataFrame | None = None, rank_b: int | No
         return g
     rank_b = rank_b if rank_b is not None else rank_a
     joined = rename_cols(a, rank_a, "idx", "a").join(rename_cols(b, rank_b, "idx", "b"), "idx")
-    row = joined.agg(*[F.sum(F.col(f"a{p}") * F.col(f"b{q}")).alias(f"g{p}_{q}")
+    row = joined.agg(*[F.expr(f"sum(a{p} * b{q}) AS g{p}_{q}")
                        for p in range(rank_a) for q in range(rank_b)]).collect()[0]
     return np.array([[float(row[f"g{p}_{q}"] or 0.0) for q in range(rank_b)] for p in range(rank_a)])
 
 
+def _gram_sums(rank: int, when: str | None = None) -> list:
+    """SQL text of the upper-triangle products (optionally under a condition)."""
+    out = []
+    for p in range(rank):
+        for q in range(p, rank):
+            term = f"c{p} * c{q}"
+            out.append(term if when is None else f"CASE WHEN {when} THEN {term} END")
+    return out
+
+
+def _gram_from_row(row: dict, rank: int, prefix: str) -> np.ndarray:
+    g = np.zeros((rank, rank))
+    n = 0
+    for p in range(rank):
+        for q in range(p, rank):
+            g[p, q] = g[q, p] = float(row.get(f"{prefix}{n}") or 0.0)
+            n += 1
+    return g
+
+
+def grams_by_mode(blocks: dict, ranks) -> dict:
+    """Gram of several blocks ``{mode: DataFrame}`` in one aggregation."""
+    rmax = max(int(ranks[m]) for m in blocks)
+    union = None
+    for m, df in sorted(blocks.items()):
+        sel = df.selectExpr(f"{int(m)} AS mode",
+                            *[(f"c{q}" if q < ranks[m] else f"CAST(0.0 AS DOUBLE) AS c{q}") for q in range(rmax)])
+        union = sel if union is None else union.unionByName(sel)
+    aggs = []
+    for m in sorted(blocks):
+        for n, term in enumerate(_gram_sums(int(ranks[m]), f"mode = {int(m)}")):
+            aggs.append(F.expr(f"sum({term}) AS m{m}_{n}"))
+    row = union.agg(*aggs).collect()[0].asDict()
+    return {m: _gram_from_row({k[len(f"m{m}_"):]: v for k, v in row.items() if k.startswith(f"m{m}_")}, int(ranks[m]), "")
+            for m in blocks}
+
+
+def stash_with_grams(df: DataFrame, name: str, ranks: dict, partition_by: list[str] | None = None) -> tuple:
+    """Store ``df`` (lineage cut) and get the Gram of its rows in the same
+    job, via observed metrics of the write. ``ranks``: {mode: rank}; with
+    more than one mode, ``df`` carries a ``mode`` column."""
+    from pyspark.sql import Observation
+
+    from ..session import stash
+
+    obs = Observation(f"gram-{name}")
+    aggs = [F.expr("count(1) AS rows")]
+    for m, r in sorted(ranks.items()):
+        when = f"mode = {int(m)}" if len(ranks) > 1 else None
+        aggs += [F.expr(f"sum({t}) AS m{m}_{n}") for n, t in enumerate(_gram_sums(int(r), when))]
+    stored = stash(df.observe(obs, *aggs), name, partition_by=partition_by)
+    row = obs.get
+    grams = {m: _gram_from_row({k[len(f"m{m}_"):]: v for k, v in row.items() if k.startswith(f"m{m}_")}, int(r), "")
+             for m, r in ranks.items()}
+    return stored, grams, int(row.get("rows") or 0)
+
+
 def gram_frame(a: DataFrame, rank_a: int, b: DataFrame | None = None, rank_b: int | None = None) -> DataFrame:
     """Gram as a long table ``(p, q, g)`` (0-based), for SQL comparison."""
     if b is None:
@@ -86,15 +156,18 @@ def gram_frame(a: DataFrame, rank_a: int, b: DataFrame | None = None, rank_b: in
 
 def project(block: DataFrame, rank_in: int, mat: np.ndarray, extra: list[str] | None = None) -> DataFrame:
     """Right-multiply rows by a small constant matrix (literals, codegen)."""
-    rank_out = mat.shape[1]
-    outs = []
-    for q in range(rank_out):
-        terms = [F.col(f"c{p}") * F.lit(float(mat[p, q])) for p in range(rank_in) if mat[p, q] != 0.0]
-        expr: Column = F.lit(0.0) if not terms else terms[0]
-        for t in terms[1:]:
-            expr = expr + t
-        outs.append(expr.alias(f"c{q}"))
-    return block.select(*(extra or []), "idx", *outs)
+    names = [f"c{p}" for p in range(rank_in)]
+    outs = [f"{lin_expr(mat[:, q], names)} AS c{q}" for q in range(mat.shape[1])]
+    return block.selectExpr(*(extra or []), "idx", *outs)
+
+
+def needs_second_pass(g: np.ndarray, cond_limit: float = 1e4) -> bool:
+    """CholeskyQR loses orthogonality like cond(A)^2 = cond(G): re-run the
+    pass from the computed Q's real Gram when G is ill-conditioned."""
+    if g.size == 0:
+        return False
+    ev = np.linalg.eigvalsh(g)
+    return bool(ev.min() <= 0 or ev.max() / max(ev.min(), 1e-300) > cond_limit)
 
 
 def orthonormalize(block: DataFrame, rank: int, cond_limit: float = 1e4,
@@ -108,9 +181,7 @@ def orthonormalize(block: DataFrame, rank: int, cond_limit: float = 1e4,
     g = gram(block, rank) if gram_in is None else gram_in
     t, deficient = mgs_transform(g)
     g_q = t.T @ g @ t
-    ev = np.linalg.eigvalsh(g) if rank else np.array([1.0])
-    ill = ev.size and (ev.min() <= 0 or ev.max() / max(ev.min(), 1e-300) > cond_limit)
-    if ill and not deficient:
+    if needs_second_pass(g, cond_limit) and not deficient:
         q1 = project(block, rank, t)
         g2 = gram(q1, rank)
         t2, deficient = mgs_transform(g2)
@@ -125,13 +196,9 @@ def blend_factor(prev: DataFrame, cur: DataFrame, rank: int, mu: float) -> DataF
     p = rename_cols(prev, rank, "idx", "p")
     c = rename_cols(cur, rank, "idx", "u")
     j = p.join(c, "idx", "full_outer")
-    out = [
-        F.when(F.col(f"u{q}").isNull(), F.col(f"p{q}"))
-        .otherwise(F.lit(mu) * F.coalesce(F.col(f"p{q}"), F.lit(0.0)) + F.lit(1.0 - mu) * F.col(f"u{q}"))
-        .alias(f"c{q}")
-        for q in range(rank)
-    ]
-    return j.select("idx", *out)
+    out = [f"CASE WHEN u{q} IS NULL THEN p{q} ELSE {num(mu)} * coalesce(p{q}, 0.0D) + {num(1.0 - mu)} * u{q} END AS c{q}"
+           for q in range(rank)]
+    return j.selectExpr("idx", *out)
 
 
 def stack(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.index import COORD, coord, local_index, other_modes, unfold_index
 from ..functions.linalg import core_pinv, unfold
-from .factors import factor_lookup, gram, project, rename_cols
+from .factors import factor_lookup, gram, lin_expr, project, rename_cols
 
 # Above this many output columns the kernel contracts one mode at a time.
 WIDE_LIMIT = 64
@@ -25,28 +25,27 @@ def ttm_chain(cells: DataFrame, mode: int, a_block: DataFrame, rank_a: int, a_ro
     """``(idx, t0..t{Ra*Rb-1})`` for the rows of ``mode`` that have cells."""
     a, b = other_modes(mode)
     ca, cb = COORD[a], COORD[b]
-    x = cells.select(coord(mode).alias("idx"), F.col(ca), F.col(cb), F.col("val"))
+    x = cells.selectExpr(f"{COORD[mode]} AS idx", ca, cb, "val")
     if layout == "auto":
         layout = "wide" if rank_a * rank_b <= WIDE_LIMIT else "staged"
     if layout == "wide":
         x = factor_lookup(x, a_block, ca, rank_a, "a", a_rows)
         x = factor_lookup(x, b_block, cb, rank_b, "b", b_rows)
-        aggs = [F.sum(F.col("val") * F.col(f"a{q}") * F.col(f"b{r}")).alias(f"t{q + r * rank_a}")
+        aggs = [F.expr(f"sum(val * a{q} * b{r}) AS t{q + r * rank_a}")
                 for r in range(rank_b) for q in range(rank_a)]
         return x.groupBy("idx").agg(*aggs)
     # staged: contract mode b per (idx, x_a), then mode a per idx
     x = factor_lookup(x, b_block, cb, rank_b, "b", b_rows)
-    s = x.groupBy("idx", ca).agg(*[F.sum(F.col("val") * F.col(f"b{r}")).alias(f"s{r}") for r in range(rank_b)])
+    s = x.groupBy("idx", ca).agg(*[F.expr(f"sum(val * b{r}) AS s{r}") for r in range(rank_b)])
     s = factor_lookup(s, a_block, ca, rank_a, "a", a_rows)
-    aggs = [F.sum(F.col(f"a{q}") * F.col(f"s{r}")).alias(f"t{q + r * rank_a}")
-            for r in range(rank_b) for q in range(rank_a)]
+    aggs = [F.expr(f"sum(a{q} * s{r}) AS t{q + r * rank_a}") for r in range(rank_b) for q in range(rank_a)]
     return s.groupBy("idx").agg(*aggs)
 
 
 def apply_right(t: DataFrame, n_in: int, mat: np.ndarray) -> DataFrame:
     """Rows of ``t`` (columns t0..) times a constant ``n_in x r`` matrix."""
-    renamed = t.select("idx", *[F.col(f"t{c}").alias(f"c{c}") for c in range(n_in)])
-    return project(renamed, n_in, mat)
+    names = [f"t{c}" for c in range(n_in)]
+    return t.selectExpr("idx", *[f"{lin_expr(mat[:, q], names)} AS c{q}" for q in range(mat.shape[1])])
 
 
 def update_factor(cells: DataFrame, mode: int, core: np.ndarray, a_block, rank_a, a_rows,
@@ -60,11 +59,11 @@ def update_factor(cells: DataFrame, mode: int, core: np.ndarray, a_block, rank_a
 def contract_all(cells: DataFrame, blocks: dict, ranks, rows: dict, weight: str | None = None) -> np.ndarray:
     """``sum val * U0[i] (x) U1[j] (x) U2[k]`` as an r0 x r1 x r2 array:
     the kernel along mode 0, then ``U0^T T`` over the (small) kernel output."""
-    x = cells if weight is None else cells.withColumn("val", F.col("val") * F.col(weight))
+    x = cells if weight is None else cells.selectExpr("i", "j", "k", f"val * {weight} AS val")
     t = ttm_chain(x, 0, blocks[1], ranks[1], rows[1], blocks[2], ranks[2], rows[2])
     n = ranks[1] * ranks[2]
     joined = t.join(rename_cols(blocks[0], ranks[0], "idx", "u"), "idx")
-    row = joined.agg(*[F.sum(F.col(f"u{p}") * F.col(f"t{c}")).alias(f"m{p}_{c}")
+    row = joined.agg(*[F.expr(f"sum(u{p} * t{c}) AS m{p}_{c}")
                        for p in range(ranks[0]) for c in range(n)]).collect()[0]
     mat = np.array([[float(row[f"m{p}_{c}"] or 0.0) for c in range(n)] for p in range(ranks[0])])
     from ..functions.linalg import fold

@@ -22,12 +22,16 @@ from .update import UpdateResult, incremental_update
 
 def start_model(spark: SparkSession, pre_dims, ranks, kind: str = "formula", seed: int | None = None):
     """Orthonormal start blocks ``{mode: DataFrame}``, their Grams, start core."""
-    blocks, grams = {}, {}
+    raw = {}
     for m in MODES:
-        raw = fo.init_factor(spark, m, 1, int(pre_dims[m]), int(ranks[m]), kind=kind, seed=seed)
+        f = fo.init_factor(spark, m, 1, int(pre_dims[m]), int(ranks[m]), kind=kind, seed=seed)
         if kind == "formula":
-            raw = raw.select("idx", *[(F.col(c) / F.lit(float(FACTOR_MOD))).alias(c) for c in fo.cols(ranks[m])])
-        q, _, g_q, _ = fo.orthonormalize(raw, int(ranks[m]))
+            f = f.select("idx", *[(F.col(c) / F.lit(float(FACTOR_MOD))).alias(c) for c in fo.cols(ranks[m])])
+        raw[m] = f
+    start_grams = fo.grams_by_mode(raw, ranks)  # one job for all modes
+    blocks, grams = {}, {}
+    for m in MODES:
+        q, _, g_q, _ = fo.orthonormalize(raw[m], int(ranks[m]), gram_in=start_grams[m])
         blocks[m], grams[m] = q, g_q
     if kind == "formula":
         core = start_core_array(ranks)

@@ -51,7 +51,7 @@ class Context:
     metrics: list = field(default_factory=list)
 
     def region(self, r: str) -> DataFrame:
-        return self.cells.where(F.col("region") == F.lit(r))
+        return self.cells.where(f"region = '{r}'")
 
     def new_rows(self, m: int) -> int:
         return self.dims[m] - self.pre_dims[m]
@@ -129,48 +129,67 @@ class Block:
     gram: np.ndarray     # Gram of this block (r x r)
 
 
-def _step(ctx: Context, mode: int, region: str, core: np.ndarray, old: dict, new: dict,
-          mu: float | None, name: str) -> None:
-    """One factor update of ``mode`` from ``region``; blends when ``mu``."""
-    if ctx.region_cells.get(region, 0) == 0:
-        if mu is None:
-            ctx.metrics.append(("empty_region", region, mode, 1.0))
-        return
+def _update_rows(ctx: Context, mode: int, region: str, core: np.ndarray, old: dict, new: dict) -> DataFrame:
+    """Kernel + pseudo-inverse for ``mode`` from the cells of ``region``;
+    other modes use their old or new block by the region's bits."""
     a, b = other_modes(mode)
     blk_a = new[a] if region[a] == "1" else old[a]
     blk_b = new[b] if region[b] == "1" else old[b]
     r = ctx.ranks
-    upd = update_factor(ctx.region(region), mode, core, blk_a.df, r[a], blk_a.rows, blk_b.df, r[b], blk_b.rows)
-    cur = upd if mu is None else fo.blend_factor(new[mode].df, upd, r[mode], mu)
-    stored = stash(cur, f"{name}-m{mode}-{region}")
-    q, _, g_q, deficient = fo.orthonormalize(stored, r[mode])
+    return update_factor(ctx.region(region), mode, core, blk_a.df, r[a], blk_a.rows, blk_b.df, r[b], blk_b.rows)
+
+
+def _orthonormal_block(ctx: Context, stored: DataFrame, g: np.ndarray, mode: int, region: str) -> Block:
+    q, _, g_q, deficient = fo.orthonormalize(stored, ctx.ranks[mode], gram_in=g)
     if deficient:
         ctx.metrics.append(("rank_deficient", region, mode, 1.0))
-    new[mode] = Block(q, ctx.new_rows(mode), g_q)
+    return Block(q, ctx.new_rows(mode), g_q)
+
+
+def _blend_step(ctx: Context, mode: int, region: str, core: np.ndarray, old: dict, new: dict,
+                mu: float, name: str) -> None:
+    """C2/C3 step: update, blend with the current block, orthonormalise.
+    One write per step; its Gram comes from the same job."""
+    if ctx.region_cells.get(region, 0) == 0:
+        return
+    upd = _update_rows(ctx, mode, region, core, old, new)
+    cur = fo.blend_factor(new[mode].df, upd, ctx.ranks[mode], mu)
+    stored, grams, _ = fo.stash_with_grams(cur, f"{name}-m{mode}-{region}", {mode: ctx.ranks[mode]})
+    new[mode] = _orthonormal_block(ctx, stored, grams[mode], mode, region)
 
 
 def factor_stage(ctx: Context, core: np.ndarray, old: dict, mu: float) -> dict:
-    """C1 (independent per mode) -> C2 -> C3; returns the new-row blocks."""
+    """C1 (the three modes are independent: one job) -> C2 -> C3 (each step
+    sees the blocks already updated, Gauss-Seidel order)."""
     spark = ctx.cells.sparkSession
     new = {}
     for m in MODES:
         empty = spark.createDataFrame([], "idx long, " + ", ".join(f"c{q} double" for q in range(ctx.ranks[m])))
         new[m] = Block(empty, ctx.new_rows(m), np.zeros((ctx.ranks[m], ctx.ranks[m])))
+    c1 = [m for m in MODES if ctx.region_cells.get(C1_REGION[m], 0) > 0]
     for m in MODES:
-        _step(ctx, m, C1_REGION[m], core, old, new, None, "c1")
+        if m not in c1:
+            ctx.metrics.append(("empty_region", C1_REGION[m], m, 1.0))
+    if c1:
+        rmax = max(ctx.ranks)
+        union = None
+        for m in c1:
+            upd = _update_rows(ctx, m, C1_REGION[m], core, old, new)
+            sel = upd.selectExpr(f"{m} AS mode", "idx",
+                                 *[(f"c{q}" if q < ctx.ranks[m] else f"CAST(0.0 AS DOUBLE) AS c{q}") for q in range(rmax)])
+            union = sel if union is None else union.unionByName(sel)
+        stored, grams, _ = fo.stash_with_grams(union, "c1", {m: ctx.ranks[m] for m in c1}, partition_by=["mode"])
+        for m in c1:
+            part = stored.where(f"mode = {m}").select("idx", *fo.cols(ctx.ranks[m]))
+            new[m] = _orthonormal_block(ctx, part, grams[m], m, C1_REGION[m])
     for m in MODES:
         for region in c2_regions(m):
-            _step(ctx, m, region, core, old, new, mu, "c2")
+            _blend_step(ctx, m, region, core, old, new, mu, "c2")
     for m in MODES:
-        _step(ctx, m, C3_REGION, core, old, new, mu, "c3")
+        _blend_step(ctx, m, C3_REGION, core, old, new, mu, "c3")
     return new
 
 
-def grams_by_mode(old: dict, ranks) -> dict:
-    """Gram of every old block (one aggregation per mode over the block)."""
-    return {m: fo.gram(old[m].df, ranks[m]) for m in MODES}
-
-
 def core_stage(ctx: Context, core: np.ndarray, old: dict, new: dict, schedule: str):
     """Stack old over new per mode and orthonormalise (Gram algebra: the
     stacked Gram is G_old + G_new), rotate the core by ``S^T G_old``, then
@@ -187,10 +206,10 @@ def core_stage(ctx: Context, core: np.ndarray, old: dict, new: dict, schedule: s
         final[m] = Block(fo.project(fo.stack(old[m].df, new[m].df), ctx.ranks[m], s), ctx.dims[m],
                          s.T @ stacked_gram @ s)
     weights = CORE_SCHEDULES[schedule]
-    w = F.lit(0.0)
-    for r in REGIONS:
-        w = F.when(F.col("region") == F.lit(r), F.lit(float(weights[r]))).otherwise(w)
-    cells = ctx.cells.withColumn("_w", w).where(F.col("_w") != 0.0)
+    kept = [r for r in REGIONS if weights[r] != 0]
+    case = " ".join(f"WHEN '{r}' THEN {float(weights[r])}D" for r in kept)
+    in_list = ", ".join(f"'{r}'" for r in kept)
+    cells = ctx.cells.where(f"region IN ({in_list})").selectExpr("i", "j", "k", "val", f"CASE region {case} END AS _w")
     delta = contract_all(cells, {m: final[m].df for m in MODES}, ctx.ranks,
                          {m: final[m].rows for m in MODES}, weight="_w")
     return g + delta, final
@@ -224,7 +243,7 @@ def incremental_update(cells: DataFrame, factors, core, pre_dims, ranks=DEFAULT_
     g0 = core_to_array(core, ranks) if isinstance(core, DataFrame) else np.asarray(core, dtype=float)
     ctx = prepare(cells, pre_dims, ranks)
     old_df = _as_blocks(factors, ctx.pre_dims, ranks)
-    grams = gram_old if gram_old is not None else grams_by_mode({m: Block(old_df[m], 0, None) for m in MODES}, ranks)
+    grams = gram_old if gram_old is not None else fo.grams_by_mode(old_df, ranks)
     old = {m: Block(old_df[m], ctx.pre_dims[m], np.asarray(grams[m], dtype=float)) for m in MODES}
     part_map = None
     if partition is not None:
