@@ -121,3 +121,16 @@ def update_factor_gram(cells: DataFrame, mode: int, core: np.ndarray, a_block, r
     renamed = krows.select(F.col("id").alias("idx"), *[F.col(f"k{c}").alias(f"c{c}") for c in range(n)])
     rows_w = project(renamed, n, w).withColumnRenamed("idx", "id")
     return unfolded_join_multiply(cells, mode, rows_w, r_m, pre_dims, dims)
+
+
+def contract_frame(cells: DataFrame, blocks: dict, ranks, rows: dict) -> DataFrame:
+    """Same contraction as :func:`contract_all`, left as a core table
+    ``(p, q, r, g)`` (1-based) computed entirely on the executors."""
+    t = ttm_chain(cells, 0, blocks[1], ranks[1], rows[1], blocks[2], ranks[2], rows[2])
+    n = ranks[1] * ranks[2]
+    joined = t.join(rename_cols(blocks[0], ranks[0], "idx", "u"), "idx")
+    sums = joined.agg(*[F.expr(f"sum(u{p} * t{c}) AS m{p}_{c}") for p in range(ranks[0]) for c in range(n)])
+    entries = ", ".join(
+        f"struct({p + 1} AS p, {c % ranks[1] + 1} AS q, {c // ranks[1] + 1} AS r, m{p}_{c} AS g)"
+        for p in range(ranks[0]) for c in range(n))
+    return sums.selectExpr(f"inline(array({entries}))")
