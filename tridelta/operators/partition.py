@@ -180,24 +180,20 @@ def greedy_resets(prefix: DataFrame, totals: dict, dims: dict, cut_num: int) ->
         for g in sorted(active):
             st = state[g]
             region, mode = g
-            key = (F.col("region") == F.lit(region)) & (F.col("mode") == F.lit(mode))
+            key = f"region = '{region}' AND mode = {int(mode)}"
             if resets[g] and st["c"] > st["thr"]:
                 nxt = st["s"] + 1
                 if nxt > dims[mode]:
                     active.discard(g)
                     continue
                 heavy_next[g] = nxt
-                conds.append(key & (F.col("slice") == F.lit(nxt)))
+                conds.append(f"({key} AND slice = {int(nxt)})")
             else:
-                v = st["thr"] + st["ps"] - st["c"]
-                conds.append(key & (F.col("Pex") <= F.lit(v)) & (F.col("P") > F.lit(v)))
+                v = int(st["thr"] + st["ps"] - st["c"])
+                conds.append(f"({key} AND Pex <= {v} AND P > {v})")
         if not active:
             break
-        cond = conds[0]
-        for c in conds[1:]:
-            cond = cond | c
-        found = {(r["region"], r["mode"]): r for r in
-                 prefix.where(cond).select("region", "mode", "slice", "nnz", "P", "Pex").collect()}
+        found = {(r["region"], r["mode"]): r for r in prefix.where(" OR ".join(conds)).collect()}
         for g in sorted(active):
             st = state[g]
             row = found.get(g)
@@ -226,8 +222,12 @@ def greedy_map(hist: DataFrame, cut_num: int, dims: dict, name: str = "greedy-pr
     max_dim = max(dims.values())
     prefix = prefix_sums(hist, max_dim)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # stored (lineage cut) in slice order, then cached for the O(cut_num)
+    # point lookups of the walk: column statistics of the cached batches
+    # prune all but the batch holding the looked-up prefix value
     prefix = stash(prefix.repartitionByRange(n_parts, "region", "mode", "slice")
                    .sortWithinPartitions("region", "mode", "slice"), name)
+    prefix = prefix.select("region", "mode", "slice", "nnz", "P", "Pex").persist()
     totals = {(r["region"], r["mode"]): int(r["t"]) for r in
               prefix.groupBy("region", "mode").agg(F.sum("nnz").alias("t")).collect()}
     resets = greedy_resets(prefix, totals, dims, cut_num)
@@ -235,10 +235,9 @@ def greedy_map(hist: DataFrame, cut_num: int, dims: dict, name: str = "greedy-pr
     table = spark.createDataFrame(rows, "region string, mode int, resets array<long>, opens array<long>")
     # at most 12 groups x O(cut_num) resets: a proven small broadcast
     j = prefix.join(F.broadcast(table), ["region", "mode"], "left")
-    before = F.size(F.filter(F.coalesce("resets", F.array().cast("array<long>")), lambda r: r < F.col("slice")))
-    opened = F.coalesce(F.array_contains("opens", F.col("slice")), F.lit(False)).cast("int")
-    part = F.least(F.lit(1) + before + opened, F.lit(int(cut_num)))
-    return j.select("region", "mode", "slice", "nnz", part.cast("int").alias("part_id"))
+    part = (f"CAST(least(1 + size(filter(coalesce(resets, array()), r -> r < slice)) "
+            f"+ CAST(coalesce(array_contains(opens, slice), false) AS INT), {int(cut_num)}) AS INT) AS part_id")
+    return j.selectExpr("region", "mode", "slice", "nnz", part)
 
 
 # ---------------------------------------------------------------- labels and balance
