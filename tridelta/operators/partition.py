@@ -217,7 +217,8 @@ def greedy_resets(prefix: DataFrame, totals: dict, dims: dict, cut_num: int) ->
 
 
 def greedy_map(hist: DataFrame, cut_num: int, dims: dict, name: str = "greedy-prefix") -> DataFrame:
-    """``(region, mode, slice, nnz, part_id)`` by the greedy slice scan."""
+    """``(region, mode, slice, nnz, part_id)`` by the greedy slice scan
+    (stored; the cached prefix table is released afterwards)."""
     spark = hist.sparkSession
     max_dim = max(dims.values())
     prefix = prefix_sums(hist, max_dim)
@@ -237,7 +238,9 @@ def greedy_map(hist: DataFrame, cut_num: int, dims: dict, name: str = "greedy-pr
     j = prefix.join(F.broadcast(table), ["region", "mode"], "left")
     part = (f"CAST(least(1 + size(filter(coalesce(resets, array()), r -> r < slice)) "
             f"+ CAST(coalesce(array_contains(opens, slice), false) AS INT), {int(cut_num)}) AS INT) AS part_id")
-    return j.selectExpr("region", "mode", "slice", "nnz", part)
+    stored = stash(j.selectExpr("region", "mode", "slice", "nnz", part), name + "-map")
+    prefix.unpersist()
+    return stored
 
 
 # ---------------------------------------------------------------- labels and balance

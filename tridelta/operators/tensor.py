@@ -42,20 +42,29 @@ class TensorStats:
     region_cells: dict
 
 
-def tensor_stats(cells: DataFrame, pre_dims=None) -> TensorStats:
-    """Dims, validation and (with ``pre_dims``) cells per region in one job.
-    Indices below 1 or nulls fail with a message instead of dropping rows."""
-    aggs = [F.count(F.lit(1)).alias("n")]
+def stats_aggs(pre_dims=None) -> list:
+    """Aggregates of :func:`tensor_stats` (also usable as observed metrics)."""
+    aggs = [F.expr("count(1) AS n")]
     for m, c in enumerate(COORD):
-        aggs += [F.max(c).alias(f"max{m}"), F.min(c).alias(f"min{m}")]
-    aggs.append(F.sum(F.when(F.col("i").isNull() | F.col("j").isNull() | F.col("k").isNull()
-                             | F.col("val").isNull(), 1).otherwise(0)).alias("nulls"))
+        aggs += [F.expr(f"max({c}) AS max{m}"), F.expr(f"min({c}) AS min{m}")]
+    aggs.append(F.expr("sum(CASE WHEN i IS NULL OR j IS NULL OR k IS NULL OR val IS NULL THEN 1 ELSE 0 END) AS nulls"))
     if pre_dims is not None:
-        reg = region_expr(pre_dims)
+        p0, p1, p2 = (int(x) for x in pre_dims)
+        code = (f"concat(CAST(CAST(i > {p0} AS INT) AS STRING), CAST(CAST(j > {p1} AS INT) AS STRING), "
+                f"CAST(CAST(k > {p2} AS INT) AS STRING))")
         for r in ("000",) + REGIONS:
-            aggs.append(F.sum(F.when(reg == F.lit(r), 1).otherwise(0)).alias(f"r{r}"))
-    row = cells.agg(*aggs).collect()[0]
-    n = int(row["n"])
+            aggs.append(F.expr(f"sum(CASE WHEN {code} = '{r}' THEN 1 ELSE 0 END) AS r{r}"))
+    return aggs
+
+
+def tensor_stats(cells: DataFrame, pre_dims=None) -> TensorStats:
+    """Dims, validation and (with ``pre_dims``) cells per region in one job.
+    Indices below 1 or nulls fail with a message instead of dropping rows."""
+    return stats_from_row(cells.agg(*stats_aggs(pre_dims)).collect()[0].asDict(), pre_dims)
+
+
+def stats_from_row(row: dict, pre_dims=None) -> TensorStats:
+    n = int(row["n"] or 0)
     if n and (row["nulls"] or 0) > 0:
         raise ValueError(f"tensor has {row['nulls']} cells with a null coordinate or value")
     if n and min(int(row[f"min{m}"]) for m in MODES) < 1:

@@ -30,7 +30,7 @@ from ..operators import factors as fo
 from ..operators import partition as po
 from ..operators.core import array_to_core, core_to_array
 from ..operators.kernel import contract_all, update_factor
-from ..operators.tensor import cut_regions, slice_nnz, tensor_stats
+from ..operators.tensor import cut_regions, slice_nnz, stats_aggs, stats_from_row
 from ..session import configure, stash
 
 # Core contribution weight of each region. "once": every new region once.
@@ -82,12 +82,18 @@ def _validate(ranks, mu, cut_num, partition, core_schedule):
 
 
 def prepare(cells: DataFrame, pre_dims, ranks) -> Context:
-    """Validation + dims in one job, then the labelled increment written once."""
+    """One pass: the labelled increment is written once (partitioned by
+    region, 000 left out) while dims, validation counts and cells per
+    region are observed over all input rows in the same job."""
+    from pyspark.sql import Observation
+
     pre_dims = tuple(int(x) for x in pre_dims)
-    stats = tensor_stats(cells, pre_dims)
-    dims = tuple(max(p, d) for p, d in zip(pre_dims, stats.dims))
-    labelled = stash(cut_regions(cells, pre_dims).select("region", "i", "j", "k", "val"), "cells",
+    obs = Observation("increment-stats")
+    observed = cells.observe(obs, *stats_aggs(pre_dims))
+    labelled = stash(cut_regions(observed, pre_dims).select("region", "i", "j", "k", "val"), "cells",
                      partition_by=["region"])
+    stats = stats_from_row(obs.get, pre_dims)
+    dims = tuple(max(p, d) for p, d in zip(pre_dims, stats.dims))
     ctx = Context(cells=labelled, pre_dims=pre_dims, dims=dims, ranks=tuple(int(r) for r in ranks),
                   region_cells=stats.region_cells)
     for r, n in stats.region_cells.items():
@@ -101,14 +107,16 @@ def prepare(cells: DataFrame, pre_dims, ranks) -> Context:
 def partition_stage(ctx: Context, cut_num: int, method: str):
     """Histogram (one aggregation for all 12 groups), bin map and balance."""
     t0 = time.time()
-    hist = stash(slice_nnz(ctx.cells), "slice-nnz")
+    hist = slice_nnz(ctx.cells)
     dims = {m: ctx.dims[m] for m in MODES}
     if method == "bucket":
-        runs = stash(po.bucket_runs(hist, cut_num), "bucket-runs")
+        # one job: histogram -> run table (<= sqrt(2*cells) rows per group) -> loads -> CV;
+        # the per-slice map stays lazy (built only if the caller uses it)
+        runs = po.bucket_runs(hist, cut_num)
         loads = po.bucket_loads(runs)
         part_map = po.bucket_map(hist, cut_num, max(ctx.dims), runs=runs)
     else:
-        part_map = stash(po.greedy_map(hist, cut_num, dims), "greedy-map")
+        part_map = po.greedy_map(hist, cut_num, dims)
         loads = po.partition_loads(part_map)
     cv = po.partition_cv(loads).collect()
     seconds = time.time() - t0
@@ -158,6 +166,62 @@ def _blend_step(ctx: Context, mode: int, region: str, core: np.ndarray, old: dic
     new[mode] = _orthonormal_block(ctx, stored, grams[mode], mode, region)
 
 
+def _sym(row: dict, name: str, r: int) -> np.ndarray:
+    return np.array([[float(row.get(f"{name}{p}_{q}") or 0.0) for q in range(r)] for p in range(r)])
+
+
+def _two_blend_steps(ctx: Context, mode: int, regions, core: np.ndarray, old: dict, new: dict,
+                     mu: float, name: str) -> None:
+    """Two consecutive blend steps of one mode in ONE write. Neither kernel
+    reads this mode's own block, so both run in the same job; the stored
+    table holds ``x1`` (the first blend) and the second update ``v``, and the
+    observed partial Grams give both orthonormalising transforms exactly:
+
+    ``G1 = Sa + Sb``;  ``G2 = T1'(Sa + mu^2 Sb)T1 + mu(1-mu)(T1'C + C'T1) + (1-mu)^2 U``
+    with ``Sa/Sb`` = x1 x1' off/on the second region, ``C`` = x1 v', ``U`` = v v'."""
+    from pyspark.sql import Observation
+
+    r = ctx.ranks[mode]
+    r1, r2 = regions
+    u1 = fo.rename_cols(_update_rows(ctx, mode, r1, core, old, new), r, "idx", "u")
+    u2 = fo.rename_cols(_update_rows(ctx, mode, r2, core, old, new), r, "idx", "v")
+    prev = fo.rename_cols(new[mode].df, r, "idx", "b")
+    j = prev.join(u1, "idx", "full_outer").join(u2, "idx", "full_outer")
+    x1 = [f"CASE WHEN u0 IS NULL THEN coalesce(b{q}, 0.0D) ELSE {fo.num(mu)} * coalesce(b{q}, 0.0D) "
+          f"+ {fo.num(1.0 - mu)} * u{q} END AS x{q}" for q in range(r)]
+    table = j.selectExpr("idx", *x1, *[f"v{q}" for q in range(r)])
+    obs = Observation(f"{name}-m{mode}")
+    aggs = []
+    for p in range(r):
+        for q in range(r):
+            aggs += [F.expr(f"sum(CASE WHEN v0 IS NULL THEN x{p} * x{q} END) AS sa{p}_{q}"),
+                     F.expr(f"sum(CASE WHEN v0 IS NOT NULL THEN x{p} * x{q} END) AS sb{p}_{q}"),
+                     F.expr(f"sum(x{p} * v{q}) AS c{p}_{q}"), F.expr(f"sum(v{p} * v{q}) AS u{p}_{q}")]
+    stored = stash(table.observe(obs, *aggs), f"{name}-m{mode}")
+    row = obs.get
+    sa, sb, c, u = (_sym(row, k, r) for k in ("sa", "sb", "c", "u"))
+    g1 = sa + sb
+    t1, d1 = mgs_transform(g1)
+    g2 = t1.T @ (sa + mu * mu * sb) @ t1 + mu * (1.0 - mu) * (t1.T @ c + c.T @ t1) + (1.0 - mu) ** 2 * u
+    t2, d2 = mgs_transform(g2)
+    for region, d in ((r1, d1), (r2, d2)):
+        if d:
+            ctx.metrics.append(("rank_deficient", region, mode, 1.0))
+    xs = [f"x{q}" for q in range(r)]
+    y = [f"{fo.lin_expr(t1[:, q], xs)} AS y{q}" for q in range(r)]
+    step = stored.selectExpr("idx", *y, *[f"v{q}" for q in range(r)])
+    x2 = [f"CASE WHEN v0 IS NULL THEN y{q} ELSE {fo.num(mu)} * y{q} + {fo.num(1.0 - mu)} * v{q} END AS c{q}"
+          for q in range(r)]
+    blended = step.selectExpr("idx", *x2)
+    if fo.needs_second_pass(g1) or fo.needs_second_pass(g2):
+        q_df, _, g_q, d3 = fo.orthonormalize(fo.project(blended, r, t2), r)
+        if d3:
+            ctx.metrics.append(("rank_deficient", r2, mode, 1.0))
+        new[mode] = Block(q_df, ctx.new_rows(mode), g_q)
+        return
+    new[mode] = Block(fo.project(blended, r, t2), ctx.new_rows(mode), t2.T @ g2 @ t2)
+
+
 def factor_stage(ctx: Context, core: np.ndarray, old: dict, mu: float) -> dict:
     """C1 (the three modes are independent: one job) -> C2 -> C3 (each step
     sees the blocks already updated, Gauss-Seidel order)."""
@@ -183,8 +247,12 @@ def factor_stage(ctx: Context, core: np.ndarray, old: dict, mu: float) -> dict:
             part = stored.where(f"mode = {m}").select("idx", *fo.cols(ctx.ranks[m]))
             new[m] = _orthonormal_block(ctx, part, grams[m], m, C1_REGION[m])
     for m in MODES:
-        for region in c2_regions(m):
-            _blend_step(ctx, m, region, core, old, new, mu, "c2")
+        regions = c2_regions(m)
+        if all(ctx.region_cells.get(rg, 0) > 0 for rg in regions):
+            _two_blend_steps(ctx, m, regions, core, old, new, mu, "c2")
+        else:
+            for region in regions:
+                _blend_step(ctx, m, region, core, old, new, mu, "c2")
     for m in MODES:
         _blend_step(ctx, m, C3_REGION, core, old, new, mu, "c3")
     return new
