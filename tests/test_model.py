@@ -72,8 +72,10 @@ def dense_update(x, pre, old, g, mu, schedule):
     return final, core
 
 
-@pytest.mark.parametrize("schedule", ["once", "as_published"])
-def test_update_matches_dense_model(spark, schedule):
+@pytest.mark.parametrize("schedule,merge", [("once", False), ("as_published", False), ("once", True)])
+def test_update_matches_dense_model(spark, schedule, merge, monkeypatch):
+    from tridelta.plans import update as up
+    monkeypatch.setattr(up, "MERGE_C2", merge)
     cells = activity_tensor(spark, SF0001)
     dims = tensor_stats(cells).dims
     pre = default_pre_dims(dims)

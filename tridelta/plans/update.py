@@ -41,6 +41,10 @@ CORE_SCHEDULES = {
 }
 
 
+# Run the two C2 steps of a mode as one write (exact Gram algebra).
+MERGE_C2 = False
+
+
 @dataclass
 class Context:
     cells: DataFrame                 # labelled, non-000 cells (stored by region)
@@ -248,7 +252,7 @@ def factor_stage(ctx: Context, core: np.ndarray, old: dict, mu: float) -> dict:
             new[m] = _orthonormal_block(ctx, part, grams[m], m, C1_REGION[m])
     for m in MODES:
         regions = c2_regions(m)
-        if all(ctx.region_cells.get(rg, 0) > 0 for rg in regions):
+        if MERGE_C2 and all(ctx.region_cells.get(rg, 0) > 0 for rg in regions):
             _two_blend_steps(ctx, m, regions, core, old, new, mu, "c2")
         else:
             for region in regions:
