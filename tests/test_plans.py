@@ -43,3 +43,28 @@ def test_region_filter_reaches_scan(spark):
     plan = _plan(lab.where("region = '111'").select("i", "val"))
     assert "PartitionFilters" in plan and "111" in plan
     assert "ReadSchema: struct<i:bigint,val:double>" in plan
+
+
+def _all_plans(df):
+    qe = df._jdf.queryExecution()
+    return qe.executedPlan().toString() + qe.optimizedPlan().toString()
+
+
+def test_no_single_partition_funnel(spark):
+    """Partition maps and the kernel never gather a group into one task:
+    no SinglePartition exchange and no window without partition keys."""
+    from tridelta.operators import partition as po
+
+    cells = sales_tensor(spark, SF0001)
+    pre = default_pre_dims(te.tensor_stats(cells).dims)
+    hist = te.slice_nnz(te.cut_regions(cells, pre))
+    plans = [
+        po.bucket_map(hist, 12, 200),
+        po.prefix_sums(hist, 200),
+        po.partition_cv(po.bucket_loads(po.bucket_runs(hist, 12))),
+    ]
+    for df in plans:
+        text = _all_plans(df)
+        assert "SinglePartition" not in text
+        windows = [ln for ln in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [" in ln]
+        assert all(", [], [" not in ln for ln in windows)
