@@ -216,9 +216,11 @@ def greedy_resets(prefix: DataFrame, totals: dict, dims: dict, cut_num: int) ->
     return resets
 
 
-def greedy_map(hist: DataFrame, cut_num: int, dims: dict, name: str = "greedy-prefix") -> DataFrame:
+def greedy_map(hist: DataFrame, cut_num: int, dims: dict, name: str = "greedy-prefix",
+               totals: dict | None = None) -> DataFrame:
     """``(region, mode, slice, nnz, part_id)`` by the greedy slice scan
-    (stored; the cached prefix table is released afterwards)."""
+    (stored; the cached prefix table is released afterwards). ``totals``:
+    optional known cells per (region, mode) group (saves one job)."""
     spark = hist.sparkSession
     max_dim = max(dims.values())
     prefix = prefix_sums(hist, max_dim)
@@ -229,8 +231,9 @@ def greedy_map(hist: DataFrame, cut_num: int, dims: dict, name: str = "greedy-pr
     prefix = stash(prefix.repartitionByRange(n_parts, "region", "mode", "slice")
                    .sortWithinPartitions("region", "mode", "slice"), name)
     prefix = prefix.select("region", "mode", "slice", "nnz", "P", "Pex").persist()
-    totals = {(r["region"], r["mode"]): int(r["t"]) for r in
-              prefix.groupBy("region", "mode").agg(F.sum("nnz").alias("t")).collect()}
+    if totals is None:
+        totals = {(r["region"], r["mode"]): int(r["t"]) for r in
+                  prefix.groupBy("region", "mode").agg(F.sum("nnz").alias("t")).collect()}
     resets = greedy_resets(prefix, totals, dims, cut_num)
     rows = [(g[0], int(g[1]), [s for s, _ in rs], [s for s, o in rs if o]) for g, rs in resets.items()]
     table = spark.createDataFrame(rows, "region string, mode int, resets array<long>, opens array<long>")

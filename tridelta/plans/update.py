@@ -120,7 +120,10 @@ def partition_stage(ctx: Context, cut_num: int, method: str):
         loads = po.bucket_loads(runs)
         part_map = po.bucket_map(hist, cut_num, max(ctx.dims), runs=runs)
     else:
-        part_map = po.greedy_map(hist, cut_num, dims)
+        # a cell of region r adds one row to each group (r, m) with m new in r
+        totals = {(r, m): n for r, n in ctx.region_cells.items() if r != "000" and n > 0
+                  for m in MODES if r[m] == "1"}
+        part_map = po.greedy_map(hist, cut_num, dims, totals=totals)
         loads = po.partition_loads(part_map)
     cv = po.partition_cv(loads).collect()
     seconds = time.time() - t0
