@@ -27,13 +27,11 @@ def test_kernel_plan_one_exchange_broadcast_factors(spark):
     assert "PartitionFilters: [isnotnull(region" in plan or "region" in plan
 
 
-def test_large_factor_is_not_broadcast(spark):
+def test_large_factor_is_not_hinted_without_pruning(spark):
     cells = spark.createDataFrame([(1, 1, 1, 1.0)], "i long, j long, k long, val double")
     a = fo.init_factor(spark, 1, 1, 10, 2)
-    b = fo.init_factor(spark, 2, 1, 10, 2)
-    t = ke.ttm_chain(cells, 0, a, 2, 10 ** 9, b, 2, 10)  # bound above the limit: no hint
-    logical = t._jdf.queryExecution().analyzed().toString()
-    assert logical.count("ResolvedHint") <= 1
+    j = fo.factor_lookup(cells, a, "j", 2, "a", 10 ** 9, prune=False)  # bound above the limit
+    assert "ResolvedHint" not in j._jdf.queryExecution().analyzed().toString()
 
 
 def test_region_filter_reaches_scan(spark):
@@ -68,3 +66,20 @@ def test_no_single_partition_funnel(spark):
         assert "SinglePartition" not in text
         windows = [ln for ln in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [" in ln]
         assert all(", [], [" not in ln for ln in windows)
+
+
+def test_oversized_factor_is_pruned_to_touched_rows(spark, monkeypatch):
+    """A block whose bound is over the limit is cut to the rows the cells
+    touch; those are broadcast once their counted size fits."""
+    from tridelta.operators import factors as fo2
+
+    cells = spark.createDataFrame([(1, 3, 1, 2.0), (2, 5, 1, 1.0)], "i long, j long, k long, val double")
+    a = fo2.init_factor(spark, 1, 1, 1000, 2)
+    b = fo2.init_factor(spark, 2, 1, 1, 2)
+    monkeypatch.setattr(fo2, "DEFAULT_BROADCAST_LIMIT", 10_000)  # 1000 rows x 40 B is over, 2 rows are under
+    t = ke.ttm_chain(cells, 0, a, 2, 1000, b, 2, 1)
+    plan = _plan(t)
+    assert "LeftSemi" not in plan  # the touched rows were stored (and counted) once
+    assert plan.count("BroadcastHashJoin") == 2
+    full = ke.ttm_chain(cells, 0, a, 2, 10, b, 2, 1)
+    assert sorted(map(tuple, t.collect())) == sorted(map(tuple, full.collect()))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import factor_value
 from ..functions.linalg import mgs_transform
-from ..session import broadcast_if_small, factor_row_bytes
+from ..session import DEFAULT_BROADCAST_LIMIT, factor_row_bytes
 
 
 def cols(rank: int, prefix: str = "c") -> list[str]:
@@ -53,12 +53,33 @@ def rename_cols(block: DataFrame, rank: int, key: str, prefix: str) -> DataFrame
 
 
 def factor_lookup(cells: DataFrame, block: DataFrame, coord_col: str, rank: int, prefix: str,
-                  max_rows: int) -> DataFrame:
+                  max_rows: int, prune: bool = True) -> DataFrame:
     """Attach the factor row of ``coord_col`` to each cell (equi-join).
-    Broadcast only under a proven row bound; otherwise sort-merge, where AQE
-    splits a hot index. Absent rows are zero rows, so inner-join drop is exact."""
+
+    * block bound (rows x width) under the limit: broadcast hash join;
+    * else, with ``prune``: keep only the rows the cells touch (left-semi
+      join with the distinct indices, pre-aggregated map-side), count them,
+      and broadcast those if they fit;
+    * else sort-merge join, where AQE's skew-join splits a hot index.
+
+    Absent rows are zero rows, so dropping cells without a row is exact."""
+    limit = DEFAULT_BROADCAST_LIMIT
+    width = factor_row_bytes(rank)
     right = rename_cols(block, rank, coord_col, prefix)
-    right = broadcast_if_small(right, max_rows, factor_row_bytes(rank))
+    if max_rows * width <= limit:
+        return cells.join(F.broadcast(right), coord_col, "inner")
+    if prune:
+        from pyspark.sql import Observation
+
+        from ..session import stash
+
+        obs = Observation(f"touched-{prefix}-{coord_col}")
+        touched = right.join(cells.select(coord_col).distinct(), coord_col, "left_semi")
+        stored = stash(touched.observe(obs, F.expr("count(1) AS n")), f"touched-{coord_col}")
+        n = int(obs.get["n"] or 0)
+        if n * width <= limit:
+            return cells.join(F.broadcast(stored), coord_col, "inner")
+        return cells.join(stored, coord_col, "inner")
     return cells.join(right, coord_col, "inner")
 
 
