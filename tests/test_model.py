@@ -122,3 +122,6 @@ def test_schedule_once_equals_full_projection(spark):
         f[r["mode"]][r["idx"] - 1] = [r["c0"], r["c1"], r["c2"]]
     proj = np.einsum("ijk,ip,jq,kr->pqr", x, f[0], f[1], f[2])
     assert np.allclose(res.core_array, proj, rtol=1e-9, atol=1e-7)
+    published = incremental_update(cells, blocks, core, pre, (3, 3, 3), partition=None, gram_old=grams,
+                                   core_schedule="as_published")
+    assert not np.allclose(published.core_array, proj, rtol=1e-6, atol=1e-6)
