@@ -125,3 +125,26 @@ def test_schedule_once_equals_full_projection(spark):
     published = incremental_update(cells, blocks, core, pre, (3, 3, 3), partition=None, gram_old=grams,
                                    core_schedule="as_published")
     assert not np.allclose(published.core_array, proj, rtol=1e-6, atol=1e-6)
+
+
+def test_mixed_ranks_match_dense_model(spark):
+    cells = activity_tensor(spark, SF0001)
+    dims = tensor_stats(cells).dims
+    pre = default_pre_dims(dims)
+    ranks = (2, 3, 2)
+    blocks, grams, core = start_model(spark, pre, ranks)
+    res = incremental_update(cells, blocks, core, pre, ranks, partition="greedy", gram_old=grams)
+    x = np.zeros(dims)
+    for r in cells.collect():
+        x[r["i"] - 1, r["j"] - 1, r["k"] - 1] += r["val"]
+    old = {}
+    for m in range(3):
+        rows = sorted(blocks[m].collect(), key=lambda r: r["idx"])
+        old[m] = np.array([[r[f"c{q}"] for q in range(ranks[m])] for r in rows])
+    final, g = dense_update(x, pre, old, core, 0.8, "once")
+    assert res.core_array.shape == ranks
+    assert np.allclose(res.core_array, g, rtol=1e-8, atol=1e-8)
+    got = {(r["mode"], r["idx"]): [r[f"c{q}"] for q in range(ranks[r["mode"]])] for r in res.factors.collect()}
+    for m in range(3):
+        for i in range(dims[m]):
+            assert np.allclose(got.get((m, i + 1), [0.0] * ranks[m]), final[m][i], atol=1e-8)
