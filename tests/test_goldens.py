@@ -1,6 +1,5 @@
 """Hand-traced goldens (FIXTURES.md section 4)."""
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from tridelta.functions.index import local_index

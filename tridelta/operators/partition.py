@@ -38,9 +38,6 @@ try:  # ship this module's pandas functions by value: executors need not install
 except Exception:  # pragma: no cover
     pass
 
-MAP_COLS = ["region", "mode", "slice", "nnz", "part_id"]
-
-
 def block_size(max_dim: int) -> int:
     return max(1024, int(math.isqrt(max(int(max_dim), 1))) + 1)
 

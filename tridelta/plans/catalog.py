@@ -9,7 +9,6 @@ of double operations in Spark and in the SQL oracle, or scaled and rounded
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 

@@ -22,9 +22,3 @@ def read_coo(spark: SparkSession, path: str) -> DataFrame:
 
 def write_coo(cells: DataFrame, path: str) -> None:
     cells.select("i", "j", "k", "val").write.mode("overwrite").csv(path)
-
-
-def read_cells_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(
-        F.col("i").cast("long"), F.col("j").cast("long"), F.col("k").cast("long"), F.col("val").cast("double")
-    )
