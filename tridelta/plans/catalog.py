@@ -320,6 +320,10 @@ def q_update_core(spark, sf):
     return ke.contract_frame(s.labelled, s.full(), RANKS, s.dims)
 
 
+def _scaled_frame(factors: DataFrame) -> DataFrame:
+    return factors.selectExpr("mode", "idx", *[f"CAST(round(c{q} * 1e9) AS BIGINT) AS c{q}_e9" for q in range(R)])
+
+
 def _pipeline(spark, sf, partition="bucket"):
     s = Setup(spark, sf)
     blocks, grams, core = start_model(spark, s.pre, RANKS)
@@ -331,7 +335,7 @@ def q_factor_stage(spark, sf):
     ctx = up.prepare(s.cells, s.pre, RANKS)
     old = {m: up.Block(blocks[m], s.pre[m], grams[m]) for m in MODES}
     new = up.factor_stage(ctx, core, old, MU)
-    return fo.combine({m: (new[m].df, R) for m in MODES}, R)
+    return _scaled_frame(fo.combine({m: (new[m].df, R) for m in MODES}, R))
 
 
 def q_core_stage(spark, sf):
@@ -340,19 +344,20 @@ def q_core_stage(spark, sf):
     old = {m: up.Block(blocks[m], s.pre[m], grams[m]) for m in MODES}
     new = up.factor_stage(ctx, core, old, MU)
     g1, _ = up.core_stage(ctx, core, old, new, "once")
-    return co.array_to_core(spark, g1)
+    return co.array_to_core(spark, g1).selectExpr("p", "q", "r", "CAST(round(g * 1e9) AS BIGINT) AS g_e9")
 
 
 def q_incremental_update(spark, sf):
     s, blocks, grams, core = _pipeline(spark, sf)
     res = up.incremental_update(s.cells, blocks, core, s.pre, RANKS, gram_old=grams)
-    return res.factors
+    return _scaled_frame(res.factors)
 
 
 def q_tucker_job(spark, sf):
     s = Setup(spark, sf)
     res = tucker_job(spark, s.cells, s.pre, ranks=RANKS, partition="greedy")
-    return res.metrics.where("name NOT LIKE '%seconds'")
+    return res.metrics.where("name NOT LIKE '%seconds'").selectExpr(
+        "name", "region", "mode", "CAST(round(value * 1e9) AS BIGINT) AS value_e9")
 
 
 QUERIES = {
@@ -636,3 +641,118 @@ def oracles() -> dict:
         + "SELECT CAST(m.a + 1 AS INTEGER) AS p, g0.q, g0.r, sum(g0.g * m.v) AS g FROM g0 JOIN mp m ON m.b = g0.p - 1 GROUP BY ALL",
         "update_core": _with(_data_core_cte("c.region <> '000'", "dc")) + "SELECT p, q, r, g FROM dc",
     }
+
+
+# ------------------------------------------------------------------ the whole update in SQL
+
+def _mgs_named(src: str, out: str) -> list[str]:
+    """Closed-form MGS of a 3-column table ``src(idx, c0, c1, c2)`` -> ``out``."""
+    return [
+        f"""{out}_g AS (SELECT sum(c0*c0) AS g00, sum(c0*c1) AS g01, sum(c0*c2) AS g02,
+                              sum(c1*c1) AS g11, sum(c1*c2) AS g12, sum(c2*c2) AS g22 FROM {src})""",
+        f"""{out}_k AS (SELECT n0, r01, r02, n1, r12, sqrt(g22 - r02 * r02 - r12 * r12) AS n2 FROM (
+               SELECT *, (g12 - r01 * r02) / n1 AS r12 FROM (
+                 SELECT *, sqrt(g11 - r01 * r01) AS n1 FROM (
+                   SELECT *, sqrt(g00) AS n0, g01 / sqrt(g00) AS r01, g02 / sqrt(g00) AS r02 FROM {out}_g))))""",
+        f"""{out} AS (SELECT idx, c0 / n0 AS c0, (c1 - r01 * c0 / n0) / n1 AS c1,
+                             (c2 - r02 * c0 / n0 - r12 * (c1 - r01 * c0 / n0) / n1) / n2 AS c2
+                      FROM {src}, {out}_k)""",
+    ]
+
+
+def _pipeline_ctes() -> tuple[list[str], dict, dict]:
+    """CTEs of start model + factor stage; returns (ctes, start blocks, new blocks)."""
+    from ..functions.index import C1_REGION, C3_REGION, c2_regions
+
+    core = _start_core()
+    ctes = []
+    start, new = {}, {}
+    for m in MODES:
+        cols = ", ".join(f"{_f(m, 'idx', q)} / 1000.0 AS c{q}" for q in range(R))
+        ctes.append(f"raw{m} AS (SELECT idx, {cols} FROM (SELECT unnest(generate_series(1, p{m})) AS idx FROM pp))")
+        ctes += _mgs_named(f"raw{m}", f"s{m}")
+        start[m] = f"s{m}"
+    names = [f"t{c}" for c in range(R * R)]
+
+    def step(m: int, region: str, blend: bool, tag: str):
+        a, b = other_modes(m)
+        blk_a = new[a] if region[a] == "1" else start[a]
+        blk_b = new[b] if region[b] == "1" else start[b]
+        sums = ", ".join(f"sum(c.val * a.c{q} * b.c{r}) AS t{q + r * R}" for r in range(R) for q in range(R))
+        ctes.append(f"{tag}_t AS (SELECT c.{COORD[m]} AS idx, {sums} FROM lab c "
+                    f"JOIN {blk_a} a ON a.idx = c.{COORD[a]} JOIN {blk_b} b ON b.idx = c.{COORD[b]} "
+                    f"WHERE c.region = '{region}' GROUP BY c.{COORD[m]})")
+        pinv = core_pinv(core, m)
+        ctes.append(f"{tag}_u AS (SELECT idx, " + ", ".join(f"{_lin(pinv[:, q], names)} AS c{q}" for q in range(R))
+                    + f" FROM {tag}_t)")
+        src = f"{tag}_u"
+        if blend:
+            cols = ", ".join(
+                f"CASE WHEN u.c{q} IS NULL THEN p.c{q} ELSE {_num(MU)} * coalesce(p.c{q}, 0.0::DOUBLE) "
+                f"+ {_num(1.0 - MU)} * u.c{q} END AS c{q}" for q in range(R))
+            ctes.append(f"{tag}_b AS (SELECT coalesce(p.idx, u.idx) AS idx, {cols} "
+                        f"FROM {new[m]} p FULL OUTER JOIN {tag}_u u ON u.idx = p.idx)")
+            src = f"{tag}_b"
+        ctes.extend(_mgs_named(src, f"{tag}_q"))
+        new[m] = f"{tag}_q"
+
+    for m in MODES:
+        step(m, C1_REGION[m], False, f"c1m{m}")
+    for m in MODES:
+        for n, region in enumerate(c2_regions(m)):
+            step(m, region, True, f"c2m{m}s{n}")
+    for m in MODES:
+        step(m, C3_REGION, True, f"c3m{m}")
+    return ctes, start, new
+
+
+def _scaled(src: str, mode: int) -> str:
+    return (f"SELECT {mode} AS mode, idx, " + ", ".join(f"CAST(round(c{q} * 1e9) AS BIGINT) AS c{q}_e9"
+                                                           for q in range(R)) + f" FROM {src}")
+
+
+def _final_ctes(start: dict, new: dict) -> list[str]:
+    ctes = []
+    for m in MODES:
+        ctes.append(f"stk{m} AS (SELECT * FROM {start[m]} UNION ALL SELECT * FROM {new[m]})")
+        ctes += _mgs_named(f"stk{m}", f"fin{m}")
+    return ctes
+
+
+def pipeline_oracles() -> dict:
+    ctes, start, new = _pipeline_ctes()
+    fin = _final_ctes(start, new)
+    rot = [f"rot{m} AS (SELECT {m} AS m, a.a, b.b, sum(a.v * b.v) AS v FROM "
+           f"(SELECT f.idx, x.a, CASE x.a WHEN 0 THEN f.c0 WHEN 1 THEN f.c1 ELSE f.c2 END AS v "
+           f"FROM fin{m} f, pp, (VALUES (0), (1), (2)) x(a) WHERE f.idx <= p{m}) a JOIN "
+           f"(SELECT s.idx, y.b, CASE y.b WHEN 0 THEN s.c0 WHEN 1 THEN s.c1 ELSE s.c2 END AS v "
+           f"FROM {start[m]} s, (VALUES (0), (1), (2)) y(b)) b ON a.idx = b.idx GROUP BY ALL)" for m in MODES]
+    rotated = ("g1 AS (SELECT CAST(m0.a + 1 AS INTEGER) AS p, CAST(m1.a + 1 AS INTEGER) AS q, "
+               "CAST(m2.a + 1 AS INTEGER) AS r, sum(g0.g * m0.v * m1.v * m2.v) AS g FROM g0 "
+               "JOIN rot0 m0 ON m0.b = g0.p - 1 JOIN rot1 m1 ON m1.b = g0.q - 1 JOIN rot2 m2 ON m2.b = g0.r - 1 "
+               "GROUP BY ALL)")
+    parts = [f"sum(c.val * a.c{p} * b.c{q} * d.c{r}) AS g_{p}_{q}_{r}"
+             for p in range(R) for q in range(R) for r in range(R)]
+    delta = (f"dsum AS (SELECT {', '.join(parts)} FROM lab c JOIN fin0 a ON a.idx = c.i JOIN fin1 b ON b.idx = c.j "
+             f"JOIN fin2 d ON d.idx = c.k WHERE c.region <> '000')")
+    delta_rows = "dl AS (" + " UNION ALL ".join(
+        f"SELECT {p + 1} AS p, {q + 1} AS q, {r + 1} AS r, g_{p}_{q}_{r} AS g FROM dsum"
+        for p in range(R) for q in range(R) for r in range(R)) + ")"
+    regions = ", ".join(f"('{r}')" for r in ("000", "100", "010", "001", "011", "101", "110", "111"))
+    metrics = (
+        f"SELECT 'cells' AS name, rg.region, NULL::INTEGER AS mode, CAST(coalesce(n, 0) * 1e9 AS BIGINT) AS value_e9 "
+        f"FROM (VALUES {regions}) rg(region) LEFT JOIN (SELECT region, count(*) AS n FROM lab GROUP BY region) c "
+        f"USING (region) UNION ALL "
+        + " UNION ALL ".join(f"SELECT 'dim', NULL, {m}, CAST(d{m} * 1e9 AS BIGINT) FROM pp UNION ALL "
+                             f"SELECT 'pre_dim', NULL, {m}, CAST(p{m} * 1e9 AS BIGINT) FROM pp" for m in MODES)
+        + " UNION ALL SELECT 'partition_cv', NULL, NULL, CAST(round(avg(cv) * 1e9) AS BIGINT) FROM cv"
+        " UNION ALL SELECT 'partition_cv', region, mode, CAST(round(cv * 1e9) AS BIGINT) FROM cv"
+        " UNION ALL SELECT 'partition_cv_exact', region, mode, CAST(round(cv_exact * 1e9) AS BIGINT) FROM cv")
+    return {
+        "tucker_job": _with(*_greedy_ctes(), *_cv_ctes("gmap"), recursive=True) + metrics,
+        "factor_stage": _with(*ctes) + " UNION ALL ".join(_scaled(new[m], m) for m in MODES),
+        "incremental_update": _with(*ctes, *fin) + " UNION ALL ".join(_scaled(f"fin{m}", m) for m in MODES),
+        "core_stage": _with(*ctes, *fin, *rot, _start_core_cte(), rotated, delta, delta_rows)
+        + "SELECT p, q, r, CAST(round(sum(g) * 1e9) AS BIGINT) AS g_e9 FROM "
+          "(SELECT * FROM g1 UNION ALL SELECT * FROM dl) GROUP BY ALL",
+    }
