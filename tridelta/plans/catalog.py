@@ -646,27 +646,41 @@ def oracles() -> dict:
 # ------------------------------------------------------------------ the whole update in SQL
 
 def _mgs_named(src: str, out: str) -> list[str]:
-    """Closed-form MGS of a 3-column table ``src(idx, c0, c1, c2)`` -> ``out``."""
+    """Closed-form MGS of a 3-column table ``src(idx, c0, c1, c2)`` -> ``out``;
+    a pivot at or below 1e-12 * max(diag, 1) gives a zero column, as in the
+    library's Gram-based MGS."""
     return [
         f"""{out}_g AS (SELECT sum(c0*c0) AS g00, sum(c0*c1) AS g01, sum(c0*c2) AS g02,
                               sum(c1*c1) AS g11, sum(c1*c2) AS g12, sum(c2*c2) AS g22 FROM {src})""",
-        f"""{out}_k AS (SELECT n0, r01, r02, n1, r12, sqrt(g22 - r02 * r02 - r12 * r12) AS n2 FROM (
-               SELECT *, (g12 - r01 * r02) / n1 AS r12 FROM (
-                 SELECT *, sqrt(g11 - r01 * r01) AS n1 FROM (
-                   SELECT *, sqrt(g00) AS n0, g01 / sqrt(g00) AS r01, g02 / sqrt(g00) AS r02 FROM {out}_g))))""",
-        f"""{out} AS (SELECT idx, c0 / n0 AS c0, (c1 - r01 * c0 / n0) / n1 AS c1,
-                             (c2 - r02 * c0 / n0 - r12 * (c1 - r01 * c0 / n0) / n1) / n2 AS c2
-                      FROM {src}, {out}_k)""",
+        f"""{out}_a AS (SELECT *, 1e-12 * greatest(g00, g11, g22, 1.0) AS tol FROM {out}_g)""",
+        f"""{out}_b AS (SELECT *, g00 <= tol AS z0,
+                               CASE WHEN g00 <= tol THEN 0.0 ELSE sqrt(g00) END AS n0,
+                               CASE WHEN g00 <= tol THEN 0.0 ELSE g01 / sqrt(g00) END AS r01,
+                               CASE WHEN g00 <= tol THEN 0.0 ELSE g02 / sqrt(g00) END AS r02 FROM {out}_a)""",
+        f"""{out}_c AS (SELECT *, g11 - r01 * r01 <= tol AS z1,
+                               CASE WHEN g11 - r01 * r01 <= tol THEN 0.0 ELSE sqrt(g11 - r01 * r01) END AS n1
+                        FROM {out}_b)""",
+        f"""{out}_d AS (SELECT *, CASE WHEN z1 THEN 0.0 ELSE (g12 - r01 * r02) / n1 END AS r12 FROM {out}_c)""",
+        f"""{out}_k AS (SELECT *, g22 - r02 * r02 - r12 * r12 <= tol AS z2,
+                               CASE WHEN g22 - r02 * r02 - r12 * r12 <= tol THEN 0.0
+                                    ELSE sqrt(g22 - r02 * r02 - r12 * r12) END AS n2 FROM {out}_d)""",
+        f"""{out}_q AS (SELECT idx, c1, c2, z1, z2, n1, n2, r01, r02, r12,
+                               CASE WHEN z0 THEN 0.0 ELSE c0 / n0 END AS q0 FROM {src}, {out}_k)""",
+        f"""{out}_r AS (SELECT *, CASE WHEN z1 THEN 0.0 ELSE (c1 - r01 * q0) / n1 END AS q1 FROM {out}_q)""",
+        f"""{out} AS (SELECT idx, q0 AS c0, q1 AS c1,
+                             CASE WHEN z2 THEN 0.0 ELSE (c2 - r02 * q0 - r12 * q1) / n2 END AS c2 FROM {out}_r)""",
     ]
 
 
-def _pipeline_ctes() -> tuple[list[str], dict, dict]:
-    """CTEs of start model + factor stage; returns (ctes, start blocks, new blocks)."""
+def _pipeline_ctes() -> tuple[list[str], dict, dict, list]:
+    """CTEs of start model + factor stage; returns (ctes, start blocks, new
+    blocks, steps as (cte tag, region, mode))."""
     from ..functions.index import C1_REGION, C3_REGION, c2_regions
 
     core = _start_core()
     ctes = []
     start, new = {}, {}
+    steps = []
     for m in MODES:
         cols = ", ".join(f"{_f(m, 'idx', q)} / 1000.0 AS c{q}" for q in range(R))
         ctes.append(f"raw{m} AS (SELECT idx, {cols} FROM (SELECT unnest(generate_series(1, p{m})) AS idx FROM pp))")
@@ -695,6 +709,7 @@ def _pipeline_ctes() -> tuple[list[str], dict, dict]:
             src = f"{tag}_b"
         ctes.extend(_mgs_named(src, f"{tag}_q"))
         new[m] = f"{tag}_q"
+        steps.append((tag, region, m))
 
     for m in MODES:
         step(m, C1_REGION[m], False, f"c1m{m}")
@@ -703,7 +718,7 @@ def _pipeline_ctes() -> tuple[list[str], dict, dict]:
             step(m, region, True, f"c2m{m}s{n}")
     for m in MODES:
         step(m, C3_REGION, True, f"c3m{m}")
-    return ctes, start, new
+    return ctes, start, new, steps
 
 
 def _scaled(src: str, mode: int) -> str:
@@ -720,7 +735,7 @@ def _final_ctes(start: dict, new: dict) -> list[str]:
 
 
 def pipeline_oracles() -> dict:
-    ctes, start, new = _pipeline_ctes()
+    ctes, start, new, steps = _pipeline_ctes()
     fin = _final_ctes(start, new)
     rot = [f"rot{m} AS (SELECT {m} AS m, a.a, b.b, sum(a.v * b.v) AS v FROM "
            f"(SELECT f.idx, x.a, CASE x.a WHEN 0 THEN f.c0 WHEN 1 THEN f.c1 ELSE f.c2 END AS v "
@@ -749,7 +764,9 @@ def pipeline_oracles() -> dict:
         " UNION ALL SELECT 'partition_cv', region, mode, CAST(round(cv * 1e9) AS BIGINT) FROM cv"
         " UNION ALL SELECT 'partition_cv_exact', region, mode, CAST(round(cv_exact * 1e9) AS BIGINT) FROM cv")
     return {
-        "tucker_job": _with(*_greedy_ctes(), *_cv_ctes("gmap"), recursive=True) + metrics,
+        "tucker_job": _with(*_greedy_ctes(), *_cv_ctes("gmap"), *ctes, recursive=True) + metrics + "".join(
+            f" UNION ALL SELECT 'rank_deficient', '{region}', {m}, CAST(1e9 AS BIGINT) FROM {tag}_q_k "
+            f"WHERE z0 OR z1 OR z2" for tag, region, m in steps),
         "factor_stage": _with(*ctes) + " UNION ALL ".join(_scaled(new[m], m) for m in MODES),
         "incremental_update": _with(*ctes, *fin) + " UNION ALL ".join(_scaled(f"fin{m}", m) for m in MODES),
         "core_stage": _with(*ctes, *fin, *rot, _start_core_cte(), rotated, delta, delta_rows)
