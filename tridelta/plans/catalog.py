@@ -252,8 +252,10 @@ def q_update_factor(spark, sf):
 
 def q_update_factor_gram(spark, sf):
     s = Setup(spark, sf)
-    return ke.update_factor_gram(s.region("100"), 0, co.start_core_array(RANKS), s.old(1), R, s.pre[1],
-                                 s.old(2), R, s.pre[2], s.pre, s.dims)
+    out = ke.update_factor_gram(s.region("100"), 0, co.start_core_array(RANKS), s.old(1), R, s.pre[1],
+                                s.old(2), R, s.pre[2], s.pre, s.dims)
+    # values are ~1e-12..1e-7 here: compared as integers at 1e-16
+    return out.selectExpr("idx", *[f"CAST(round(c{q} * 1e16) AS BIGINT) AS c{q}_e16" for q in range(R)])
 
 
 def q_blend_factor(spark, sf):
@@ -764,6 +766,7 @@ def pipeline_oracles() -> dict:
         " UNION ALL SELECT 'partition_cv', region, mode, CAST(round(cv * 1e9) AS BIGINT) FROM cv"
         " UNION ALL SELECT 'partition_cv_exact', region, mode, CAST(round(cv_exact * 1e9) AS BIGINT) FROM cv")
     return {
+        "update_factor_gram": _gram_update_sql(),
         "tucker_job": _with(*_greedy_ctes(), *_cv_ctes("gmap"), *ctes, recursive=True) + metrics + "".join(
             f" UNION ALL SELECT 'rank_deficient', '{region}', {m}, CAST(1e9 AS BIGINT) FROM {tag}_q_k "
             f"WHERE z0 OR z1 OR z2" for tag, region, m in steps),
@@ -773,3 +776,45 @@ def pipeline_oracles() -> dict:
         + "SELECT p, q, r, CAST(round(sum(g) * 1e9) AS BIGINT) AS g_e9 FROM "
           "(SELECT * FROM g1 UNION ALL SELECT * FROM dl) GROUP BY ALL",
     }
+
+
+def _gram_update_sql() -> str:
+    """``update_factor_gram`` of region 100, mode 0: W = G^T inv(G (B'B (x) A'A) G^T)
+    from the two block Grams (inverse by cofactors), Kronecker rows of the
+    occurring pairs times W, joined on the unfolding column."""
+    gm = unfold(_start_core(), 0)
+    n = R * R
+    ga = ("ga AS (SELECT " + ", ".join(f"sum(c{x} * c{y}) AS a{x}{y}" for x in range(R) for y in range(R))
+          + " FROM o1)")
+    gb = ("gb AS (SELECT " + ", ".join(f"sum(c{x} * c{y}) AS b{x}{y}" for x in range(R) for y in range(R))
+          + " FROM o2)")
+    m_cols = []
+    for p in range(R):
+        for s_ in range(R):
+            terms = [f"{_num(gm[p, c] * gm[s_, d])} * (b{c // R}{d // R} * a{c % R}{d % R})"
+                     for c in range(n) for d in range(n)]
+            m_cols.append(f"{' + '.join(terms)} AS m{p}{s_}")
+    mm = f"mm AS (SELECT {', '.join(m_cols)} FROM ga, gb)"
+
+    def cof(i, j):
+        rows = [r for r in range(R) if r != i]
+        cols = [c for c in range(R) if c != j]
+        sign = "" if (i + j) % 2 == 0 else "-"
+        return (f"{sign}(m{rows[0]}{cols[0]} * m{rows[1]}{cols[1]} - m{rows[0]}{cols[1]} * m{rows[1]}{cols[0]})")
+    det = " + ".join(f"m0{j} * {cof(0, j)}" for j in range(R))
+    inv = ("iv AS (SELECT " + ", ".join(f"({cof(j, i)}) / det AS v{i}{j}" for i in range(R) for j in range(R))
+           + f" FROM (SELECT *, {det} AS det FROM mm))")
+    w = ("ww AS (SELECT " + ", ".join(
+        " + ".join(f"{_num(gm[s_, c])} * v{s_}{p}" for s_ in range(R)) + f" AS w{c}_{p}"
+        for c in range(n) for p in range(R)) + " FROM iv)")
+    prods = ", ".join(f"a.c{x} * b.c{y} AS k{x * R + y}" for x in range(R) for y in range(R))
+    krows = (f"kr AS (SELECT ({_local('pr.xa', 'p2')}) * p1 + {_local('pr.xb', 'p1')} AS id, {prods} "
+             f"FROM (SELECT DISTINCT k AS xa, j AS xb FROM lab WHERE region = '100') pr "
+             f"JOIN o2 a ON a.idx = pr.xa JOIN o1 b ON b.idx = pr.xb, pp)")
+    rw = ("rw AS (SELECT id, " + ", ".join(
+        " + ".join(f"k{c} * w{c}_{p}" for c in range(n)) + f" AS c{p}" for p in range(R)) + " FROM kr, ww)")
+    col = f"({_local('c.j', 'p1')} + {_local('c.k', 'p2')} * p1)"
+    y = ("SELECT c.i AS idx, " + ", ".join(f"CAST(round(sum(c.val * r.c{p}) * 1e16) AS BIGINT) AS c{p}_e16"
+                                           for p in range(R))
+         + f" FROM lab c, pp JOIN rw r ON r.id = {col} WHERE c.region = '100' GROUP BY c.i")
+    return _with(ga, gb, mm, inv, w, krows, rw) + y
