@@ -5,6 +5,7 @@ import pytest
 
 from conftest import SF0001
 from tridelta.functions import linalg as la
+from tridelta.functions.fixed import PUBLISHED_CORE_WEIGHTS
 from tridelta.plans.job import start_model
 from tridelta.plans.update import incremental_update
 from tridelta.operators.tensor import tensor_stats
@@ -65,7 +66,7 @@ def dense_update(x, pre, old, g, mu, schedule):
         core = la.mode_product(core, f[: pre[m]].T @ old[m], m)
         final[m] = f
     weights = {"once": {r: 1 for r in ("100", "010", "001", "011", "101", "110", "111")},
-               "as_published": {"100": 1, "010": 1, "001": 1, "101": 1, "011": 2, "110": 0, "111": 3}}[schedule]
+               "as_published": PUBLISHED_CORE_WEIGHTS}[schedule]
     for code, w in weights.items():
         xr = np.where(region_mask(dims, pre, code), x, 0.0)
         core += w * np.einsum("ijk,ip,jq,kr->pqr", xr, final[0], final[1], final[2])

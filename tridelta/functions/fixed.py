@@ -7,6 +7,8 @@ Fixed values:
   core start value    g = (p*31 + q*17 + r*7) % 97 + 1
   defaults            ranks (3,3,3), cut_num 12, mu 0.8, partition "bucket"
   mode count          3
+  published core schedule, weight of each region's contribution:
+                      100: 1, 010: 1, 001: 1, 011: 2, 101: 1, 110: 0, 111: 3
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ DEFAULT_CUT_NUM = 12
 DEFAULT_MU = 0.8
 DEFAULT_PARTITION = "bucket"
 
+PUBLISHED_CORE_WEIGHTS = {"100": 1, "010": 1, "001": 1, "011": 2, "101": 1, "110": 0, "111": 3}
+
 
 def factor_value(idx: Column, col: int, mode: int) -> Column:
     return ((idx * F.lit(FACTOR_IDX_MULT) + F.lit(col * FACTOR_COL_MULT + mode + 1)) % F.lit(FACTOR_MOD)).cast("double")

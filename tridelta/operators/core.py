@@ -1,7 +1,7 @@
 """Core-tensor operators on the long table ``(p, q, r, g)`` (1-based).
 
 The core has r0*r1*r2 entries (a model parameter, not data), so the update
-pipeline keeps it as a NumPy array on the driver; these DataFrame forms
+keeps it as a NumPy array on the driver; these DataFrame forms
 work on long tables of any size and are what the SQL checks compare."""
 
 from __future__ import annotations

@@ -326,14 +326,14 @@ def _scaled_frame(factors: DataFrame) -> DataFrame:
     return factors.selectExpr("mode", "idx", *[f"CAST(round(c{q} * 1e9) AS BIGINT) AS c{q}_e9" for q in range(R)])
 
 
-def _pipeline(spark, sf, partition="bucket"):
+def _start(spark, sf):
     s = Setup(spark, sf)
     blocks, grams, core = start_model(spark, s.pre, RANKS)
     return s, blocks, grams, core
 
 
 def q_factor_stage(spark, sf):
-    s, blocks, grams, core = _pipeline(spark, sf)
+    s, blocks, grams, core = _start(spark, sf)
     ctx = up.prepare(s.cells, s.pre, RANKS)
     old = {m: up.Block(blocks[m], s.pre[m], grams[m]) for m in MODES}
     new = up.factor_stage(ctx, core, old, MU)
@@ -341,7 +341,7 @@ def q_factor_stage(spark, sf):
 
 
 def q_core_stage(spark, sf):
-    s, blocks, grams, core = _pipeline(spark, sf)
+    s, blocks, grams, core = _start(spark, sf)
     ctx = up.prepare(s.cells, s.pre, RANKS)
     old = {m: up.Block(blocks[m], s.pre[m], grams[m]) for m in MODES}
     new = up.factor_stage(ctx, core, old, MU)
@@ -350,7 +350,7 @@ def q_core_stage(spark, sf):
 
 
 def q_incremental_update(spark, sf):
-    s, blocks, grams, core = _pipeline(spark, sf)
+    s, blocks, grams, core = _start(spark, sf)
     res = up.incremental_update(s.cells, blocks, core, s.pre, RANKS, gram_old=grams)
     return _scaled_frame(res.factors)
 
@@ -674,7 +674,7 @@ def _mgs_named(src: str, out: str) -> list[str]:
     ]
 
 
-def _pipeline_ctes() -> tuple[list[str], dict, dict, list]:
+def _update_ctes() -> tuple[list[str], dict, dict, list]:
     """CTEs of start model + factor stage; returns (ctes, start blocks, new
     blocks, steps as (cte tag, region, mode))."""
     from ..functions.index import C1_REGION, C3_REGION, c2_regions
@@ -736,8 +736,8 @@ def _final_ctes(start: dict, new: dict) -> list[str]:
     return ctes
 
 
-def pipeline_oracles() -> dict:
-    ctes, start, new, steps = _pipeline_ctes()
+def update_oracles() -> dict:
+    ctes, start, new, steps = _update_ctes()
     fin = _final_ctes(start, new)
     rot = [f"rot{m} AS (SELECT {m} AS m, a.a, b.b, sum(a.v * b.v) AS v FROM "
            f"(SELECT f.idx, x.a, CASE x.a WHEN 0 THEN f.c0 WHEN 1 THEN f.c1 ELSE f.c2 END AS v "

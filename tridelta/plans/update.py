@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import DEFAULT_CUT_NUM, DEFAULT_MU, DEFAULT_RANKS
+from ..functions.fixed import DEFAULT_CUT_NUM, DEFAULT_MU, DEFAULT_RANKS, PUBLISHED_CORE_WEIGHTS
 from ..functions.index import C1_REGION, C3_REGION, MODES, REGIONS, c2_regions, other_modes
 from ..functions.linalg import mgs_transform, mode_product
 from ..operators import factors as fo
@@ -34,10 +34,10 @@ from ..operators.tensor import cut_regions, slice_nnz, stats_aggs, stats_from_ro
 from ..session import configure, stash
 
 # Core contribution weight of each region. "once": every new region once.
-# "as_published": the reference's schedule (110 left out, 011 twice, 111 three times).
+# "as_published": the published schedule (110 left out, 011 twice, 111 three times).
 CORE_SCHEDULES = {
     "once": {r: 1 for r in REGIONS},
-    "as_published": {"100": 1, "010": 1, "001": 1, "101": 1, "011": 2, "110": 0, "111": 3},
+    "as_published": dict(PUBLISHED_CORE_WEIGHTS),
 }
 
 
