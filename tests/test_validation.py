@@ -52,3 +52,22 @@ def test_job_writes_model(spark):
     assert factors.count() == res.factors.count()
     names = {r["name"] for r in spark.read.parquet(f"{out}/metrics").collect()}
     assert {"partition_cv", "partition_seconds", "total_seconds", "cells"} <= names
+
+
+def test_release_deletes_only_this_runs_tables(spark):
+    from tridelta.session import STORED, stash
+
+    cells = sales_tensor(spark, SF0001)
+    dims = te.tensor_stats(cells).dims
+    pre = tuple(d * 4 // 5 for d in dims)
+    keep = stash(cells, "keep-me")
+    blocks, grams, core = start_model(spark, pre, (2, 2, 2))
+    res = incremental_update(cells, blocks, core, pre, (2, 2, 2), gram_old=grams)
+    out = scratch_path(spark, "released-model")
+    res.factors.write.parquet(out)
+    paths = list(res.scratch)
+    assert paths and STORED[-1] in paths
+    assert res.release() == len(set(paths))
+    assert res.scratch == []
+    assert spark.read.parquet(out).count() > 0
+    assert keep.count() == cells.count()

@@ -70,6 +70,17 @@ class UpdateResult:
     blocks: dict
     part_map: DataFrame | None
     info: dict
+    scratch: list = field(default_factory=list)
+
+    def release(self) -> int:
+        """Delete the intermediate tables this update stored under
+        ``spark.checkpoint.dir``. The returned DataFrames read them lazily:
+        call this only after the results are written or collected."""
+        from ..session import delete_paths
+
+        n = delete_paths(self.core.sparkSession, self.scratch)
+        self.scratch = []
+        return n
 
 
 def _validate(ranks, mu, cut_num, partition, core_schedule):
@@ -313,6 +324,9 @@ def incremental_update(cells: DataFrame, factors, core, pre_dims, ranks=DEFAULT_
     _validate(ranks, mu, cut_num, partition, core_schedule)
     spark = cells.sparkSession
     configure(spark)
+    from .. import session as _session
+
+    first_stored = len(_session.STORED)
     t0 = time.time()
     ranks = tuple(int(r) for r in ranks)
     g0 = core_to_array(core, ranks) if isinstance(core, DataFrame) else np.asarray(core, dtype=float)
@@ -334,4 +348,5 @@ def incremental_update(cells: DataFrame, factors, core, pre_dims, ranks=DEFAULT_
         blocks={m: (final[m].df, new[m].df) for m in MODES}, part_map=part_map,
         info={"dims": ctx.dims, "pre_dims": ctx.pre_dims, "total_seconds": total,
               "region_cells": ctx.region_cells},
+        scratch=list(_session.STORED[first_stored:]),
     )

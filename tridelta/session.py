@@ -68,10 +68,28 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+# Every table stored by :func:`stash`, in order (so a run can release its own).
+STORED: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/tridelta/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def delete_paths(spark: SparkSession, paths) -> int:
+    """Delete stored tables through the cluster file system (any scheme)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            fs.delete(path, True)
+            n += 1
+    return n
+
+
 def stash(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as parquet under the checkpoint folder and read it back.
 
@@ -80,6 +98,7 @@ def stash(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    STORED.append(path)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
