@@ -63,7 +63,9 @@ def factor_lookup(cells: DataFrame, block: DataFrame, coord_col: str, rank: int,
     * else sort-merge join, where AQE's skew-join splits a hot index.
 
     Absent rows are zero rows, so dropping cells without a row is exact."""
-    limit = DEFAULT_BROADCAST_LIMIT
+    from ..session import broadcast_limit
+
+    limit = broadcast_limit(cells.sparkSession, DEFAULT_BROADCAST_LIMIT)
     width = factor_row_bytes(rank)
     right = rename_cols(block, rank, coord_col, prefix)
     if max_rows * width <= limit:

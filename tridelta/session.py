@@ -18,8 +18,15 @@ RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-# Upper bound for any table this library broadcasts by hint (bytes).
+# Upper bound for any table this library broadcasts by hint (bytes); a
+# session can set ``spark.tridelta.broadcastLimitBytes`` instead.
 DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
+BROADCAST_LIMIT_KEY = "spark.tridelta.broadcastLimitBytes"
+
+
+def broadcast_limit(spark: SparkSession, default: int | None = None) -> int:
+    value = spark.conf.get(BROADCAST_LIMIT_KEY, None)
+    return int(value) if value else int(DEFAULT_BROADCAST_LIMIT if default is None else default)
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "tridelta") -> SparkSession:
@@ -107,9 +114,10 @@ def stash(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int, row_bytes: int, limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int, row_bytes: int, limit: int | None = None) -> DataFrame:
     """Hint a broadcast only when a proven row bound keeps the table under
-    ``limit``; otherwise leave the choice to the planner (sort-merge + AQE)."""
+    the limit; otherwise leave the choice to the planner (sort-merge + AQE)."""
+    limit = broadcast_limit(df.sparkSession) if limit is None else limit
     if max_rows * row_bytes <= limit:
         return F.broadcast(df)
     return df
