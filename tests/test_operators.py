@@ -99,3 +99,13 @@ def test_factor_layout_round_trip(spark):
     rows = {(r["mode"], r["idx"]): tuple(r[2:]) for r in back.collect()}
     assert rows[(1, 1)] == (0.0, 0.0, 0.0)
     assert all(rows[(r["mode"], r["idx"])] == tuple(r[2:]) for r in f.collect())
+
+
+def test_random_start_model_is_orthonormal(spark):
+    from tridelta.plans.job import start_model
+
+    blocks, grams, core = start_model(spark, (50, 20, 10), (3, 3, 3), kind="random", seed=5)
+    assert core.shape == (3, 3, 3)
+    for m in range(3):
+        assert np.allclose(fo.gram(blocks[m], 3), np.eye(3), atol=1e-10)
+        assert np.allclose(grams[m], np.eye(3), atol=1e-10)
