@@ -109,3 +109,20 @@ def test_random_start_model_is_orthonormal(spark):
     for m in range(3):
         assert np.allclose(fo.gram(blocks[m], 3), np.eye(3), atol=1e-10)
         assert np.allclose(grams[m], np.eye(3), atol=1e-10)
+
+
+def test_fused_update_and_blend_equals_update_then_blend(spark):
+    cells = activity_tensor(spark, SF0001)
+    dims = te.tensor_stats(cells).dims
+    pre = default_pre_dims(dims)
+    region = te.cut_regions(cells, pre).where("region = '110'")
+    core = co.start_core_array((3, 3, 3))
+    a = fo.init_factor(spark, 1, 1, dims[1], 3)
+    b = fo.init_factor(spark, 2, 1, pre[2], 3)
+    prev = fo.init_factor(spark, 0, pre[0] + 1, dims[0] - 1, 3)   # one new row has no previous value
+    two = fo.blend_factor(prev, ke.update_factor(region, 0, core, a, 3, dims[1], b, 3, pre[2]), 3, 0.8)
+    one = ke.update_and_blend(region, 0, core, a, 3, dims[1], b, 3, pre[2], prev, 3, 0.8)
+    x = {r["idx"]: np.array(r[1:]) for r in two.collect()}
+    y = {r["idx"]: np.array(r[1:]) for r in one.collect()}
+    assert x.keys() == y.keys()
+    assert all(np.allclose(x[k], y[k], rtol=1e-12, atol=1e-12) for k in x)

@@ -134,3 +134,32 @@ def contract_frame(cells: DataFrame, blocks: dict, ranks, rows: dict) -> DataFra
         f"struct({p + 1} AS p, {c % ranks[1] + 1} AS q, {c // ranks[1] + 1} AS r, m{p}_{c} AS g)"
         for p in range(ranks[0]) for c in range(n))
     return sums.selectExpr(f"inline(array({entries}))")
+
+
+def update_and_blend(cells: DataFrame, mode: int, core: np.ndarray, a_block, rank_a, a_rows,
+                     b_block, rank_b, b_rows, prev: DataFrame, rank: int, mu: float) -> DataFrame:
+    """:func:`update_factor` then the blend with ``prev`` in ONE aggregation:
+    the previous block's rows join the cell products before the grouping by
+    row index (one shuffle instead of a kernel shuffle plus a join shuffle).
+    A row with cells gets ``mu*prev + (1-mu)*update``; a row without keeps
+    ``prev``; a missing previous row counts as zero."""
+    from .factors import num
+
+    a, b = other_modes(mode)
+    ca, cb = COORD[a], COORD[b]
+    n = rank_a * rank_b
+    x = cells.selectExpr(f"{COORD[mode]} AS idx", ca, cb, "val")
+    x = factor_lookup(x, a_block, ca, rank_a, "a", a_rows)
+    x = factor_lookup(x, b_block, cb, rank_b, "b", b_rows)
+    prods = x.selectExpr("idx", *[f"val * a{q} * b{r} AS t{q + r * rank_a}" for r in range(rank_b) for q in range(rank_a)],
+                         *[f"CAST(NULL AS DOUBLE) AS p{q}" for q in range(rank)], "1 AS has_cells")
+    old = prev.selectExpr("idx", *[f"CAST(NULL AS DOUBLE) AS t{c}" for c in range(n)],
+                          *[f"c{q} AS p{q}" for q in range(rank)], "0 AS has_cells")
+    g = prods.unionByName(old).groupBy("idx").agg(
+        *[F.expr(f"sum(t{c}) AS t{c}") for c in range(n)], *[F.expr(f"sum(p{q}) AS p{q}") for q in range(rank)],
+        F.expr("max(has_cells) AS has_cells"))
+    pinv = core_pinv(core, mode)
+    names = [f"t{c}" for c in range(n)]
+    out = [f"CASE WHEN has_cells = 1 THEN {num(mu)} * coalesce(p{q}, 0.0D) + {num(1.0 - mu)} * "
+           f"({lin_expr(pinv[:, q], names)}) ELSE p{q} END AS c{q}" for q in range(rank)]
+    return g.selectExpr("idx", *out)

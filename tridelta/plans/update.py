@@ -29,7 +29,7 @@ from ..functions.linalg import mgs_transform, mode_product
 from ..operators import factors as fo
 from ..operators import partition as po
 from ..operators.core import array_to_core, core_to_array
-from ..operators.kernel import contract_all, update_factor
+from ..operators.kernel import contract_all, update_and_blend, update_factor
 from ..operators.tensor import cut_regions, slice_nnz, stats_aggs, stats_from_row
 from ..session import configure, stash
 
@@ -178,8 +178,12 @@ def _blend_step(ctx: Context, mode: int, region: str, core: np.ndarray, old: dic
     One write per step; its Gram comes from the same job."""
     if ctx.region_cells.get(region, 0) == 0:
         return
-    upd = _update_rows(ctx, mode, region, core, old, new)
-    cur = fo.blend_factor(new[mode].df, upd, ctx.ranks[mode], mu)
+    a, b = other_modes(mode)
+    blk_a = new[a] if region[a] == "1" else old[a]
+    blk_b = new[b] if region[b] == "1" else old[b]
+    r = ctx.ranks
+    cur = update_and_blend(ctx.region(region), mode, core, blk_a.df, r[a], blk_a.rows, blk_b.df, r[b], blk_b.rows,
+                           new[mode].df, r[mode], mu)
     stored, grams, _ = fo.stash_with_grams(cur, f"{name}-m{mode}-{region}", {mode: ctx.ranks[mode]})
     new[mode] = _orthonormal_block(ctx, stored, grams[mode], mode, region)
 
@@ -331,14 +335,19 @@ def incremental_update(cells: DataFrame, factors, core, pre_dims, ranks=DEFAULT_
     ranks = tuple(int(r) for r in ranks)
     g0 = core_to_array(core, ranks) if isinstance(core, DataFrame) else np.asarray(core, dtype=float)
     ctx = prepare(cells, pre_dims, ranks)
+    ctx.metrics.append(("prepare_seconds", None, None, time.time() - t0))
     old_df = _as_blocks(factors, ctx.pre_dims, ranks)
     grams = gram_old if gram_old is not None else fo.grams_by_mode(old_df, ranks)
     old = {m: Block(old_df[m], ctx.pre_dims[m], np.asarray(grams[m], dtype=float)) for m in MODES}
     part_map = None
     if partition is not None:
         part_map, _, _ = partition_stage(ctx, cut_num, partition)
+    t1 = time.time()
     new = factor_stage(ctx, g0, old, mu)
+    t2 = time.time()
     g1, final = core_stage(ctx, g0, old, new, core_schedule)
+    ctx.metrics.append(("factor_seconds", None, None, t2 - t1))
+    ctx.metrics.append(("core_seconds", None, None, time.time() - t2))
     total = time.time() - t0
     ctx.metrics.append(("total_seconds", None, None, total))
     metrics = spark.createDataFrame(ctx.metrics, "name string, region string, mode int, value double")
