@@ -149,3 +149,33 @@ def test_mixed_ranks_match_dense_model(spark):
     for m in range(3):
         for i in range(dims[m]):
             assert np.allclose(got.get((m, i + 1), [0.0] * ranks[m]), final[m][i], atol=1e-8)
+
+
+def test_mode_without_growth(spark):
+    """pre_dims equal to dims in mode 2: its new block stays empty, the
+    regions needing it are skipped, and the rest still matches the model."""
+    import warnings
+
+    cells = activity_tensor(spark, SF0001)
+    dims = tensor_stats(cells).dims
+    pre = (dims[0] * 4 // 5, dims[1] * 4 // 5, dims[2])
+    blocks, grams, core = start_model(spark, pre, (3, 3, 3))
+    res = incremental_update(cells, blocks, core, pre, (3, 3, 3), partition="bucket", gram_old=grams)
+    names = {(r["name"], r["region"], r["mode"]) for r in res.metrics.collect()}
+    assert ("empty_region", "001", 2) in names
+    x = np.zeros(dims)
+    for r in cells.collect():
+        x[r["i"] - 1, r["j"] - 1, r["k"] - 1] += r["val"]
+    old = {}
+    for m in range(3):
+        rows = sorted(blocks[m].collect(), key=lambda r: r["idx"])
+        old[m] = np.array([[r[f"c{q}"] for q in range(3)] for r in rows])
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        final, g = dense_update(x, pre, old, core, 0.8, "once")
+    assert np.allclose(res.core_array, g, rtol=1e-8, atol=1e-8)
+    got = {(r["mode"], r["idx"]): [r["c0"], r["c1"], r["c2"]] for r in res.factors.collect()}
+    assert max(idx for m, idx in got if m == 2) == dims[2]
+    for m in range(3):
+        for i in range(dims[m]):
+            assert np.allclose(got.get((m, i + 1), [0.0] * 3), final[m][i], atol=1e-8)
