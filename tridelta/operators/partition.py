@@ -15,7 +15,8 @@ never gather a group into one task:
 * ``greedy_map`` (scan in slice order, close a bin near total/cut_num): the
   scan only changes state at *resets*, and there are O(cut_num) of them.
   Prefix sums come from two bounded windows; the resets are found by a
-  walk of O(cut_num) lookups on the stored prefix table (row-group pruned);
+  walk of O(cut_num) lookups on the stored, cached prefix table (pruned by
+  the column statistics of the cached batches);
   labels follow from the count of earlier resets.
 """
 
