@@ -71,3 +71,18 @@ def test_release_deletes_only_this_runs_tables(spark):
     assert res.scratch == []
     assert spark.read.parquet(out).count() > 0
     assert keep.count() == cells.count()
+
+
+def test_cli_on_coordinate_files(spark, capsys):
+    from tridelta.plans.cli import main
+
+    cells = sales_tensor(spark, SF0001)
+    dims = te.tensor_stats(cells).dims
+    pre_cells = cells.where(f"i <= {dims[0] * 4 // 5} AND j <= {dims[1] * 4 // 5} AND k <= {dims[2] * 4 // 5}")
+    pre_path, inc_path = scratch_path(spark, "cli-pre"), scratch_path(spark, "cli-inc")
+    write_coo(pre_cells, pre_path)
+    write_coo(cells, inc_path)
+    out = main(["--pre", pre_path, "--increment", inc_path, "--ranks", "2,2,2", "--partition", "greedy",
+                "--output", scratch_path(spark, "cli-model")], spark=spark)
+    assert out["partition_cv"] >= 0 and out["update_seconds"] > 0
+    assert "partition CV:" in capsys.readouterr().out
