@@ -76,3 +76,20 @@ def test_bucket_map_matches_heap_and_bounds(spark):
     loads = [r["load"] for r in po.bucket_loads(po.bucket_runs(h, 12)).collect()]
     assert sum(loads) == sum(arr)
     assert max(loads) <= sum(arr) / 12 + max(arr)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_greedy_loads_from_resets(spark, seed):
+    """Loads computed from the reset positions == sums of nnz per label."""
+    rng = np.random.default_rng(100 + seed)
+    n = int(rng.integers(10, 120))
+    arr = (rng.integers(0, 8, size=n) * (rng.random(n) < 0.7)).tolist()
+    arr[0] = 0
+    arr[int(rng.integers(1, n))] = int(rng.integers(30, 120))
+    cut = int(rng.integers(2, 13))
+    _, loads = po.greedy_map(_hist(spark, {("100", 0): arr}), cut, {0: n - 1}, with_loads=True)
+    want = [0] * cut
+    for s, b in enumerate(greedy_labels(arr, cut)):
+        want[b - 1] += arr[s]
+    got = loads[("100", 0)] + [0] * (cut - len(loads[("100", 0)]))
+    assert got == want

@@ -167,7 +167,7 @@ def greedy_resets(prefix: DataFrame, totals: dict, dims: dict, cut_num: int) ->
     """Walk the resets of the greedy scan for all groups in lock step.
 
     ``totals``: {(region, mode): cells}; ``dims``: {mode: dim}. Returns
-    {(region, mode): [(slice, opened), ...]}. Each round is one lookup per
+    {(region, mode): [(slice, opened, P, Pex), ...]}. Each round is one lookup per
     active group: the slice whose prefix interval ``(Pex, P]`` contains the
     value at which the running count passes the threshold."""
     state = {g: {"s": 0, "c": 0, "ps": 0, "thr": totals[g] // cut_num} for g in totals if totals[g] > 0}
@@ -199,7 +199,7 @@ def greedy_resets(prefix: DataFrame, totals: dict, dims: dict, cut_num: int) ->
                 t = heavy_next[g]
                 nnz = int(row["nnz"]) if row is not None else 0
                 p_t = int(row["P"]) if row is not None else st["ps"]
-                resets[g].append((t, True))
+                resets[g].append((t, True, p_t, p_t - nnz))
                 st.update(s=t, c=nnz, ps=p_t)
                 continue
             if row is None:
@@ -209,16 +209,30 @@ def greedy_resets(prefix: DataFrame, totals: dict, dims: dict, cut_num: int) ->
             cur = st["c"] + p_t - st["ps"]
             pre = st["c"] + pex_t - st["ps"]
             opened = (cur - st["thr"]) > (st["thr"] - pre)
-            resets[g].append((t, opened))
+            resets[g].append((t, opened, p_t, pex_t))
             st.update(s=t, c=nnz if opened else 0, ps=p_t)
     return resets
 
 
+def greedy_loads(resets: dict, totals: dict, cut_num: int) -> dict:
+    """Bin loads from the resets alone: bin n ends at ``Pex`` of the n-th
+    reset if it opened a bin, else at its ``P``; bins from ``cut_num`` on
+    share the last bin. Returns {(region, mode): [load of bin 1, ...]}."""
+    out = {}
+    for g, rs in resets.items():
+        ends = [pex if opened else p for _, opened, p, pex in rs][: cut_num - 1]
+        bounds = [0] + ends + [totals[g]]
+        out[g] = [bounds[n + 1] - bounds[n] for n in range(len(bounds) - 1)]
+    return out
+
+
 def greedy_map(hist: DataFrame, cut_num: int, dims: dict, name: str = "greedy-prefix",
-               totals: dict | None = None) -> DataFrame:
-    """``(region, mode, slice, nnz, part_id)`` by the greedy slice scan
-    (stored; the cached prefix table is released afterwards). ``totals``:
-    optional known cells per (region, mode) group (saves one job)."""
+               totals: dict | None = None, with_loads: bool = False):
+    """``(region, mode, slice, nnz, part_id)`` by the greedy slice scan.
+
+    The map is a lazy projection of the stored prefix table (the cached
+    copy used by the walk is released). With ``with_loads`` also returns the
+    bin loads, computed from the resets without another pass."""
     spark = hist.sparkSession
     max_dim = max(dims.values())
     prefix = prefix_sums(hist, max_dim)
@@ -228,20 +242,23 @@ def greedy_map(hist: DataFrame, cut_num: int, dims: dict, name: str = "greedy-pr
     # prune all but the batch holding the looked-up prefix value
     prefix = stash(prefix.repartitionByRange(n_parts, "region", "mode", "slice")
                    .sortWithinPartitions("region", "mode", "slice"), name)
-    prefix = prefix.select("region", "mode", "slice", "nnz", "P", "Pex").persist()
+    stored = prefix.select("region", "mode", "slice", "nnz", "P", "Pex")
+    prefix = stored.persist()
     if totals is None:
         totals = {(r["region"], r["mode"]): int(r["t"]) for r in
                   prefix.groupBy("region", "mode").agg(F.sum("nnz").alias("t")).collect()}
     resets = greedy_resets(prefix, totals, dims, cut_num)
-    rows = [(g[0], int(g[1]), [s for s, _ in rs], [s for s, o in rs if o]) for g, rs in resets.items()]
+    prefix.unpersist()
+    rows = [(g[0], int(g[1]), [r[0] for r in rs], [r[0] for r in rs if r[1]]) for g, rs in resets.items()]
     table = spark.createDataFrame(rows, "region string, mode int, resets array<long>, opens array<long>")
     # at most 12 groups x O(cut_num) resets: a proven small broadcast
-    j = prefix.join(F.broadcast(table), ["region", "mode"], "left")
+    j = stored.join(F.broadcast(table), ["region", "mode"], "left")
     part = (f"CAST(least(1 + size(filter(coalesce(resets, array()), r -> r < slice)) "
             f"+ CAST(coalesce(array_contains(opens, slice), false) AS INT), {int(cut_num)}) AS INT) AS part_id")
-    stored = stash(j.selectExpr("region", "mode", "slice", "nnz", part), name + "-map")
-    prefix.unpersist()
-    return stored
+    part_map = j.selectExpr("region", "mode", "slice", "nnz", part)
+    if with_loads:
+        return part_map, greedy_loads(resets, totals, cut_num)
+    return part_map
 
 
 # ---------------------------------------------------------------- labels and balance

@@ -134,8 +134,10 @@ def partition_stage(ctx: Context, cut_num: int, method: str):
         # a cell of region r adds one row to each group (r, m) with m new in r
         totals = {(r, m): n for r, n in ctx.region_cells.items() if r != "000" and n > 0
                   for m in MODES if r[m] == "1"}
-        part_map = po.greedy_map(hist, cut_num, dims, totals=totals)
-        loads = po.partition_loads(part_map)
+        part_map, bin_loads = po.greedy_map(hist, cut_num, dims, totals=totals, with_loads=True)
+        # at most 12 groups x cut_num loads, known on the driver from the resets
+        rows = [(g[0], int(g[1]), b + 1, int(x)) for g, xs in bin_loads.items() for b, x in enumerate(xs)]
+        loads = ctx.cells.sparkSession.createDataFrame(rows, "region string, mode int, part_id int, load long")
     cv = po.partition_cv(loads).collect()
     seconds = time.time() - t0
     groups = [(r["region"], int(r["mode"]), float(r["cv"]), float(r["cv_exact"])) for r in cv]
