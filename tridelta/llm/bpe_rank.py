@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import small_batches
 
@@ -78,7 +79,7 @@ def decode(df: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col: str =
     An id without a token fails."""
     if "decoded" in df.columns:
         raise ValueError("the input has a column named decoded")
-    schema = df.schema.add("decoded", "binary")
+    schema = StructType([*df.schema.fields, StructField("decoded", BinaryType())])
     place = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
