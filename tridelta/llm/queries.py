@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_rank
+from . import bpe_rank, curriculum
 from .common import read
 
 
@@ -21,8 +21,65 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+# Weights 5, 2 and 1 in the whole; heavy sources fade, light ones grow.
+MIX = curriculum.MixPlan(knots=(
+    ((0.0, 7.5), (1.0, 2.5)),
+    ((0.0, 2.0), (1.0, 2.0)),
+    ((0.0, 0.5), (1.0, 1.5)),
+))
+
+
+def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the curriculum takes of every document, in training order (by the
+    position of a document's first copy, those not taken last)."""
+    per_doc = curriculum.allocate(read(spark, sf_dir, "documents"), MIX, keep=["doc_id"])
+    out = per_doc.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken",
+                         F.round(F.get("positions", F.lit(0)), 9).alias("position"))
+    return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+s AS (
+  SELECT source, sum(size) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn
+  FROM d GROUP BY source),
+w AS (
+  SELECT *, CASE turn WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+         2.0::DOUBLE * source_size::DOUBLE AS cap FROM s),
+l AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS FIRST
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before,
+         sum(weight) OVER (ORDER BY cap / weight, source NULLS FIRST
+                           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open,
+         1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS budget FROM w),
+t AS (
+  SELECT source, turn, weight, source_size, least(cap, max((budget - before) / open) OVER () * weight) AS target FROM l),
+o AS (
+  SELECT doc_id, size, source_size::BIGINT AS source_size, target, turn, weight, floor(target)::BIGINT AS wanted,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id NULLS FIRST, size
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pre
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT *, CASE WHEN size > 0 THEN greatest(0, ceil((wanted - pre) / source_size))::BIGINT ELSE 0 END AS copies,
+         pre::DOUBLE / target * weight AS need,
+         CASE turn WHEN 0 THEN 7.5::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END AS w0,
+         CASE turn WHEN 0 THEN -5.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS slope FROM o)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       CASE WHEN copies > 0 THEN (copies - 1) * size + least(size, wanted - pre - (copies - 1) * source_size)
+            ELSE 0 END::BIGINT AS taken,
+       CASE WHEN copies > 0 THEN round(least(1.0::DOUBLE, 2.0::DOUBLE * need / (
+            w0 + sqrt(greatest(0.0::DOUBLE, w0 * w0 + 2.0::DOUBLE * slope * need)))), 9) END AS position
+FROM c
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_curriculum_mix": op3_curriculum_mix,
     "op4_byte_bpe": op4_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_curriculum_mix": OP3_SQL,
+}
