@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tridelta.session import stash
 
@@ -56,3 +58,32 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and a join of
     two stored tables can have its hot partitions split at run time."""
     return stash(df, f"llm-{name}")
+
+
+def map_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], list]], fields: str,
+              keep: list[str] | None = None) -> DataFrame:
+    """``row`` (struct of the columns ``keep``, all by default) and new columns
+    computed from each whole text in Python, batch by batch, without a shuffle.
+
+    ``make`` is called once per task and returns a function from a list of
+    texts (None for null) to one list of values per new column; ``fields`` is
+    their schema in DDL. As the input's columns sit in the struct, no name of
+    theirs can clash.
+    """
+    keep = df.columns if keep is None else keep
+    new = df.sparkSession.createDataFrame([], fields).schema.fields
+    src = df.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    out_schema = StructType([src.schema["row"], *new])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(f.dataType) for f in new]
+        names = ["row", *(f.name for f in new)]
+        fn = make()
+        for b in small_batches(batches):
+            values = fn(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(v, k) for v, k in zip(values, kinds))], names)
+
+    return src.mapInArrow(run, out_schema)

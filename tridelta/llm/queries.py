@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_rank, curriculum
+from . import bpe_rank, curriculum, rff_quality, weak_rules
 from .common import read
 
 
@@ -75,9 +75,22 @@ FROM c
 """
 
 
+def op8_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = rff_quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = weak_rules.judge(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("row.doc_id", *weak_rules.STATS, "base_failed", "kept", "posterior")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_curriculum_mix": op3_curriculum_mix,
     "op4_byte_bpe": op4_byte_bpe,
+    "op8_rff_quality": op8_rff_quality,
+    "op9_weak_rules": op9_weak_rules,
 }
 
 ORACLES: dict[str, str] = {
