@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_rank, curriculum, rff_quality, weak_rules
+from . import bpe_rank, curriculum, rff_quality, warc, weak_rules
 from .common import read
 
 
@@ -75,6 +75,28 @@ FROM c
 """
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through an archive and back; the revisits' response is
+    looked up by the record id that the archive names."""
+    caps = warc.capture_table(warc.round_trip(spark, read(spark, sf_dir, "pages")))
+    return caps.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS sha, html FROM p),
+d AS (
+  SELECT page_id, payload_bytes, max(page_id) OVER (PARTITION BY sha) AS last_id,
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((('0x' || substr(sha, 5 * (i // 4) + 1, 5))::INTEGER >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1)), '')
+           AS payload_digest FROM h)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN page_id = last_id OR last_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last_id THEN last_id END AS refers_to FROM d
+"""
+
+
 def op8_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = rff_quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return scored.select(F.col("id").alias("doc_id"), "held_out", "score",
@@ -89,10 +111,12 @@ def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_curriculum_mix": op3_curriculum_mix,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_warc": op5_warc,
     "op8_rff_quality": op8_rff_quality,
     "op9_weak_rules": op9_weak_rules,
 }
 
 ORACLES: dict[str, str] = {
     "op3_curriculum_mix": OP3_SQL,
+    "op5_warc": OP5_SQL,
 }
