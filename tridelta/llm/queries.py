@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_rank, curriculum, rff_quality, warc, weak_rules
+from . import bpe_rank, curriculum, rff_quality, token_file, warc, weak_rules
 from .common import read
 
 
+def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, written as coded ids, read back and decoded."""
+    return token_file.round_trip(spark, read(spark, sf_dir, "documents"),
+                                 public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document through encode and decode; digests of both."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -109,6 +115,7 @@ def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_file": op1_token_file,
     "op3_curriculum_mix": op3_curriculum_mix,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_warc": op5_warc,
