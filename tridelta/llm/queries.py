@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_rank, curriculum, rff_quality, token_file, warc, weak_rules
+from . import bpe_rank, curriculum, rff_quality, secret_forest, token_file, warc, weak_rules
 from .common import read
 
 
@@ -27,6 +27,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding that the forest keeps, in every whole document."""
+    docs = read(spark, sf_dir, "documents")
+    words = secret_forest.dictionary_regex(secret_forest.words_for_dictionary(read(spark, sf_dir, "benchmark")))
+    found = secret_forest.scan(docs, secret_forest.train(docs, words), keep=["doc_id"])
+    return found.select("row.doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score")
+
+
 # Weights 5, 2 and 1 in the whole; heavy sources fade, light ones grow.
 MIX = curriculum.MixPlan(knots=(
     ((0.0, 7.5), (1.0, 2.5)),
@@ -116,6 +124,7 @@ def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_file": op1_token_file,
+    "op2_secret_forest": op2_secret_forest,
     "op3_curriculum_mix": op3_curriculum_mix,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_warc": op5_warc,
