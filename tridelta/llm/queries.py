@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_rank, curriculum, rff_quality, secret_forest, token_file, warc, weak_rules
+from . import bpe_rank, curriculum, ngram_join, rff_quality, secret_forest, token_file, warc, weak_rules
 from .common import read
 
 
@@ -111,6 +111,12 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 """
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share four fifths of their five-word shingles."""
+    found = ngram_join.join(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "component_id", "kept")
+
+
 def op8_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = rff_quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return scored.select(F.col("id").alias("doc_id"), "held_out", "score",
@@ -128,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_curriculum_mix": op3_curriculum_mix,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_warc": op5_warc,
+    "op6_ngram_join": op6_ngram_join,
     "op8_rff_quality": op8_rff_quality,
     "op9_weak_rules": op9_weak_rules,
 }
