@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_rank, curriculum, ngram_join, rff_quality, secret_forest, token_file, warc, weak_rules
+from . import bpe_rank, curriculum, multi_index, ngram_join, rff_quality, secret_forest, token_file, warc, weak_rules
 from .common import read
 
 
@@ -117,6 +117,12 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "component_id", "kept")
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label with a cosine of at least 0.93."""
+    found = multi_index.near_duplicates(read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 def op8_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = rff_quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return scored.select(F.col("id").alias("doc_id"), "held_out", "score",
@@ -135,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_warc": op5_warc,
     "op6_ngram_join": op6_ngram_join,
+    "op7_multi_index": op7_multi_index,
     "op8_rff_quality": op8_rff_quality,
     "op9_weak_rules": op9_weak_rules,
 }
