@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_rank, curriculum, multi_index, ngram_join, rff_quality, secret_forest, token_file, warc, weak_rules
+from . import bpe_rank, curriculum, multi_index, ngram_join, rff_quality, secret_forest, style_tree, token_file, warc, weak_rules
 from .common import read
 
 
@@ -134,6 +134,12 @@ def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *weak_rules.STATS, "base_failed", "kept", "posterior")
 
 
+def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    out = style_tree.extract(read(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return out.select("row.page_id", "row.url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_file": op1_token_file,
     "op2_secret_forest": op2_secret_forest,
@@ -144,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_multi_index": op7_multi_index,
     "op8_rff_quality": op8_rff_quality,
     "op9_weak_rules": op9_weak_rules,
+    "op10_style_tree": op10_style_tree,
 }
 
 ORACLES: dict[str, str] = {
