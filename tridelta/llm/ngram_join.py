@@ -311,3 +311,32 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "component",
         (alone | F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of every component: that with the smallest id
+    (null ids last). Rows without words stay."""
+    found = store(join(docs, id_col, text_col, **options).where("key is not null")
+                  .select("id", "key", "component", "component_id"), "forest-found")
+    first = F.col("id").eqNullSafe(F.col("component_id"))
+    gone = store(found.where(~first).select("id", "key").distinct(), "forest-gone")
+    # an id that stands in several rows of its component: one of them stays
+    many = store(found.where(first).groupBy("component").agg(
+        F.min("component_id").alias("id"), F.min("key").alias("key"), F.count("*").alias("n"),
+        ).where("n > 1").select("component", "id", "key"), "forest-many")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("own_id"),
+                       key_column(F.col(text_col)).alias("own_key"))
+
+    def same(other: DataFrame) -> Column:
+        return F.col("own_id").eqNullSafe(other["id"]) & (F.col("own_key") == other["key"])
+
+    gone = broadcast_if_small(gone, gone.count(), 96)
+    rows = rows.join(gone, same(gone), "left_anti")
+    if many.count():
+        named = many.select("component", F.col("key").alias("only"))
+        every = store(found.where(first).join(named, "component").groupBy("id", "key").agg(
+            F.first("component").alias("component"), F.max(F.col("key") == F.col("only")).alias("chosen")), "forest-every")
+        alone = rows.join(every, same(every), "left_anti")
+        one = (rows.join(every.where("chosen"), same(every), "inner").dropDuplicates(["component"]).select("row", "own_id", "own_key"))
+        rows = alone.unionByName(one)
+    return rows.select("row.*")

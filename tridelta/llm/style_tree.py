@@ -75,7 +75,7 @@ class Element:
 
     def __init__(self, tag: str, names: str, parent: "Element | None", dropped: bool):
         self.tag, self.parent = tag, parent
-        self.path = (parent.path + ">" if parent else "") + tag + names
+        self.path = (parent.path + ">" if parent and parent.path else "") + tag + names
         self.children: list[str] = []
         self.dropped = dropped or (parent is not None and parent.dropped)
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
