@@ -15,30 +15,20 @@ from tridelta.session import stash
 # Words of every operator on documents: maximal runs of characters other than
 # ASCII white space.
 WORD_RE = r"[^\x20\x09-\x0D]+"
-ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def words_of(text: str) -> list[str]:
-    """Words of a text. ``str.split`` with no argument would also split at
-    Unicode spaces, so other characters it knows are kept apart first."""
-    parts = text.split()
-    if "\x1c" <= min(text, default="a") or not _odd_space(text):
-        return parts
-    return [w for w in _WORDS.findall(text)]
-
-
-def _odd_space(text: str) -> bool:
-    return _ODD.search(text) is not None
-
+_WORDS = re.compile(WORD_RE)
+# what str.split() takes for white space beyond the six ASCII characters
+_OTHER_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
-import re  # noqa: E402
 
-_WORDS = re.compile(WORD_RE)
-_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+def words_of(text: str) -> list[str]:
+    """Words of a text (``str.split`` is faster, where it splits the same)."""
+    return _WORDS.findall(text) if _OTHER_SPACE.search(text) else text.split()
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512,
