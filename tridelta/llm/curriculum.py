@@ -136,7 +136,7 @@ def allocate(docs: DataFrame, plan: MixPlan, id_col: str = "doc_id", text_col: s
     within = W.partitionBy("skey", "bucket").orderBy("h", F.col("id").asc_nulls_first(), "size")
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.join(starts, ["skey", "bucket"]).join(src, "skey")
-    wanted = F.floor("target")  # whole words of the source in the mix
+    wanted = F.floor(F.col("target") + F.lit(0.5))  # whole words of the source in the mix
     offset = F.col("start") + F.col("inner")
     copies = F.when(F.col("size") > 0, F.greatest(F.lit(0).cast("long"), F.ceil(
         (wanted - offset) / F.col("source_size")))).otherwise(F.lit(0).cast("long"))

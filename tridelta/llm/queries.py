@@ -71,7 +71,7 @@ l AS (
 t AS (
   SELECT source, turn, weight, source_size, least(cap, max((budget - before) / open) OVER () * weight) AS target FROM l),
 o AS (
-  SELECT doc_id, size, source_size::BIGINT AS source_size, target, turn, weight, floor(target)::BIGINT AS wanted,
+  SELECT doc_id, size, source_size::BIGINT AS source_size, target, turn, weight, floor(target + 0.5::DOUBLE)::BIGINT AS wanted,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id NULLS FIRST, size
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pre
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
