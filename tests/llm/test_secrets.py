@@ -1,0 +1,71 @@
+import random
+
+import pytest
+
+import edge
+from tridelta.llm import secret_forest as sf
+
+WORDS = sf.dictionary_regex(["the", "and", "house", "street", "tion", "ing", "word", "long", "very"])
+
+
+def hexes(n, seed):
+    rng = random.Random(seed)
+    return "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+
+def key(seed):
+    rng = random.Random(seed)
+    return "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rows = []
+    for k in range(120):
+        rows.append((k, f"the street {key(k)} and password={hexes(18, k)} word token = \"{hexes(40, k + 500)}\" end", "en", "abc"[k % 3]))
+        word = "".join(edge.prose(3 + k % 5, k).split())
+        rows.append((1000 + k, f"the {word}erylongword and {int(hexes(15, k), 16) % 10**16:016d} house", "en", "abc"[k % 3]))
+        rows.append((2000 + k, f"{word}secretword{word[::-1]} in the street", "en", "abc"[k % 3]))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def forest(spark, corpus):
+    return sf.train(edge.frame(spark, corpus), WORDS)
+
+
+def test_findings_and_false_positives(spark, corpus, forest):
+    rows = [(1, f"say {key(9001)} now", "en", "a"), (2, f"password={hexes(18, 9002)}.", "en", None),
+            (3, f'token = "{hexes(40, 9003)}" x {key(9004)}', "en", "a"), (4, "alongwordwithnothingsecret in here", "en", "a"),
+            (5, "the long and 4556111122223333 house", "en", "a")]
+    got = sorted((r.row.doc_id, r.start, r.value) for r in sf.scan(edge.frame(spark, rows), forest).collect())
+    text = {r[0]: r[1] for r in rows}
+    want = [(1, 4, key(9001)), (2, 9, hexes(18, 9002)), (3, 9, hexes(40, 9003)), (3, 53, key(9004))]
+    assert got == want and all(text[i][s:s + len(v)] == v for i, s, v in got)
+
+
+def test_redaction_keeps_rows_and_columns(spark, forest):
+    rows = [*edge.texts(), (50, f"x {key(77)} y password={hexes(18, 78)}", "en", "a")]
+    df = edge.frame(spark, rows)
+    out = sf.redact(df, forest)
+    assert out.columns == df.columns and out.count() == df.count()
+    assert out.where("doc_id = 50").head().text == "x [SECRET] y password=[SECRET]"
+    plain = {(r.doc_id, r.text) for r in out.where("doc_id is null or doc_id < 11").collect()}
+    assert plain == {(i, t) for i, t, *_ in rows if i is None or i < 11}
+
+
+def test_empty_table_and_one_kind_of_label(spark, corpus):
+    none = sf.train(edge.frame(spark, []), WORDS)
+    assert none.sql == "0.5D"
+    assert sf.scan(edge.frame(spark, []), none).count() == 0
+    only = sf.train(edge.frame(spark, [r for r in corpus if r[0] < 1000]), "(?!)")
+    assert only.sql in ("1.0D", "0.0D") or "CASE" in only.sql
+
+
+def test_same_forest_again(spark, corpus, forest):
+    assert sf.train(edge.frame(spark, corpus), WORDS).sql == forest.sql
+
+
+def test_no_python_in_the_plan(spark, corpus, forest):
+    plan = sf.redact(edge.frame(spark, corpus), forest)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
