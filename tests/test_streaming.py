@@ -28,3 +28,28 @@ def test_stream_updates_model_per_batch(spark):
     assert v2 > v1 and dims2 == dims
     assert core2.count() == 8
     assert 0 < factors.count() <= sum(dims)
+
+
+def test_a_repeated_batch_counts_once(spark):
+    from tridelta.streaming.micro_batch import _versions, batch_updater
+    from tridelta.session import delete_paths
+
+    cells = sales_tensor(spark, SF0001)
+    dims = tensor_stats(cells).dims
+    start = tuple(d * 4 // 5 for d in dims)
+    model_dir = scratch_path(spark, "stream-model")
+    run = batch_updater(model_dir, start, ranks=(2, 2, 2))
+    run(cells, 0)
+    first = sorted(map(tuple, latest_model(spark, model_dir)[0].collect()))
+    run(cells, 0)  # delivered again after it was finished
+    assert sorted(map(tuple, latest_model(spark, model_dir)[0].collect())) == first and _versions(spark, model_dir) == [0]
+    bigger = cells.selectExpr("i + 7 AS i", "j + 3 AS j", "k + 2 AS k", "val")
+    run(bigger, 1)
+    second = sorted(map(tuple, latest_model(spark, model_dir)[0].collect()))
+    delete_paths(spark, [f"{model_dir}/v=1/_DONE"])  # stopped between write and commit
+    assert latest_model(spark, model_dir)[3] == 0
+    run(bigger, 1)
+    again = sorted(map(tuple, latest_model(spark, model_dir)[0].collect()))
+    assert len(again) == len(second)
+    assert all(abs(x - y) < 1e-9 for a, b in zip(again, second) for x, y in zip(a, b))
+    assert _versions(spark, model_dir) == [0, 1]

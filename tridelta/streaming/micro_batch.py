@@ -1,10 +1,12 @@
 """Increments arriving as a stream: every micro-batch of new cells runs one
 incremental update against the latest stored model version.
 
-The model lives in versioned folders ``<model_dir>/v=<batch_id>``
-(factors by mode, core, dims). A batch that is re-run after a failure
-overwrites its own version, so the sink is idempotent; the stream's own
-checkpoint records which batches are done."""
+The model lives in versioned folders ``<model_dir>/v=<batch_id>`` (factors by
+mode, core, dims), each finished by its ``_DONE`` marker. A batch starts from
+the newest finished version before its own and never reads what it writes. If
+it is run again, a finished version is left as it is and an unfinished one is
+written anew, so every batch counts once. One model folder belongs to one
+stream checkpoint. Tables stored during an update are deleted with the batch."""
 
 from __future__ import annotations
 
@@ -38,9 +40,10 @@ def _mark_done(spark: SparkSession, version_dir: str, info: dict) -> None:
         f"{version_dir}/_DONE")
 
 
-def latest_model(spark: SparkSession, model_dir: str):
-    """(factors, core, dims, version) of the newest finished version, or None."""
-    vs = _versions(spark, model_dir)
+def latest_model(spark: SparkSession, model_dir: str, before: int | None = None):
+    """(factors, core, dims, version) of the newest finished version (below
+    ``before``), or None."""
+    vs = [v for v in _versions(spark, model_dir) if before is None or v < before]
     if not vs:
         return None
     base = f"{model_dir}/v={vs[-1]}"
@@ -57,7 +60,9 @@ def batch_updater(model_dir: str, start_dims, ranks=DEFAULT_RANKS, mu: float = D
         spark = batch.sparkSession
         cells = batch.select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("k").cast("long"),
                              F.col("val").cast("double"))
-        prev = latest_model(spark, model_dir)
+        if int(batch_id) in _versions(spark, model_dir):
+            return
+        prev = latest_model(spark, model_dir, before=int(batch_id))
         if prev is None:
             blocks, grams, core = start_model(spark, tuple(start_dims), ranks)
             pre = tuple(int(d) for d in start_dims)
@@ -68,7 +73,10 @@ def batch_updater(model_dir: str, start_dims, ranks=DEFAULT_RANKS, mu: float = D
             res = incremental_update(cells, factors, core, pre, ranks, mu=mu, cut_num=cut_num,
                                      partition=partition)
         out = f"{model_dir}/v={int(batch_id)}"
-        write_model(res.factors, res.core, res.metrics, out)
+        try:
+            write_model(res.factors, res.core, res.metrics, out)
+        finally:
+            res.release(results=True)
         _mark_done(spark, out, {"dims": list(res.info["dims"]), "batch_id": int(batch_id)})
 
     return run
