@@ -18,10 +18,15 @@ def test_read_coo_round_trip_and_failfast(spark, tmp_path):
     write_coo(cells, path)
     back = read_coo(spark, path)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, cells.collect()))
+    assert te.cell_count(back).head()[0] == cells.count() and te.mode_dims(back).head() == te.mode_dims(cells).head()
     bad = tmp_path / "bad.csv"
     bad.write_text("1,2,3,4.0\n1,x,3,4.0\n")
-    with pytest.raises(Exception):
-        read_coo(spark, str(bad)).collect()
+    short = tmp_path / "short.csv"
+    short.write_text("1,2,3,4.0\n3,2\n")
+    for path in (bad, short):  # whatever columns are needed
+        for use in (lambda df: df.collect(), lambda df: te.mode_dims(df).collect(), lambda df: te.cell_count(df).collect()):
+            with pytest.raises(Exception):
+                use(read_coo(spark, str(path)))
     doubles = tmp_path / "d.csv"
     doubles.write_text("1.0,2.9,3.0,4.5\n")
     assert tuple(read_coo(spark, str(doubles)).collect()[0]) == (1, 2, 3, 4.5)
@@ -55,7 +60,7 @@ def test_job_writes_model(spark):
 
 
 def test_release_deletes_only_this_runs_tables(spark):
-    from tridelta.session import STORED, stash
+    from tridelta.session import stash
 
     cells = sales_tensor(spark, SF0001)
     dims = te.tensor_stats(cells).dims
@@ -63,16 +68,45 @@ def test_release_deletes_only_this_runs_tables(spark):
     keep = stash(cells, "keep-me")
     blocks, grams, core = start_model(spark, pre, (2, 2, 2))
     res = incremental_update(cells, blocks, core, pre, (2, 2, 2), gram_old=grams)
-    out = scratch_path(spark, "released-model")
-    res.factors.write.parquet(out)
-    paths = list(res.scratch)
-    assert paths and STORED[-1] in paths
-    assert res.release() == len(set(paths))
-    assert res.scratch == []
-    assert spark.read.parquet(out).count() > 0
+    other = incremental_update(cells, blocks, core, pre, (2, 2, 2), gram_old=grams, partition="greedy")
+    paths, kept = list(res.scratch), list(res.kept)
+    assert paths and len(kept) == 2
+    assert not {*paths, *kept} & {*other.scratch, *other.kept}
+    n = res.factors.count()
+    assert res.release() == len(set(paths)) and res.scratch == []
+    # the results and the other run are intact
+    assert res.factors.count() == n and res.part_map.count() > 0
+    assert other.labelled_cells.count() > 0 and other.factors.count() == n
+    assert res.release(results=True) == 2
+    assert other.factors.count() == n
     assert keep.count() == cells.count()
 
 
+def test_failed_update_leaves_no_tables(spark):
+    from tridelta.session import owned_tables, stash
+
+    seen = []
+    with pytest.raises(RuntimeError):
+        with owned_tables(spark) as paths:
+            stash(spark.range(3), "doomed")
+            seen += paths
+            raise RuntimeError("stop")
+    assert len(seen) == 1
+    with pytest.raises(Exception):
+        spark.read.parquet(seen[0]).count()
+
+
+def test_partition_stage_labels_every_cell(spark):
+    cells = sales_tensor(spark, SF0001)
+    pre = tuple(d * 4 // 5 for d in te.tensor_stats(cells).dims)
+    blocks, grams, core = start_model(spark, pre, (2, 2, 2))
+    for method in ("bucket", "greedy"):
+        res = incremental_update(cells, blocks, core, pre, (2, 2, 2), gram_old=grams, partition=method, cut_num=5)
+        want = te.region_mode_slices(te.cut_regions(cells, pre)).count()
+        labelled = res.labelled_cells
+        assert labelled.count() == want and labelled.where("part_id < 1 OR part_id > 5 OR part_id IS NULL").count() == 0
+
+
 def test_cli_on_coordinate_files(spark, capsys):
     from tridelta.plans.cli import main
 

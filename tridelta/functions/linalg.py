@@ -7,24 +7,37 @@ import numpy as np
 
 from .index import other_modes
 
-# Relative pivot below which a column counts as linearly dependent.
+# A column is linearly dependent if what the columns before it leave of it has
+# at most this share of its own squared norm.
 PIVOT_TOL = 1e-12
 
 
+def unit_columns(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The Gram matrix of the same columns at unit norm, and what each column
+    is multiplied by for that (0 for a zero column)."""
+    if not np.all(np.isfinite(gram)):
+        raise ValueError("a factor table has non-finite values")
+    norms = np.sqrt(np.diag(gram)) if gram.size else np.zeros(0)
+    factors = np.divide(1.0, norms, out=np.zeros_like(norms), where=norms > 0)
+    return gram * factors[:, None] * factors[None, :], factors
+
+
 def mgs_transform(gram: np.ndarray, tol: float = PIVOT_TOL) -> tuple[np.ndarray, bool]:
     """Modified Gram-Schmidt carried out on a Gram matrix.
 
     Returns ``T`` with ``Q = A @ T`` orthonormal (positive diagonal, the same
     Q as column MGS on A) and a flag for dependent columns; such a column is
-    set to zero instead of being divided by a zero norm.
+    set to zero instead of being divided by a zero norm. Columns are brought
+    to unit norm first, so scaling the table or a column changes nothing.
+    Non-finite values fail.
     """
+    gram, factors = unit_columns(gram)
     r = gram.shape[0]
     t = np.eye(r)
-    scale = max(float(np.max(np.abs(np.diag(gram)))) if r else 0.0, 1.0)
     deficient = False
     for a in range(r):
         norm2 = float(t[:, a] @ gram @ t[:, a])
-        if not np.isfinite(norm2) or norm2 <= tol * scale:
+        if norm2 <= tol:
             t[:, a] = 0.0
             deficient = True
             continue
@@ -32,7 +45,7 @@ def mgs_transform(gram: np.ndarray, tol: float = PIVOT_TOL) -> tuple[np.ndarray,
         for b in range(a + 1, r):
             proj = float(t[:, a] @ gram @ t[:, b])
             t[:, b] -= proj * t[:, a]
-    return t, deficient
+    return factors[:, None] * t, deficient
 
 
 def unfold(core: np.ndarray, mode: int) -> np.ndarray:

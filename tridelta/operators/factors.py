@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import factor_value
-from ..functions.linalg import mgs_transform
-from ..session import DEFAULT_BROADCAST_LIMIT, factor_row_bytes
+from ..functions.linalg import mgs_transform, unit_columns
+from ..session import DEFAULT_BROADCAST_LIMIT, broadcast_limit, factor_row_bytes
 
 
 def cols(rank: int, prefix: str = "c") -> list[str]:
@@ -52,37 +52,28 @@ def rename_cols(block: DataFrame, rank: int, key: str, prefix: str) -> DataFrame
     return block.selectExpr(f"idx AS {key}", *[f"c{q} AS {prefix}{q}" for q in range(rank)])
 
 
-def factor_lookup(cells: DataFrame, block: DataFrame, coord_col: str, rank: int, prefix: str,
-                  max_rows: int, prune: bool = True) -> DataFrame:
-    """Attach the factor row of ``coord_col`` to each cell (equi-join).
+def fits_broadcast(block: DataFrame, rank: int, max_rows: int) -> bool:
+    return max_rows * factor_row_bytes(rank) <= broadcast_limit(block.sparkSession, DEFAULT_BROADCAST_LIMIT)
 
-    * block bound (rows x width) under the limit: broadcast hash join;
-    * else, with ``prune``: keep only the rows the cells touch (left-semi
-      join with the distinct indices, pre-aggregated map-side), count them,
-      and broadcast those if they fit;
-    * else sort-merge join, where AQE's skew-join splits a hot index.
 
-    Absent rows are zero rows, so dropping cells without a row is exact."""
-    from ..session import broadcast_limit
+def factor_lookup(cells: DataFrame, block: DataFrame, coord_col: str, rank: int, prefix: str,
+                  max_rows: int, keep_cells: bool = False) -> DataFrame:
+    """Attach the factor row of ``coord_col`` to each cell (equi-join).
 
-    limit = broadcast_limit(cells.sparkSession, DEFAULT_BROADCAST_LIMIT)
-    width = factor_row_bytes(rank)
+    A block whose bound (rows x width) is under the limit is broadcast; any
+    other is joined by sort and merge, where AQE's skew join splits a hot
+    index. Absent rows are zero rows: leaving out their cells is exact for a
+    sum, and with ``keep_cells`` they stay, with zeros, for callers that need
+    to know which slices have cells."""
     right = rename_cols(block, rank, coord_col, prefix)
-    if max_rows * width <= limit:
-        return cells.join(F.broadcast(right), coord_col, "inner")
-    if prune:
-        from pyspark.sql import Observation
-
-        from ..session import stash
-
-        obs = Observation(f"touched-{prefix}-{coord_col}")
-        touched = right.join(cells.select(coord_col).distinct(), coord_col, "left_semi")
-        stored = stash(touched.observe(obs, F.expr("count(1) AS n")), f"touched-{coord_col}")
-        n = int(obs.get["n"] or 0)
-        if n * width <= limit:
-            return cells.join(F.broadcast(stored), coord_col, "inner")
-        return cells.join(stored, coord_col, "inner")
-    return cells.join(right, coord_col, "inner")
+    if fits_broadcast(block, rank, max_rows):
+        right = F.broadcast(right)
+    if not keep_cells:
+        return cells.join(right, coord_col, "inner")
+    names = cols(rank, prefix)
+    joined = cells.join(right, coord_col, "left")
+    return joined.select(coord_col, *[c for c in cells.columns if c != coord_col],
+                         *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
 
 
 def filter_factors(factors: DataFrame, index_sets: DataFrame) -> DataFrame:
@@ -186,10 +177,11 @@ def project(block: DataFrame, rank_in: int, mat: np.ndarray, extra: list[str] |
 
 def needs_second_pass(g: np.ndarray, cond_limit: float = 1e4) -> bool:
     """CholeskyQR loses orthogonality like cond(A)^2 = cond(G): re-run the
-    pass from the computed Q's real Gram when G is ill-conditioned."""
+    pass from the computed Q's real Gram when G, of the columns at unit norm,
+    is ill-conditioned."""
     if g.size == 0:
         return False
-    ev = np.linalg.eigvalsh(g)
+    ev = np.linalg.eigvalsh(unit_columns(g)[0])
     return bool(ev.min() <= 0 or ev.max() / max(ev.min(), 1e-300) > cond_limit)
 
 

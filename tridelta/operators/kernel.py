@@ -13,31 +13,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.index import COORD, coord, local_index, other_modes, unfold_index
-from ..functions.linalg import core_pinv, unfold
-from .factors import factor_lookup, gram, lin_expr, project, rename_cols
+from ..functions.linalg import core_pinv, fold, unfold
+from .factors import blend_factor, factor_lookup, gram, lin_expr, num, project, rename_cols
 
 # Above this many output columns the kernel contracts one mode at a time.
 WIDE_LIMIT = 64
+# Up to this many sums are one global aggregate (all in one codegen span).
+SUM_LIMIT = 64
 
 
 def ttm_chain(cells: DataFrame, mode: int, a_block: DataFrame, rank_a: int, a_rows: int,
-              b_block: DataFrame, rank_b: int, b_rows: int, layout: str = "auto") -> DataFrame:
-    """``(idx, t0..t{Ra*Rb-1})`` for the rows of ``mode`` that have cells."""
+              b_block: DataFrame, rank_b: int, b_rows: int, layout: str = "auto", keep_cells: bool = False) -> DataFrame:
+    """``(idx, t0..t{Ra*Rb-1})`` for the rows of ``mode`` that have cells; those
+    of which every cell meets a zero factor row only with ``keep_cells``."""
     a, b = other_modes(mode)
     ca, cb = COORD[a], COORD[b]
     x = cells.selectExpr(f"{COORD[mode]} AS idx", ca, cb, "val")
     if layout == "auto":
         layout = "wide" if rank_a * rank_b <= WIDE_LIMIT else "staged"
     if layout == "wide":
-        x = factor_lookup(x, a_block, ca, rank_a, "a", a_rows)
-        x = factor_lookup(x, b_block, cb, rank_b, "b", b_rows)
+        x = factor_lookup(x, a_block, ca, rank_a, "a", a_rows, keep_cells)
+        x = factor_lookup(x, b_block, cb, rank_b, "b", b_rows, keep_cells)
         aggs = [F.expr(f"sum(val * a{q} * b{r}) AS t{q + r * rank_a}")
                 for r in range(rank_b) for q in range(rank_a)]
         return x.groupBy("idx").agg(*aggs)
     # staged: contract mode b per (idx, x_a), then mode a per idx
-    x = factor_lookup(x, b_block, cb, rank_b, "b", b_rows)
+    x = factor_lookup(x, b_block, cb, rank_b, "b", b_rows, keep_cells)
     s = x.groupBy("idx", ca).agg(*[F.expr(f"sum(val * b{r}) AS s{r}") for r in range(rank_b)])
-    s = factor_lookup(s, a_block, ca, rank_a, "a", a_rows)
+    s = factor_lookup(s, a_block, ca, rank_a, "a", a_rows, keep_cells)
     aggs = [F.expr(f"sum(a{q} * s{r}) AS t{q + r * rank_a}") for r in range(rank_b) for q in range(rank_a)]
     return s.groupBy("idx").agg(*aggs)
 
@@ -49,24 +52,52 @@ def apply_right(t: DataFrame, n_in: int, mat: np.ndarray) -> DataFrame:
 
 
 def update_factor(cells: DataFrame, mode: int, core: np.ndarray, a_block, rank_a, a_rows,
-                  b_block, rank_b, b_rows) -> DataFrame:
+                  b_block, rank_b, b_rows, keep_cells: bool = False) -> DataFrame:
     """New rows ``U[x,:] = T[x,:] . pinv(G_(mode))`` for rows with cells
     (exact when the other blocks are orthonormal)."""
-    t = ttm_chain(cells, mode, a_block, rank_a, a_rows, b_block, rank_b, b_rows)
+    t = ttm_chain(cells, mode, a_block, rank_a, a_rows, b_block, rank_b, b_rows, keep_cells=keep_cells)
     return apply_right(t, rank_a * rank_b, core_pinv(core, mode))
 
 
+def outer_sums(rows: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
+    """``sum over rows of left (x) right`` as a matrix. Few sums are one global
+    aggregate; more are one small matrix product per Arrow batch, added up per
+    task and then entry by entry (the result has rank-many entries)."""
+    if len(left) * len(right) <= SUM_LIMIT:
+        row = rows.agg(*[F.expr(f"sum({x} * {y}) AS m{p}_{c}")
+                         for p, x in enumerate(left) for c, y in enumerate(right)]).collect()[0]
+        return np.array([[float(row[f"m{p}_{c}"] or 0.0) for c in range(len(right))] for p in range(len(left))])
+    n_left = len(left)
+
+    def products(batches):
+        import numpy
+        import pyarrow
+
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x = numpy.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+                part = x[:, :n_left].T @ x[:, n_left:]
+                total = part if total is None else total + part
+        if total is not None:
+            yield pyarrow.RecordBatch.from_arrays(
+                [pyarrow.array(range(len(total)), pyarrow.int32()),
+                 pyarrow.array(total.tolist(), pyarrow.list_(pyarrow.float64()))], ["p", "sums"])
+
+    parts = rows.select(*left, *right).mapInArrow(products, "p int, sums array<double>")
+    out = np.zeros((len(left), len(right)))
+    for r in parts.select("p", F.posexplode("sums").alias("c", "v")).groupBy("p", "c").agg(F.sum("v").alias("v")).collect():
+        out[r["p"], r["c"]] = r["v"]
+    return out
+
+
 def contract_all(cells: DataFrame, blocks: dict, ranks, rows: dict, weight: str | None = None) -> np.ndarray:
     """``sum val * U0[i] (x) U1[j] (x) U2[k]`` as an r0 x r1 x r2 array:
     the kernel along mode 0, then ``U0^T T`` over the (small) kernel output."""
     x = cells if weight is None else cells.selectExpr("i", "j", "k", f"val * {weight} AS val")
     t = ttm_chain(x, 0, blocks[1], ranks[1], rows[1], blocks[2], ranks[2], rows[2])
-    n = ranks[1] * ranks[2]
     joined = t.join(rename_cols(blocks[0], ranks[0], "idx", "u"), "idx")
-    row = joined.agg(*[F.expr(f"sum(u{p} * t{c}) AS m{p}_{c}")
-                       for p in range(ranks[0]) for c in range(n)]).collect()[0]
-    mat = np.array([[float(row[f"m{p}_{c}"] or 0.0) for c in range(n)] for p in range(ranks[0])])
-    from ..functions.linalg import fold
+    mat = outer_sums(joined, [f"u{p}" for p in range(ranks[0])], [f"t{c}" for c in range(ranks[1] * ranks[2])])
     return fold(mat, 0, tuple(ranks))
 
 
@@ -138,19 +169,24 @@ def contract_frame(cells: DataFrame, blocks: dict, ranks, rows: dict) -> DataFra
 
 def update_and_blend(cells: DataFrame, mode: int, core: np.ndarray, a_block, rank_a, a_rows,
                      b_block, rank_b, b_rows, prev: DataFrame, rank: int, mu: float) -> DataFrame:
-    """:func:`update_factor` then the blend with ``prev`` in ONE aggregation:
-    the previous block's rows join the cell products before the grouping by
-    row index (one shuffle instead of a kernel shuffle plus a join shuffle).
-    A row with cells gets ``mu*prev + (1-mu)*update``; a row without keeps
-    ``prev``; a missing previous row counts as zero."""
-    from .factors import num
-
+    """:func:`update_factor` then the blend with ``prev``. A row with cells gets
+    ``mu*prev + (1-mu)*update``, also if all its cells meet absent (zero) factor
+    rows and its update is zero; a row without cells keeps ``prev``; a missing
+    previous row counts as zero.
+
+    At small ranks this is ONE aggregation: the previous block's rows join the
+    cell products before the grouping by row index (one shuffle instead of a
+    kernel shuffle plus a join shuffle). Beyond, the kernel contracts one mode
+    at a time and the blend is a join of the two row tables."""
+    if rank_a * rank_b + rank > WIDE_LIMIT:
+        cur = update_factor(cells, mode, core, a_block, rank_a, a_rows, b_block, rank_b, b_rows, keep_cells=True)
+        return blend_factor(prev, cur, rank, mu)
     a, b = other_modes(mode)
     ca, cb = COORD[a], COORD[b]
     n = rank_a * rank_b
     x = cells.selectExpr(f"{COORD[mode]} AS idx", ca, cb, "val")
-    x = factor_lookup(x, a_block, ca, rank_a, "a", a_rows)
-    x = factor_lookup(x, b_block, cb, rank_b, "b", b_rows)
+    x = factor_lookup(x, a_block, ca, rank_a, "a", a_rows, keep_cells=True)
+    x = factor_lookup(x, b_block, cb, rank_b, "b", b_rows, keep_cells=True)
     prods = x.selectExpr("idx", *[f"val * a{q} * b{r} AS t{q + r * rank_a}" for r in range(rank_b) for q in range(rank_a)],
                          *[f"CAST(NULL AS DOUBLE) AS p{q}" for q in range(rank)], "1 AS has_cells")
     old = prev.selectExpr("idx", *[f"CAST(NULL AS DOUBLE) AS t{c}" for c in range(n)],

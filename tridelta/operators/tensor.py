@@ -15,8 +15,9 @@ from ..functions.index import COORD, MODES, REGIONS, coord, local_index, region_
 
 def cut_regions(cells: DataFrame, pre_dims, keep_old: bool = False) -> DataFrame:
     """Label each cell with its region code; drop region ``000`` (already in
-    the old model) unless ``keep_old``. The disjunction on raw coordinates is
-    a predicate parquet can use for row-group pruning."""
+    the old model) unless ``keep_old``. On a stored tensor the disjunction on
+    raw coordinates reaches the scan; the update validates every row first and
+    so reads them all."""
     out = cells
     if not keep_old:
         out = out.where(
@@ -48,6 +49,7 @@ def stats_aggs(pre_dims=None) -> list:
     for m, c in enumerate(COORD):
         aggs += [F.expr(f"max({c}) AS max{m}"), F.expr(f"min({c}) AS min{m}")]
     aggs.append(F.expr("sum(CASE WHEN i IS NULL OR j IS NULL OR k IS NULL OR val IS NULL THEN 1 ELSE 0 END) AS nulls"))
+    aggs.append(F.expr("sum(CASE WHEN isnan(val) OR abs(val) = double('Infinity') THEN 1 ELSE 0 END) AS not_finite"))
     if pre_dims is not None:
         p0, p1, p2 = (int(x) for x in pre_dims)
         code = (f"concat(CAST(CAST(i > {p0} AS INT) AS STRING), CAST(CAST(j > {p1} AS INT) AS STRING), "
@@ -59,7 +61,8 @@ def stats_aggs(pre_dims=None) -> list:
 
 def tensor_stats(cells: DataFrame, pre_dims=None) -> TensorStats:
     """Dims, validation and (with ``pre_dims``) cells per region in one job.
-    Indices below 1 or nulls fail with a message instead of dropping rows."""
+    Indices below 1, nulls and values that are not finite fail with a message
+    instead of dropping rows."""
     return stats_from_row(cells.agg(*stats_aggs(pre_dims)).collect()[0].asDict(), pre_dims)
 
 
@@ -67,6 +70,8 @@ def stats_from_row(row: dict, pre_dims=None) -> TensorStats:
     n = int(row["n"] or 0)
     if n and (row["nulls"] or 0) > 0:
         raise ValueError(f"tensor has {row['nulls']} cells with a null coordinate or value")
+    if n and (row["not_finite"] or 0) > 0:
+        raise ValueError(f"tensor has {row['not_finite']} cells with a value that is not finite")
     if n and min(int(row[f"min{m}"]) for m in MODES) < 1:
         raise ValueError("tensor indices are 1-based; found an index below 1")
     dims = tuple(int(row[f"max{m}"] or 0) for m in MODES)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixed import DEFAULT_CUT_NUM, DEFAULT_MU
+from ..functions.fixed import DEFAULT_CUT_NUM, DEFAULT_MU, PUBLISHED_CORE_WEIGHTS
 from ..functions.index import COORD, MODES, other_modes, unfold_index
 from ..functions.linalg import core_pinv, unfold
 from ..operators import core as co
@@ -23,10 +23,12 @@ from ..operators import tensor as te
 from ..session import scratch_path
 from ..sources.coo import read_coo, write_coo
 from ..sources.model import read_model, write_model
-from ..sources.tables import SALES_SQL, sales_tensor
+from ..sources.tables import PURCHASES_SQL, SALES_SQL, purchases_tensor, sales_tensor
 from . import update as up
 from .job import start_model, tucker_job
 
+# The products of whole-number cores and Grams here are compared in this unit.
+TURN_UNIT = "1e14"
 R = 3
 RANKS = (R, R, R)
 CUT = DEFAULT_CUT_NUM
@@ -34,11 +36,11 @@ MU = DEFAULT_MU
 
 
 class Setup:
-    """The sales tensor of one scale factor plus its dims and split."""
+    """A tensor of one scale factor plus its dims and split."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, tensor=sales_tensor):
         self.spark = spark
-        self.cells = sales_tensor(spark, sf_dir)
+        self.cells = tensor(spark, sf_dir)
         st = te.tensor_stats(self.cells)
         self.dims = st.dims
         self.pre = tuple(d * 4 // 5 for d in st.dims)
@@ -74,13 +76,12 @@ def q_read_coo(spark, sf):
 
 
 def q_write_model(spark, sf):
+    """Factors, core and metrics of a whole update, written and read back."""
     s = Setup(spark, sf)
-    factors = fo.combine({m: (s.factor(m), R) for m in MODES}, R)
-    core = ke.contract_frame(s.region("111"), s.full(), RANKS, s.dims)
     path = scratch_path(spark, "model")
-    write_model(factors, core, None, path)
-    back, _ = read_model(spark, path)
-    return back.select("mode", "idx", *fo.cols(R))
+    tucker_job(spark, s.cells, s.pre, ranks=RANKS, partition="greedy", output=path).release(results=True)
+    factors, core = read_model(spark, path)
+    return _model_rows(factors, core).unionByName(_metric_rows(spark.read.parquet(f"{path}/metrics")))
 
 
 def q_cut_regions(spark, sf):
@@ -225,6 +226,13 @@ def q_partition_stage(spark, sf):
     return _cv_out(po.partition_cv(po.partition_loads(part_map)))
 
 
+def q_partition_stage_bucket(spark, sf):
+    """The cells with the labels that the stage assigns them."""
+    s, blocks, grams, core = _start(spark, sf)
+    res = up.incremental_update(s.cells, blocks, core, s.pre, RANKS, cut_num=CUT, partition="bucket", gram_old=grams)
+    return res.labelled_cells.select("region", "mode", "i", "j", "k", "val", "part_id")
+
+
 def _vector_rows(s: Setup) -> DataFrame:
     j = fo.factor_lookup(s.cells, s.factor(1), "j", R, "a", s.dims[1])
     return j.selectExpr("i", *[f"val * a{q} AS v{q}" for q in range(R)])
@@ -293,16 +301,28 @@ def q_factor_layout(spark, sf):
     return fo.to_long(fo.filter_factors(old, te.line_sets(s.cells, s.pre)), R)
 
 
+def q_factor_layout_dense(spark, sf):
+    """Long to wide with a zero row for every index that has none."""
+    s = Setup(spark, sf)
+    wide = fo.combine({m: (s.factor(m), R) for m in MODES}, R)
+    long = fo.to_long(fo.filter_factors(wide, te.line_sets(s.labelled, s.dims)), R)
+    return fo.to_wide(long, R, dict(enumerate(s.dims)))
+
+
 def _data_core(s: Setup) -> DataFrame:
-    return ke.contract_frame(s.region("111"), s.full(), RANKS, s.dims)
+    return ke.contract_frame(s.labelled, s.full(), RANKS, s.dims)
 
 
 def q_matricize(spark, sf):
-    return co.matricize(_data_core(Setup(spark, sf)), 1, RANKS)
+    core = _data_core(Setup(spark, sf))
+    parts = [co.matricize(core, m, RANKS).select(F.lit(m).alias("mode"), "row", "col", "g") for m in MODES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def q_fold(spark, sf):
-    return co.fold(co.matricize(_data_core(Setup(spark, sf)), 2, RANKS), 2, RANKS)
+    core = _data_core(Setup(spark, sf))
+    parts = [co.fold(co.matricize(core, m, RANKS), m, RANKS).select(F.lit(m).alias("mode"), "p", "q", "r", "g") for m in MODES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def q_core_add(spark, sf):
@@ -312,9 +332,12 @@ def q_core_add(spark, sf):
 
 def q_core_mode_product(spark, sf):
     s = Setup(spark, sf)
-    m = s.region("111").groupBy(F.expr("CAST(i % 3 AS INT) AS a"), F.expr("CAST(j % 3 AS INT) AS b")).agg(
-        F.count(F.lit(1)).cast("double").alias("v"))
-    return co.core_mode_product(co.init_core(spark, RANKS), m, 0)
+    vs = fo.vector_sum(_vector_rows(s), "i", [f"v{q}" for q in range(R)]).selectExpr(
+        "i AS idx", *[f"v{q} AS c{q}" for q in range(R)])
+    turn = fo.gram_frame(s.factor(0), R, vs, R).selectExpr("p AS a", "q AS b", "g AS v")
+    parts = [co.core_mode_product(_data_core(s), turn, m).selectExpr(
+        f"{m} AS mode", "p", "q", "r", f"CAST(round(g / {TURN_UNIT}) AS BIGINT) AS g_scaled") for m in MODES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def q_update_core(spark, sf):
@@ -345,7 +368,7 @@ def q_core_stage(spark, sf):
     ctx = up.prepare(s.cells, s.pre, RANKS)
     old = {m: up.Block(blocks[m], s.pre[m], grams[m]) for m in MODES}
     new = up.factor_stage(ctx, core, old, MU)
-    g1, _ = up.core_stage(ctx, core, old, new, "once")
+    g1, _, _ = up.core_stage(ctx, core, old, new, "once")
     return co.array_to_core(spark, g1).selectExpr("p", "q", "r", "CAST(round(g * 1e9) AS BIGINT) AS g_e9")
 
 
@@ -355,11 +378,45 @@ def q_incremental_update(spark, sf):
     return _scaled_frame(res.factors)
 
 
+def q_core_stage_published(spark, sf):
+    """The published schedule: 110 left out, 011 twice, 111 three times."""
+    s, blocks, grams, core = _start(spark, sf)
+    res = up.incremental_update(s.cells, blocks, core, s.pre, RANKS, gram_old=grams, partition=None,
+                                core_schedule="as_published")
+    return res.core.selectExpr("p", "q", "r", "CAST(round(g * 1e9) AS BIGINT) AS g_e9")
+
+
+def q_factor_stage_sparse(spark, sf):
+    """The factor stage on a thin tensor (customer x part x day): most new rows
+    of a mode have no cell in some region, and cells meet rows that are zero."""
+    s = Setup(spark, sf, purchases_tensor)
+    blocks, grams, core = start_model(spark, s.pre, RANKS)
+    ctx = up.prepare(s.cells, s.pre, RANKS)
+    old = {m: up.Block(blocks[m], s.pre[m], grams[m]) for m in MODES}
+    new = up.factor_stage(ctx, core, old, MU)
+    return _scaled_frame(fo.combine({m: (new[m].df, R) for m in MODES}, R))
+
+
+def _metric_rows(metrics: DataFrame) -> DataFrame:
+    return metrics.where("name NOT LIKE '%seconds'").selectExpr(
+        "name", "region", "mode", "CAST(NULL AS BIGINT) AS idx", "CAST(round(value * 1e9) AS BIGINT) AS value_e9")
+
+
+def _model_rows(factors: DataFrame, core: DataFrame) -> DataFrame:
+    """A model in long form: factor entries (name f0.., idx = row) and core
+    entries (name core, idx = 100p + 10q + r)."""
+    f = factors.selectExpr("mode", "idx", "stack(3, " + ", ".join(f"'f{q}', c{q}" for q in range(R)) + ") AS (name, v)")
+    f = f.selectExpr("name", "CAST(NULL AS STRING) AS region", "mode", "idx", "CAST(round(v * 1e9) AS BIGINT) AS value_e9")
+    return f.unionByName(core.selectExpr(
+        "'core' AS name", "CAST(NULL AS STRING) AS region", "CAST(NULL AS INT) AS mode",
+        "CAST(100 * p + 10 * q + r AS BIGINT) AS idx", "CAST(round(g * 1e9) AS BIGINT) AS value_e9"))
+
+
 def q_tucker_job(spark, sf):
+    """Factors, core and metrics of the whole job."""
     s = Setup(spark, sf)
     res = tucker_job(spark, s.cells, s.pre, ranks=RANKS, partition="greedy")
-    return res.metrics.where("name NOT LIKE '%seconds'").selectExpr(
-        "name", "region", "mode", "CAST(round(value * 1e9) AS BIGINT) AS value_e9")
+    return _model_rows(res.factors, res.core).unionByName(_metric_rows(res.metrics))
 
 
 QUERIES = {
@@ -376,6 +433,8 @@ QUERIES = {
     "matricize": q_matricize, "fold": q_fold, "core_add": q_core_add, "core_mode_product": q_core_mode_product,
     "update_core": q_update_core, "bucket_map": q_bucket_map, "bucket_partition": q_bucket_partition,
     "greedy_map": q_greedy_map, "greedy_partition": q_greedy_partition, "group_by_part": q_group_by_part,
+    "partition_stage_bucket": q_partition_stage_bucket, "factor_layout_dense": q_factor_layout_dense,
+    "core_stage_published": q_core_stage_published, "factor_stage_sparse": q_factor_stage_sparse,
     "partition_stage": q_partition_stage, "factor_stage": q_factor_stage, "core_stage": q_core_stage,
     "incremental_update": q_incremental_update, "tucker_job": q_tucker_job,
 }
@@ -419,9 +478,9 @@ hist AS (SELECT region, mode, slice, count(*) AS nnz FROM (
 """
 
 
-def _with(*ctes: str, recursive: bool = False) -> str:
+def _with(*ctes: str, recursive: bool = False, tensor: str = SALES_SQL) -> str:
     head = "WITH RECURSIVE" if recursive else "WITH"
-    return head + " " + ",\n".join([BASE] + list(ctes)) + "\n"
+    return head + " " + ",\n".join([BASE.replace(SALES_SQL, tensor)] + list(ctes)) + "\n"
 
 
 def _lpt_ctes() -> list[str]:
@@ -581,11 +640,21 @@ def oracles() -> dict:
         unfold_parts.append(f"SELECT region, {m} AS mode, i, j, k, "
                             f"CAST({_local(ca, f'p{a}')} + {_local(cb, f'p{b}')} * {ext} AS BIGINT) AS col "
                             f"FROM new_cells, pp")
-    mp = "mp AS (SELECT CAST(i % 3 AS INTEGER) AS a, CAST(j % 3 AS INTEGER) AS b, CAST(count(*) AS DOUBLE) AS v " \
-         "FROM lab WHERE region = '111' GROUP BY ALL)"
+    whole = _data_core_cte("c.region <> '000'", "dc")
+    pairs = [(p, q) for p in range(R) for q in range(R)]
+    turn = ("gw AS (SELECT " + ", ".join(f"sum(a.c{p} * v.v{q}) AS g{p}_{q}" for p, q in pairs)
+            + " FROM f0 a JOIN vs v ON v.i = a.idx), turn AS ("
+            + " UNION ALL ".join(f"SELECT {p} AS a, {q} AS b, g{p}_{q} AS v FROM gw" for p, q in pairs) + ")")
+    turned = []
+    for m, x in enumerate("pqr"):
+        keys = ", ".join("CAST(t.a + 1 AS INTEGER) AS " + c if c == x else "dc." + c for c in "pqr")
+        turned.append(f"SELECT {m} AS mode, p, q, r, CAST(round(g / {TURN_UNIT}) AS BIGINT) AS g_scaled FROM "
+                      f"(SELECT {keys}, sum(dc.g * t.v) AS g FROM dc JOIN turn t ON t.b = dc.{x} - 1 GROUP BY ALL)")
+    new_rows = ("nls AS (SELECT DISTINCT mode, idx FROM (SELECT 0 AS mode, i AS idx FROM new_cells UNION ALL "
+                "SELECT 1, j FROM new_cells UNION ALL SELECT 2, k FROM new_cells))")
+    dense = ", ".join(f"CASE WHEN n.idx IS NULL THEN 0.0::DOUBLE ELSE f.c{q} END AS c{q}" for q in range(R))
     return {
         "read_coo": _with() + "SELECT i, j, k, val FROM t",
-        "write_model": _with() + "SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2",
         "cut_regions": _with() + "SELECT region, i, j, k, val FROM new_cells",
         "local_index": _with() + f"SELECT i, j, k, {_local('i', 'p0')} AS li, {_local('j', 'p1')} AS lj, "
                                  f"{_local('k', 'p2')} AS lk FROM t, pp",
@@ -635,42 +704,43 @@ def oracles() -> dict:
         "init_factor": _with() + "SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2",
         "factor_layout": _with(line_sets, olds, filtered) + " UNION ALL ".join(
             f"SELECT mode, idx, {q} AS col, c{q} AS value FROM ff" for q in range(R)),
-        "matricize": _with(_data_core_cte("c.region = '111'", "dc")) + _matricize_sql("dc", 1),
-        "fold": _with(_data_core_cte("c.region = '111'", "dc")) + "SELECT p, q, r, g FROM dc",
-        "core_add": _with(_data_core_cte("c.region = '111'", "dc"), _start_core_cte())
+        "factor_layout_dense": _with(new_rows, "fs AS (SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2)")
+        + f"SELECT f.mode, f.idx, {dense} FROM fs f LEFT JOIN nls n ON n.mode = f.mode AND n.idx = f.idx",
+        "partition_stage_bucket": _with(*_lpt_ctes(), recursive=True) + _labelled_cells_sql("bmap"),
+        "matricize": _with(whole) + " UNION ALL ".join(
+            f"SELECT {m} AS mode, * FROM ({_matricize_sql('dc', m)})" for m in MODES),
+        "fold": _with(whole) + " UNION ALL ".join(f"SELECT {m} AS mode, p, q, r, g FROM dc" for m in MODES),
+        "core_add": _with(whole, _start_core_cte())
         + "SELECT p, q, r, sum(g) AS g FROM (SELECT * FROM dc UNION ALL SELECT * FROM g0) GROUP BY ALL",
-        "core_mode_product": _with(_start_core_cte(), mp)
-        + "SELECT CAST(m.a + 1 AS INTEGER) AS p, g0.q, g0.r, sum(g0.g * m.v) AS g FROM g0 JOIN mp m ON m.b = g0.p - 1 GROUP BY ALL",
-        "update_core": _with(_data_core_cte("c.region <> '000'", "dc")) + "SELECT p, q, r, g FROM dc",
+        "core_mode_product": _with(whole, vrows, vsum, turn) + " UNION ALL ".join(turned),
+        "update_core": _with(whole) + "SELECT p, q, r, g FROM dc",
     }
 
 
 # ------------------------------------------------------------------ the whole update in SQL
 
 def _mgs_named(src: str, out: str) -> list[str]:
-    """Closed-form MGS of a 3-column table ``src(idx, c0, c1, c2)`` -> ``out``;
-    a pivot at or below 1e-12 * max(diag, 1) gives a zero column, as in the
-    library's Gram-based MGS."""
+    """Gram-Schmidt of a 3-column table ``src(idx, c0, c1, c2)`` -> ``out``: the
+    columns are brought to unit norm, then made orthogonal one by one; one of
+    which next to nothing is left (dependent) becomes a zero column."""
+    def unit(q):
+        return f"CASE WHEN w{q} > 0 THEN c{q} / sqrt(w{q}) ELSE 0.0 END AS c{q}"
+
+    def without(left, column):
+        return f"CASE WHEN {left} <= 1e-12 THEN 0.0 ELSE ({column}) / sqrt({left}) END"
+
     return [
+        f"{out}_w AS (SELECT sum(c0*c0) AS w0, sum(c1*c1) AS w1, sum(c2*c2) AS w2 FROM {src})",
+        f"{out}_n AS (SELECT idx, {unit(0)}, {unit(1)}, {unit(2)} FROM {src}, {out}_w)",
         f"""{out}_g AS (SELECT sum(c0*c0) AS g00, sum(c0*c1) AS g01, sum(c0*c2) AS g02,
-                              sum(c1*c1) AS g11, sum(c1*c2) AS g12, sum(c2*c2) AS g22 FROM {src})""",
-        f"""{out}_a AS (SELECT *, 1e-12 * greatest(g00, g11, g22, 1.0) AS tol FROM {out}_g)""",
-        f"""{out}_b AS (SELECT *, g00 <= tol AS z0,
-                               CASE WHEN g00 <= tol THEN 0.0 ELSE sqrt(g00) END AS n0,
-                               CASE WHEN g00 <= tol THEN 0.0 ELSE g01 / sqrt(g00) END AS r01,
-                               CASE WHEN g00 <= tol THEN 0.0 ELSE g02 / sqrt(g00) END AS r02 FROM {out}_a)""",
-        f"""{out}_c AS (SELECT *, g11 - r01 * r01 <= tol AS z1,
-                               CASE WHEN g11 - r01 * r01 <= tol THEN 0.0 ELSE sqrt(g11 - r01 * r01) END AS n1
-                        FROM {out}_b)""",
-        f"""{out}_d AS (SELECT *, CASE WHEN z1 THEN 0.0 ELSE (g12 - r01 * r02) / n1 END AS r12 FROM {out}_c)""",
-        f"""{out}_k AS (SELECT *, g22 - r02 * r02 - r12 * r12 <= tol AS z2,
-                               CASE WHEN g22 - r02 * r02 - r12 * r12 <= tol THEN 0.0
-                                    ELSE sqrt(g22 - r02 * r02 - r12 * r12) END AS n2 FROM {out}_d)""",
-        f"""{out}_q AS (SELECT idx, c1, c2, z1, z2, n1, n2, r01, r02, r12,
-                               CASE WHEN z0 THEN 0.0 ELSE c0 / n0 END AS q0 FROM {src}, {out}_k)""",
-        f"""{out}_r AS (SELECT *, CASE WHEN z1 THEN 0.0 ELSE (c1 - r01 * q0) / n1 END AS q1 FROM {out}_q)""",
-        f"""{out} AS (SELECT idx, q0 AS c0, q1 AS c1,
-                             CASE WHEN z2 THEN 0.0 ELSE (c2 - r02 * q0 - r12 * q1) / n2 END AS c2 FROM {out}_r)""",
+                              sum(c1*c1) AS g11, sum(c1*c2) AS g12, sum(c2*c2) AS g22 FROM {out}_n)""",
+        f"{out}_b AS (SELECT *, {without('g00', 'g01')} AS r01, {without('g00', 'g02')} AS r02 FROM {out}_g)",
+        f"{out}_c AS (SELECT *, g11 - r01 * r01 AS l1 FROM {out}_b)",
+        f"{out}_d AS (SELECT *, {without('l1', 'g12 - r01 * r02')} AS r12 FROM {out}_c)",
+        f"{out}_k AS (SELECT *, g22 - r02 * r02 - r12 * r12 AS l2 FROM {out}_d)",
+        f"{out}_q AS (SELECT idx, c1, c2, l1, l2, r01, r02, r12, {without('g00', 'c0')} AS q0 FROM {out}_n, {out}_k)",
+        f"{out}_r AS (SELECT *, {without('l1', 'c1 - r01 * q0')} AS q1 FROM {out}_q)",
+        f"{out} AS (SELECT idx, q0 AS c0, q1 AS c1, {without('l2', 'c2 - r02 * q0 - r12 * q1')} AS c2 FROM {out}_r)",
     ]
 
 
@@ -694,9 +764,11 @@ def _update_ctes() -> tuple[list[str], dict, dict, list]:
         a, b = other_modes(m)
         blk_a = new[a] if region[a] == "1" else start[a]
         blk_b = new[b] if region[b] == "1" else start[b]
-        sums = ", ".join(f"sum(c.val * a.c{q} * b.c{r}) AS t{q + r * R}" for r in range(R) for q in range(R))
+        # a factor row that is not there is a zero row: its cells count, with zeros
+        sums = ", ".join(f"sum(c.val * coalesce(a.c{q}, 0.0::DOUBLE) * coalesce(b.c{r}, 0.0::DOUBLE)) AS t{q + r * R}"
+                         for r in range(R) for q in range(R))
         ctes.append(f"{tag}_t AS (SELECT c.{COORD[m]} AS idx, {sums} FROM lab c "
-                    f"JOIN {blk_a} a ON a.idx = c.{COORD[a]} JOIN {blk_b} b ON b.idx = c.{COORD[b]} "
+                    f"LEFT JOIN {blk_a} a ON a.idx = c.{COORD[a]} LEFT JOIN {blk_b} b ON b.idx = c.{COORD[b]} "
                     f"WHERE c.region = '{region}' GROUP BY c.{COORD[m]})")
         pinv = core_pinv(core, m)
         ctes.append(f"{tag}_u AS (SELECT idx, " + ", ".join(f"{_lin(pinv[:, q], names)} AS c{q}" for q in range(R))
@@ -750,31 +822,49 @@ def update_oracles() -> dict:
                "GROUP BY ALL)")
     parts = [f"sum(c.val * a.c{p} * b.c{q} * d.c{r}) AS g_{p}_{q}_{r}"
              for p in range(R) for q in range(R) for r in range(R)]
-    delta = (f"dsum AS (SELECT {', '.join(parts)} FROM lab c JOIN fin0 a ON a.idx = c.i JOIN fin1 b ON b.idx = c.j "
-             f"JOIN fin2 d ON d.idx = c.k WHERE c.region <> '000')")
+    weights = {r: 1 for r in ("100", "010", "001", "011", "101", "110", "111")}
+    published = dict(PUBLISHED_CORE_WEIGHTS)
     delta_rows = "dl AS (" + " UNION ALL ".join(
         f"SELECT {p + 1} AS p, {q + 1} AS q, {r + 1} AS r, g_{p}_{q}_{r} AS g FROM dsum"
         for p in range(R) for q in range(R) for r in range(R)) + ")"
+
+    def core_ctes(schedule: dict) -> list[str]:
+        weight = "CASE c.region " + " ".join(f"WHEN '{r}' THEN {float(w)}::DOUBLE" for r, w in schedule.items()) + " ELSE 0.0::DOUBLE END"
+        weighted = [x.replace("sum(c.val", f"sum({weight} * c.val") for x in parts]
+        delta = (f"dsum AS (SELECT {', '.join(weighted)} FROM lab c JOIN fin0 a ON a.idx = c.i JOIN fin1 b ON b.idx = c.j "
+                 f"JOIN fin2 d ON d.idx = c.k WHERE c.region <> '000')")
+        return [*rot, _start_core_cte(), rotated, delta, delta_rows]
+
+    core_rows = ("SELECT p, q, r, CAST(round(sum(g) * 1e9) AS BIGINT) AS g_e9 FROM "
+                 "(SELECT * FROM g1 UNION ALL SELECT * FROM dl) GROUP BY ALL")
     regions = ", ".join(f"('{r}')" for r in ("000", "100", "010", "001", "011", "101", "110", "111"))
+    none = "NULL::BIGINT"
     metrics = (
-        f"SELECT 'cells' AS name, rg.region, NULL::INTEGER AS mode, CAST(coalesce(n, 0) * 1e9 AS BIGINT) AS value_e9 "
+        f"SELECT 'cells' AS name, rg.region, NULL::INTEGER AS mode, {none} AS idx, CAST(coalesce(n, 0) * 1e9 AS BIGINT) AS value_e9 "
         f"FROM (VALUES {regions}) rg(region) LEFT JOIN (SELECT region, count(*) AS n FROM lab GROUP BY region) c "
         f"USING (region) UNION ALL "
-        + " UNION ALL ".join(f"SELECT 'dim', NULL, {m}, CAST(d{m} * 1e9 AS BIGINT) FROM pp UNION ALL "
-                             f"SELECT 'pre_dim', NULL, {m}, CAST(p{m} * 1e9 AS BIGINT) FROM pp" for m in MODES)
-        + " UNION ALL SELECT 'partition_cv', NULL, NULL, CAST(round(avg(cv) * 1e9) AS BIGINT) FROM cv"
-        " UNION ALL SELECT 'partition_cv', region, mode, CAST(round(cv * 1e9) AS BIGINT) FROM cv"
-        " UNION ALL SELECT 'partition_cv_exact', region, mode, CAST(round(cv_exact * 1e9) AS BIGINT) FROM cv")
+        + " UNION ALL ".join(f"SELECT 'dim', NULL, {m}, {none}, CAST(d{m} * 1e9 AS BIGINT) FROM pp UNION ALL "
+                             f"SELECT 'pre_dim', NULL, {m}, {none}, CAST(p{m} * 1e9 AS BIGINT) FROM pp" for m in MODES)
+        + f" UNION ALL SELECT 'partition_cv', NULL, NULL, {none}, CAST(round(avg(cv) * 1e9) AS BIGINT) FROM cv"
+        f" UNION ALL SELECT 'partition_cv', region, mode, {none}, CAST(round(cv * 1e9) AS BIGINT) FROM cv"
+        f" UNION ALL SELECT 'partition_cv_exact', region, mode, {none}, CAST(round(cv_exact * 1e9) AS BIGINT) FROM cv"
+        + "".join(f" UNION ALL SELECT 'rank_deficient', '{region}', {m}, {none}, CAST(1e9 AS BIGINT) FROM {tag}_q_k "
+                  f"WHERE g00 <= 1e-12 OR l1 <= 1e-12 OR l2 <= 1e-12" for tag, region, m in steps))
+    model = (" UNION ALL ".join(
+        f"SELECT 'f{q}' AS name, NULL AS region, {m} AS mode, idx, CAST(round(c{q} * 1e9) AS BIGINT) AS value_e9 FROM fin{m}"
+        for m in MODES for q in range(R))
+        + f" UNION ALL SELECT 'core', NULL, NULL, CAST(100 * p + 10 * q + r AS BIGINT), g_e9 FROM ({core_rows})")
+    job = (_with(*_greedy_ctes(), *_cv_ctes("gmap"), *ctes, *fin, *core_ctes(weights), recursive=True)
+           + f"SELECT * FROM ({metrics}) UNION ALL SELECT * FROM ({model})")
     return {
         "update_factor_gram": _gram_update_sql(),
-        "tucker_job": _with(*_greedy_ctes(), *_cv_ctes("gmap"), *ctes, recursive=True) + metrics + "".join(
-            f" UNION ALL SELECT 'rank_deficient', '{region}', {m}, CAST(1e9 AS BIGINT) FROM {tag}_q_k "
-            f"WHERE z0 OR z1 OR z2" for tag, region, m in steps),
+        "tucker_job": job,
+        "write_model": job,
         "factor_stage": _with(*ctes) + " UNION ALL ".join(_scaled(new[m], m) for m in MODES),
+        "factor_stage_sparse": _with(*ctes, tensor=PURCHASES_SQL) + " UNION ALL ".join(_scaled(new[m], m) for m in MODES),
         "incremental_update": _with(*ctes, *fin) + " UNION ALL ".join(_scaled(f"fin{m}", m) for m in MODES),
-        "core_stage": _with(*ctes, *fin, *rot, _start_core_cte(), rotated, delta, delta_rows)
-        + "SELECT p, q, r, CAST(round(sum(g) * 1e9) AS BIGINT) AS g_e9 FROM "
-          "(SELECT * FROM g1 UNION ALL SELECT * FROM dl) GROUP BY ALL",
+        "core_stage": _with(*ctes, *fin, *core_ctes(weights)) + core_rows,
+        "core_stage_published": _with(*ctes, *fin, *core_ctes(published)) + core_rows,
     }
 
 

@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import DEFAULT_CUT_NUM, DEFAULT_MU, DEFAULT_RANKS, PUBLISHED_CORE_WEIGHTS
-from ..functions.index import C1_REGION, C3_REGION, MODES, REGIONS, c2_regions, other_modes
+from ..functions.index import C1_REGION, C3_REGION, COORD, MODES, REGIONS, c2_regions, other_modes
 from ..functions.linalg import mgs_transform, mode_product
 from ..operators import factors as fo
 from ..operators import partition as po
 from ..operators.core import array_to_core, core_to_array
 from ..operators.kernel import contract_all, update_and_blend, update_factor
 from ..operators.tensor import cut_regions, slice_nnz, stats_aggs, stats_from_row
-from ..session import configure, stash
+from ..session import configure, delete_paths, owned_tables, stash
 
 # Core contribution weight of each region. "once": every new region once.
 # "as_published": the published schedule (110 left out, 011 twice, 111 three times).
@@ -41,10 +41,6 @@ CORE_SCHEDULES = {
 }
 
 
-# Run the two C2 steps of a mode as one write (exact Gram algebra).
-MERGE_C2 = False
-
-
 @dataclass
 class Context:
     cells: DataFrame                 # labelled, non-000 cells (stored by region)
@@ -53,6 +49,7 @@ class Context:
     ranks: tuple
     region_cells: dict
     metrics: list = field(default_factory=list)
+    touched_rows: dict = field(default_factory=dict)
 
     def region(self, r: str) -> DataFrame:
         return self.cells.where(f"region = '{r}'")
@@ -60,6 +57,14 @@ class Context:
     def new_rows(self, m: int) -> int:
         return self.dims[m] - self.pre_dims[m]
 
+    def touched(self, r: str, m: int) -> tuple[DataFrame, int]:
+        """The mode-``m`` indices of a region's cells and their number: stored
+        and counted when first asked for, then shared by all steps."""
+        if (r, m) not in self.touched_rows:
+            stored = stash(self.region(r).select(F.col(COORD[m]).alias("idx")).distinct(), f"touched-{r}-{m}")
+            self.touched_rows[r, m] = stored, stored.count()
+        return self.touched_rows[r, m]
+
 
 @dataclass
 class UpdateResult:
@@ -69,17 +74,21 @@ class UpdateResult:
     core_array: np.ndarray
     blocks: dict
     part_map: DataFrame | None
+    labelled_cells: DataFrame | None
     info: dict
     scratch: list = field(default_factory=list)
-
-    def release(self) -> int:
-        """Delete the intermediate tables this update stored under
-        ``spark.checkpoint.dir``. The returned DataFrames read them lazily:
-        call this only after the results are written or collected."""
-        from ..session import delete_paths
-
-        n = delete_paths(self.core.sparkSession, self.scratch)
+    kept: list = field(default_factory=list)
+
+    def release(self, results: bool = False) -> int:
+        """Delete the intermediate tables this update (and no other) stored
+        under ``spark.checkpoint.dir``. ``factors`` and ``part_map`` stay
+        readable; ``labelled_cells`` and ``blocks`` do not. With ``results``
+        the stored results go, too: call that only once they are written."""
+        paths = self.scratch + (self.kept if results else [])
+        n = delete_paths(self.core.sparkSession, paths)
         self.scratch = []
+        if results:
+            self.kept = []
         return n
 
 
@@ -105,8 +114,9 @@ def prepare(cells: DataFrame, pre_dims, ranks) -> Context:
     pre_dims = tuple(int(x) for x in pre_dims)
     obs = Observation("increment-stats")
     observed = cells.observe(obs, *stats_aggs(pre_dims))
-    labelled = stash(cut_regions(observed, pre_dims).select("region", "i", "j", "k", "val"), "cells",
-                     partition_by=["region"])
+    # rebalanced, so that a region is a few files of even size and not one per input task
+    labelled = stash(cut_regions(observed, pre_dims).select("region", "i", "j", "k", "val").hint("rebalance", "region"),
+                     "cells", partition_by=["region"])
     stats = stats_from_row(obs.get, pre_dims)
     dims = tuple(max(p, d) for p, d in zip(pre_dims, stats.dims))
     ctx = Context(cells=labelled, pre_dims=pre_dims, dims=dims, ranks=tuple(int(r) for r in ranks),
@@ -120,25 +130,20 @@ def prepare(cells: DataFrame, pre_dims, ranks) -> Context:
 
 
 def partition_stage(ctx: Context, cut_num: int, method: str):
-    """Histogram (one aggregation for all 12 groups), bin map and balance."""
+    """Histogram (one aggregation for all 12 groups, stored), every slice's bin
+    (stored) and the balance of the bins. The time covers all three."""
     t0 = time.time()
-    hist = slice_nnz(ctx.cells)
+    hist = stash(slice_nnz(ctx.cells), "histogram")
     dims = {m: ctx.dims[m] for m in MODES}
     if method == "bucket":
-        # one job: histogram -> run table (<= sqrt(2*cells) rows per group) -> loads -> CV;
-        # the per-slice map stays lazy (built only if the caller uses it)
-        runs = po.bucket_runs(hist, cut_num)
-        loads = po.bucket_loads(runs)
-        part_map = po.bucket_map(hist, cut_num, max(ctx.dims), runs=runs)
+        part_map = po.bucket_map(hist, cut_num, max(ctx.dims))
     else:
         # a cell of region r adds one row to each group (r, m) with m new in r
         totals = {(r, m): n for r, n in ctx.region_cells.items() if r != "000" and n > 0
                   for m in MODES if r[m] == "1"}
-        part_map, bin_loads = po.greedy_map(hist, cut_num, dims, totals=totals, with_loads=True)
-        # at most 12 groups x cut_num loads, known on the driver from the resets
-        rows = [(g[0], int(g[1]), b + 1, int(x)) for g, xs in bin_loads.items() for b, x in enumerate(xs)]
-        loads = ctx.cells.sparkSession.createDataFrame(rows, "region string, mode int, part_id int, load long")
-    cv = po.partition_cv(loads).collect()
+        part_map = po.greedy_map(hist, cut_num, dims, totals=totals)
+    part_map = stash(part_map, "part-map")
+    cv = po.partition_cv(po.partition_loads(part_map)).collect()
     seconds = time.time() - t0
     groups = [(r["region"], int(r["mode"]), float(r["cv"]), float(r["cv_exact"])) for r in cv]
     mean_cv = float(np.mean([g[2] for g in groups])) if groups else float("nan")
@@ -157,14 +162,25 @@ class Block:
     gram: np.ndarray     # Gram of this block (r x r)
 
 
+def _lookup(ctx: Context, region: str, mode: int, old: dict, new: dict) -> tuple[DataFrame, int, int]:
+    """(factor rows, rank, bound on the rows) of ``mode`` for cells of
+    ``region``. A block too large to broadcast is cut to the rows that the
+    region touches, if those are known to fit."""
+    blk = new[mode] if region[mode] == "1" else old[mode]
+    rank = ctx.ranks[mode]
+    if not fo.fits_broadcast(blk.df, rank, blk.rows):
+        touched, n = ctx.touched(region, mode)
+        if fo.fits_broadcast(blk.df, rank, n):
+            return blk.df.join(touched, "idx", "left_semi"), rank, n
+    return blk.df, rank, blk.rows
+
+
 def _update_rows(ctx: Context, mode: int, region: str, core: np.ndarray, old: dict, new: dict) -> DataFrame:
     """Kernel + pseudo-inverse for ``mode`` from the cells of ``region``;
     other modes use their old or new block by the region's bits."""
     a, b = other_modes(mode)
-    blk_a = new[a] if region[a] == "1" else old[a]
-    blk_b = new[b] if region[b] == "1" else old[b]
-    r = ctx.ranks
-    return update_factor(ctx.region(region), mode, core, blk_a.df, r[a], blk_a.rows, blk_b.df, r[b], blk_b.rows)
+    return update_factor(ctx.region(region), mode, core, *_lookup(ctx, region, a, old, new),
+                         *_lookup(ctx, region, b, old, new))
 
 
 def _orthonormal_block(ctx: Context, stored: DataFrame, g: np.ndarray, mode: int, region: str) -> Block:
@@ -181,71 +197,12 @@ def _blend_step(ctx: Context, mode: int, region: str, core: np.ndarray, old: dic
     if ctx.region_cells.get(region, 0) == 0:
         return
     a, b = other_modes(mode)
-    blk_a = new[a] if region[a] == "1" else old[a]
-    blk_b = new[b] if region[b] == "1" else old[b]
-    r = ctx.ranks
-    cur = update_and_blend(ctx.region(region), mode, core, blk_a.df, r[a], blk_a.rows, blk_b.df, r[b], blk_b.rows,
-                           new[mode].df, r[mode], mu)
+    cur = update_and_blend(ctx.region(region), mode, core, *_lookup(ctx, region, a, old, new),
+                           *_lookup(ctx, region, b, old, new), new[mode].df, ctx.ranks[mode], mu)
     stored, grams, _ = fo.stash_with_grams(cur, f"{name}-m{mode}-{region}", {mode: ctx.ranks[mode]})
     new[mode] = _orthonormal_block(ctx, stored, grams[mode], mode, region)
 
 
-def _sym(row: dict, name: str, r: int) -> np.ndarray:
-    return np.array([[float(row.get(f"{name}{p}_{q}") or 0.0) for q in range(r)] for p in range(r)])
-
-
-def _two_blend_steps(ctx: Context, mode: int, regions, core: np.ndarray, old: dict, new: dict,
-                     mu: float, name: str) -> None:
-    """Two consecutive blend steps of one mode in ONE write. Neither kernel
-    reads this mode's own block, so both run in the same job; the stored
-    table holds ``x1`` (the first blend) and the second update ``v``, and the
-    observed partial Grams give both orthonormalising transforms exactly:
-
-    ``G1 = Sa + Sb``;  ``G2 = T1'(Sa + mu^2 Sb)T1 + mu(1-mu)(T1'C + C'T1) + (1-mu)^2 U``
-    with ``Sa/Sb`` = x1 x1' off/on the second region, ``C`` = x1 v', ``U`` = v v'."""
-    from pyspark.sql import Observation
-
-    r = ctx.ranks[mode]
-    r1, r2 = regions
-    u1 = fo.rename_cols(_update_rows(ctx, mode, r1, core, old, new), r, "idx", "u")
-    u2 = fo.rename_cols(_update_rows(ctx, mode, r2, core, old, new), r, "idx", "v")
-    prev = fo.rename_cols(new[mode].df, r, "idx", "b")
-    j = prev.join(u1, "idx", "full_outer").join(u2, "idx", "full_outer")
-    x1 = [f"CASE WHEN u0 IS NULL THEN coalesce(b{q}, 0.0D) ELSE {fo.num(mu)} * coalesce(b{q}, 0.0D) "
-          f"+ {fo.num(1.0 - mu)} * u{q} END AS x{q}" for q in range(r)]
-    table = j.selectExpr("idx", *x1, *[f"v{q}" for q in range(r)])
-    obs = Observation(f"{name}-m{mode}")
-    aggs = []
-    for p in range(r):
-        for q in range(r):
-            aggs += [F.expr(f"sum(CASE WHEN v0 IS NULL THEN x{p} * x{q} END) AS sa{p}_{q}"),
-                     F.expr(f"sum(CASE WHEN v0 IS NOT NULL THEN x{p} * x{q} END) AS sb{p}_{q}"),
-                     F.expr(f"sum(x{p} * v{q}) AS c{p}_{q}"), F.expr(f"sum(v{p} * v{q}) AS u{p}_{q}")]
-    stored = stash(table.observe(obs, *aggs), f"{name}-m{mode}")
-    row = obs.get
-    sa, sb, c, u = (_sym(row, k, r) for k in ("sa", "sb", "c", "u"))
-    g1 = sa + sb
-    t1, d1 = mgs_transform(g1)
-    g2 = t1.T @ (sa + mu * mu * sb) @ t1 + mu * (1.0 - mu) * (t1.T @ c + c.T @ t1) + (1.0 - mu) ** 2 * u
-    t2, d2 = mgs_transform(g2)
-    for region, d in ((r1, d1), (r2, d2)):
-        if d:
-            ctx.metrics.append(("rank_deficient", region, mode, 1.0))
-    xs = [f"x{q}" for q in range(r)]
-    y = [f"{fo.lin_expr(t1[:, q], xs)} AS y{q}" for q in range(r)]
-    step = stored.selectExpr("idx", *y, *[f"v{q}" for q in range(r)])
-    x2 = [f"CASE WHEN v0 IS NULL THEN y{q} ELSE {fo.num(mu)} * y{q} + {fo.num(1.0 - mu)} * v{q} END AS c{q}"
-          for q in range(r)]
-    blended = step.selectExpr("idx", *x2)
-    if fo.needs_second_pass(g1) or fo.needs_second_pass(g2):
-        q_df, _, g_q, d3 = fo.orthonormalize(fo.project(blended, r, t2), r)
-        if d3:
-            ctx.metrics.append(("rank_deficient", r2, mode, 1.0))
-        new[mode] = Block(q_df, ctx.new_rows(mode), g_q)
-        return
-    new[mode] = Block(fo.project(blended, r, t2), ctx.new_rows(mode), t2.T @ g2 @ t2)
-
-
 def factor_stage(ctx: Context, core: np.ndarray, old: dict, mu: float) -> dict:
     """C1 (the three modes are independent: one job) -> C2 -> C3 (each step
     sees the blocks already updated, Gauss-Seidel order)."""
@@ -271,12 +228,8 @@ def factor_stage(ctx: Context, core: np.ndarray, old: dict, mu: float) -> dict:
             part = stored.where(f"mode = {m}").select("idx", *fo.cols(ctx.ranks[m]))
             new[m] = _orthonormal_block(ctx, part, grams[m], m, C1_REGION[m])
     for m in MODES:
-        regions = c2_regions(m)
-        if MERGE_C2 and all(ctx.region_cells.get(rg, 0) > 0 for rg in regions):
-            _two_blend_steps(ctx, m, regions, core, old, new, mu, "c2")
-        else:
-            for region in regions:
-                _blend_step(ctx, m, region, core, old, new, mu, "c2")
+        for region in c2_regions(m):
+            _blend_step(ctx, m, region, core, old, new, mu, "c2")
     for m in MODES:
         _blend_step(ctx, m, C3_REGION, core, old, new, mu, "c3")
     return new
@@ -284,8 +237,9 @@ def factor_stage(ctx: Context, core: np.ndarray, old: dict, mu: float) -> dict:
 
 def core_stage(ctx: Context, core: np.ndarray, old: dict, new: dict, schedule: str):
     """Stack old over new per mode and orthonormalise (Gram algebra: the
-    stacked Gram is G_old + G_new), rotate the core by ``S^T G_old``, then
-    add all regions' contributions with the final factors in one pass."""
+    stacked Gram is G_old + G_new), store the final factors once (a later
+    update reads this table, not the blocks it came from), rotate the core by
+    ``S^T G_old``, then add all regions' contributions in one pass."""
     final = {}
     g = core.copy()
     for m in MODES:
@@ -297,6 +251,10 @@ def core_stage(ctx: Context, core: np.ndarray, old: dict, new: dict, schedule: s
         g = mode_product(g, rot, m)
         final[m] = Block(fo.project(fo.stack(old[m].df, new[m].df), ctx.ranks[m], s), ctx.dims[m],
                          s.T @ stacked_gram @ s)
+    factors = stash(fo.combine({m: (final[m].df, ctx.ranks[m]) for m in MODES}, max(ctx.ranks)), "factors",
+                    partition_by=["mode"]).select("mode", "idx", *fo.cols(max(ctx.ranks)))
+    for m in MODES:
+        final[m].df = factors.where(f"mode = {m}").select("idx", *fo.cols(ctx.ranks[m]))
     weights = CORE_SCHEDULES[schedule]
     kept = [r for r in REGIONS if weights[r] != 0]
     case = " ".join(f"WHEN '{r}' THEN {float(weights[r])}D" for r in kept)
@@ -304,7 +262,7 @@ def core_stage(ctx: Context, core: np.ndarray, old: dict, new: dict, schedule: s
     cells = ctx.cells.where(f"region IN ({in_list})").selectExpr("i", "j", "k", "val", f"CASE region {case} END AS _w")
     delta = contract_all(cells, {m: final[m].df for m in MODES}, ctx.ranks,
                          {m: final[m].rows for m in MODES}, weight="_w")
-    return g + delta, final
+    return g + delta, final, factors
 
 
 def _as_blocks(factors, pre_dims, ranks) -> dict:
@@ -328,11 +286,17 @@ def incremental_update(cells: DataFrame, factors, core, pre_dims, ranks=DEFAULT_
     ``gram_old``: optional known Grams of the old blocks (identity for an
     orthonormal start), saving one pass over the old factor tables."""
     _validate(ranks, mu, cut_num, partition, core_schedule)
-    spark = cells.sparkSession
-    configure(spark)
-    from .. import session as _session
+    configure(cells.sparkSession)
+    with owned_tables(cells.sparkSession) as paths:
+        result = _run(cells, factors, core, pre_dims, ranks, mu, cut_num, partition, core_schedule, gram_old)
+    result.kept = [p for p in paths if p.rsplit("/", 1)[1].startswith(("factors-", "part-map-"))]
+    result.scratch = [p for p in paths if p not in result.kept]
+    return result
 
-    first_stored = len(_session.STORED)
+
+def _run(cells: DataFrame, factors, core, pre_dims, ranks, mu: float, cut_num: int, partition: str | None,
+         core_schedule: str, gram_old: dict | None) -> UpdateResult:
+    spark = cells.sparkSession
     t0 = time.time()
     ranks = tuple(int(r) for r in ranks)
     g0 = core_to_array(core, ranks) if isinstance(core, DataFrame) else np.asarray(core, dtype=float)
@@ -347,17 +311,18 @@ def incremental_update(cells: DataFrame, factors, core, pre_dims, ranks=DEFAULT_
     t1 = time.time()
     new = factor_stage(ctx, g0, old, mu)
     t2 = time.time()
-    g1, final = core_stage(ctx, g0, old, new, core_schedule)
+    g1, final, factors_out = core_stage(ctx, g0, old, new, core_schedule)
     ctx.metrics.append(("factor_seconds", None, None, t2 - t1))
     ctx.metrics.append(("core_seconds", None, None, time.time() - t2))
     total = time.time() - t0
     ctx.metrics.append(("total_seconds", None, None, total))
     metrics = spark.createDataFrame(ctx.metrics, "name string, region string, mode int, value double")
-    factors_out = fo.combine({m: (final[m].df, ranks[m]) for m in MODES}, max(ranks))
+    labelled = None
+    if part_map is not None:
+        labelled = po.label_cells(ctx.cells, part_map, 4 * sum(ctx.new_rows(m) for m in MODES))
     return UpdateResult(
         factors=factors_out, core=array_to_core(spark, g1), metrics=metrics, core_array=g1,
-        blocks={m: (final[m].df, new[m].df) for m in MODES}, part_map=part_map,
+        blocks={m: (final[m].df, new[m].df) for m in MODES}, part_map=part_map, labelled_cells=labelled,
         info={"dims": ctx.dims, "pre_dims": ctx.pre_dims, "total_seconds": total,
               "region_cells": ctx.region_cells},
-        scratch=list(_session.STORED[first_stored:]),
     )

@@ -3,8 +3,11 @@ intermediate tables there, and size-checked broadcasts."""
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,12 +33,15 @@ def broadcast_limit(spark: SparkSession, default: int | None = None) -> int:
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "tridelta") -> SparkSession:
-    """Session for tests and the local bench."""
+    """Session for tests and the local bench. Intermediate tables go below the
+    working folder's warehouse; on a cluster the deployment names the folder."""
+    scratch = os.path.abspath(os.path.join("spark-warehouse", "scratch"))
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", scratch)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.locality.wait", "0s")
@@ -59,7 +65,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster it must be set by the deployment. Only a local-mode session
-    without a value gets a private temporary folder (tests, the local bench).
+    without a value gets a folder of the warehouse, never a temporary one.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -68,15 +74,30 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder before running on a cluster")
-        root = tempfile.mkdtemp(prefix="tridelta-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
-# Every table stored by :func:`stash`, in order (so a run can release its own).
-STORED: list[str] = []
+# Where the tables stored by the run at hand are noted, if it asked for that.
+# A context variable: runs in other threads note theirs elsewhere.
+_STORED: ContextVar[list[str] | None] = ContextVar("tridelta_stored", default=None)
+
+
+@contextmanager
+def owned_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Paths of the tables stored within the block by this thread. They are
+    deleted if the block fails; otherwise they are the caller's to release."""
+    paths: list[str] = []
+    token = _STORED.set(paths)
+    try:
+        yield paths
+    except BaseException:
+        delete_paths(spark, paths)
+        raise
+    finally:
+        _STORED.reset(token)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -105,7 +126,9 @@ def stash(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    STORED.append(path)
+    noted = _STORED.get()
+    if noted is not None:
+        noted.append(path)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -1,6 +1,8 @@
 """Sparse three-way tensors derived from the driver's parquet tables.
 
 ``sales``: part x supplier x month, summed quantity (from ``lineitem``).
+``purchases``: customer x part x order day, summed quantity (from ``orders``
+and ``lineitem``).
 ``activity``: user x hour x day of month, event count (from ``events``).
 Keys in the tables start at 0, tensor indices at 1.
 """
@@ -43,7 +45,23 @@ def activity_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-TENSORS = {"sales": sales_tensor, "activity": activity_tensor}
+def purchases_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer x part x order day, summed quantity: hardly any index pair
+    occurs twice."""
+    li, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    rows = li.join(orders, li["l_orderkey"] == orders["o_orderkey"])
+    return (
+        rows.where(F.col("o_custkey").isNotNull() & F.col("l_partkey").isNotNull() & F.col("o_orderdate").isNotNull())
+        .groupBy(
+            (F.col("o_custkey") + 1).alias("i"),
+            (F.col("l_partkey") + 1).alias("j"),
+            (F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")) + 1).cast("long").alias("k"),
+        )
+        .agg(F.sum("l_quantity").alias("val"))
+    )
+
+
+TENSORS = {"sales": sales_tensor, "activity": activity_tensor, "purchases": purchases_tensor}
 
 
 def tensor(spark: SparkSession, sf_dir: str, name: str = "sales") -> DataFrame:
@@ -72,3 +90,11 @@ FROM events
 WHERE user_id IS NOT NULL AND ts IS NOT NULL
 GROUP BY 1, 2, 3
 """
+
+PURCHASES_SQL = """
+SELECT o_custkey + 1 AS i, l_partkey + 1 AS j,
+       CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + 1 AS BIGINT) AS k, sum(l_quantity) AS val
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+WHERE o_custkey IS NOT NULL AND l_partkey IS NOT NULL AND o_orderdate IS NOT NULL
+GROUP BY 1, 2, 3
+"""
