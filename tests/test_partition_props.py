@@ -78,18 +78,29 @@ def test_bucket_map_matches_heap_and_bounds(spark):
     assert max(loads) <= sum(arr) / 12 + max(arr)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_greedy_loads_from_resets(spark, seed):
-    """Loads computed from the reset positions == sums of nnz per label."""
-    rng = np.random.default_rng(100 + seed)
-    n = int(rng.integers(10, 120))
-    arr = (rng.integers(0, 8, size=n) * (rng.random(n) < 0.7)).tolist()
-    arr[0] = 0
-    arr[int(rng.integers(1, n))] = int(rng.integers(30, 120))
-    cut = int(rng.integers(2, 13))
-    _, loads = po.greedy_map(_hist(spark, {("100", 0): arr}), cut, {0: n - 1}, with_loads=True)
-    want = [0] * cut
-    for s, b in enumerate(greedy_labels(arr, cut)):
-        want[b - 1] += arr[s]
-    got = loads[("100", 0)] + [0] * (cut - len(loads[("100", 0)]))
-    assert got == want
+def test_greedy_with_many_bins_and_heavy_slices(spark):
+    rng = np.random.default_rng(100)
+    groups = {}
+    for g, n in (("100", 700), ("110", 60), ("111", 5)):
+        arr = (rng.integers(0, 8, size=n) * (rng.random(n) < 0.7)).tolist()
+        arr[0] = 0
+        for at in rng.integers(1, n, size=3):
+            arr[int(at)] = int(rng.integers(30, 400))
+        groups[(g, 0)] = arr
+    for cut in (2, 12, 192):
+        got = {(r["region"], r["slice"]): r["part_id"] for r in po.greedy_map(_hist(spark, groups), cut, {0: 699}).collect()}
+        for (region, _), arr in groups.items():
+            want = greedy_labels(arr + [0] * (700 - len(arr)), cut)
+            assert all(got[(region, s)] == want[s] for s, n in enumerate(arr) if n), (region, cut)
+
+
+def test_greedy_jobs_grow_with_the_logarithm_of_the_bins(spark):
+    arr = [0] + [1 + (7 * k) % 5 for k in range(900)]
+    hist = _hist(spark, {("100", 0): arr}).cache()
+    sc, jobs = spark.sparkContext, {}
+    for cut in (12, 192):
+        sc.setJobGroup(f"greedy-{cut}", "greedy map")
+        po.greedy_map(hist, cut, {0: 900}).write.format("noop").mode("overwrite").save()
+        jobs[cut] = len(sc.statusTracker().getJobIdsForGroup(f"greedy-{cut}"))
+    sc.setJobGroup("", "")
+    assert jobs[192] < 2 * jobs[12] + 10 and jobs[192] <= 80, jobs

@@ -14,10 +14,12 @@ never gather a group into one task:
   ranks coming from two bounded windows (blocks of ~sqrt(dim) slices).
 * ``greedy_map`` (scan in slice order, close a bin near total/cut_num): the
   scan only changes state at *resets*, and there are O(cut_num) of them.
-  Prefix sums come from two bounded windows; the resets are found by a
-  walk of O(cut_num) lookups on the stored, cached prefix table (pruned by
-  the column statistics of the cached batches);
-  labels follow from the count of earlier resets.
+  Prefix sums come from two bounded windows. A reset is a node (its slice,
+  and whether that slice opened the new bin or closed the old one) and has one
+  successor, found for all possible nodes at once by sorting the values at
+  which they pass the threshold among the prefix intervals. The chain of
+  resets is then followed by doubling: O(log cut_num) joins of the successor
+  table with itself. Labels follow from a running count of earlier resets.
 """
 
 from __future__ import annotations
@@ -163,102 +165,98 @@ def prefix_sums(hist: DataFrame, max_dim: int) -> DataFrame:
     )
 
 
-def greedy_resets(prefix: DataFrame, totals: dict, dims: dict, cut_num: int) -> dict:
-    """Walk the resets of the greedy scan for all groups in lock step.
-
-    ``totals``: {(region, mode): cells}; ``dims``: {mode: dim}. Returns
-    {(region, mode): [(slice, opened, P, Pex), ...]}. Each round is one lookup per
-    active group: the slice whose prefix interval ``(Pex, P]`` contains the
-    value at which the running count passes the threshold."""
-    state = {g: {"s": 0, "c": 0, "ps": 0, "thr": totals[g] // cut_num} for g in totals if totals[g] > 0}
-    resets = {g: [] for g in state}
-    active = set(state)
-    while active:
-        conds, heavy_next = [], {}
-        for g in sorted(active):
-            st = state[g]
-            region, mode = g
-            key = f"region = '{region}' AND mode = {int(mode)}"
-            if resets[g] and st["c"] > st["thr"]:
-                nxt = st["s"] + 1
-                if nxt > dims[mode]:
-                    active.discard(g)
-                    continue
-                heavy_next[g] = nxt
-                conds.append(f"({key} AND slice = {int(nxt)})")
-            else:
-                v = int(st["thr"] + st["ps"] - st["c"])
-                conds.append(f"({key} AND Pex <= {v} AND P > {v})")
-        if not active:
+GROUP = ["region", "mode"]
+
+
+def _successors(prefix: DataFrame, limits: DataFrame, max_dim: int) -> DataFrame:
+    """``(region, mode, node, to)``: the reset that follows each possible one.
+
+    A node is ``2 * slice + opened``. Counting goes on from ``base``, the
+    prefix before the slice if it opened a bin and after it if it closed one,
+    to the first slice whose prefix passes ``base + thr``. A slice that opened
+    a bin and passes the threshold alone is followed by the next slot, empty or
+    not, which opens another bin. Node 0 is the start of the scan."""
+    p = prefix.join(F.broadcast(limits), GROUP)  # limits: one row per group, 12 at most
+    # fewer than cut_num + 1 slices of a group pass total // cut_num alone
+    after = p.where("nnz > thr AND slice < dim").select(*GROUP, (F.col("slice") + 1).alias("slice"), F.col("P").alias("base"))
+    filled = prefix.select(*GROUP, "slice").join(F.broadcast(after.select(*GROUP, "slice")), [*GROUP, "slice"], "left_semi")
+    empty = after.join(filled, [*GROUP, "slice"], "left_anti").join(F.broadcast(limits), GROUP)
+    opened = (F.col("slice") * 2 + 1).alias("node")
+    same = ["slice", "thr", "total", "dim", "width"]
+    nodes = (p.select(*GROUP, (F.col("slice") * 2).alias("node"), F.col("P").alias("base"), F.lit(False).alias("heavy"), *same)
+             .unionByName(p.select(*GROUP, opened, F.col("Pex").alias("base"), (F.col("nnz") > F.col("thr")).alias("heavy"), *same))
+             .unionByName(empty.select(*GROUP, opened, "base", F.lit(False).alias("heavy"), *same))
+             .unionByName(limits.select(*GROUP, F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("base"),
+                                        F.lit(False).alias("heavy"), F.lit(0).cast("long").alias("slice"), *same[1:])))
+    next_slot = nodes.where("heavy AND slice < dim").select(*GROUP, "node", (F.col("slice") * 2 + 3).alias("to"))
+    points = nodes.where("NOT heavy AND base + thr < total").select(
+        *GROUP, (F.col("base") + F.col("thr")).alias("v"), "width", "node", "base", "thr",
+        F.lit(None).cast("struct<slice:bigint,Pex:bigint,P:bigint>").alias("interval"))
+    starts = p.select(*GROUP, F.col("Pex").alias("v"), "width", *(F.lit(None).cast("long").alias(c) for c in ("node", "base", "thr")),
+                      F.struct("slice", "Pex", "P").alias("interval"))
+    both = starts.unionByName(points).withColumn("blk", F.expr("v div width"))
+    # the interval that holds v is the last to start at or before it: in the same block of values, else before
+    inside = Window.partitionBy(*GROUP, "blk").orderBy("v", F.col("node").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*GROUP).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = both.groupBy(*GROUP, "blk").agg(F.max("interval").alias("top")).select(
+        *GROUP, "blk", F.last("top", ignorenulls=True).over(earlier).alias("carried"))
+    hit = both.withColumn("found", F.last("interval", ignorenulls=True).over(inside)).where("node IS NOT NULL")
+    hit = hit.join(blocks, [*GROUP, "blk"]).withColumn("found", F.coalesce("found", "carried"))
+    over = F.col("found.P") - F.col("base") - F.col("thr")
+    under = F.col("thr") - (F.col("found.Pex") - F.col("base"))
+    return next_slot.unionByName(hit.select(*GROUP, "node", (F.col("found.slice") * 2 + (over > under).cast("long")).alias("to")))
+
+
+def greedy_resets(prefix: DataFrame, totals: dict, dims: dict, cut_num: int) -> list[tuple]:
+    """``[(region, mode, slice, opened), ...]``: the resets of the greedy scan
+    of all groups (O(cut_num) of them), the chain followed by doubling.
+
+    ``totals``: {(region, mode): cells}; ``dims``: {mode: dim}."""
+    spark = prefix.sparkSession
+    max_dim = max(dims.values())
+    groups = sorted(g for g in totals if totals[g] > 0)
+    if not groups:
+        return []
+    rows = [(r, int(m), totals[r, m] // cut_num, totals[r, m], int(dims[m]),
+             max(1, totals[r, m] // max(1, math.isqrt(max_dim)))) for r, m in groups]
+    limits = spark.createDataFrame(rows, "region string, mode int, thr long, total long, dim long, width long")
+    jump = stash(_successors(prefix, limits, max_dim), "greedy-next")
+    seen = [(r, int(m), 0) for r, m in groups]
+    while True:
+        # seen: the first 2**k nodes of each chain; jump: 2**k steps at once
+        here = spark.createDataFrame(seen, "region string, mode int, node long")
+        new = [(r["region"], r["mode"], r["to"]) for r in jump.join(F.broadcast(here), [*GROUP, "node"]).collect()]
+        if not new:
             break
-        found = {(r["region"], r["mode"]): r for r in prefix.where(" OR ".join(conds)).collect()}
-        for g in sorted(active):
-            st = state[g]
-            row = found.get(g)
-            if g in heavy_next:
-                t = heavy_next[g]
-                nnz = int(row["nnz"]) if row is not None else 0
-                p_t = int(row["P"]) if row is not None else st["ps"]
-                resets[g].append((t, True, p_t, p_t - nnz))
-                st.update(s=t, c=nnz, ps=p_t)
-                continue
-            if row is None:
-                active.discard(g)
-                continue
-            t, nnz, p_t, pex_t = int(row["slice"]), int(row["nnz"]), int(row["P"]), int(row["Pex"])
-            cur = st["c"] + p_t - st["ps"]
-            pre = st["c"] + pex_t - st["ps"]
-            opened = (cur - st["thr"]) > (st["thr"] - pre)
-            resets[g].append((t, opened, p_t, pex_t))
-            st.update(s=t, c=nnz if opened else 0, ps=p_t)
-    return resets
-
-
-def greedy_loads(resets: dict, totals: dict, cut_num: int) -> dict:
-    """Bin loads from the resets alone: bin n ends at ``Pex`` of the n-th
-    reset if it opened a bin, else at its ``P``; bins from ``cut_num`` on
-    share the last bin. Returns {(region, mode): [load of bin 1, ...]}."""
-    out = {}
-    for g, rs in resets.items():
-        ends = [pex if opened else p for _, opened, p, pex in rs][: cut_num - 1]
-        bounds = [0] + ends + [totals[g]]
-        out[g] = [bounds[n + 1] - bounds[n] for n in range(len(bounds) - 1)]
-    return out
-
-
-def greedy_map(hist: DataFrame, cut_num: int, dims: dict, name: str = "greedy-prefix",
-               totals: dict | None = None, with_loads: bool = False):
-    """``(region, mode, slice, nnz, part_id)`` by the greedy slice scan.
-
-    The map is a lazy projection of the stored prefix table (the cached
-    copy used by the walk is released). With ``with_loads`` also returns the
-    bin loads, computed from the resets without another pass."""
+        seen += new
+        far = jump.select(*GROUP, F.col("node").alias("to"), F.col("to").alias("far"))
+        jump = stash(jump.join(far, [*GROUP, "to"]).select(*GROUP, "node", F.col("far").alias("to")), "greedy-jump")
+    return [(r, m, n // 2, bool(n % 2)) for r, m, n in seen if n]
+
+
+def greedy_map(hist: DataFrame, cut_num: int, dims: dict, totals: dict | None = None) -> DataFrame:
+    """``(region, mode, slice, nnz, part_id)`` by the greedy slice scan."""
     spark = hist.sparkSession
     max_dim = max(dims.values())
-    prefix = prefix_sums(hist, max_dim)
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # stored (lineage cut) in slice order, then cached for the O(cut_num)
-    # point lookups of the walk: column statistics of the cached batches
-    # prune all but the batch holding the looked-up prefix value
-    prefix = stash(prefix.repartitionByRange(n_parts, "region", "mode", "slice")
-                   .sortWithinPartitions("region", "mode", "slice"), name)
-    stored = prefix.select("region", "mode", "slice", "nnz", "P", "Pex")
-    prefix = stored.persist()
+    prefix = stash(prefix_sums(hist, max_dim), "greedy-prefix")
     if totals is None:
         totals = {(r["region"], r["mode"]): int(r["t"]) for r in
                   prefix.groupBy("region", "mode").agg(F.sum("nnz").alias("t")).collect()}
-    resets = greedy_resets(prefix, totals, dims, cut_num)
-    prefix.unpersist()
-    rows = [(g[0], int(g[1]), [r[0] for r in rs], [r[0] for r in rs if r[1]]) for g, rs in resets.items()]
-    table = spark.createDataFrame(rows, "region string, mode int, resets array<long>, opens array<long>")
-    # at most 12 groups x O(cut_num) resets: a proven small broadcast
-    j = stored.join(F.broadcast(table), ["region", "mode"], "left")
-    part = (f"CAST(least(1 + size(filter(coalesce(resets, array()), r -> r < slice)) "
-            f"+ CAST(coalesce(array_contains(opens, slice), false) AS INT), {int(cut_num)}) AS INT) AS part_id")
-    part_map = j.selectExpr("region", "mode", "slice", "nnz", part)
-    if with_loads:
-        return part_map, greedy_loads(resets, totals, cut_num)
-    return part_map
+    resets = spark.createDataFrame(greedy_resets(prefix, totals, dims, cut_num), "region string, mode int, slice long, opened boolean")
+    blk = block_size(max_dim)
+    # slots with a reset may be empty; they count for the slices after them and are dropped then
+    slots = prefix.select(*GROUP, "slice", "nnz", F.lit(0).alias("resets"), F.lit(0).alias("opens")).unionByName(
+        resets.select(*GROUP, "slice", F.lit(None).cast("long").alias("nnz"), F.lit(1).alias("resets"),
+                      F.col("opened").cast("int").alias("opens")))
+    slots = slots.groupBy(*GROUP, "slice").agg(F.max("nnz").alias("nnz"), F.sum("resets").alias("resets"), F.sum("opens").alias("opens"))
+    slots = slots.withColumn("blk", (F.col("slice") / F.lit(blk)).cast("long"))
+    before = Window.partitionBy(*GROUP).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = slots.groupBy(*GROUP, "blk").agg(F.sum("resets").alias("n")).select(
+        *GROUP, "blk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    inside = Window.partitionBy(*GROUP, "blk").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn("inner", F.coalesce(F.sum("resets").over(inside), F.lit(0))).join(blocks, [*GROUP, "blk"])
+    part = F.least(1 + F.col("off") + F.col("inner") + F.col("opens"), F.lit(int(cut_num)))
+    return slots.where("nnz IS NOT NULL").select(*GROUP, "slice", "nnz", part.cast("int").alias("part_id"))
 
 
 # ---------------------------------------------------------------- labels and balance
