@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import small_batches
+from .common import map_arrow, small_batches
 
 SAFE_CUT = regex.compile(r"(?<=\S) (?=\S)")
 CHUNK_CHARS = 32_768
@@ -70,7 +70,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
                 [b.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids binary")
+    return map_arrow(df.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {kind}, n_tokens bigint, ids binary")
 
 
 def decode(df: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -89,4 +89,4 @@ def decode(df: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col: str =
                    for x in b.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)

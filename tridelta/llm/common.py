@@ -31,6 +31,19 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(text) if _OTHER_SPACE.search(text) else text.split()
 
 
+ROWS_PER_BATCH = 1000
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with at most ROWS_PER_BATCH rows to a batch: with
+    Spark's default of ten thousand, a batch of documents takes tens of MB in
+    the JVM and again in Python. Lowers the session's setting where it is higher."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= ROWS_PER_BATCH:
+        conf.set(key, str(ROWS_PER_BATCH))
+    return df.mapInArrow(fn, schema)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512,
                   byte_limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a worker holds a bounded number of bytes of
@@ -76,4 +89,4 @@ def map_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[list],
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(v, k) for v, k in zip(values, kinds))], names)
 
-    return src.mapInArrow(run, out_schema)
+    return map_arrow(src, run, out_schema)

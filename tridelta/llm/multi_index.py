@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tridelta.session import broadcast_if_small
 
-from .common import store
+from .common import map_arrow, store
 from .graph import components
 from .ngram_join import roots
 
@@ -122,7 +122,7 @@ def classes_of(vectors: DataFrame, id_col: str, vector_col: str, label_col: str)
                     ["id", "kin", "key", "raw"])
 
     rows = vectors.select(F.col(id_col), F.col(vector_col).cast("array<double>"), F.col(label_col).cast("string"))
-    return rows.mapInArrow(run, f"id {kind}, kin string, key binary, raw binary")
+    return map_arrow(rows, run, f"id {kind}, kin string, key binary, raw binary")
 
 
 def fit_grid(classes: DataFrame, width: int, n: int, sample: int) -> Grid:
@@ -163,7 +163,7 @@ def choose_cells(classes: DataFrame, grid: Grid, width: int, threshold: float, p
         yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(r, pa.int32()), pa.array(counts[p, r])],
                                          ["probe", "place", "n"])
 
-    seen = classes.select("kin", "raw", "key").mapInArrow(run, "probe int, place int, n bigint") \
+    seen = map_arrow(classes.select("kin", "raw", "key"), run, "probe int, place int, n bigint") \
         .groupBy("probe", "place").agg(F.sum("n").alias("n")).collect()  # probes x cells at most
     share = np.zeros((len(probe), total))
     for r in seen:
@@ -188,7 +188,7 @@ def filed(classes: DataFrame, grid: Grid, width: int, cells: int) -> DataFrame:
                     pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * visits.shape[1]), pa.array(visits.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(visits[:, 0]), lists], [*b.schema.names, "home", "visits"])
 
-    return src.mapInArrow(run, "kin string, key binary, raw binary, weight bigint, home int, visits array<int>")
+    return map_arrow(src, run, "kin string, key binary, raw binary, weight bigint, home int, visits array<int>")
 
 
 def verify(rows: DataFrame, width: int, threshold: float, block: int = BLOCK) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, store
+from .common import map_arrow, map_texts, store
 from .textstats import N_FEATURES, TextStats
 
 BINS = 2048
@@ -93,7 +93,7 @@ def _normal_rows(labelled: DataFrame, model: Model) -> DataFrame:
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"k": pdf["k"].iloc[:1], "v": [np.sum(np.stack(pdf["v"].to_numpy()), axis=0)]})
 
-    rows = labelled.select("x", "y").mapInArrow(run, "k int, v array<double>")
+    rows = map_arrow(labelled.select("x", "y"), run, "k int, v array<double>")
     return rows.groupBy("k").applyInPandas(add, "k int, v array<double>")
 
 
@@ -156,7 +156,7 @@ def apply(rows: DataFrame, model: Model, raw: bool = False) -> DataFrame:
                 value = model.raw(x) if raw else model.score(x)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(value)], [*b.schema.names, name])
 
-    return src.mapInArrow(run, f"{kinds}, {name} double")
+    return map_arrow(src, run, f"{kinds}, {name} double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out_fold: int = 2,

@@ -41,7 +41,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tridelta.session import broadcast_if_small
 
-from .common import small_batches, store
+from .common import map_arrow, small_batches, store
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
@@ -216,7 +216,7 @@ def tree_features(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
                     [pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary()))],
                     ["host", "path", "kind", "feature", "page"])
 
-    return src.mapInArrow(run, "host string, path string, kind int, feature binary, page binary")
+    return map_arrow(src, run, "host string, path string, kind int, feature binary, page binary")
 
 
 def importance(features: DataFrame, gamma: float = 0.9) -> DataFrame:
@@ -259,4 +259,4 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
                      for source, paths in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
-    return rows.mapInArrow(run, schema).select("row", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return map_arrow(rows, run, schema).select("row", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tridelta.session import scratch_path
 
-from .common import store
+from .common import map_arrow, store
 
 CRLF = "\r\n"
 RECORD_END = CRLF + CRLF
@@ -189,7 +189,7 @@ def read_records(spark: SparkSession, path: str, blocks: bool = True, batch_byte
                     yield batch(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, RECORD_FIELDS)
+    return map_arrow(files, run, RECORD_FIELDS)
 
 
 def assemble(recs: DataFrame) -> DataFrame:
