@@ -16,9 +16,9 @@ similarity of at least ``threshold``.
    pairs at the threshold.
 4. Neighbours that share the prefix are joined to clusters. As subtrees are
    runs, every pair that shares a prefix in any trie is in one cluster.
-5. Clusters are dealt out in pairs of blocks of ``block`` classes, and all
-   pairs of a block pair are verified exactly on their shingle sets with one
-   matrix product. What leaves is one row per class with its number of links,
+5. Clusters are dealt out in pairs of blocks of about ``block`` classes (fewer,
+   if their shingle sets are large), and all pairs of a block pair are verified
+   exactly on their shingle sets by matrix products. What leaves is one row per class with its number of links,
    and the edges of a spanning forest - never the pairs themselves.
 
 A group of copies, near or exact, may hold any share of the documents: exact
@@ -45,13 +45,15 @@ from pyspark.sql import functions as F
 
 from tridelta.session import broadcast_if_small
 
-from .common import small_batches, store
+from .common import map_arrow, small_batches, store
 from .graph import components
 from .shingles import MinHash, Shingler, text_key
 
 TREES, DEPTH = 32, 8
 RECALL = 0.999
-BLOCK = 256
+BLOCK = 512  # classes
+BLOCK_BYTES = 32 << 20  # of shingle sets
+PROBED_PAIRS = 50_000
 
 
 def key_column(text: Column) -> Column:
@@ -73,21 +75,26 @@ def shortest_depth(threshold: float, trees: int, depth: int, recall: float) -> i
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, rows: int) -> DataFrame:
-    """(id, key, sig) per document; key and sig are null without words."""
+    """(id, key, sig, n) per document: its class, signature and number of
+    shingles; key and sig are null without words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, minhash = Shingler(size), MinHash(rows)
         for b in small_batches(batches):
-            keys, sigs = [], []
+            keys, sigs, sizes = [], [], []
             for text in b.column(1).to_pylist():
                 data = (text or "").encode()
                 keys.append(text_key(data))
-                sigs.append(minhash.signature(shingler.shingles(data)).tobytes() if keys[-1] else None)
+                found = shingler.shingles(data)
+                sizes.append(len(found))
+                sigs.append(minhash.signature(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["id", "key", "sig"])
+                [b.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())],
+                ["id", "key", "sig", "n"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, key binary, sig binary")
+    return map_arrow(
+        docs.select(F.col(id_col), F.col(text_col)), run, f"id {kind}, key binary, sig binary, n bigint")
 
 
 def neighbours(classes: DataFrame, trees: int, depth: int, shortest: int) -> DataFrame:
@@ -129,7 +136,7 @@ def neighbours(classes: DataFrame, trees: int, depth: int, shortest: int) -> Dat
         if last is not None:
             yield batch([None], [last[2]], [0], [part], [int(last[0])], [last[1].tobytes()])
 
-    out = store(ordered.mapInArrow(run, "a binary, b binary, common int, part int, tree int, label binary"), "forest-runs")
+    out = store(map_arrow(ordered, run, "a binary, b binary, common int, part int, tree int, label binary"), "forest-runs")
     inner = out.where("a is not null and b is not null").select("a", "b", "common")
     # last row of a partition and first row of the next one that has rows: two rows per partition
     ends = W.orderBy("part", F.col("a").isNull())
@@ -150,13 +157,16 @@ def _agreement(pairs: DataFrame) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint16).reshape(b.num_rows, -1) for k in (1, 2))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array((x == y).sum(1), pa.int32())], ["common", "equal"])
 
-    return pairs.select("common", "sig_a", "sig_b").mapInArrow(run, "common int, equal int")
+    return map_arrow(pairs.select("common", "sig_a", "sig_b"), run, "common int, equal int")
 
 
 def choose_depth(near: DataFrame, classes: DataFrame, threshold: float, trees: int, depth: int, shortest: int,
                  recall: float) -> int:
     """Shorten the prefix from full depth until the estimated recall is met."""
-    pairs = near.groupBy("a", "b").agg(F.max("common").alias("common"))
+    # about PROBED_PAIRS of the pairs are looked at, picked by their hash
+    modulus = max(1, near.count() // PROBED_PAIRS)
+    picked = near.where(F.pmod(F.xxhash64("a", "b"), F.lit(modulus)) == 0)
+    pairs = picked.groupBy("a", "b").agg(F.max("common").alias("common"))
     sigs = classes.select("key", "sig")
     pairs = (pairs.join(sigs.select(F.col("key").alias("a"), F.col("sig").alias("sig_a")), "a")
              .join(sigs.select(F.col("key").alias("b"), F.col("sig").alias("sig_b")), "b"))
@@ -190,8 +200,8 @@ def _shingle_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: st
             rest = b.select(["key", "cluster", "weight", "blocks"]).take(pa.array(mine, pa.int64()))
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sets, pa.binary())], [*rest.schema.names, "set"])
 
-    return rows.select("text", "key", "cluster", "weight", "blocks").mapInArrow(
-        run, "key binary, cluster binary, weight bigint, blocks bigint, set binary")
+    return map_arrow(
+        rows.select("text", "key", "cluster", "weight", "blocks"), run, "key binary, cluster binary, weight bigint, blocks bigint, set binary")
 
 
 def linked(left: list[np.ndarray], share: Fraction, cells: int = 4 << 20) -> np.ndarray:
@@ -262,7 +272,7 @@ def verify(sets: DataFrame, share: Fraction) -> DataFrame:
                      pa.array([rows[root[k]]["key"] for k in hit], pa.binary())], ["key", "links", "root"])
 
         group, at = [], None
-        for b in small_batches(batches, rows=2 * BLOCK):
+        for b in small_batches(batches):
             for r in b.to_pylist():
                 here = (r["cluster"], r["i"], r["j"])
                 if here != at:
@@ -271,7 +281,7 @@ def verify(sets: DataFrame, share: Fraction) -> DataFrame:
                 group.append(r)
         yield from judged(group)
 
-    return dealt.mapInArrow(run, "key binary, links bigint, root binary")
+    return map_arrow(dealt, run, "key binary, links bigint, root binary")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8,
@@ -283,16 +293,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     shortest = shortest_depth(threshold, trees, depth, recall)
     rows = store(signatures(docs, id_col, text_col, size, trees * depth), "forest-signatures")
     classes = store(rows.where("key is not null").groupBy("key").agg(
-        F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("sig").alias("sig")), "forest-classes")
+        F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("sig").alias("sig"),
+        F.max("n").alias("n")), "forest-classes")
     near = store(neighbours(classes, trees, depth, shortest), "forest-near")
     d = choose_depth(near, classes, threshold, trees, depth, shortest, recall)
     clusters = components(near.where(F.col("common") >= d))
-    sizes = store(clusters.groupBy("component").agg(F.count("*").alias("n")), "forest-sizes")
-    members = (clusters.join(sizes, "component")
-               .select(F.col("id").alias("key"), F.col("component").alias("cluster"),
-                       F.ceil(F.col("n") / F.lit(float(block))).alias("blocks"))
-               .join(classes.select("key", "rep", "weight"), "key"))
-    members = store(members, "forest-members")
+    members = store(clusters.select(F.col("id").alias("key"), F.col("component").alias("cluster"))
+                    .join(classes.select("key", "rep", "weight", "n"), "key"), "forest-clustered")
+    sizes = store(members.groupBy("cluster").agg(F.greatest(
+        F.ceil(F.count("*") / F.lit(float(block))), F.ceil(F.sum("n") * 8 / F.lit(float(BLOCK_BYTES)))).alias("blocks")), "forest-sizes")
+    members = store(members.join(sizes, "cluster"), "forest-members")
     found = store(verify(_shingle_sets(docs, members, id_col, text_col, size), Fraction(threshold).limit_denominator(1000)), "forest-links")
     groups = components(found, "key", "root")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
