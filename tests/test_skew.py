@@ -70,3 +70,13 @@ def test_update_with_hot_indices_matches_dense_model(spark):
     for m in range(3):
         for i in range(dims[m]):
             assert np.allclose(got.get((m, i + 1), [0.0] * 3), final[m][i], atol=1e-8)
+
+
+def test_a_hot_bin_can_be_spread(spark):
+    rows = [("100", 0, 5, j, k, 1.0, 2) for j in range(40) for k in range(25)] + [("100", 0, 6, 1, 1, 1.0, 1)]
+    cells = spark.createDataFrame(rows, "region string, mode int, i long, j long, k long, val double, part_id int")
+    one = po.group_by_part(cells, 3).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert {r["p"]: r["count"] for r in one} == {0: 1, 1: 1000}
+    four = {r["p"]: r["count"] for r in po.group_by_part(cells, 3, spread=4).groupBy(F.spark_partition_id().alias("p")).count().collect()}
+    hot = [four.get(p, 0) for p in range(4, 8)]
+    assert sum(hot) == 1000 and max(hot) < 400 and sum(four.values()) == 1001

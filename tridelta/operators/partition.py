@@ -274,10 +274,15 @@ def label_cells(labelled: DataFrame, part_map: DataFrame, max_rows: int) -> Data
     return x.join(m, ["region", "mode", "slice"])
 
 
-def group_by_part(labelled_cells: DataFrame, cut_num: int) -> DataFrame:
+def group_by_part(labelled_cells: DataFrame, cut_num: int, spread: int = 1) -> DataFrame:
     """Co-locate cells by label: partition ``part_id - 1`` holds bin
-    ``part_id`` (one bin per partition, as in a key-grouped layout)."""
-    return labelled_cells.withColumn("pid", (F.col("part_id") - 1).cast("int")).repartitionById(int(cut_num), "pid")
+    ``part_id`` (one bin per partition, as in a key-grouped layout). A bin that
+    holds a hot slice can be too much for one task: with ``spread`` every bin is
+    dealt over that many neighbouring partitions by the cell's coordinates, and
+    what is summed per slice needs one more (partial) step."""
+    own = F.pmod(F.xxhash64("i", "j", "k"), F.lit(int(spread))) if spread > 1 else F.lit(0)
+    pid = ((F.col("part_id") - 1) * int(spread) + own).cast("int")
+    return labelled_cells.withColumn("pid", pid).repartitionById(int(cut_num) * int(spread), "pid")
 
 
 def partition_loads(part_map: DataFrame) -> DataFrame:
