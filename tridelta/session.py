@@ -118,8 +118,9 @@ def delete_paths(spark: SparkSession, paths) -> int:
     return n
 
 
-def stash(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as parquet under the checkpoint folder and read it back.
+def stash(df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str | None = None) -> DataFrame:
+    """Write ``df`` as parquet (compressed by ``codec``, else by the session's)
+    under the checkpoint folder and read it back.
 
     Cuts the lineage (a lost executor re-reads files instead of replaying
     earlier steps) and gives later scans parquet pushdown and pruning.
@@ -130,6 +131,8 @@ def stash(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     if noted is not None:
         noted.append(path)
     writer = df.write.mode("overwrite")
+    if codec:
+        writer = writer.option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
