@@ -41,7 +41,7 @@ SLOT_MASK = (1 << SLOT_BITS) - 1
 TOP = np.uint64(1 << 40)
 DIGIT = np.uint64(16)
 LOW_MASK = np.uint64((1 << 40) - 1)
-CELLS = 16 << 20  # order-0 cells in memory: lanes x ids
+CELLS = 4 << 20  # order-0 cells in memory: lanes x ids
 BEYOND = 0x7FFFFFFF
 MAGIC = b"IDCM"
 HEAD = "<4sBIII"
@@ -76,7 +76,7 @@ class Lanes:
         self.height = 1 << self.size.bit_length()
         self.first = np.concatenate([[0], np.cumsum(weights)])[:, None]
         self.total = int(self.first[-1, 0])
-        self.counts = None
+        self.counts = np.zeros((self.size + 1, n), dtype=np.uint16)
         # order 0: share of the ids below each id, in 1/TOTAL
         self.grid = np.full((self.height, n), BEYOND, dtype=np.int32)
         self.grid[:self.size + 1] = self._scaled(self.first)
@@ -167,13 +167,16 @@ class Lanes:
 
     def refresh(self) -> None:
         """Add the counts since the last refresh to order 0."""
-        flat = np.concatenate([(x + 1) * self.n + self.lane for x in self.seen])
-        new = np.bincount(flat, minlength=(self.size + 1) * self.n).astype(np.uint16).reshape(-1, self.n)
-        self.counts = new if self.counts is None else self.counts + new
+        seen = np.stack(self.seen)
         self.total += GAIN * len(self.seen)
         self.seen = []
         for k in range(0, self.n, 64):  # a few lanes at a time, to bound the memory taken
-            cum = np.cumsum(self.counts[:, k:k + 64], axis=0, dtype=np.int64)
+            part = seen[:, k:k + 64]
+            m = part.shape[1]
+            new = np.bincount(((part + 1) * m + np.arange(m)).reshape(-1), minlength=(self.size + 1) * m)
+            counts = self.counts[:, k:k + 64]
+            counts += new.reshape(-1, m).astype(np.uint16)
+            cum = np.cumsum(counts, axis=0, dtype=np.int64)
             self.grid[:self.size + 1, k:k + 64] = self._scaled(cum * GAIN + self.first)
 
 
@@ -182,7 +185,7 @@ def _encode_lanes(ids: np.ndarray, lengths: np.ndarray, weights: np.ndarray) ->
     n, steps = ids.shape
     model = Lanes(n, weights)
     low, span = np.zeros(n, np.uint64), np.full(n, 1 << 56, np.uint64)
-    digits = np.zeros((2 * steps + 6, n), dtype=np.int64)
+    digits = np.zeros((steps * TOTAL_BITS // 16 + 8, n), dtype=np.uint32)  # an id takes TOTAL_BITS at most
     used = np.zeros(n, dtype=np.int64)
     columns = np.ascontiguousarray(ids.T)
     m = n
@@ -190,7 +193,7 @@ def _encode_lanes(ids: np.ndarray, lengths: np.ndarray, weights: np.ndarray) ->
         if m == n and t >= lengths[-1]:
             m = n - 1
             model.shrink(m)
-        s = columns[t, :m]
+        s = columns[t, :m].astype(np.int64)
         model.predict()
         start, width = model.interval(s)
         unit = span[:m] >> np.uint64(TOTAL_BITS)
@@ -233,7 +236,7 @@ def _decode_lanes(codes: list[bytes], lengths: np.ndarray, weights: np.ndarray)
     halves = ((digits[:-1] & np.uint64(0xFF)) << np.uint64(8)) | (digits[1:] >> np.uint64(8))
     span = np.full(n, 1 << 56, np.uint64)
     used = np.full(n, 3, dtype=np.int64)
-    out = np.zeros((steps, n), dtype=np.int64)
+    out = np.zeros((steps, n), dtype=np.int32)
     m = n
     for t in range(steps):
         if m == n and t >= lengths[-1]:
@@ -275,15 +278,14 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     known = np.flatnonzero(counts)
     known = known[np.argsort(-counts[known], kind="stable")]
     weights = 1 + counts[known] * max(0, PRIOR_TOTAL - len(known)) // n
-    rank_of = np.zeros(len(counts), dtype=np.int64)
+    rank_of = np.zeros(len(counts), dtype=np.int32)
     rank_of[known] = np.arange(len(known))
-    ranks = rank_of[ids]
     table = zlib.compress(known.astype("<u4").tobytes() + weights.astype("<u4").tobytes(), 6)
     n_blocks = -(-n // block)
     lengths = np.full(n_blocks, block)
     lengths[-1] = n - block * (n_blocks - 1)
-    padded = np.zeros(n_blocks * block, dtype=np.int64)
-    padded[:n] = ranks
+    padded = np.zeros(n_blocks * block, dtype=np.int32)
+    padded[:n] = rank_of[ids]
     grid = padded.reshape(n_blocks, block)
     codes: list[bytes] = []
     for a, b in _groups(n_blocks, len(known)):

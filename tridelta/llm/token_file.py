@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 from tridelta.session import broadcast_if_small, scratch_path
 
 from . import idcoder
-from .common import small_batches
+from .common import map_arrow, small_batches
 
-SEGMENT_IDS = 8 << 20
-CACHED_PIECES = 1 << 20
+SEGMENT_IDS = 2 << 20
+CACHED_PIECES = 1 << 17
 # a space that is not between two characters other than white space
 UNSAFE_SPACE = re.compile(r"^ |\s | \s| $")
 
@@ -66,8 +66,12 @@ class PieceEncoder:
         self.known: dict[str, int] = {}
         self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str], at_once: int = 32) -> list[np.ndarray]:
+        out = []
+        for k in range(0, len(texts), at_once):  # an Encoding takes far more room than its ids
+            found = self.tokenizer.encode_batch_fast(texts[k:k + at_once], add_special_tokens=False)
+            out += [np.array(e.ids, dtype=np.uint32) for e in found]
+        return out
 
     def _learn(self, pieces: list[str], spaced: bool) -> None:
         """Encode pieces and remember them. Those that begin with a space make
@@ -163,8 +167,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     # the running number only parts rows of equal id, so no partition is forced to hold them all
     rows = docs.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id().alias("tie"))
     ordered = rows.repartitionByRange(n, id_col, "tie").sortWithinPartitions(id_col, "tie").select(id_col, text_col)
-    (ordered.mapInArrow(run, f"shard int, segment int, doc_ids array<{kind}>, sizes array<bigint>, n_ids bigint, coded binary")
-     .write.option("maxRecordsPerFile", segments_per_file).parquet(path))
+    schema = f"shard int, segment int, doc_ids array<{kind}>, sizes array<bigint>, n_ids bigint, coded binary"
+    (map_arrow(ordered, run, schema).write.option("maxRecordsPerFile", segments_per_file).parquet(path))
 
 
 def segment_starts(segments: DataFrame) -> DataFrame:
@@ -205,7 +209,7 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids
                         arrays.append(pa.array([x.tobytes() for x in own], pa.binary()))
                     yield pa.RecordBatch.from_arrays(arrays, names)
 
-    rows = table.select("shard", "segment", "doc_ids", "sizes", "coded").mapInArrow(run, schema)
+    rows = map_arrow(table.select("shard", "segment", "doc_ids", "sizes", "coded"), run, schema)
     segments = table.select("shard", "segment", "n_ids")
     bases = broadcast_if_small(segment_starts(segments), segments.count(), 64)
     joined = rows.join(bases, ["shard", "segment"])
