@@ -22,7 +22,7 @@ from ..operators import partition as po
 from ..operators import tensor as te
 from ..session import scratch_path
 from ..sources.coo import read_coo, write_coo
-from ..sources.model import read_model, write_model
+from ..sources.model import read_model
 from ..sources.tables import PURCHASES_SQL, SALES_SQL, purchases_tensor, sales_tensor
 from . import update as up
 from .job import start_model, tucker_job
