@@ -63,3 +63,26 @@ def test_edge_cases(spark):
     long = " ".join(["long &"] * 50_000)
     assert got == [(0, "c", 1), (1, "a", 1), (2, "b", 1), (3, "", 0), (4, "", 0), (5, "d", 1), (5, "d", 1), (6, long, len(long))]
     assert st.extract(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("source", [
+    "<div class='elementor-widget elementor-widget-text-editor'><p>x</p><p>y</p></div>",
+    "<body class='page no-sidebar'><p>x</p><p>y</p></body>", "<html class=modal><body id=search><p>x<p>y",
+    "<div id=content class='comments-open has-toc share-enabled'><p>x</p><p>y</p></div>",
+    "<main class='widget'><p>x</p><p>y</p></main>", "<article class='post promo'><p>x</p><p>y</p></article>",
+    "<div class='modal'><main><p>x</p><p>y</p></main></div><p>z",
+    "<div class=widget><div class=related><article><p>x</p><p>y</p></article></div></div>",
+    "<div id=header><article><p>x</p><p>y</p></article></div>",
+])
+def test_names_that_only_hold_a_word(source):
+    assert st.Page(source).lines() == ["x", "y"]
+
+
+@pytest.mark.parametrize("source,lines", [
+    ("<div class=text><p>the main text</p></div><div class=sidebar><article><p>teaser</p></article></div>", ["the main text"]),
+    ("<p>x</p><ol class='comment-list'><li><article class=comment><p>a longer comment</p></article></ol>", ["x"]),
+    ("<p>x</p><div class=site-footer>f</div><div class='box ad-slot-3'>a</div><div id=comments2>c</div>", ["x"]),
+    ("<article><p>x</p><article class=related><p>r</p></article></article>", ["x"]),
+])
+def test_names_that_say_so(source, lines):
+    assert st.Page(source).lines() == lines

@@ -11,7 +11,10 @@ out of each page. Pages of equal html count once.
 Before that, what marks itself as no part of an article goes: scripts, styles,
 navigation, page headers, footers, asides, forms, dialogs, hidden elements and
 those whose class, id or role says so (adverts, menus, sidebars, notices,
-reader comments). If a page has an article or main element, its text is what
+reader comments): a whole token of it is such a name or a known compound, apart
+from digits. A name alone takes out no html, body or main, no article that is
+not within another one, nothing that holds main and, but for reader comments,
+nothing that holds an article with more text than the rest of the page. If a page has an article or main element, its text is what
 stands inside; plain paragraphs, headings and lists of it are never taken for
 template text, however often copies repeat them.
 
@@ -65,16 +68,27 @@ NO_TEXT_NAMES = frozenset(
     "breadcrumb breadcrumbs sidebar aside footer masthead topbar cookie cookies consent gdpr notice notices notification alert "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "comment comments respond reply replies disqus discussion widget pagination pager toc skip search contentinfo complementary "
-    "dialog alertdialog".split())
-HEAD_NAMES = frozenset({"header"})
+    "dialog alertdialog "
+    "ad-banner ad-block ad-box ad-container ad-slot ad-unit ad-wrapper google-ad top-ad sponsored-content promo-box side-bar "
+    "main-nav main-navigation nav-bar nav-links nav-menu page-nav post-navigation primary-nav secondary-nav site-nav "
+    "site-navigation top-nav main-menu primary-menu secondary-menu site-menu top-menu side-menu mobile-menu menu-container "
+    "site-footer page-footer footer-menu footer-widgets widget-area sidebar-widget cookie-banner cookie-bar cookie-consent "
+    "cookie-notice gdpr-banner newsletter-form newsletter-signup subscribe-form share-bar share-buttons share-links "
+    "sharing-buttons social-icons social-links social-media social-share related-articles related-content related-links "
+    "related-posts recommended-posts comment-form comment-list comments-area comments-list comment-respond comments-section "
+    "skip-link skip-to-content search-box search-form toc-container breadcrumb-trail page-numbers".split())
+HEAD_NAMES = frozenset("header site-header page-header masthead-header".split())
+COMMENT_NAMES = frozenset("comment comments respond reply replies disqus discussion comment-form comment-list comments-area "
+                          "comments-list comment-respond comments-section".split())
 NOT_IN_TREE = frozenset("html body head meta link title script style base".split())
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "children", "dropped", "inside", "plain")
+    __slots__ = ("tag", "path", "parent", "children", "dropped", "named", "inside", "plain")
 
-    def __init__(self, tag: str, names: str, parent: "Element | None", dropped: bool):
+    def __init__(self, tag: str, names: str, parent: "Element | None", dropped: bool, named: frozenset[str] | set[str] = frozenset()):
         self.tag, self.parent = tag, parent
+        self.named = named  # what its class, id or role says against it
         self.path = (parent.path + ">" if parent and parent.path else "") + tag + names
         self.children: list[str] = []
         self.dropped = dropped or (parent is not None and parent.dropped)
@@ -88,6 +102,11 @@ def _names(attributes: dict[str, str]) -> set[str]:
     return {w for a in ("class", "id", "role") for w in re.split(r"[^a-z]+", attributes.get(a, "").lower()) if w}
 
 
+def _tokens(attributes: dict[str, str]) -> set[str]:
+    """Whole tokens of class, id and role, digits and signs apart."""
+    return {re.sub(r"[^a-z]+", "-", w).strip("-") for a in ("class", "id", "role") for w in attributes.get(a, "").lower().split()}
+
+
 class Page:
     """Elements in order and text blocks of a page: (element, text)."""
 
@@ -98,6 +117,7 @@ class Page:
         self._open = [self.root]
         self._text: list[str] = []
         self._parse(source)
+        self._drop_named()
         self.has_article = any(e.tag in ("article", "main") and not e.dropped for e in self.elements)
 
     def _flush(self) -> None:
@@ -148,10 +168,13 @@ class Page:
             names = _names(own)
             parent = self._open[-1]
             in_article = any(e.tag in ("article", "main") for e in self._open)
-            dropped = (tag in NO_TEXT or bool(names & NO_TEXT_NAMES) or "hidden" in own or own.get("aria-hidden") == "true"
+            dropped = (tag in NO_TEXT or "hidden" in own or own.get("aria-hidden") == "true"
                        or "display:none" in own.get("style", "").replace(" ", "").lower()
-                       or (not in_article and (tag == "header" or bool(names & HEAD_NAMES))))
-            element = Element(tag, "".join("." + n for n in sorted(names)), parent, dropped)
+                       or (not in_article and tag == "header"))
+            named = _tokens(own) & (NO_TEXT_NAMES if in_article else NO_TEXT_NAMES | HEAD_NAMES) if names else frozenset()
+            if tag in ("html", "body", "main") or (tag == "article" and not any(e.tag == "article" for e in self._open)):
+                named = frozenset()
+            element = Element(tag, "".join("." + n for n in sorted(names)), parent, dropped, named)
             if not parent.children or parent.children[-1] != tag:  # runs of equal children count once
                 parent.children.append(tag)
             self.elements.append(element)
@@ -162,6 +185,39 @@ class Page:
                 self._open.append(element)
         self._flush()
 
+    def _drop_named(self) -> None:
+        """Drop what its name says against, but not what holds the article."""
+        if not any(e.named for e in self.elements):
+            return
+        hard = {e for e in self.elements if e.dropped}
+        named: set[Element] = set()  # those that a name drops, with all below
+        comments: set[Element] = set()
+        for e in self.elements:
+            if e.named or e.parent in named:
+                named.add(e)
+            if e.named & COMMENT_NAMES or e.parent in comments:
+                comments.add(e)
+        mains = [e for e in self.elements if e.tag == "main" and e not in hard]
+        held = mains
+        if not mains:
+            articles = [e for e in self.elements if e.tag == "article" and not e.inside and e not in hard and e not in comments]
+            if articles and all(e in named for e in articles):
+                rest = sum(len(text) for e, text in self.blocks if e not in named and e not in hard)
+                inside = set(articles)
+                for e in self.elements:
+                    if e.parent in inside and not e.named and e not in hard:
+                        inside.add(e)
+                if sum(len(text) for e, text in self.blocks if e in inside) > rest:
+                    held = articles
+        kept: set[Element] = set()
+        for e in held:
+            node = e.parent
+            while node is not None and node not in kept:
+                kept.add(node)
+                node = node.parent
+        for e in self.elements:
+            e.dropped = e.dropped or e.parent.dropped or (bool(e.named) and e not in kept)
+
     def lines(self, unimportant: frozenset[str] = frozenset()) -> list[str]:
         out = []
         for element, text in self.blocks:
