@@ -86,3 +86,21 @@ def test_names_that_only_hold_a_word(source):
 ])
 def test_names_that_say_so(source, lines):
     assert st.Page(source).lines() == lines
+
+
+BODY = "<h2>A title</h2><p>A text that many pages of this host repeat word by word.</p><ul><li>one point</li></ul>"
+
+
+@pytest.mark.parametrize("form", [
+    "<html><script>track({k})</script><body><article><div class='entry-content'>BODY</div></article></body></html>",
+    "<body><!-- {k} --><div class=page><div class=text>BODY</div><div class=views>seen {k} times</div></div></body>",
+    "<body><div class=text>BODY</div><p class=date>day {k}</p></body>",
+    "<article><section class=one><p>first half, as long</p></section><section class=two><p>other half, as long</p></section></article><p>{k}</p>",
+])
+def test_near_copies_keep_their_text(spark, form):
+    rows = [(k, f"http://h/p{k}", form.replace("BODY", BODY).replace("{k}", str(k))) for k in range(12)]
+    other = [(100 + k, f"http://h/o{k}", form.replace("BODY", f"<p>own text {k} of a page</p>").replace("{k}", "0")) for k in range(3)]
+    for r in st.extract(frame(spark, rows + other)).collect():
+        want = st.Page((rows + other)[r.row.page_id if r.row.page_id < 100 else r.row.page_id - 88][2]).lines()
+        # what no page shares may go or stay, but the main text is whole
+        assert [x for x in want if not x.startswith(("seen", "day"))] == [x for x in r.text.split("\n") if not x.startswith(("seen", "day"))]

@@ -6,7 +6,8 @@ host's pages: of the element's presentation (the sequence of its children's
 tags) and of the text below it. Their entropies, to the base of the number of
 pages, give its importance: presentation that never varies and text that is
 the same everywhere count for little, and branches of low importance are taken
-out of each page. Pages of equal html count once.
+out of each page. Pages of equal main text count once, and the number of pages
+is that of distinct ones.
 
 Before that, what marks itself as no part of an article goes: scripts, styles,
 navigation, page headers, footers, asides, forms, dialogs, hidden elements and
@@ -16,7 +17,10 @@ from digits. A name alone takes out no html, body or main, no article that is
 not within another one, nothing that holds main and, but for reader comments,
 nothing that holds an article with more text than the rest of the page. If a page has an article or main element, its text is what
 stands inside; plain paragraphs, headings and lists of it are never taken for
-template text, however often copies repeat them.
+template text, however often copies repeat them. Nor is, on any page, what holds
+more than half of the shown text, whatever its name, with the plain paragraphs,
+headings and lists in the innermost such element: a page with hardly any text of
+its own keeps a longer notice rather than that a text is lost.
 
 Character references are decoded, white space within a block becomes one
 space, and blocks stand in page order, one to a line. Nothing is cut off.
@@ -61,6 +65,7 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = frozenset("ul ol dl table article section div main body html td th".split())
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure "
                     "figcaption section div".split())
+TEXT_TAGS = CONTENT - {"section", "div", "figure"}
 NO_TEXT = frozenset("script style noscript template iframe object embed svg math canvas head title nav footer aside form button "
                     "select textarea input dialog menu noembed noframes xmp audio video".split())
 NO_TEXT_NAMES = frozenset(
@@ -119,6 +124,7 @@ class Page:
         self._parse(source)
         self._drop_named()
         self.has_article = any(e.tag in ("article", "main") and not e.dropped for e in self.elements)
+        self._mark_main()
 
     def _flush(self) -> None:
         if self._text:
@@ -218,12 +224,42 @@ class Page:
         for e in self.elements:
             e.dropped = e.dropped or e.parent.dropped or (bool(e.named) and e not in kept)
 
+    def _shown(self) -> Iterator[tuple[Element, str]]:
+        for e, text in self.blocks:
+            if not e.dropped and (not self.has_article or e.inside or e.tag in ("article", "main")):
+                yield e, text
+
+    def _mark_main(self) -> None:
+        """What holds more than half of the shown text is main text, and so are
+        the unnamed content elements of the innermost such element."""
+        below: dict[Element, int] = {}
+        total = 0
+        for e, text in self._shown():
+            total += len(text)
+            while e is not None:
+                below[e] = below.get(e, 0) + len(text)
+                e = e.parent
+        main = [e for e in self.elements if 2 * below.get(e, 0) > total]  # one branch, from the root down
+        core = next((e for e in reversed(main) if e.tag not in TEXT_TAGS), None)
+        for e in main:
+            e.plain = True
+        for e in self.elements:
+            if not e.plain and e.tag in CONTENT and "." not in e.path.rpartition(">")[2]:
+                e.plain = e.parent is core or (e.parent.plain and e.parent not in main)
+
+    def body(self) -> str:
+        """The text by which copies of a page are known: that of its article, or
+        of paragraphs, headings, lists and tables if most of its text is there."""
+        shown = list(self._shown())
+        if not self.has_article:
+            content = [(e, text) for e, text in shown if e.tag in TEXT_TAGS]
+            if 2 * sum(len(text) for _, text in content) > sum(len(text) for _, text in shown):
+                shown = content
+        return "\n".join(text for _, text in shown)
+
     def lines(self, unimportant: frozenset[str] = frozenset()) -> list[str]:
         out = []
-        for element, text in self.blocks:
-            inside = element.inside or element.tag in ("article", "main")
-            if element.dropped or (self.has_article and not inside):
-                continue
+        for element, text in self._shown():
             node, low = element, False
             while node is not None and not low:
                 low = not node.plain and node.tag not in ("article", "main") and node.path in unimportant
@@ -258,15 +294,17 @@ def host_of(url: Column) -> Column:
 
 def tree_features(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(host, path, kind, feature, page): the elements of every page of a site;
-    page is the digest of its html."""
+page is the digest of its main text, so copies that differ in a counter or a
+    tracking value are one page."""
     src = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("host is not null and html <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, rows=256):
             rows: set[tuple] = set()
             for host, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                page = _digest(text)
-                rows.update((host, path, kind, feature, page) for path, kind, feature in Page(text).features())
+                parsed = Page(text)
+                page = _digest(parsed.body())
+                rows.update((host, path, kind, feature, page) for path, kind, feature in parsed.features())
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary()))],
@@ -283,14 +321,16 @@ def importance(features: DataFrame, gamma: float = 0.9) -> DataFrame:
     counts = once.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
     seen = counts.groupBy("host", "path", "kind").agg(
         F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"))
-    entropy = F.when(F.col("total") > 1, F.least(F.lit(1.0), (F.log("total") - F.col("n_log_n") / F.col("total")) / F.log("total"))) \
+    pages = once.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count("*").alias("pages"))
+    seen = seen.join(pages, ["host", "path"])
+    entropy = F.when(F.col("pages") > 1, F.least(F.lit(1.0), (F.log("total") - F.col("n_log_n") / F.col("total")) / F.log("pages"))) \
         .otherwise(F.lit(1.0))
     seen = seen.withColumn("entropy", entropy)
     both = seen.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == 0, F.col("entropy"))).alias("look"),
         F.max(F.when(F.col("kind") == 1, F.col("entropy"))).alias("text"),
         F.max(F.when(F.col("kind") == 0, F.col("kinds"))).alias("looks"),
-        F.max(F.when(F.col("kind") == 1, F.col("total"))).alias("pages"))
+        F.max("pages").alias("pages"))
     weight = F.pow(F.lit(gamma), F.col("looks"))
     return both.select("host", "path", "pages", ((1 - weight) * F.col("look") + weight * F.col("text")).alias("importance"))
 
