@@ -91,3 +91,32 @@ def test_cells_come_nearest_first():
     order = grid.nearest(x, 25)
     assert (np.diff(np.take_along_axis(d, order, 1), axis=1) >= 0).all() and (np.sort(order, 1) == np.arange(25)).all()
     assert (grid.nearest(x, 4) == order[:, :4]).all()
+
+
+def rare(n=2500, pairs=40, cosine=0.94):
+    """Random directions, of which a few have one near copy."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(pairs):
+        away = rng.normal(size=64)
+        away -= (away @ x[k]) * x[k]
+        x[n - 1 - k] = cosine * x[k] + math.sqrt(1 - cosine ** 2) * away / np.linalg.norm(away)
+    return x
+
+
+def test_all_cells_in_reach_hold_all_links():
+    x = rare()
+    grid = multi_index.Grid(multi_index.kmeans(x[:, :32], 6, seed=3), multi_index.kmeans(x[:, 32:], 6, seed=4))
+    home, reach = grid.nearest(x, 1)[:, 0], grid.in_reach(x, 0.93)
+    assert all(home[len(x) - 1 - k] in reach[k] and home[k] in reach[len(x) - 1 - k] for k in range(40))
+    assert all(h in r for h, r in zip(home, reach)) and all(len(set(r.tolist())) == len(r) for r in reach)
+
+
+def test_rare_links_are_found(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "grid_size", lambda n: 6)
+    data = [(k, [float(np.float32(c)) for c in v], 1) for k, v in enumerate(rare())]
+    got = multi_index.near_duplicates(frame(spark, data), probes=32).collect()
+    want = {k for k in range(40)} | {2499 - k for k in range(40)}
+    assert {r.id: r.n_links for r in got if r.n_links} == dict.fromkeys(want, 1)
+    assert sum(r.component_id != r.id for r in got) == 40

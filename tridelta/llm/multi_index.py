@@ -14,7 +14,11 @@ vectors of different length.
    the two halves' distances (the order in which a multi-sequence traversal
    yields them). How many are visited follows from ``probes`` classes that are
    compared with all others by brute force: as many cells as hold, for the
-   average probe, ``recall`` of its true links.
+   average probe, ``recall`` of its true links. Probes are drawn, ``probes``
+   at a time and ``ROUNDS`` times at most, until ``LINKED`` of them have links.
+   Where links are rarer than that, nothing is estimated: a vector visits every
+   cell that can hold a vector at the threshold (by its distance from the
+   bisecting planes of the codewords), and all links are found.
 4. In every cell the visitors are compared with those filed there. Crowded
    cells are cut into blocks of members and of visitors, so a task holds at most
    two blocks of vectors. What leaves is one row per vector and block pair:
@@ -43,6 +47,8 @@ from .ngram_join import roots
 
 SAMPLE, PROBES, BLOCK = 20_000, 1024, 1024
 RECALL = 0.9999
+LINKED, ROUNDS = 256, 8
+ALL_IN_REACH = 0
 
 
 def grid_size(n: int) -> int:
@@ -86,6 +92,27 @@ class Grid:
         return np.take_along_axis(some, np.lexsort((some, order), axis=1), 1).astype(np.int32)
 
 
+    def in_reach(self, unit: np.ndarray, threshold: float) -> list[np.ndarray]:
+        """All cells in which a vector of at least this cosine can be filed, of
+        each vector, nearest first."""
+        half = self.first.shape[1]
+        bounds, squares = [], []
+        for x, words in ((unit[:, :half], self.first), (unit[:, half:], self.second)):
+            d = _distances(x, words)
+            apart = np.sqrt(_distances(words, words))
+            # a vector nearer to word a than to b is beyond the plane between them
+            steps = (d[:, :, None] - d[:, None, :]) / np.where(apart > 1e-9, 2 * apart, np.inf)[None, :, :]
+            bounds.append(np.maximum(0, steps.max(axis=2)) ** 2)
+            squares.append(d)
+        far = (bounds[0][:, :, None] + bounds[1][:, None, :]).reshape(len(unit), -1)
+        order = (squares[0][:, :, None] + squares[1][:, None, :]).reshape(len(unit), -1)
+        out = []
+        for f, o in zip(far, order):
+            cells = np.flatnonzero(f <= 2 - 2 * threshold + 1e-9)
+            out.append(cells[np.lexsort((cells, o[cells]))].astype(np.int32))
+        return out
+
+
 def units(raw: list[bytes], width: int) -> np.ndarray:
     """Normalised vectors in double precision, filled up with zeros."""
     out = np.zeros((len(raw), width))
@@ -135,8 +162,26 @@ def fit_grid(classes: DataFrame, width: int, n: int, sample: int) -> Grid:
 
 def choose_cells(classes: DataFrame, grid: Grid, width: int, threshold: float, probes: int, recall: float) -> int:
     """Cells to visit: the probes' links are found by brute force over all
-    classes, and the rank of each link's cell is counted."""
-    picked = classes.select("kin", "raw", "key").orderBy(F.xxhash64("key", F.lit(1)), "key").limit(probes).collect()
+    classes, and the rank of each link's cell is counted. ALL_IN_REACH if too
+    few probes have links to tell."""
+    shares = np.zeros((0, len(grid.first) * len(grid.second)))
+    for turn in range(ROUNDS):
+        picked = classes.select("kin", "raw", "key").orderBy(F.xxhash64("key", F.lit(1)), "key").limit((turn + 1) * probes).collect()
+        mine = picked[turn * probes:]
+        if mine:
+            shares = np.concatenate([shares, _probe_links(classes, grid, width, threshold, mine)])
+        if len(shares) >= LINKED or len(mine) < probes:
+            break
+    if len(mine) == probes and len(shares) < LINKED:  # neither enough links nor all classes
+        return ALL_IN_REACH
+    if not len(shares):
+        return 1  # every class was a probe and none has a link
+    reached = np.cumsum(shares / shares.sum(1, keepdims=True), axis=1).mean(axis=0)
+    return int(np.searchsorted(reached, recall - 1e-9)) + 1
+
+
+def _probe_links(classes: DataFrame, grid: Grid, width: int, threshold: float, picked: list) -> np.ndarray:
+    """Links by the rank of their cell, one row per probe that has any."""
     probe = units([bytes(r["raw"]) for r in picked], width)
     kin = np.array([r["kin"] for r in picked])
     place = {bytes(r["key"]): k for k, r in enumerate(picked)}
@@ -168,25 +213,25 @@ def choose_cells(classes: DataFrame, grid: Grid, width: int, threshold: float, p
     share = np.zeros((len(probe), total))
     for r in seen:
         share[r["probe"], r["place"]] += r["n"]
-    share = share[share.sum(1) > 0]
-    if not len(share):
-        return 1
-    reached = np.cumsum(share / share.sum(1, keepdims=True), axis=1).mean(axis=0)
-    return int(np.searchsorted(reached, recall - 1e-9)) + 1
+    return share[share.sum(1) > 0]
 
 
-def filed(classes: DataFrame, grid: Grid, width: int, cells: int) -> DataFrame:
-    """classes with home (their cell) and visits (cells, nearest first)."""
+def filed(classes: DataFrame, grid: Grid, width: int, cells: int, threshold: float) -> DataFrame:
+    """classes with home (their cell) and visits (cells, nearest first): as many
+    as ``cells``, or all in reach."""
     src = classes.select("kin", "key", "raw", "weight")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                visits = grid.nearest(units(b.column(2).to_pylist(), width), cells)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * visits.shape[1]), pa.array(visits.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(visits[:, 0]), lists], [*b.schema.names, "home", "visits"])
+            step = 64 if cells == ALL_IN_REACH else 1024
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                unit = units(b.column(2).to_pylist(), width)
+                visits = grid.in_reach(unit, threshold) if cells == ALL_IN_REACH else list(grid.nearest(unit, cells))
+                ends = np.cumsum([0, *map(len, visits)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(visits)))
+                home = pa.array(grid.nearest(unit, 1)[:, 0] if cells == ALL_IN_REACH else np.array([v[0] for v in visits], np.int32))
+                yield pa.RecordBatch.from_arrays([*b.columns, home, lists], [*b.schema.names, "home", "visits"])
 
     return map_arrow(src, run, "kin string, key binary, raw binary, weight bigint, home int, visits array<int>")
 
@@ -223,7 +268,10 @@ def verify(rows: DataFrame, width: int, threshold: float, block: int = BLOCK) ->
         if not near.any():
             return pd.DataFrame({"key": [], "links": [], "root": []})
         # a member that visits its visitor's cell counts the link there
-        home, visits = v["home"].to_numpy(), np.stack(m["visits"].to_numpy())
+        home, own = v["home"].to_numpy(), m["visits"].tolist()
+        visits = np.full((len(own), max(map(len, own))), -1)
+        for k, cells in enumerate(own):
+            visits[k, :len(cells)] = cells
         kept = np.unique(home)
         known = np.stack([(visits == h).any(axis=1) for h in kept])[np.searchsorted(kept, home)]
         for_v = near @ m["weight"].to_numpy()
@@ -257,7 +305,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         width = int(stats["width"]) + int(stats["width"]) % 2
         grid = fit_grid(classes, width, stats["n"], sample)
         cells = choose_cells(classes, grid, width, threshold, probes, recall)
-        found = store(verify(store(filed(classes, grid, width, cells), "index-filed"), width, threshold), "index-links")
+        found = store(verify(store(filed(classes, grid, width, cells, threshold), "index-filed"), width, threshold), "index-links")
     else:
         found = classes.select("key", F.col("weight").alias("links"), F.col("key").alias("root"))
     groups = components(found, "key", "root")
