@@ -69,3 +69,23 @@ def test_same_forest_again(spark, corpus, forest):
 def test_no_python_in_the_plan(spark, corpus, forest):
     plan = sf.redact(edge.frame(spark, corpus), forest)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("text,value", [
+    ('password = "p@ss!w0rd#12345"', "p@ss!w0rd#12345"), ('password = "Tr0ub4dor&3xyz" end', "Tr0ub4dor&3xyz"),
+    ("password:   hunter2abcd, then", "hunter2abcd"), ('token => "abcd1234efgh"', "abcd1234efgh"),
+    ("postgres://app:s3cr.t!pw@db/x", "s3cr.t!pw"), ("{'api_key': 'a$b1%c2^d3'}", "a$b1%c2^d3"),
+    ("DB_PASSWORD=x.y!z~9. Then", "x.y!z~9"),
+])
+def test_whole_values_are_candidates(spark, text, value):
+    rows = sf.with_candidates(edge.frame(spark, [(1, text, "en", "a")])).select("hits").head()
+    assert list(rows.hits) == [value]
+
+
+def test_whole_values_are_redacted(spark):
+    rng = random.Random(5)
+    odd = lambda: "".join(rng.choice("abcdefgh12345678!#$%&*+") for _ in range(14)) + "a1"
+    rows = [(k, f"the street password = \"{odd()}\" and the {'word' * 5} house {k}", "en", "a") for k in range(100)]
+    found = sf.train(edge.frame(spark, rows), WORDS)
+    out = sf.redact(edge.frame(spark, [(1, 'so password = "p@ss!w0rd#1234567" here', "en", "a")]), found)
+    assert out.head().text == 'so password = "[SECRET]" here'

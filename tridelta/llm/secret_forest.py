@@ -1,7 +1,9 @@
 """Secret scan: pattern candidates, of which a random forest keeps the real ones.
 
-Candidates are runs of key characters in the whole text: long ones anywhere,
-shorter ones where something is assigned. A forest trained from labelled
+Candidates are the whole values that are assigned to a keyword (any characters
+but white space and quotes, from ``VALUE`` on; quoted or not, after = : or =>),
+the passwords in URLs, and runs of key characters in the whole text: long ones
+anywhere, shorter ones where something is assigned. A forest trained from labelled
 findings removes false positives; it looks at the candidate's length, its
 character classes and the transitions between them, its entropy, how much of
 it and of its neighbours dictionary words cover, the path it was found under
@@ -37,10 +39,18 @@ from pyspark.sql import functions as F
 from .common import store
 
 RUN = "[A-Za-z0-9+/_-]"
-LONG, SHORT = 16, 8
-CANDIDATE = (f"(?<!{RUN})(?:{RUN}{{{LONG},}}|(?<=[=:] ?[\"']?){RUN}{{{SHORT},{LONG - 1}}}(?!{RUN}))")
-BEFORE, AFTER = 48, 24
+LONG, SHORT, VALUE = 16, 8, 4
 KEYWORDS = "password|passwd|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer"
+# what stands between a keyword and its value; bounded, as it is looked at from behind
+ASSIGN = "[A-Za-z0-9_.-]{0,24}[\"'\\]]{0,2}[ \\t]{0,8}(?:=>|:=|[=:])[ \\t]{0,8}[\"'`]?"
+IN_URL = "://[^\\s:/@]{1,64}:"
+CANDIDATE = (
+    # the first two look-behinds only spare the third at most places
+    f"(?<=[=:> \\t\"'`])(?<=[=:>][ \\t]{{0,8}}[\"'`]?)(?<=(?i:{KEYWORDS}){ASSIGN})"
+    f"(?:(?<=[\"'`])[^\\s\"'`]{{{VALUE},}}(?=[\"'`])|(?![=>])[^\\s\"'`]{{{VALUE - 1},}}[^\\s\"'`.,;:!?)\\]}}>])"
+    f"|(?<=:)(?<={IN_URL})[^\\s/@\"'`]{{{VALUE},}}(?=@)"
+    f"|(?<!{RUN})(?:{RUN}{{{LONG},}}|(?<=[=:] ?[\"']?){RUN}{{{SHORT},{LONG - 1}}}(?!{RUN}))")
+BEFORE, AFTER = 48, 24
 HARMLESS_PATH = "test|example|sample|demo|mock|fixture|doc"
 
 
@@ -92,7 +102,7 @@ def feature_sql(words: str) -> dict[str, str]:
         "covered_after": _coverage("c.after", words),
         "keyword_before": f"int(lower(c.before) rlike {_sql('(' + KEYWORDS + ')')})",
         "keyword_word": f"int(lower({last_word}) rlike {_sql('(' + KEYWORDS + ')')})",
-        "assigned": r"""int(c.before rlike '[=:]\\s*["\']?$')""",
+        "assigned": r"""int(c.before rlike '[=:]>?\\s*["\']?$')""",
         "quoted": r"""int(c.before rlike '["\']$' and c.after rlike '^["\']')""",
         "apart": r"""int((c.before = '' or c.before rlike '[\\s"\'=:]$') and (c.after = '' or c.after rlike '^[\\s"\'.,;]'))""",
         "path_depth": f"(length({path}) - length(replace({path}, '/', '')))",
@@ -161,7 +171,7 @@ def format_labels(cands: DataFrame) -> DataFrame:
     """Label findings (value, before, after, path) by what is known of formats."""
     known = F.col("value").rlike("^AKIA[A-Z0-9]{16}$")
     random = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") & (F.length("value") >= LONG)
-    assigned = F.lower("before").rlike(rf"({KEYWORDS})[\"']?\s*[=:]\s*[\"']?$")
+    assigned = F.lower("before").rlike(f"(?:(?:{KEYWORDS}){ASSIGN}|{IN_URL})$")
     plain = F.col("value").rlike("^[A-Za-z]?[a-z]+$") | F.col("value").rlike("^[0-9]+$") | F.col("value").rlike("^[A-Za-z]+([-_/][A-Za-z]+)+$")
     label = F.when(known | (random & assigned), F.lit(1)).when(plain & ~assigned, F.lit(0))
     return cands.withColumn("label", label).where("label is not null")
