@@ -89,3 +89,27 @@ def test_whole_values_are_redacted(spark):
     found = sf.train(edge.frame(spark, rows), WORDS)
     out = sf.redact(edge.frame(spark, [(1, 'so password = "p@ss!w0rd#1234567" here', "en", "a")]), found)
     assert out.head().text == 'so password = "[SECRET]" here'
+
+
+def test_words_around_are_those_of_the_text(spark):
+    texts = ["AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG end", "service_account_password: x1y2z3w4v5u6t7s8",
+             f"eyJhbGciOiJIUzI1NiJ9.{'ab1' * 9}.{'Zx9_' * 30}.{'q' * 16}", "é" * 60 + " token=abcd,pwd=efgh;pwd=ijkl,pwd=mnop pwd=qrst" + " pwd=abcd" * 30]
+    for text in texts:
+        row = sf.with_candidates(edge.frame(spark, [(1, text, "en", "a")])).head()
+        at = 0
+        assert len(row.cands) == len(row.hits) > 1
+        for part, c in zip(row.parts, row.cands):
+            at += len(part)
+            end = at + len(c.value)
+            assert text[at:end] == c.value and c.before == text[max(0, at - sf.BEFORE):at] and c.after == text[end:end + sf.AFTER]
+            at = end
+    empty = sf.with_candidates(edge.frame(spark, [(1, None, "en", "a"), (2, "", "en", "a")])).collect()
+    assert not any(r.cands for r in empty)
+
+
+@pytest.mark.parametrize("text,value", [
+    ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG", "wJalrXUtnFEMI/K7MDENG"), ("service_account_password: x1y2z3w4v5u6t7s8", "x1y2z3w4v5u6t7s8"),
+    ("password=hunter2ab", "hunter2ab"), ("pwd: abc123def456", "abc123def456")])
+def test_assigned_values_are_positive(spark, text, value):
+    cands = sf.with_candidates(edge.frame(spark, [(1, text, "en", "a")])).selectExpr("inline(cands)")
+    assert {r.value: r.label for r in sf.format_labels(cands).collect()}.get(value) == 1

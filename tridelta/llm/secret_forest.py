@@ -16,8 +16,9 @@ very many needs no shuffle.
 
 ``fit`` takes labelled findings (value, before, after, path, label).
 ``format_labels`` makes them where nobody has labelled any: well-known formats
-and assigned random values are positive, plain words and numbers negative,
-everything between gets no label. At most ``train_rows`` of each label are
+and assigned values of mixed characters (``SHORT`` at least) are positive, plain
+words and numbers negative, everything between gets no label. Words before and
+after a candidate are those of the text, whether candidates themselves or not. At most ``train_rows`` of each label are
 used, those with the smallest hash.
 
 Null and empty text: no candidates, text unchanged. Null path: the path
@@ -119,9 +120,16 @@ def with_candidates(docs: DataFrame, text_col: str = "text", path_col: str | Non
                        F.col(f"`{text_col}`").alias("text"),
                        F.regexp_extract_all(f"`{text_col}`", F.lit(CANDIDATE), F.lit(0)).alias("hits"))
     rows = rows.withColumn("parts", F.when(F.size("hits") > 0, F.split("text", CANDIDATE, -1)))
+    # before and after run through neighbouring hits; so many of at least VALUE characters are always enough
+    back, ahead = -(-BEFORE // VALUE), -(-AFTER // VALUE)
+    rows = rows.withColumn("befores", F.expr(f"transform(hits, (h, i) -> concat(right(parts[i], {BEFORE}), right(h, {BEFORE})))"))
+    rows = rows.withColumn("afters", F.expr(f"transform(hits, (h, i) -> concat(left(h, {AFTER}), left(parts[i + 1], {AFTER})))"))
+    # both are used twice, so that the optimiser does not write them out within the loop
     return rows.withColumn("cands", F.expr(
-        f"transform(hits, (h, i) -> named_struct('value', h, 'before', right(parts[i], {BEFORE}), "
-        f"'after', left(parts[i + 1], {AFTER}), 'path', path, 'pos', i))"))
+        "transform(slice(hits, 1, least(size(befores), size(afters))), (h, i) -> named_struct('value', h, "
+        f"'before', right(concat(array_join(slice(befores, greatest(1, i + 1 - {back}), least(i, {back})), ''), parts[i]), {BEFORE}), "
+        f"'after', left(concat(left(parts[i + 1], {AFTER}), array_join(slice(afters, i + 2, {ahead}), '')), {AFTER}), "
+        "'path', path, 'pos', i))"))
 
 
 @dataclass(frozen=True)
@@ -170,7 +178,7 @@ def fit(labelled: DataFrame, words: str, trees: int = 20, depth: int = 6, train_
 def format_labels(cands: DataFrame) -> DataFrame:
     """Label findings (value, before, after, path) by what is known of formats."""
     known = F.col("value").rlike("^AKIA[A-Z0-9]{16}$")
-    random = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") & (F.length("value") >= LONG)
+    random = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") & (F.length("value") >= SHORT)
     assigned = F.lower("before").rlike(f"(?:(?:{KEYWORDS}){ASSIGN}|{IN_URL})$")
     plain = F.col("value").rlike("^[A-Za-z]?[a-z]+$") | F.col("value").rlike("^[0-9]+$") | F.col("value").rlike("^[A-Za-z]+([-_/][A-Za-z]+)+$")
     label = F.when(known | (random & assigned), F.lit(1)).when(plain & ~assigned, F.lit(0))
