@@ -87,3 +87,11 @@ def test_files_of_edge_cases(spark):
 
 def test_empty_table(spark):
     assert token_file.round_trip(spark, edge.frame(spark, []), PATH, 2).count() == 0
+
+
+def test_added_tokens_are_encoded_as_the_library_does():
+    tok = Tokenizer.from_file(PATH)
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b c", "plain words here", "<|endof text|>"]
+    want = [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert 50256 in want[0]
+    assert [x.tolist() for x in encoder().encode(texts)] == want

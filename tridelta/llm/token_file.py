@@ -15,7 +15,8 @@ whole corpus, from a sum over the shards and one over each shard's segments.
 Texts are split at single spaces between two characters that are not white
 space; no match of the tokenizer's byte-level split pattern crosses such a
 place, so what lies between encodes alone to the same ids. Each distinct
-piece of a batch is encoded once. Texts with other spaces are encoded whole.
+piece of a batch is encoded once. Texts with other spaces, and those that hold
+the string of an added token, are encoded whole.
 
 Null text: the empty text (only the end id). Null ids sort first, repeated
 rows stay rows of their own, in any order among themselves. Other columns of
@@ -54,7 +55,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        # one with white space could arise where pieces are put together: then every text goes whole
+        self.added = re.compile("" if any(c.isspace() for t in added for c in t) else "|".join(map(re.escape, added)) or "(?!)")
         self.end_id = end_id
         # a character of a byte-level token stands for one byte
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -87,7 +90,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        plain = [k for k, t in enumerate(texts) if not UNSAFE_SPACE.search(t)]
+        plain = [k for k, t in enumerate(texts) if not UNSAFE_SPACE.search(t) and not self.added.search(t)]
         odd = sorted(set(range(len(texts))) - set(plain))
         for k, ids in zip(odd, self.whole([texts[k] for k in odd])):
             out[k] = np.append(ids, np.uint32(self.end_id))
