@@ -13,11 +13,13 @@ COLUMNS = {
     "op4_byte_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
     "op5_warc": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
     "op10_style_tree": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
+    "op13_fill_middle": {"doc_id": "bigint", "n": "bigint", "form": "string", "prefix_chars": "bigint", "middle_chars": "bigint",
+                         "output_sha256": "string", "restored_sha256": "string"},
 }
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 11), 13]
     assert {*QUERIES, "pipeline"} <= set(se.queries()) and set(ORACLES) <= set(QUERIES)
 
 
