@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -44,6 +47,20 @@ def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def per_worker(key: tuple, make: Callable):
+    """What ``make`` returns, made once per Python worker process and kept for
+    its later tasks. The functions of this package are shipped by value, so
+    globals of their own do not outlive a task; a module made here does. The
+    tokenizer libraries are told beforehand not to start threads of their own,
+    as Spark already runs a task per core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    name = "tridelta_llm_worker"
+    kept = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512,
                   byte_limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a worker holds a bounded number of bytes of

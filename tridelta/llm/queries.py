@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_rank, curriculum, fill_middle, multi_index, ngram_join, rff_quality, secret_forest, style_tree, token_file, warc, weak_rules
+from . import bpe_rank, curriculum, fill_middle, multi_index, ngram_join, rff_quality, secret_forest, style_tree, token_align, token_file, warc, weak_rules
 from .common import read
 
 
@@ -140,6 +140,13 @@ def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.page_id", "row.url", "text", "n_chars")
 
 
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of two tokenizers over every whole document, aligned."""
+    found = token_align.measure(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    return found.select("row.doc_id", *found.columns[1:])
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document rewritten for infilling, and taken back out."""
     out = fill_middle.rewrite(read(spark, sf_dir, "documents"), seed=1, keep=["doc_id"])
@@ -178,6 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rff_quality": op8_rff_quality,
     "op9_weak_rules": op9_weak_rules,
     "op10_style_tree": op10_style_tree,
+    "op12_token_align": op12_token_align,
     "op13_fill_middle": op13_fill_middle,
 }
 
