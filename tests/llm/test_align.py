@@ -39,6 +39,19 @@ def test_groups_are_the_common_ends(lanes):
     assert sorted(zip(a.tolist(), b.tolist())) == want
 
 
+KEPT: list = []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abé 's1!\n\t <|>▁")), max_size=40), max_size=6))
+def test_pieces_encode_like_whole_texts(texts):
+    KEPT[:] = KEPT or [ta.Aligner(A, B), Plain()]
+    made, plain = KEPT
+    found = made.encoder.encode(texts)
+    assert [x.tolist() for x in found[0]] == [plain.a.encode(" " + t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in found[1]] == [plain.b.encode(t) for t in texts]
+
+
 class Plain:
     """Whole texts through the libraries; groups and links by comparing all tokens."""
 

@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 import edge
 from tridelta.llm import idcoder, token_file
+from tridelta.llm.piecewise import PieceEncoder, byte_level
 from tridelta.session import scratch_path
 
 PATH = P.path("byte_bpe_50k.json")
@@ -55,13 +56,13 @@ def test_damage_is_found():
 @given(st.lists(st.text(alphabet=st.sampled_from(list("abé 's1!\n\t <|>")), max_size=40), max_size=6))
 def test_pieces_encode_like_whole_texts(texts):
     enc = encoder()
-    whole = [np.append(x, 2).tolist() for x in enc.whole(texts)] if texts else []
-    assert [x.tolist() for x in enc.encode(texts)] == whole
+    whole = [x.tolist() for x in enc.models[0].whole(texts)] if texts else []
+    assert [x.tolist() for x in enc.encode(texts)[0]] == whole
 
 
 def encoder(_kept=[]):
     if not _kept:
-        _kept.append(token_file.PieceEncoder(PATH, 2))
+        _kept.append(PieceEncoder([byte_level(PATH, specials=True)[0]]))
     return _kept[0]
 
 
@@ -94,4 +95,4 @@ def test_added_tokens_are_encoded_as_the_library_does():
     texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b c", "plain words here", "<|endof text|>"]
     want = [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts]
     assert 50256 in want[0]
-    assert [x.tolist() for x in encoder().encode(texts)] == want
+    assert [x.tolist() + [2] for x in encoder().encode(texts)[0]] == want

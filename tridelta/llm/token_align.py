@@ -47,6 +47,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from .bpe_rank import safe_pieces
 from .common import map_arrow, per_worker, small_batches, store
+from .piecewise import Model, PieceEncoder, byte_level
 from .shingles import mix
 
 PIECE_CHARS = 1024
@@ -69,22 +70,12 @@ class ByteLevelSide:
     """A byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model, vocab = byte_level(path, specials=False)
         of = byte_alphabet()
-        vocab = self.model.get_vocab(with_added_tokens=False)
         self.bytes_of = [b""] * (max(vocab.values()) + 1)
         for token, k in vocab.items():
             self.bytes_of[k] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
 
-    def encode(self, pieces: list[str], at_once: int = 256) -> list[list[int]]:
-        out = []
-        for k in range(0, len(pieces), at_once):  # an Encoding takes far more room than its ids
-            out += [e.ids for e in self.model.encode_batch_fast(pieces[k:k + at_once], add_special_tokens=False)]
-        return out
-
 
 class PieceSide:
     """A sentencepiece model, which puts a space in front of what it encodes."""
@@ -92,15 +83,14 @@ class PieceSide:
     def __init__(self, path: str):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        names = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        names = [model.id_to_piece(k) for k in range(model.get_piece_size())]
         if any(re.search(f"[^{SPACE_SIGN}]{SPACE_SIGN}", p) for p in names):
             raise ValueError("the model has pieces that reach over a space: texts cannot be cut there")
-        self.bytes_of = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(k) else p.replace(SPACE_SIGN, " ").encode()
+        self.bytes_of = [bytes([int(p[3:-1], 16)]) if model.is_byte(k) else p.replace(SPACE_SIGN, " ").encode()
                          for k, p in enumerate(names)]
-
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        return self.model.encode([p[1:] for p in pieces], num_threads=1)
+        self.model = Model(lambda texts: model.encode([t[1:] for t in texts], num_threads=1),
+                           np.array([len(x) for x in self.bytes_of], np.int64), re.compile(SPACE_SIGN))
 
 
 # ---------------------------------------------------------------- the alignment
@@ -192,6 +182,7 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         self.sides = ByteLevelSide(path_a), PieceSide(path_b)
+        self.encoder = PieceEncoder([s.model for s in self.sides], lead=True)
         self.sizes = [np.array([len(x) for x in s.bytes_of], np.int64) for s in self.sides]
         # decimal ids with what follows them: another of the same side, or the end of the group's side
         signs = [f"{k}{sign}" for s, end in zip(self.sides, "|;") for k in range(len(s.bytes_of)) for sign in (",", end)]
@@ -201,12 +192,11 @@ class Aligner:
     def _tokens(self, pieces: list[str]) -> tuple[list, list[bool]]:
         """Ids of either side, and whether a piece's tokens give its bytes."""
         raw = [p.encode() for p in pieces]
-        found, right = [], [True] * len(pieces)
-        for side in self.sides:
-            ids = side.encode(pieces)
-            found.append(ids)
+        found = self.encoder.encode([p[1:] for p in pieces])
+        right = [True] * len(pieces)
+        for side, ids in zip(self.sides, found):
             get = side.bytes_of.__getitem__
-            right = [ok and b"".join(map(get, own)) == text for ok, own, text in zip(right, ids, raw)]
+            right = [ok and b"".join(map(get, own.tolist())) == text for ok, own, text in zip(right, ids, raw)]
         return found, right
 
     def groups_of(self, texts: list[str | None]) -> Iterator[tuple]:
@@ -235,8 +225,9 @@ class Aligner:
         docs = np.array([held[k][0] for k in fine], np.int64)
         ids, ends, firsts = [], [], []
         for own, sizes in zip((a, b), self.sizes):
-            counts = np.array([len(own[k]) for k in fine], np.int64)
-            flat = np.fromiter((t for k in fine for t in own[k]), np.int64, int(counts.sum()))
+            own = [own[k] for k in fine]
+            counts = np.array([len(x) for x in own], np.int64)
+            flat = np.concatenate([np.zeros(0, np.int64), *own]).astype(np.int64)
             ids.append(flat)
             ends.append(np.cumsum(sizes[flat]))
             firsts.append(np.concatenate([[0], np.cumsum(counts)]).astype(np.int64))

@@ -12,11 +12,9 @@ that Spark writes will do, and a lost task is simply run again.
 row per document with its ids and its start: the number of ids before it in the
 whole corpus, from a sum over the shards and one over each shard's segments.
 
-Texts are split at single spaces between two characters that are not white
-space; no match of the tokenizer's byte-level split pattern crosses such a
-place, so what lies between encodes alone to the same ids. Each distinct
-piece of a batch is encoded once. Texts with other spaces, and those that hold
-the string of an added token, are encoded whole.
+Ids come from the distinct pieces of each batch (``piecewise``); one encoder
+serves all tasks of a worker, and it starts no threads of its own. Texts that
+hold the string of an added token are encoded whole.
 
 Null text: the empty text (only the end id). Null ids sort first, repeated
 rows stay rows of their own, in any order among themselves. Other columns of
@@ -25,13 +23,11 @@ the input do not pass and cannot clash.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -40,98 +36,10 @@ from pyspark.sql import functions as F
 from tridelta.session import broadcast_if_small, scratch_path
 
 from . import idcoder
-from .common import map_arrow, small_batches
+from .common import map_arrow, per_worker, small_batches
+from .piecewise import PieceEncoder, byte_level
 
 SEGMENT_IDS = 2 << 20
-CACHED_PIECES = 1 << 17
-# a space that is not between two characters other than white space
-UNSAFE_SPACE = re.compile(r"^ |\s | \s| $")
-
-
-class PieceEncoder:
-    """Encodes texts by their distinct pieces, which it remembers."""
-
-    def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        # one with white space could arise where pieces are put together: then every text goes whole
-        self.added = re.compile("" if any(c.isspace() for t in added for c in t) else "|".join(map(re.escape, added)) or "(?!)")
-        self.end_id = end_id
-        # a character of a byte-level token stands for one byte
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
-        self.token_bytes[list(vocab.values())] = [len(t) for t in vocab]
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def whole(self, texts: list[str], at_once: int = 32) -> list[np.ndarray]:
-        out = []
-        for k in range(0, len(texts), at_once):  # an Encoding takes far more room than its ids
-            found = self.tokenizer.encode_batch_fast(texts[k:k + at_once], add_special_tokens=False)
-            out += [np.array(e.ids, dtype=np.uint32) for e in found]
-        return out
-
-    def _learn(self, pieces: list[str], spaced: bool) -> None:
-        """Encode pieces and remember them. Those that begin with a space make
-        one text when put together, and its ids are told apart by their bytes."""
-        joined = ["".join(pieces[k:k + 256]) for k in range(0, len(pieces), 256)] if spaced else pieces
-        ids = np.concatenate(self.whole(joined))
-        ends = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum([len(p.encode()) for p in pieces]), side="right")
-        base = len(self.sizes)
-        self.known.update(zip(pieces, range(base, base + len(pieces))))
-        self.ids = np.concatenate([self.ids, ids])
-        self.sizes = np.concatenate([self.sizes, np.diff(ends, prepend=0)])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, with the end id."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        plain = [k for k, t in enumerate(texts) if not UNSAFE_SPACE.search(t) and not self.added.search(t)]
-        odd = sorted(set(range(len(texts))) - set(plain))
-        for k, ids in zip(odd, self.whole([texts[k] for k in odd])):
-            out[k] = np.append(ids, np.uint32(self.end_id))
-        if plain:
-            for k, ids in zip(plain, self._by_piece([texts[k] for k in plain])):
-                out[k] = ids
-        return out
-
-    def _by_piece(self, texts: list[str]) -> list[np.ndarray]:
-        # a text's first piece has no space in front: it is marked by one more
-        # space, which no other piece holds
-        split = pc.split_pattern(pa.array(["  " + t for t in texts], pa.large_string()), " ")
-        coded = split.values.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        if len(self.known) + len(names) > CACHED_PIECES:
-            self._forget()
-        offsets = split.offsets.to_numpy()
-        # each list starts with two empty pieces, then the first piece; those
-        # first ones are looked up without a space
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        first_at = offsets[:-1] + 2
-        firsts = [t.split(" ", 1)[0] for t in texts]
-        spaced = [" " + x for x in names]
-        new = [x for x in spaced if x != " " and x not in self.known]
-        if new:
-            self._learn(new, True)
-        new = list(dict.fromkeys(x for x in firsts if x not in self.known))
-        if new:
-            self._learn(new, False)
-        self.known[" "] = 0  # the marks: their place is not used
-        place = np.fromiter((self.known[x] for x in spaced), np.int64, len(spaced))[codes]
-        place[first_at] = [self.known[x] for x in firsts]
-        sizes = self.sizes[place]
-        sizes[offsets[:-1]] = 0
-        sizes[offsets[:-1] + 1] = 0
-        begins = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
-        ends = np.cumsum(sizes)
-        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[place] - (ends - sizes), sizes)
-        ids = self.ids[take]
-        cuts = np.concatenate([[0], ends])[offsets]
-        return [np.append(ids[a:b], np.uint32(self.end_id)) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id",
@@ -154,10 +62,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     doc_ids_type = to_arrow_type(docs.schema[id_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer_path, end_id)
+        encoder = per_worker(("tokens", tokenizer_path), lambda: PieceEncoder([byte_level(tokenizer_path, specials=True)[0]]))
         doc_ids, ids, held, number = [], [], 0, 0
-        for b in small_batches(batches, rows=4096):
-            for doc_id, own in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()])):
+        for b in small_batches(batches, rows=4096, byte_limit=4 << 20):
+            for doc_id, own in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()])[0]):
+                own = np.append(own, np.uint32(end_id))
                 if ids and held + len(own) > segment_ids:
                     yield segment(number, doc_ids, ids)
                     doc_ids, ids, held, number = [], [], 0, number + 1
