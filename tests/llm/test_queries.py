@@ -13,6 +13,7 @@ COLUMNS = {
     "op4_byte_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
     "op5_warc": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
     "op10_style_tree": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
+    "op11_repeat_spans": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
     "op12_token_align": {"doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint",
                          "n_best": "bigint", "count_sum": "bigint", "groups_sha256": "string"},
     "op13_fill_middle": {"doc_id": "bigint", "n": "bigint", "form": "string", "prefix_chars": "bigint", "middle_chars": "bigint",
@@ -21,7 +22,7 @@ COLUMNS = {
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 11), 12, 13]
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(se.queries()) and set(ORACLES) <= set(QUERIES)
 
 

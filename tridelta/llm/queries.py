@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_rank, curriculum, fill_middle, multi_index, ngram_join, rff_quality, secret_forest, style_tree, token_align, token_file, warc, weak_rules
+from . import bpe_rank, curriculum, fill_middle, multi_index, ngram_join, repeat_spans, rff_quality, secret_forest, style_tree, token_align, token_file, warc, weak_rules
 from .common import read
 
 
@@ -140,6 +140,26 @@ def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.page_id", "row.url", "text", "n_chars")
 
 
+def op11_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document without the passages that repeat anywhere."""
+    out = repeat_spans.remove(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT id, unnest(range(1, len(w) - 33)) AS at, w FROM d),
+h AS (SELECT id, at, md5(array_to_string(w[at:at + 34], ' ')) AS h FROM s),
+r AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+c AS (SELECT DISTINCT id, unnest(range(at, at + 35)) AS i FROM h SEMI JOIN r USING (h)),
+x AS (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN c USING (id, i) GROUP BY id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (id)
+"""
+
+
 def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of two tokenizers over every whole document, aligned."""
     found = token_align.measure(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
@@ -185,6 +205,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rff_quality": op8_rff_quality,
     "op9_weak_rules": op9_weak_rules,
     "op10_style_tree": op10_style_tree,
+    "op11_repeat_spans": op11_repeat_spans,
     "op12_token_align": op12_token_align,
     "op13_fill_middle": op13_fill_middle,
 }
@@ -192,5 +213,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_curriculum_mix": OP3_SQL,
     "op5_warc": OP5_SQL,
+    "op11_repeat_spans": OP11_SQL,
     "op13_fill_middle": OP13_SQL,
 }
