@@ -35,3 +35,21 @@ def test_empty_table_and_special_strings(spark):
     row = bpe_rank.encode(edge.frame(spark, [(1, "x <|endoftext|> y", "en", "a")]), RANKS, P.PATTERN).head()
     assert np.frombuffer(row.ids, "<u4").max() < 50256
     assert hashlib.sha256(row.ids).hexdigest()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab'sre 1!\n\t é 　\x1c\x85ß")), max_size=60))
+def test_matches_encode_like_the_whole(text):
+    """What is done where no safe boundary is in reach."""
+    split = bpe_rank.regex.compile(P.PATTERN)
+    assert bpe_rank.encode_text(ENC, split, text * 9, 1) == ENC.encode_ordinary(text * 9)
+
+
+def test_very_long_stretches(spark):
+    """Runs without a safe boundary, at which the library's matcher fails."""
+    texts = [" " * 1_000_000 + "x", "\n" * 900_000, "a" * 400_000, "word " + "\t " * 500_000 + "end of it"]
+    rows = bpe_rank.decode(bpe_rank.encode(edge.frame(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]), RANKS, P.PATTERN), RANKS)
+    got = {r.doc_id: r for r in rows.collect()}
+    assert [bytes(got[k].decoded) for k in range(len(texts))] == [t.encode() for t in texts]
+    short = ENC.encode_ordinary(" " * 300_000 + "x")  # the library still takes this one
+    assert bpe_rank.encode_text(ENC, bpe_rank.regex.compile(P.PATTERN), " " * 300_000 + "x") == short

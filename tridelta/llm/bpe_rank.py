@@ -8,11 +8,14 @@ Long texts are cut where the split pattern cannot match across: at a space
 between two characters that are not white space. Every alternative of the
 pattern takes a space only as its first character or within a run of white
 space, so a match always ends before such a space and the next starts with
-it, and the pieces encode to the same ids as the whole text.
+it, and the pieces encode to the same ids as the whole text. Where a stretch of
+several times that length has no such place (a run of white space, mostly, at
+which the library's own matcher runs out of stack), the pattern's matches are
+found here instead and each is encoded on its own.
 
 Null text: encodes as the empty text (no ids, no bytes). Null ids decode to
-no bytes. Rows are kept as they are, repeated ones included; other columns of
-the input do not pass and cannot clash.
+no bytes. Rows are kept as they are, repeated ones included, and an empty table
+gives an empty one; other columns of the input do not pass and cannot clash.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import map_arrow, small_batches
+from .common import map_arrow, per_worker, small_batches
 
 SAFE_CUT = regex.compile(r"(?<=\S) (?=\S)")
 CHUNK_CHARS = 32_768
@@ -45,6 +48,18 @@ def safe_pieces(text: str, chunk: int = CHUNK_CHARS) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def encode_text(enc, split: regex.Pattern, text: str, chunk: int = CHUNK_CHARS) -> list[int]:
+    """Ids of a whole text of any length, by a tiktoken ``Encoding``."""
+    ids: list[int] = []
+    for piece in safe_pieces(text, chunk):
+        if len(piece) <= 8 * chunk:
+            ids.extend(enc.encode_ordinary(piece))
+        else:
+            for match in split.finditer(piece):
+                ids.extend(enc._encode_single_piece(match.group().encode()))
+    return ids
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
@@ -57,13 +72,13 @@ def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(rank_path), special_tokens={})
+        enc = per_worker(("ranks", rank_path, pattern), lambda: tiktoken.Encoding(
+            "ranks", pat_str=pattern, mergeable_ranks=load_ranks(rank_path), special_tokens={}))
+        split = regex.compile(pattern)
         for b in small_batches(batches):
             counts, ids = [], []
             for text in b.column(1).to_pylist():
-                own: list[int] = []
-                for piece in safe_pieces(text or ""):
-                    own.extend(enc.encode_ordinary(piece))
+                own = encode_text(enc, split, text or "")
                 counts.append(len(own))
                 ids.append(np.array(own, dtype="<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -83,7 +98,7 @@ def decode(df: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col: str =
     place = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token_of = {rank: token for token, rank in load_ranks(rank_path).items()}
+        token_of = per_worker(("tokens", rank_path), lambda: {rank: token for token, rank in load_ranks(rank_path).items()})
         for b in small_batches(batches):
             out = [b"".join(map(token_of.__getitem__, np.frombuffer(x or b"", "<u4").tolist()))
                    for x in b.column(place).to_pylist()]

@@ -149,10 +149,10 @@ def op11_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP11_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT id, unnest(range(1, len(w) - 33)) AS at, w FROM d),
-h AS (SELECT id, at, md5(array_to_string(w[at:at + 34], ' ')) AS h FROM s),
+s AS (SELECT id, unnest(range(1, len(w) - 33)) AS b, w FROM d),
+h AS (SELECT id, b, md5(array_to_string(w[b:b + 34], ' ')) AS h FROM s),
 r AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
-c AS (SELECT DISTINCT id, unnest(range(at, at + 35)) AS i FROM h SEMI JOIN r USING (h)),
+c AS (SELECT DISTINCT id, unnest(range(b, b + 35)) AS i FROM h SEMI JOIN r USING (h)),
 x AS (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
 k AS (SELECT id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN c USING (id, i) GROUP BY id)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
