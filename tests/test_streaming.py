@@ -46,7 +46,7 @@ def test_a_repeated_batch_counts_once(spark):
     bigger = cells.selectExpr("i + 7 AS i", "j + 3 AS j", "k + 2 AS k", "val")
     run(bigger, 1)
     second = sorted(map(tuple, latest_model(spark, model_dir)[0].collect()))
-    delete_paths(spark, [f"{model_dir}/v=1/_DONE"])  # stopped between write and commit
+    delete_paths(spark, [f"{model_dir}/v=1/manifest-000000000.json"])  # stopped between write and commit
     assert latest_model(spark, model_dir)[3] == 0
     run(bigger, 1)
     again = sorted(map(tuple, latest_model(spark, model_dir)[0].collect()))

@@ -8,7 +8,7 @@ from tridelta.plans.job import start_model, tucker_job
 from tridelta.plans.update import incremental_update
 from tridelta.session import scratch_path
 from tridelta.sources.coo import read_coo, write_coo
-from tridelta.sources.model import read_model
+from tridelta.sources.model import read_metrics, read_model
 from tridelta.sources.tables import sales_tensor
 
 
@@ -55,7 +55,7 @@ def test_job_writes_model(spark):
     factors, core = read_model(spark, out)
     assert core.count() == 8
     assert factors.count() == res.factors.count()
-    names = {r["name"] for r in spark.read.parquet(f"{out}/metrics").collect()}
+    names = {r["name"] for r in read_metrics(spark, out).collect()}
     assert {"partition_cv", "partition_seconds", "total_seconds", "cells"} <= names
 
 

@@ -22,7 +22,7 @@ from ..operators import partition as po
 from ..operators import tensor as te
 from ..session import scratch_path
 from ..sources.coo import read_coo, write_coo
-from ..sources.model import read_model
+from ..sources.model import read_metrics, read_model
 from ..sources.tables import PURCHASES_SQL, SALES_SQL, purchases_tensor, sales_tensor
 from . import update as up
 from .job import start_model, tucker_job
@@ -81,7 +81,7 @@ def q_write_model(spark, sf):
     path = scratch_path(spark, "model")
     tucker_job(spark, s.cells, s.pre, ranks=RANKS, partition="greedy", output=path).release(results=True)
     factors, core = read_model(spark, path)
-    return _model_rows(factors, core).unionByName(_metric_rows(spark.read.parquet(f"{path}/metrics")))
+    return _model_rows(factors, core).unionByName(_metric_rows(read_metrics(spark, path)))
 
 
 def q_cut_regions(spark, sf):

@@ -1,24 +1,22 @@
 """Increments arriving as a stream: every micro-batch of new cells runs one
 incremental update against the latest stored model version.
 
-The model lives in versioned folders ``<model_dir>/v=<batch_id>`` (factors by
-mode, core, dims), each finished by its ``_DONE`` marker. A batch starts from
-the newest finished version before its own and never reads what it writes. If
-it is run again, a finished version is left as it is and an unfinished one is
-written anew, so every batch counts once. One model folder belongs to one
+The model lives in folders ``<model_dir>/v=<batch_id>`` (factors by mode, core,
+metrics), each finished once its manifest is published (``sources.model``). A
+batch starts from the newest finished version before its own and never reads what
+it writes. If it is run again, a finished version is left as it is and an
+unfinished one is written anew, so every batch counts once. One model folder belongs to one
 stream checkpoint. Tables stored during an update are deleted with the batch."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import DEFAULT_CUT_NUM, DEFAULT_MU, DEFAULT_RANKS
 from ..plans.job import start_model
 from ..plans.update import incremental_update
-from ..sources.model import write_model
+from ..sources import model as mo
 
 
 def _versions(spark: SparkSession, model_dir: str) -> list[int]:
@@ -27,17 +25,8 @@ def _versions(spark: SparkSession, model_dir: str) -> list[int]:
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
-    out = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_DONE")):
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
-def _mark_done(spark: SparkSession, version_dir: str, info: dict) -> None:
-    spark.createDataFrame([(json.dumps(info),)], "info string").coalesce(1).write.mode("overwrite").text(
-        f"{version_dir}/_DONE")
+    names = [st.getPath().getName() for st in fs.listStatus(path)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and mo.versions(spark, f"{model_dir}/{n}"))
 
 
 def latest_model(spark: SparkSession, model_dir: str, before: int | None = None):
@@ -47,8 +36,8 @@ def latest_model(spark: SparkSession, model_dir: str, before: int | None = None)
     if not vs:
         return None
     base = f"{model_dir}/v={vs[-1]}"
-    info = json.loads(spark.read.text(f"{base}/_DONE").first()["value"])
-    return spark.read.parquet(f"{base}/factors"), spark.read.parquet(f"{base}/core"), tuple(info["dims"]), vs[-1]
+    info = mo.manifest(spark, base).info
+    return *mo.read_model(spark, base), tuple(info["dims"]), vs[-1]
 
 
 def batch_updater(model_dir: str, start_dims, ranks=DEFAULT_RANKS, mu: float = DEFAULT_MU,
@@ -74,10 +63,9 @@ def batch_updater(model_dir: str, start_dims, ranks=DEFAULT_RANKS, mu: float = D
                                      partition=partition)
         out = f"{model_dir}/v={int(batch_id)}"
         try:
-            write_model(res.factors, res.core, res.metrics, out)
+            mo.write_model(res.factors, res.core, res.metrics, out, {"dims": list(res.info["dims"]), "batch_id": int(batch_id)})
         finally:
             res.release(results=True)
-        _mark_done(spark, out, {"dims": list(res.info["dims"]), "batch_id": int(batch_id)})
 
     return run
 
