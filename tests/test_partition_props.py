@@ -22,8 +22,9 @@ def test_lpt_closed_form_matches_heap(nnz, bins):
         slots = [s for s in range(len(arr)) if arr[s] == w]
         if w == 0:
             continue
-        starts, counts, orders, new_loads = po.lpt_run(loads, w, len(slots))
-        bins_of = po.lpt_bins(starts, counts, orders, np.arange(len(slots)))
+        stretches, new_loads = po.lpt_run(loads, w, len(slots))
+        bins_of = [b[(k - start) % len(b)] for start, end, b in stretches for k in range(start, end)]
+        assert len(bins_of) == len(slots)
         for s, b in zip(slots, bins_of):
             got[s] = int(b) + 1
         loads = new_loads
@@ -104,3 +105,32 @@ def test_greedy_jobs_grow_with_the_logarithm_of_the_bins(spark):
         jobs[cut] = len(sc.statusTracker().getJobIdsForGroup(f"greedy-{cut}"))
     sc.setJobGroup("", "")
     assert jobs[192] < 2 * jobs[12] + 10 and jobs[192] <= 80, jobs
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 5000), st.integers(1, 5000))
+def test_stripes_cover_ranks(start, size):
+    stripes = po.rank_stripes(start, start + size)
+    assert stripes == sorted({s for k in range(start, start + size) for s in po.rank_stripes(k, k + 1)})
+    assert len(stripes) <= 64 * 14
+
+
+def test_stripes_are_the_same_in_sql(spark):
+    ranks = [*range(300), *(2 ** k + d for k in range(9, 60) for d in (-2, -1, 0, 1))]
+    rows = spark.createDataFrame([(r,) for r in ranks], "rank long").selectExpr("rank", f"{po._rank_stripe('rank')} AS s").collect()
+    assert all([r.s] == po.rank_stripes(r["rank"], r["rank"] + 1) for r in rows)
+
+
+@pytest.mark.parametrize("cut", [1, 7, 1000])
+def test_bucket_map_for_any_number_of_bins(spark, cut):
+    """Many bins: rows instead of arrays, and no more of them than slices need."""
+    rng = np.random.default_rng(cut)
+    arr = [0] + np.minimum(rng.zipf(1.4, 3000), 500).tolist()
+    h = _hist(spark, {("100", 0): arr, ("011", 2): [0] + [1] * 1500})
+    runs = po.bucket_runs(h, cut)
+    assert not any("array" in t for _, t in runs.dtypes)
+    got = {(r["region"], r["slice"]): r["part_id"] for r in po.bucket_map(h, cut, len(arr), runs=runs).collect()}
+    for region, own in (("100", arr), ("011", [0] + [1] * 1500)):
+        want = lpt_labels(own, cut)
+        assert all(got[region, s] == b for s, b in want.items() if own[s])
+    assert runs.where("kind = 'slot'").count() <= 4500

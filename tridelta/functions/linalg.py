@@ -48,6 +48,41 @@ def mgs_transform(gram: np.ndarray, tol: float = PIVOT_TOL) -> tuple[np.ndarray,
     return factors[:, None] * t, deficient
 
 
+# The same limit where the columns themselves are at hand and not their products:
+# a column is dependent if at most this share of its norm is left.
+REMAINDER_TOL = 1e-12
+
+
+def mgs_of_triangle(triangle: np.ndarray, tol: float = REMAINDER_TOL) -> tuple[np.ndarray, bool]:
+    """``T`` and the flag of :func:`mgs_transform` for a table of which
+    ``triangle`` is an R factor: its columns are the table's in an orthonormal
+    basis, so Gram-Schmidt on them is that on the table, and what is left of a
+    column is found to the precision of the values, not to its square root."""
+    if not np.all(np.isfinite(triangle)):
+        raise ValueError("a factor table has non-finite values")
+    norms = np.linalg.norm(triangle, axis=0)
+    factors = np.divide(1.0, norms, out=np.zeros_like(norms), where=norms > 0)
+    v, t = triangle * factors, np.diag(factors)
+    deficient = False
+    for a in range(len(norms)):
+        for b in range(a):  # a second time: what the first left of the columns before is rounding
+            proj = float(v[:, b] @ v[:, a])
+            v[:, a] -= proj * v[:, b]
+            t[:, a] -= proj * t[:, b]
+        left = float(np.linalg.norm(v[:, a]))
+        if left <= tol:
+            v[:, a] = t[:, a] = 0.0
+            deficient = True
+            continue
+        v[:, a] /= left
+        t[:, a] /= left
+        for b in range(a + 1, len(norms)):
+            proj = float(v[:, a] @ v[:, b])
+            v[:, b] -= proj * v[:, a]
+            t[:, b] -= proj * t[:, a]
+    return t, deficient
+
+
 def unfold(core: np.ndarray, mode: int) -> np.ndarray:
     """Mode unfolding: row x_mode, column x_a + x_b * r_a (a < b the other modes)."""
     a, b = other_modes(mode)

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import factor_value
-from ..functions.linalg import mgs_transform, unit_columns
-from ..session import DEFAULT_BROADCAST_LIMIT, broadcast_limit, factor_row_bytes
+from ..functions.linalg import mgs_of_triangle, mgs_transform, unit_columns
+from ..session import DEFAULT_BROADCAST_LIMIT, broadcast_limit, factor_row_bytes, stash
 
 
 def cols(rank: int, prefix: str = "c") -> list[str]:
@@ -141,8 +141,6 @@ def stash_with_grams(df: DataFrame, name: str, ranks: dict, partition_by: list[s
     more than one mode, ``df`` carries a ``mode`` column."""
     from pyspark.sql import Observation
 
-    from ..session import stash
-
     obs = Observation(f"gram-{name}")
     aggs = [F.expr("count(1) AS rows")]
     for m, r in sorted(ranks.items()):
@@ -185,24 +183,81 @@ def needs_second_pass(g: np.ndarray, cond_limit: float = 1e4) -> bool:
     return bool(ev.min() <= 0 or ev.max() / max(ev.min(), 1e-300) > cond_limit)
 
 
+# R factors that one task of the tree puts together.
+FAN_IN = 64
+
+
+def _triangles(df: DataFrame, rank: int, per_row: bool) -> DataFrame:
+    """``(part, r)``: one R factor (flattened) for the rows of each partition,
+    taken in batch by batch. Rows are table rows, or R factors themselves."""
+    def run(batches):
+        import numpy
+        import pyarrow
+        from pyspark import TaskContext
+
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if per_row:
+                rows = numpy.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            else:
+                rows = numpy.asarray(b.column(0).flatten().to_numpy(zero_copy_only=False)).reshape(-1, rank)
+            stacked = rows if held is None else numpy.vstack([held, rows])
+            if not numpy.isfinite(stacked).all():
+                raise ValueError("a factor table has non-finite values")
+            if len(stacked) < rank:
+                stacked = numpy.vstack([stacked, numpy.zeros((rank - len(stacked), rank))])
+            held = numpy.linalg.qr(stacked, mode="r")
+        if held is not None:
+            yield pyarrow.RecordBatch.from_arrays(
+                [pyarrow.array([TaskContext.get().partitionId()], pyarrow.int64()),
+                 pyarrow.array([held.reshape(-1)], pyarrow.list_(pyarrow.float64()))], ["part", "r"])
+
+    return df.mapInArrow(run, "part long, r array<double>")
+
+
+def r_factor(block: DataFrame, rank: int) -> np.ndarray:
+    """R of the table's QR factorisation (up to signs of its rows): a QR per
+    partition, then a tree in which every task puts FAN_IN R factors together.
+    No more than FAN_IN small triangles reach the driver."""
+    level = _triangles(block.select(*cols(rank)), rank, True)
+    stored = stash(level, "r-factors")
+    left = stored.count()
+    while left > FAN_IN:
+        # each round leaves at most a FAN_IN-th of them (and one), whatever the numbers' gaps
+        merged = stored.repartition(-(-left // FAN_IN)).select("r")
+        stored = stash(_triangles(merged, rank, False), "r-factors")
+        left = stored.count()
+    rows = [r["r"] for r in stored.select("r").collect()]
+    if not rows:
+        return np.zeros((rank, rank))
+    stacked = np.array(rows).reshape(-1, rank)
+    return np.linalg.qr(stacked, mode="r")
+
+
 def orthonormalize(block: DataFrame, rank: int, cond_limit: float = 1e4,
                    gram_in: np.ndarray | None = None):
     """Orthonormal columns with positive diagonal (same Q as modified
-    Gram-Schmidt), done as Gram-based QR: one aggregation for ``A^T A``,
-    r x r work on the driver, then a projection. A second pass runs when the
-    Gram is ill-conditioned (CholeskyQR2). Dependent columns become zero.
+    Gram-Schmidt). While the Gram matrix of the columns at unit norm is well
+    conditioned, everything follows from it: r x r work on the driver and a
+    projection. Else the columns' products no longer tell small remainders from
+    rounding, and the R factor of the table itself is taken (:func:`r_factor`),
+    whose condition number is not squared; its Q goes through a second pass, so
+    that it is orthonormal to rounding. Dependent columns become zero.
 
     Returns ``(Q, T, gram_of_Q, deficient)`` with ``Q = A @ T``."""
     g = gram(block, rank) if gram_in is None else gram_in
-    t, deficient = mgs_transform(g)
-    g_q = t.T @ g @ t
-    if needs_second_pass(g, cond_limit) and not deficient:
-        q1 = project(block, rank, t)
-        g2 = gram(q1, rank)
-        t2, deficient = mgs_transform(g2)
-        t = t @ t2
-        g_q = t2.T @ g2 @ t2
-    return project(block, rank, t), t, g_q, deficient
+    if not needs_second_pass(g, cond_limit):
+        t, deficient = mgs_transform(g)
+        return project(block, rank, t), t, t.T @ g @ t, deficient
+    t, deficient = mgs_of_triangle(r_factor(block, rank))
+    first = project(block, rank, t)
+    r = r_factor(first, rank)
+    t2, _ = mgs_of_triangle(r)
+    g_q = t2.T @ (r.T @ r) @ t2
+    # projected twice: the second transform belongs to the columns as they came out of the first
+    return project(first, rank, t2), t @ t2, g_q, deficient
 
 
 def blend_factor(prev: DataFrame, cur: DataFrame, rank: int, mu: float) -> DataFrame:

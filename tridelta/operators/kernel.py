@@ -23,12 +23,15 @@ SUM_LIMIT = 64
 
 
 def ttm_chain(cells: DataFrame, mode: int, a_block: DataFrame, rank_a: int, a_rows: int,
-              b_block: DataFrame, rank_b: int, b_rows: int, layout: str = "auto", keep_cells: bool = False) -> DataFrame:
+              b_block: DataFrame, rank_b: int, b_rows: int, layout: str = "auto", keep_cells: bool = False,
+              keys: tuple = ()) -> DataFrame:
     """``(idx, t0..t{Ra*Rb-1})`` for the rows of ``mode`` that have cells; those
-    of which every cell meets a zero factor row only with ``keep_cells``."""
+    of which every cell meets a zero factor row only with ``keep_cells``.
+    ``keys``: columns to group by, too, which come first in the result; cells
+    stored by such a key are summed where they are."""
     a, b = other_modes(mode)
     ca, cb = COORD[a], COORD[b]
-    x = cells.selectExpr(f"{COORD[mode]} AS idx", ca, cb, "val")
+    x = cells.selectExpr(*keys, f"{COORD[mode]} AS idx", ca, cb, "val")
     if layout == "auto":
         layout = "wide" if rank_a * rank_b <= WIDE_LIMIT else "staged"
     if layout == "wide":
@@ -36,13 +39,30 @@ def ttm_chain(cells: DataFrame, mode: int, a_block: DataFrame, rank_a: int, a_ro
         x = factor_lookup(x, b_block, cb, rank_b, "b", b_rows, keep_cells)
         aggs = [F.expr(f"sum(val * a{q} * b{r}) AS t{q + r * rank_a}")
                 for r in range(rank_b) for q in range(rank_a)]
-        return x.groupBy("idx").agg(*aggs)
+        return x.groupBy(*keys, "idx").agg(*aggs)
     # staged: contract mode b per (idx, x_a), then mode a per idx
     x = factor_lookup(x, b_block, cb, rank_b, "b", b_rows, keep_cells)
-    s = x.groupBy("idx", ca).agg(*[F.expr(f"sum(val * b{r}) AS s{r}") for r in range(rank_b)])
+    s = x.groupBy(*keys, "idx", ca).agg(*[F.expr(f"sum(val * b{r}) AS s{r}") for r in range(rank_b)])
     s = factor_lookup(s, a_block, ca, rank_a, "a", a_rows, keep_cells)
     aggs = [F.expr(f"sum(a{q} * s{r}) AS t{q + r * rank_a}") for r in range(rank_b) for q in range(rank_a)]
-    return s.groupBy("idx").agg(*aggs)
+    return s.groupBy(*keys, "idx").agg(*aggs)
+
+
+def ttm_by_bin(whole: DataFrame, split: DataFrame | None, mode: int, *blocks, keep_cells: bool = False) -> DataFrame:
+    """:func:`ttm_chain` of cells stored by bin: bins of the layout are contracted
+    where they lie, without an exchange; the few that were split because one
+    task should not hold them are summed as usual. No slice is in both."""
+    rows = ttm_chain(whole, mode, *blocks, keep_cells=keep_cells, keys=("bin_key",)).drop("bin_key")
+    if split is None:
+        return rows
+    return rows.unionByName(ttm_chain(split, mode, *blocks, keep_cells=keep_cells))
+
+
+def update_by_bin(whole: DataFrame, split: DataFrame | None, mode: int, core: np.ndarray, a_block, rank_a, a_rows,
+                  b_block, rank_b, b_rows, keep_cells: bool = False) -> DataFrame:
+    """:func:`update_factor` of cells stored by bin."""
+    t = ttm_by_bin(whole, split, mode, a_block, rank_a, a_rows, b_block, rank_b, b_rows, keep_cells=keep_cells)
+    return apply_right(t, rank_a * rank_b, core_pinv(core, mode))
 
 
 def apply_right(t: DataFrame, n_in: int, mat: np.ndarray) -> DataFrame:

@@ -9,9 +9,10 @@ never gather a group into one task:
   form a *run*; adding a run of equal items to bins is a merge of k
   arithmetic sequences, so a whole run has a closed form. Runs are few —
   distinct nnz values satisfy D(D+1)/2 <= cells, so D <= sqrt(2*cells) —
-  and only they are processed in order, one small pandas group per
-  (region, mode). Each slice then gets its bin from its rank in the run,
-  ranks coming from two bounded windows (blocks of ~sqrt(dim) slices).
+  and only they are processed in order, streamed through one task per
+  (region, mode) that holds the loads of the bins and writes the closed form as
+  interval rows. Each slice then gets its bin from its rank in the run by
+  two joins, ranks coming from two bounded windows (blocks of ~sqrt(dim) slices).
 * ``greedy_map`` (scan in slice order, close a bin near total/cut_num): the
   scan only changes state at *resets*, and there are O(cut_num) of them.
   Prefix sums come from two bounded windows. A reset is a node (its slice,
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import math
 import sys
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.index import coord
-from ..session import broadcast_if_small, stash
+from ..session import broadcast_if_small, stash, stash_bucketed
 
 try:  # ship this module's pandas functions by value: executors need not install the package
     from pyspark import cloudpickle as _cp
@@ -47,66 +49,113 @@ def block_size(max_dim: int) -> int:
 
 # ---------------------------------------------------------------- bucket (LPT)
 
-def lpt_run(loads: np.ndarray, w: int, m: int):
+def lpt_run(loads: np.ndarray, w: int, m: int) -> tuple[list, np.ndarray]:
     """Closed form for ``m`` items of size ``w`` placed one by one on the
     least-loaded of ``len(loads)`` bins (ties: lowest bin).
 
     Slot ``n`` of bin ``b`` has load ``(q_b+n)*w + r_b`` with
     ``q, r = divmod(loads, w)``; items take slots in order of
-    ``(level q_b+n, r_b, b)``. Returns the level table (``starts``: slots
-    before each distinct level, ``counts``: bins open at it, ``orders``:
-    those bins in slot order) and the loads afterwards."""
+    ``(level q_b+n, r_b, b)``. Returns the stretches ``(start, end, bins)`` that
+    the items reach - from one level at which more bins open to the next, bins
+    in slot order, taken round by round - and the loads afterwards."""
     q, r = np.divmod(loads, w)
     levels = np.unique(q)
-    counts = np.array([int((q <= x).sum()) for x in levels], dtype=np.int64)
-    starts = np.array([int(np.maximum(0, x - q).sum()) for x in levels], dtype=np.int64)
-    orders = []
-    for x in levels:
-        open_bins = np.nonzero(q <= x)[0]
-        orders.append(open_bins[np.lexsort((open_bins, r[open_bins]))])
-    seg = int(np.searchsorted(starts, m, side="right")) - 1
-    d = m - int(starts[seg])
-    level = int(levels[seg]) + d // int(counts[seg])
-    taken = np.maximum(0, level - q)
-    taken[orders[seg][: d % int(counts[seg])]] += 1
-    return starts, counts, orders, loads + taken * w
-
-
-def lpt_bins(starts, counts, orders, ranks: np.ndarray) -> np.ndarray:
-    """0-based bin of the items with 0-based ``ranks`` inside a run."""
-    seg = np.searchsorted(starts, ranks, side="right") - 1
-    pos = (ranks - starts[seg]) % counts[seg]
-    table = np.full((len(orders), max(len(o) for o in orders)), -1, dtype=np.int64)
-    for s, o in enumerate(orders):
-        table[s, : len(o)] = o
-    return table[seg, pos]
-
-
-RUN_SCHEMA = ("region string, mode int, nnz long, m long, starts array<long>, counts array<long>, "
-              "orders array<array<int>>, loads_after array<long>")
-
-
-def _runs_fn(cut_num: int):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("nnz", ascending=False, kind="mergesort")
-        loads = np.zeros(cut_num, dtype=np.int64)
-        out = []
-        for w, m in zip(pdf["nnz"].to_numpy(), pdf["m"].to_numpy()):
-            starts, counts, orders, loads = lpt_run(loads, int(w), int(m))
-            out.append((starts.tolist(), counts.tolist(), [[int(b) + 1 for b in o] for o in orders], loads.tolist()))
-        return pd.DataFrame({
-            "region": pdf["region"].to_numpy(), "mode": pdf["mode"].to_numpy().astype("int32"),
-            "nnz": pdf["nnz"].to_numpy(), "m": pdf["m"].to_numpy(),
-            "starts": [o[0] for o in out], "counts": [o[1] for o in out],
-            "orders": [o[2] for o in out], "loads_after": [o[3] for o in out],
-        })
+    stretches, start = [], 0
+    for n, level in enumerate(levels.tolist()):
+        bins = np.flatnonzero(q <= level)
+        bins = bins[np.lexsort((bins, r[bins]))]
+        end = m if n + 1 == len(levels) else min(m, start + (int(levels[n + 1]) - level) * len(bins))
+        stretches.append((start, end, bins))
+        if end == m:
+            rounds, rest = divmod(m - start, len(bins))
+            taken = np.maximum(0, level + rounds - q)
+            taken[bins[:rest]] += 1
+            return stretches, loads + taken * w
+        start = end
+    raise ValueError("a run has no items")
+
+
+# Ranks in a run are dealt into stripes: 64 of them from each power of two to the
+# next, so that a run of m items has O(log m) stripes and none holds more than
+# a 64th of the ranks before it.
+STRIPES = 6
+
+
+def rank_stripes(start: int, end: int) -> list[int]:
+    """The stripes that the ranks ``start`` to ``end - 1`` lie in."""
+    out = []
+    while start < end:
+        octave = (start + 1).bit_length() - 1
+        width = 1 << max(octave - STRIPES, 0)
+        sub = (start + 1 - (1 << octave)) // width
+        out.append((octave << STRIPES) + sub)
+        start = (1 << octave) + (sub + 1) * width - 1
+    return out
+
+
+def _rank_stripe(rank: str) -> str:
+    """The same as SQL text, for one rank."""
+    octave = f"(length(bin({rank} + 1)) - 1)"
+    return (f"shiftleft({octave}, {STRIPES}) + ({rank} + 1 - shiftleft(1L, {octave})) div "
+            f"shiftleft(1L, greatest({octave} - {STRIPES}, 0))")
+
+
+RUN_SCHEMA = ("kind string, region string, mode int, nnz long, stripe long, start long, end long, width long, "
+              "pos long, part_id int, load long")
+RUN_COLUMNS = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
+RUN_ROWS = 4096
+
+
+def _run_rows(cut_num: int):
+    """Runs sorted by (region, mode) and falling nnz -> interval rows. A worker
+    holds the loads of one group's bins and a batch of rows, whatever the
+    number of runs, bins or items."""
+    def fn(batches):
+        group, loads, rows = None, None, []
+
+        def final():
+            return [("load", *group, None, None, None, None, None, None, b + 1, x) for b, x in enumerate(loads.tolist()) if x]
+
+        for pdf in batches:
+            for region, mode, nnz, m in zip(pdf["region"], pdf["mode"].tolist(), pdf["nnz"].tolist(), pdf["m"].tolist()):
+                if group != (region, mode):
+                    rows += final() if group else []
+                    group, loads = (region, mode), np.zeros(cut_num, dtype=np.int64)
+                stretches, loads = lpt_run(loads, nnz, m)
+                for start, end, bins in stretches:
+                    head = (region, mode, nnz)
+                    rows += [("level", *head, x, start, end, len(bins), None, None, None) for x in rank_stripes(start, end)]
+                    rows += [("slot", *head, None, start, None, None, n, b + 1, None)
+                             for n, b in enumerate(bins[:end - start].tolist())]
+                    while len(rows) >= RUN_ROWS:
+                        yield _frame(rows[:RUN_ROWS])
+                        rows = rows[RUN_ROWS:]
+        rows += final() if group else []
+        for at in range(0, len(rows), RUN_ROWS):
+            yield _frame(rows[at:at + RUN_ROWS])
+
+    def _frame(rows):
+        out = pd.DataFrame(rows, columns=RUN_COLUMNS)
+        for c in RUN_COLUMNS:
+            if c not in ("kind", "region"):
+                out[c] = out[c].astype("Int32" if c in ("mode", "part_id") else "Int64")
+        return out
     return fn
 
 
 def bucket_runs(hist: DataFrame, cut_num: int) -> DataFrame:
-    """Per (region, mode, nnz) run: size and the closed-form level table."""
+    """The closed form of every (region, mode, nnz) run as rows:
+
+    * ``level``: the ranks from ``start`` to ``end`` go round ``width`` bins
+      (one row per stripe of ranks that they touch),
+    * ``slot``: in the stretch from ``start``, place ``pos`` of a round is bin
+      ``part_id``; only places that an item takes, so there are no more than items,
+    * ``load``: what bin ``part_id`` holds at the end.
+
+    Groups are processed in order, each by one task that keeps ``cut_num`` loads."""
     runs = hist.groupBy("region", "mode", "nnz").agg(F.count(F.lit(1)).alias("m"))
-    return runs.groupBy("region", "mode").applyInPandas(_runs_fn(int(cut_num)), RUN_SCHEMA)
+    ordered = runs.repartition("region", "mode").sortWithinPartitions("region", "mode", F.desc("nnz"))
+    return ordered.mapInPandas(_run_rows(int(cut_num)), RUN_SCHEMA)
 
 
 def _ranked(hist: DataFrame, part_keys: list[str], order_col: str, blk: int) -> DataFrame:
@@ -124,26 +173,22 @@ def _ranked(hist: DataFrame, part_keys: list[str], order_col: str, blk: int) ->
 
 
 def bucket_map(hist: DataFrame, cut_num: int, max_dim: int, runs: DataFrame | None = None) -> DataFrame:
-    """``(region, mode, slice, nnz, part_id)`` by longest-processing-time."""
+    """``(region, mode, slice, nnz, part_id)`` by longest-processing-time: a
+    slice meets the stretch its rank lies in (an interval join within stripes of
+    ranks) and then the bin at its place of the round (an equi-join)."""
     runs = bucket_runs(hist, cut_num) if runs is None else runs
-    ranked = _ranked(hist, ["region", "mode", "nnz"], "slice", block_size(max_dim))
-    params = runs.select("region", "mode", "nnz", "starts", "counts", "orders")
-    # distinct nnz values per group are <= sqrt(2*cells): bounded, but only hinted under the limit
-    j = ranked.join(params, ["region", "mode", "nnz"])
-    seg = F.size(F.filter("starts", lambda s: s <= F.col("rank"))) - 1
-    j = j.withColumn("seg", seg)
-    pos = (F.col("rank") - F.element_at("starts", F.col("seg") + 1)) % F.element_at("counts", F.col("seg") + 1)
-    part = F.element_at(F.element_at("orders", F.col("seg") + 1), pos.cast("int") + 1)
-    return j.select("region", "mode", "slice", "nnz", part.cast("int").alias("part_id"))
+    run = ["region", "mode", "nnz"]
+    ranked = _ranked(hist, run, "slice", block_size(max_dim)).withColumn("stripe", F.expr(_rank_stripe("rank")))
+    levels = runs.where("kind = 'level'").select(*run, "stripe", "start", "end", "width")
+    met = ranked.join(levels, [*run, "stripe"]).where("rank >= start AND rank < end")
+    met = met.select(*run, "slice", "start", F.expr("(rank - start) % width").alias("pos"))
+    slots = runs.where("kind = 'slot'").select(*run, "start", "pos", "part_id")
+    return met.join(slots, [*run, "start", "pos"]).select("region", "mode", "slice", "nnz", "part_id")
 
 
 def bucket_loads(runs: DataFrame) -> DataFrame:
     """Final bin loads per group straight from the run table."""
-    w = Window.partitionBy("region", "mode").orderBy("nnz")
-    last = runs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-    return last.select("region", "mode", F.posexplode("loads_after").alias("b", "load")).select(
-        "region", "mode", (F.col("b") + 1).cast("int").alias("part_id"), "load"
-    ).where(F.col("load") > 0)
+    return runs.where("kind = 'load'").select("region", "mode", "part_id", "load")
 
 
 # ---------------------------------------------------------------- greedy scan
@@ -285,6 +330,62 @@ def group_by_part(labelled_cells: DataFrame, cut_num: int, spread: int = 1) -> D
     return labelled_cells.withColumn("pid", pid).repartitionById(int(cut_num) * int(spread), "pid")
 
 
+# ---------------------------------------------------------------- cells stored by bin
+
+def bin_keys(spark, cut_num: int) -> list[int]:
+    """For each bin a number whose bucket (its hash modulo ``cut_num``) is the
+    bin's own, so that a table bucketed by it holds one bin per bucket."""
+    keys: dict[int, int] = {}
+    at, step = 0, 32 * int(cut_num) + 64
+    while len(keys) < cut_num:
+        rows = spark.range(at, at + step).select("id", F.pmod(F.hash("id"), F.lit(int(cut_num))).alias("b"))
+        for r in rows.groupBy("b").agg(F.min("id").alias("id")).collect():  # one row per bin
+            keys.setdefault(r["b"], r["id"])
+        at += step
+    return [keys[b] for b in range(cut_num)]
+
+
+@dataclass
+class BinLayout:
+    """Labelled cells as stored: ``whole`` is bucketed by bin, so what is summed
+    per (bin, slice) needs no exchange; ``split`` holds the bins that are too
+    heavy for one task, spread evenly. A slice lies in one of the two only."""
+
+    whole: DataFrame
+    split: DataFrame | None
+    split_bins: set
+
+    def cells(self, region: str, mode: int) -> tuple[DataFrame, DataFrame | None]:
+        cond = f"region = '{region}' AND mode = {int(mode)}"
+        heavy = any(g[:2] == (region, mode) for g in self.split_bins)
+        return self.whole.where(cond), self.split.where(cond) if heavy else None
+
+
+def store_by_bin(labelled: DataFrame, part_map: DataFrame, cut_num: int, max_rows: int, loads: dict,
+                 heavy: float = 2.0, least: int = 1 << 16) -> BinLayout:
+    """Store every cell once per new mode of its region, by (mode, region) and bin.
+
+    ``loads``: {(region, mode, part_id): cells}. A bin with more than ``heavy``
+    times its group's mean and more than ``least`` cells is split."""
+    spark = labelled.sparkSession
+    totals: dict = {}
+    for (region, mode, _), n in loads.items():
+        totals[region, mode] = totals.get((region, mode), 0) + n
+    split = {g for g, n in loads.items() if n > least and n > heavy * totals[g[:2]] / cut_num}
+    cells = label_cells(labelled, part_map, max_rows)
+    keys = F.array(*[F.lit(int(k)) for k in bin_keys(spark, cut_num)])
+    whole, apart = cells, None
+    if split:
+        rows = spark.createDataFrame([(r, int(m), int(p)) for r, m, p in sorted(split)], "region string, mode int, part_id int")
+        whole = cells.join(F.broadcast(rows), ["region", "mode", "part_id"], "left_anti")  # 12 * cut_num rows at most
+        apart = stash(cells.join(F.broadcast(rows), ["region", "mode", "part_id"], "left_semi")
+                      .select("mode", "region", "i", "j", "k", "val", "part_id").hint("rebalance"), "cells-split", ["mode", "region"])
+    whole = whole.select("mode", "region", "i", "j", "k", "val", "part_id",
+                         F.element_at(keys, F.col("part_id")).cast("long").alias("bin_key"))
+    stored = stash_bucketed(whole, "cells-by-bin", int(cut_num), "bin_key", ["mode", "region"])
+    return BinLayout(stored, apart, split)
+
+
 def partition_loads(part_map: DataFrame) -> DataFrame:
     return part_map.groupBy("region", "mode", "part_id").agg(F.sum("nnz").alias("load"))
 

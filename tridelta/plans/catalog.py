@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import DEFAULT_CUT_NUM, DEFAULT_MU, PUBLISHED_CORE_WEIGHTS
-from ..functions.index import COORD, MODES, other_modes, unfold_index
+from ..functions.index import COORD, MODES, REGIONS, other_modes, unfold_index
 from ..functions.linalg import core_pinv, unfold
 from ..operators import core as co
 from ..operators import factors as fo
@@ -29,6 +29,7 @@ from .job import start_model, tucker_job
 
 # The products of whole-number cores and Grams here are compared in this unit.
 TURN_UNIT = "1e14"
+GRAM_UNIT = "1e16"
 R = 3
 RANKS = (R, R, R)
 CUT = DEFAULT_CUT_NUM
@@ -59,6 +60,12 @@ class Setup:
     def old(self, mode: int) -> DataFrame:
         return self.factor(mode, 1, self.pre[mode])
 
+    def block(self, region: str, mode: int) -> tuple[DataFrame, int, int]:
+        """(start rows, rank, their number) that cells of ``region`` meet in ``mode``."""
+        if region[mode] == "1":
+            return self.factor(mode, self.pre[mode] + 1), R, self.dims[mode] - self.pre[mode]
+        return self.old(mode), R, self.pre[mode]
+
     def full(self) -> dict:
         return {m: self.factor(m) for m in MODES}
 
@@ -66,6 +73,16 @@ class Setup:
         return te.slice_nnz(self.labelled)
 
 
+# Every region paired with each mode that is new in it.
+TASKS = [(r, m) for r in REGIONS for m in MODES if r[m] == "1"]
+
+
+def _task_rows(out: DataFrame | None, rows: DataFrame, region: str, mode: int) -> DataFrame:
+    """``out`` and the rows of one more task, with region and mode as columns."""
+    rows = rows.select(F.lit(region).alias("region"), F.lit(mode).alias("mode"), *rows.columns)
+    return rows if out is None else out.unionByName(rows)
+
+
 # ------------------------------------------------------------------ Spark side
 
 def q_read_coo(spark, sf):
@@ -117,32 +134,50 @@ def q_factor_lookup(spark, sf):
     return fo.factor_lookup(s.cells, s.factor(1), "j", R, "a", s.dims[1])
 
 
-def _ttm_100(s: Setup) -> DataFrame:
-    return ke.ttm_chain(s.region("100"), 0, s.old(1), R, s.pre[1], s.old(2), R, s.pre[2])
+def _each_task(s: Setup, rows) -> DataFrame:
+    """``rows(region, mode)`` of all twelve tasks in one table."""
+    out = None
+    for region, mode in TASKS:
+        out = _task_rows(out, rows(region, mode), region, mode)
+    return out
+
+
+def _ttm(s: Setup, region: str, mode: int) -> DataFrame:
+    a, b = other_modes(mode)
+    return ke.ttm_chain(s.region(region), mode, *s.block(region, a), *s.block(region, b))
 
 
 def q_ttm_chain(spark, sf):
-    return _ttm_100(Setup(spark, sf))
+    s = Setup(spark, sf)
+    return _each_task(s, lambda region, mode: _ttm(s, region, mode))
 
 
-def _krows_100(s: Setup) -> DataFrame:
-    pairs = s.region("100").selectExpr("k AS xa", "j AS xb")
-    return ke.kron_rows(pairs, s.old(2), R, s.pre[2], s.pre[2], s.old(1), R, s.pre[1], s.pre[1])
+def _krows(s: Setup, region: str, mode: int) -> DataFrame:
+    a, b = other_modes(mode)
+    pairs = s.region(region).selectExpr(f"{COORD[b]} AS xa", f"{COORD[a]} AS xb")
+    (block_a, _, rows_a), (block_b, _, rows_b) = s.block(region, a), s.block(region, b)
+    return ke.kron_rows(pairs, block_b, R, s.pre[b], rows_b, block_a, R, s.pre[a], rows_a)
 
 
 def q_kron_rows(spark, sf):
-    return _krows_100(Setup(spark, sf))
+    s = Setup(spark, sf)
+    return _each_task(s, lambda region, mode: _krows(s, region, mode))
 
 
 def q_unfolded_join_multiply(spark, sf):
     s = Setup(spark, sf)
-    k = _krows_100(s).selectExpr("id", *[f"k{c} AS c{c}" for c in range(R * R)])
-    return ke.unfolded_join_multiply(s.region("100"), 0, k, R * R, s.pre, s.dims)
+
+    def rows(region, mode):
+        k = _krows(s, region, mode).selectExpr("id", *[f"k{c} AS c{c}" for c in range(R * R)])
+        return ke.unfolded_join_multiply(s.region(region), mode, k, R * R, s.pre, s.dims)
+
+    return _each_task(s, rows)
 
 
 def q_kron_core_product(spark, sf):
     s = Setup(spark, sf)
-    return ke.kron_core_product(_krows_100(s), R * R, co.start_core_array(RANKS), 0)
+    core = co.start_core_array(RANKS)
+    return _each_task(s, lambda region, mode: ke.kron_core_product(_krows(s, region, mode), R * R, core, mode))
 
 
 def q_mode_dims(spark, sf):
@@ -177,6 +212,39 @@ def q_bucket_map(spark, sf):
     return _bucket(Setup(spark, sf))[0]
 
 
+def q_bucket_map_wide(spark, sf):
+    """A thousand bins, more than most groups have slices."""
+    return po.bucket_map(Setup(spark, sf).hist(), 1000, 1 << 20)
+
+
+def q_bin_layout(spark, sf):
+    """The cells as the factor stage reads them: one task per bin."""
+    s = Setup(spark, sf)
+    ctx = up.prepare(s.cells, s.pre, RANKS)
+    up.partition_stage(ctx, CUT, "bucket")
+    # grouped by the key of its buckets, the table is read bucket by bucket
+    whole = ctx.by_bin.whole.groupBy("bin_key", "region", "mode", "part_id").agg(F.count(F.lit(1)).alias("cells"))
+    whole = whole.select("region", "mode", "part_id", F.spark_partition_id().alias("partition"), "cells")
+    if ctx.by_bin.split is None:
+        return whole
+    split = ctx.by_bin.split.groupBy("region", "mode", "part_id").agg(F.count(F.lit(1)).alias("cells"))
+    return whole.unionByName(split.withColumn("partition", F.lit(None).cast("int")), allowMissingColumns=True)
+
+
+def q_ttm_by_bin(spark, sf):
+    """The kernel of all twelve tasks on cells stored by bin, each bin contracted
+    where it lies."""
+    s = Setup(spark, sf)
+    ctx = up.prepare(s.cells, s.pre, RANKS)
+    up.partition_stage(ctx, CUT, "bucket")
+
+    def rows(region, mode):
+        a, b = other_modes(mode)
+        return ke.ttm_by_bin(*ctx.by_bin.cells(region, mode), mode, *s.block(region, a), *s.block(region, b))
+
+    return _each_task(s, rows)
+
+
 def q_greedy_map(spark, sf):
     return _greedy(Setup(spark, sf))
 
@@ -250,44 +318,68 @@ def q_gram(spark, sf):
     return fo.gram_frame(s.factor(0), R, vs, R)
 
 
-def _update_100(s: Setup) -> DataFrame:
-    return ke.update_factor(s.region("100"), 0, co.start_core_array(RANKS), s.old(1), R, s.pre[1], s.old(2), R, s.pre[2])
+def _update(s: Setup, region: str, mode: int) -> DataFrame:
+    a, b = other_modes(mode)
+    return ke.update_factor(s.region(region), mode, co.start_core_array(RANKS), *s.block(region, a), *s.block(region, b))
 
 
 def q_update_factor(spark, sf):
-    return _update_100(Setup(spark, sf))
+    s = Setup(spark, sf)
+    return _each_task(s, lambda region, mode: _update(s, region, mode))
 
 
 def q_update_factor_gram(spark, sf):
     s = Setup(spark, sf)
-    out = ke.update_factor_gram(s.region("100"), 0, co.start_core_array(RANKS), s.old(1), R, s.pre[1],
-                                s.old(2), R, s.pre[2], s.pre, s.dims)
-    # values are ~1e-12..1e-7 here: compared as integers at 1e-16
-    return out.selectExpr("idx", *[f"CAST(round(c{q} * 1e16) AS BIGINT) AS c{q}_e16" for q in range(R)])
+
+    def rows(region, mode):
+        a, b = other_modes(mode)
+        out = ke.update_factor_gram(s.region(region), mode, co.start_core_array(RANKS), *s.block(region, a), *s.block(region, b),
+                                    s.pre, s.dims)
+        # values are tiny here: compared as integers in a unit of their own size
+        return out.selectExpr("idx", *[f"CAST(round(c{q} * {GRAM_UNIT}) AS BIGINT) AS c{q}_scaled" for q in range(R)])
+
+    return _each_task(s, rows)
 
 
 def q_blend_factor(spark, sf):
     s = Setup(spark, sf)
-    prev = s.factor(0, s.pre[0] + 1, s.dims[0])
-    return fo.blend_factor(prev, _update_100(s), R, MU)
+
+    def rows(region, mode):
+        prev = s.factor(mode, s.pre[mode] + 1, s.dims[mode])
+        return fo.blend_factor(prev, _update(s, region, mode), R, MU)
+
+    return _each_task(s, rows)
 
 
-def _touched_new_rows(s: Setup) -> DataFrame:
-    rows = s.region("100").selectExpr("i AS idx").distinct()
-    return s.factor(0).join(rows, "idx", "left_semi")
+def _touched_new_rows(s: Setup, region: str, mode: int) -> DataFrame:
+    rows = s.region(region).selectExpr(f"{COORD[mode]} AS idx").distinct()
+    return s.factor(mode).join(rows, "idx", "left_semi")
 
 
 def q_orthonormalize(spark, sf):
+    """The touched new rows of each task, orthonormalised; one aggregation gives
+    the Gram matrices of all twelve."""
     s = Setup(spark, sf)
-    q, _, _, _ = fo.orthonormalize(_touched_new_rows(s), R)
-    return q.selectExpr("idx", *[f"CAST(round(c{c} * 1e9) AS BIGINT) AS c{c}_e9" for c in range(R)])
+    touched = {n: _touched_new_rows(s, *task) for n, task in enumerate(TASKS)}
+    grams = fo.grams_by_mode(touched, [R] * len(TASKS))
+
+    def rows(region, mode):
+        n = TASKS.index((region, mode))
+        q, _, _, _ = fo.orthonormalize(touched[n], R, gram_in=grams[n])
+        return q.selectExpr("idx", *[f"CAST(round(c{c} * 1e9) AS BIGINT) AS c{c}_e9" for c in range(R)])
+
+    return _each_task(s, rows)
 
 
 def q_stack_split(spark, sf):
     s = Setup(spark, sf)
-    stacked = fo.stack(s.old(0), _touched_new_rows(s))
-    old, new = fo.split(stacked, s.pre[0])
-    return old.withColumn("block", F.lit("old")).unionByName(new.withColumn("block", F.lit("new")))
+
+    def rows(region, mode):
+        stacked = fo.stack(s.old(mode), _touched_new_rows(s, region, mode))
+        old, new = fo.split(stacked, s.pre[mode])
+        return old.withColumn("block", F.lit("old")).unionByName(new.withColumn("block", F.lit("new")))
+
+    return _each_task(s, rows)
 
 
 def q_init_factor(spark, sf):
@@ -437,6 +529,7 @@ QUERIES = {
     "core_stage_published": q_core_stage_published, "factor_stage_sparse": q_factor_stage_sparse,
     "partition_stage": q_partition_stage, "factor_stage": q_factor_stage, "core_stage": q_core_stage,
     "incremental_update": q_incremental_update, "tucker_job": q_tucker_job,
+    "bucket_map_wide": q_bucket_map_wide, "bin_layout": q_bin_layout, "ttm_by_bin": q_ttm_by_bin,
 }
 
 
@@ -471,6 +564,7 @@ lab AS (SELECT t.i, t.j, t.k, t.val,
 new_cells AS (SELECT * FROM lab WHERE region <> '000'),
 {_ftab(0, '1', 'd0', 'f0')}, {_ftab(1, '1', 'd1', 'f1')}, {_ftab(2, '1', 'd2', 'f2')},
 {_ftab(0, '1', 'p0', 'o0')}, {_ftab(1, '1', 'p1', 'o1')}, {_ftab(2, '1', 'p2', 'o2')},
+{_ftab(0, 'p0 + 1', 'd0', 'n0')}, {_ftab(1, 'p1 + 1', 'd1', 'n1')}, {_ftab(2, 'p2 + 1', 'd2', 'n2')},
 hist AS (SELECT region, mode, slice, count(*) AS nnz FROM (
            SELECT region, 0 AS mode, i AS slice FROM new_cells WHERE substr(region, 1, 1) = '1'
            UNION ALL SELECT region, 1, j FROM new_cells WHERE substr(region, 2, 1) = '1'
@@ -483,8 +577,25 @@ def _with(*ctes: str, recursive: bool = False, tensor: str = SALES_SQL) -> str:
     return head + " " + ",\n".join([BASE.replace(SALES_SQL, tensor)] + list(ctes)) + "\n"
 
 
-def _lpt_ctes() -> list[str]:
-    zeros = "[" + ",".join(["0"] * CUT) + "]::BIGINT[]"
+def _tasks(sql) -> str:
+    """``sql(region, mode)`` of all twelve tasks, each a query with CTEs of its own."""
+    return " UNION ALL ".join(f"SELECT '{r}' AS region, {m} AS mode, * FROM ({sql(r, m)})" for r, m in TASKS)
+
+
+def _own(*ctes: str) -> str:
+    return "WITH " + ", ".join(ctes) + " "
+
+
+def _blk(region: str, mode: int) -> str:
+    return f"{'n' if region[mode] == '1' else 'o'}{mode}"
+
+
+def _blk_rows(region: str, mode: int) -> str:
+    return f"(d{mode} - p{mode})" if region[mode] == "1" else f"p{mode}"
+
+
+def _lpt_ctes(cut: int = CUT) -> list[str]:
+    zeros = "[" + ",".join(["0"] * cut) + "]::BIGINT[]"
     return [
         "items AS (SELECT *, row_number() OVER (PARTITION BY region, mode ORDER BY nnz DESC, slice) AS rn FROM hist)",
         f"""lpt(region, mode, rn, slice, nnz, part_id, loads) AS (
@@ -551,14 +662,15 @@ def _local(x: str, p: str) -> str:
     return f"(CASE WHEN {x} > {p} THEN {x} - 1 - {p} ELSE {x} - 1 END)"
 
 
-def _ttm_cte() -> str:
+def _ttm_cte(region: str, mode: int) -> str:
+    a, b = other_modes(mode)
     sums = ", ".join(f"sum(c.val * a.c{q} * b.c{r}) AS t{q + r * R}" for r in range(R) for q in range(R))
-    return (f"ttm AS (SELECT c.i AS idx, {sums} FROM lab c JOIN o1 a ON a.idx = c.j JOIN o2 b ON b.idx = c.k "
-            f"WHERE c.region = '100' GROUP BY c.i)")
+    return (f"ttm AS (SELECT c.{COORD[mode]} AS idx, {sums} FROM lab c JOIN {_blk(region, a)} a ON a.idx = c.{COORD[a]} "
+            f"JOIN {_blk(region, b)} b ON b.idx = c.{COORD[b]} WHERE c.region = '{region}' GROUP BY c.{COORD[mode]})")
 
 
-def _upd_cte() -> str:
-    p = core_pinv(_start_core(), 0)
+def _upd_cte(mode: int) -> str:
+    p = core_pinv(_start_core(), mode)
     names = [f"t{c}" for c in range(R * R)]
     return "upd AS (SELECT idx, " + ", ".join(f"{_lin(p[:, q], names)} AS c{q}" for q in range(R)) + " FROM ttm)"
 
@@ -567,11 +679,16 @@ def _start_core():
     return co.start_core_array(RANKS)
 
 
-def _krows_cte() -> str:
+def _krows_cte(region: str, mode: int, name: str = "krows") -> str:
+    a, b = other_modes(mode)
     prods = ", ".join(f"a.c{x} * b.c{y} AS k{x * R + y}" for x in range(R) for y in range(R))
-    return (f"krows AS (SELECT ({_local('pr.xa', 'p2')}) * p1 + {_local('pr.xb', 'p1')} AS id, {prods} "
-            f"FROM (SELECT DISTINCT k AS xa, j AS xb FROM lab WHERE region = '100') pr "
-            f"JOIN o2 a ON a.idx = pr.xa JOIN o1 b ON b.idx = pr.xb, pp)")
+    return (f"{name} AS (SELECT ({_local('pr.xa', f'p{b}')}) * {_blk_rows(region, a)} + {_local('pr.xb', f'p{a}')} AS id, {prods} "
+            f"FROM (SELECT DISTINCT {COORD[b]} AS xa, {COORD[a]} AS xb FROM lab WHERE region = '{region}') pr "
+            f"JOIN {_blk(region, b)} a ON a.idx = pr.xa JOIN {_blk(region, a)} b ON b.idx = pr.xb, pp)")
+
+
+def _touched_cte(region: str, mode: int) -> str:
+    return f"touched AS (SELECT * FROM f{mode} WHERE idx IN (SELECT {COORD[mode]} FROM lab WHERE region = '{region}'))"
 
 
 def _data_core_cte(where: str, name: str) -> str:
@@ -617,13 +734,11 @@ def _mgs_sql(src: str) -> str:
 
 
 def oracles() -> dict:
-    touched = "touched AS (SELECT * FROM f0 WHERE idx IN (SELECT i FROM lab WHERE region = '100'))"
     line_sets = ("ls AS (SELECT DISTINCT mode, idx FROM (SELECT 0 AS mode, i AS idx FROM t UNION ALL "
                  "SELECT 1, j FROM t UNION ALL SELECT 2, k FROM t), pp "
                  "WHERE idx <= CASE mode WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END)")
     olds = "olds AS (SELECT * FROM o0 UNION ALL SELECT * FROM o1 UNION ALL SELECT * FROM o2)"
     filtered = "ff AS (SELECT o.* FROM olds o WHERE EXISTS (SELECT 1 FROM ls WHERE ls.mode = o.mode AND ls.idx = o.idx))"
-    gm0 = unfold(_start_core(), 0)
     kcols = [f"k{c}" for c in range(R * R)]
     vrows = "vr AS (SELECT c.i, " + ", ".join(f"c.val * a.c{q} AS v{q}" for q in range(R)) + \
             " FROM t c JOIN f1 a ON a.idx = c.j)"
@@ -662,12 +777,13 @@ def oracles() -> dict:
         "line_sets": _with(line_sets) + "SELECT mode, idx FROM ls",
         "filter_factors": _with(line_sets, olds, filtered) + "SELECT * FROM ff",
         "factor_lookup": _with() + "SELECT c.j, c.i, c.k, c.val, a.c0 AS a0, a.c1 AS a1, a.c2 AS a2 FROM t c JOIN f1 a ON a.idx = c.j",
-        "ttm_chain": _with(_ttm_cte()) + "SELECT * FROM ttm",
-        "unfolded_join_multiply": _with(_ttm_cte()) + "SELECT idx, " + ", ".join(
-            f"t{q + r * R} AS c{r * R + q}" for r in range(R) for q in range(R)) + " FROM ttm",
-        "kron_rows": _with(_krows_cte()) + "SELECT * FROM krows",
-        "kron_core_product": _with(_krows_cte()) + "SELECT id, " + ", ".join(
-            f"{_lin(gm0.T[:, q], kcols)} AS c{q}" for q in range(R)) + " FROM krows",
+        "ttm_chain": _with() + _tasks(lambda r, m: _own(_ttm_cte(r, m)) + "SELECT * FROM ttm"),
+        "ttm_by_bin": _with() + _tasks(lambda r, m: _own(_ttm_cte(r, m)) + "SELECT * FROM ttm"),
+        "unfolded_join_multiply": _with() + _tasks(lambda r, m: _own(_ttm_cte(r, m)) + "SELECT idx, " + ", ".join(
+            f"t{q + w * R} AS c{w * R + q}" for w in range(R) for q in range(R)) + " FROM ttm"),
+        "kron_rows": _with() + _tasks(lambda r, m: _own(_krows_cte(r, m)) + "SELECT * FROM krows"),
+        "kron_core_product": _with() + _tasks(lambda r, m: _own(_krows_cte(r, m)) + "SELECT id, " + ", ".join(
+            f"{_lin(unfold(_start_core(), m).T[:, q], kcols)} AS c{q}" for q in range(R)) + " FROM krows"),
         "mode_dims": _with() + "SELECT d0 AS dim0, d1 AS dim1, d2 AS dim2 FROM pp",
         "cell_count": _with() + "SELECT count(*) AS cells FROM t",
         "slice_nnz": _with() + "SELECT * FROM hist",
@@ -678,6 +794,9 @@ def oracles() -> dict:
         + "SELECT " + ", ".join(f"CAST(round(max(CASE WHEN mode = {m} THEN cv END) * 1e9) AS BIGINT) AS cv{m}_e9"
                                 for m in MODES) + ", CAST(round(avg(cv) * 1e9) AS BIGINT) AS slice_skew_e9 FROM pm",
         "bucket_map": _with(*_lpt_ctes(), recursive=True) + "SELECT * FROM bmap",
+        "bucket_map_wide": _with(*_lpt_ctes(1000), recursive=True) + "SELECT * FROM bmap",
+        "bin_layout": _with(*_lpt_ctes(), recursive=True) + "SELECT region, mode, part_id, part_id - 1 AS partition, "
+                      "count(*) AS cells FROM (" + _labelled_cells_sql("bmap") + ") GROUP BY ALL",
         "bucket_partition": _with(*_lpt_ctes(), recursive=True) + _labelled_cells_sql("bmap"),
         "greedy_map": _with(*_greedy_ctes(), recursive=True) + "SELECT * FROM gmap",
         "greedy_partition": _with(*_greedy_ctes(), recursive=True) + _labelled_cells_sql("gmap"),
@@ -694,13 +813,13 @@ def oracles() -> dict:
         + " FROM f0 a JOIN vs v ON v.i = a.idx) UNPIVOT (g FOR pq IN (" + ", ".join(
             f"g{p}_{q}" for p in range(R) for q in range(R)) + ")) JOIN (VALUES " + ", ".join(
             f"('g{p}_{q}', {p}, {q})" for p in range(R) for q in range(R)) + ") AS m(pq, p, q) USING (pq)",
-        "update_factor": _with(_ttm_cte(), _upd_cte()) + "SELECT * FROM upd",
-        "blend_factor": _with(_ttm_cte(), _upd_cte(), _ftab(0, 'p0 + 1', 'd0', 'prev'))
-        + f"SELECT coalesce(p.idx, u.idx) AS idx, {blend_cols} FROM prev p FULL OUTER JOIN upd u ON u.idx = p.idx",
-        "orthonormalize": _with(touched, _mgs_sql("touched")) + "SELECT idx, " + ", ".join(
-            f"CAST(round(q{c} * 1e9) AS BIGINT) AS c{c}_e9" for c in range(R)) + " FROM qq",
-        "stack_split": _with(touched) + "SELECT idx, c0, c1, c2, 'old' AS block FROM o0 "
-                                        "UNION ALL SELECT idx, c0, c1, c2, 'new' AS block FROM touched",
+        "update_factor": _with() + _tasks(lambda r, m: _own(_ttm_cte(r, m), _upd_cte(m)) + "SELECT * FROM upd"),
+        "blend_factor": _with() + _tasks(lambda r, m: _own(_ttm_cte(r, m), _upd_cte(m))
+                                         + f"SELECT coalesce(p.idx, u.idx) AS idx, {blend_cols} FROM n{m} p FULL OUTER JOIN upd u ON u.idx = p.idx"),
+        "orthonormalize": _with() + _tasks(lambda r, m: _own(_touched_cte(r, m), _mgs_sql("touched")) + "SELECT idx, " + ", ".join(
+            f"CAST(round(q{c} * 1e9) AS BIGINT) AS c{c}_e9" for c in range(R)) + " FROM qq"),
+        "stack_split": _with() + _tasks(lambda r, m: _own(_touched_cte(r, m)) + f"SELECT idx, c0, c1, c2, 'old' AS block FROM o{m} "
+                                        "UNION ALL SELECT idx, c0, c1, c2, 'new' AS block FROM touched"),
         "init_factor": _with() + "SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2",
         "factor_layout": _with(line_sets, olds, filtered) + " UNION ALL ".join(
             f"SELECT mode, idx, {q} AS col, c{q} AS value FROM ff" for q in range(R)),
@@ -857,7 +976,7 @@ def update_oracles() -> dict:
     job = (_with(*_greedy_ctes(), *_cv_ctes("gmap"), *ctes, *fin, *core_ctes(weights), recursive=True)
            + f"SELECT * FROM ({metrics}) UNION ALL SELECT * FROM ({model})")
     return {
-        "update_factor_gram": _gram_update_sql(),
+        "update_factor_gram": _with() + _tasks(_gram_update_sql),
         "tucker_job": job,
         "write_model": job,
         "factor_stage": _with(*ctes) + " UNION ALL ".join(_scaled(new[m], m) for m in MODES),
@@ -868,16 +987,18 @@ def update_oracles() -> dict:
     }
 
 
-def _gram_update_sql() -> str:
-    """``update_factor_gram`` of region 100, mode 0: W = G^T inv(G (B'B (x) A'A) G^T)
+def _gram_update_sql(region: str, mode: int) -> str:
+    """``update_factor_gram`` of one task: W = G^T inv(G (B'B (x) A'A) G^T)
     from the two block Grams (inverse by cofactors), Kronecker rows of the
     occurring pairs times W, joined on the unfolding column."""
-    gm = unfold(_start_core(), 0)
+    a_, b_ = other_modes(mode)
+    ca, cb = COORD[a_], COORD[b_]
+    gm = unfold(_start_core(), mode)
     n = R * R
     ga = ("ga AS (SELECT " + ", ".join(f"sum(c{x} * c{y}) AS a{x}{y}" for x in range(R) for y in range(R))
-          + " FROM o1)")
+          + f" FROM {_blk(region, a_)})")
     gb = ("gb AS (SELECT " + ", ".join(f"sum(c{x} * c{y}) AS b{x}{y}" for x in range(R) for y in range(R))
-          + " FROM o2)")
+          + f" FROM {_blk(region, b_)})")
     m_cols = []
     for p in range(R):
         for s_ in range(R):
@@ -897,14 +1018,11 @@ def _gram_update_sql() -> str:
     w = ("ww AS (SELECT " + ", ".join(
         " + ".join(f"{_num(gm[s_, c])} * v{s_}{p}" for s_ in range(R)) + f" AS w{c}_{p}"
         for c in range(n) for p in range(R)) + " FROM iv)")
-    prods = ", ".join(f"a.c{x} * b.c{y} AS k{x * R + y}" for x in range(R) for y in range(R))
-    krows = (f"kr AS (SELECT ({_local('pr.xa', 'p2')}) * p1 + {_local('pr.xb', 'p1')} AS id, {prods} "
-             f"FROM (SELECT DISTINCT k AS xa, j AS xb FROM lab WHERE region = '100') pr "
-             f"JOIN o2 a ON a.idx = pr.xa JOIN o1 b ON b.idx = pr.xb, pp)")
+    krows = _krows_cte(region, mode, "kr")
     rw = ("rw AS (SELECT id, " + ", ".join(
         " + ".join(f"k{c} * w{c}_{p}" for c in range(n)) + f" AS c{p}" for p in range(R)) + " FROM kr, ww)")
-    col = f"({_local('c.j', 'p1')} + {_local('c.k', 'p2')} * p1)"
-    y = ("SELECT c.i AS idx, " + ", ".join(f"CAST(round(sum(c.val * r.c{p}) * 1e16) AS BIGINT) AS c{p}_e16"
-                                           for p in range(R))
-         + f" FROM lab c, pp JOIN rw r ON r.id = {col} WHERE c.region = '100' GROUP BY c.i")
-    return _with(ga, gb, mm, inv, w, krows, rw) + y
+    col = f"({_local(f'c.{ca}', f'p{a_}')} + {_local(f'c.{cb}', f'p{b_}')} * {_blk_rows(region, a_)})"
+    y = (f"SELECT c.{COORD[mode]} AS idx, " + ", ".join(f"CAST(round(sum(c.val * r.c{p}) * {GRAM_UNIT}) AS BIGINT) AS c{p}_scaled"
+                                                       for p in range(R))
+         + f" FROM lab c, pp JOIN rw r ON r.id = {col} WHERE c.region = '{region}' GROUP BY c.{COORD[mode]}")
+    return _own(ga, gb, mm, inv, w, krows, rw) + y

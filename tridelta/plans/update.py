@@ -5,9 +5,10 @@
 1. one validation/dims job; the increment is labelled with its region and
    written once, partitioned by region (``000`` is never read again);
 2. partition stage: slice histogram of the 12 (region, mode) groups in one
-   aggregation, bin maps and balance metrics;
+   aggregation, bin maps and balance metrics; the cells are stored by bin;
 3. factor stage: new-row blocks of every mode, C1 -> C2 -> C3 (Gauss-Seidel
-   order), blended with forgetting weight ``mu`` and orthonormalised;
+   order), contracted bin by bin where the cells lie, blended with forgetting
+   weight ``mu`` and orthonormalised;
 4. core stage: old over new block orthonormalised (Gram algebra only), the
    old core rotated into the new basis, and every region's contribution
    added in one pass over the labelled increment.
@@ -29,7 +30,7 @@ from ..functions.linalg import mgs_transform, mode_product
 from ..operators import factors as fo
 from ..operators import partition as po
 from ..operators.core import array_to_core, core_to_array
-from ..operators.kernel import contract_all, update_and_blend, update_factor
+from ..operators.kernel import contract_all, update_and_blend, update_by_bin, update_factor
 from ..operators.tensor import cut_regions, slice_nnz, stats_aggs, stats_from_row
 from ..session import configure, delete_paths, owned_tables, stash
 
@@ -50,6 +51,7 @@ class Context:
     region_cells: dict
     metrics: list = field(default_factory=list)
     touched_rows: dict = field(default_factory=dict)
+    by_bin: po.BinLayout | None = None   # the cells grouped by bin, if bins were assigned
 
     def region(self, r: str) -> DataFrame:
         return self.cells.where(f"region = '{r}'")
@@ -131,19 +133,23 @@ def prepare(cells: DataFrame, pre_dims, ranks) -> Context:
 
 def partition_stage(ctx: Context, cut_num: int, method: str):
     """Histogram (one aggregation for all 12 groups, stored), every slice's bin
-    (stored) and the balance of the bins. The time covers all three."""
+    (stored), the balance of the bins, and the cells grouped by bin
+    (``ctx.by_bin``), on which the factor stage runs. ``partition_seconds`` covers
+    the first three, ``grouping_seconds`` the last."""
     t0 = time.time()
     hist = stash(slice_nnz(ctx.cells), "histogram")
     dims = {m: ctx.dims[m] for m in MODES}
     if method == "bucket":
-        part_map = po.bucket_map(hist, cut_num, max(ctx.dims))
+        runs = stash(po.bucket_runs(hist, cut_num), "lpt-runs", partition_by=["kind"])
+        part_map = po.bucket_map(hist, cut_num, max(ctx.dims), runs=runs)
     else:
         # a cell of region r adds one row to each group (r, m) with m new in r
         totals = {(r, m): n for r, n in ctx.region_cells.items() if r != "000" and n > 0
                   for m in MODES if r[m] == "1"}
         part_map = po.greedy_map(hist, cut_num, dims, totals=totals)
     part_map = stash(part_map, "part-map")
-    cv = po.partition_cv(po.partition_loads(part_map)).collect()
+    loads = po.partition_loads(part_map)
+    cv = po.partition_cv(loads).collect()
     seconds = time.time() - t0
     groups = [(r["region"], int(r["mode"]), float(r["cv"]), float(r["cv_exact"])) for r in cv]
     mean_cv = float(np.mean([g[2] for g in groups])) if groups else float("nan")
@@ -152,6 +158,10 @@ def partition_stage(ctx: Context, cut_num: int, method: str):
     for region, mode, value, exact in groups:
         ctx.metrics.append(("partition_cv", region, mode, value))
         ctx.metrics.append(("partition_cv_exact", region, mode, exact))
+    t1 = time.time()
+    held = {(r["region"], int(r["mode"]), int(r["part_id"])): int(r["load"]) for r in loads.collect()}  # 12 * cut_num at most
+    ctx.by_bin = po.store_by_bin(ctx.cells, part_map, cut_num, 4 * sum(ctx.new_rows(m) for m in MODES), held)
+    ctx.metrics.append(("grouping_seconds", None, None, time.time() - t1))
     return part_map, mean_cv, seconds
 
 
@@ -179,8 +189,17 @@ def _update_rows(ctx: Context, mode: int, region: str, core: np.ndarray, old: di
     """Kernel + pseudo-inverse for ``mode`` from the cells of ``region``;
     other modes use their old or new block by the region's bits."""
     a, b = other_modes(mode)
-    return update_factor(ctx.region(region), mode, core, *_lookup(ctx, region, a, old, new),
-                         *_lookup(ctx, region, b, old, new))
+    blocks = *_lookup(ctx, region, a, old, new), *_lookup(ctx, region, b, old, new)
+    if _in_place(ctx, blocks):
+        return update_by_bin(*ctx.by_bin.cells(region, mode), mode, core, *blocks)
+    return update_factor(ctx.region(region), mode, core, *blocks)
+
+
+def _in_place(ctx: Context, blocks: tuple) -> bool:
+    """Whether cells grouped by bin can be contracted where they lie: factor
+    rows come to them only if both blocks are broadcast. Otherwise cells travel
+    to factor rows anyway, and the layout would be lost."""
+    return ctx.by_bin is not None and all(fo.fits_broadcast(blocks[k], blocks[k + 1], blocks[k + 2]) for k in (0, 3))
 
 
 def _orthonormal_block(ctx: Context, stored: DataFrame, g: np.ndarray, mode: int, region: str) -> Block:
@@ -197,8 +216,12 @@ def _blend_step(ctx: Context, mode: int, region: str, core: np.ndarray, old: dic
     if ctx.region_cells.get(region, 0) == 0:
         return
     a, b = other_modes(mode)
-    cur = update_and_blend(ctx.region(region), mode, core, *_lookup(ctx, region, a, old, new),
-                           *_lookup(ctx, region, b, old, new), new[mode].df, ctx.ranks[mode], mu)
+    blocks = *_lookup(ctx, region, a, old, new), *_lookup(ctx, region, b, old, new)
+    if _in_place(ctx, blocks):
+        rows = update_by_bin(*ctx.by_bin.cells(region, mode), mode, core, *blocks, keep_cells=True)
+        cur = fo.blend_factor(new[mode].df, rows, ctx.ranks[mode], mu)
+    else:
+        cur = update_and_blend(ctx.region(region), mode, core, *blocks, new[mode].df, ctx.ranks[mode], mu)
     stored, grams, _ = fo.stash_with_grams(cur, f"{name}-m{mode}-{region}", {mode: ctx.ranks[mode]})
     new[mode] = _orthonormal_block(ctx, stored, grams[mode], mode, region)
 

@@ -104,12 +104,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/tridelta/{name}-{uuid.uuid4().hex[:12]}"
 
 
+BUCKETED = "bucketed-"
+
+
+def _bucketed_table(path: str) -> str:
+    return "tridelta_" + path.rsplit("-", 1)[1]
+
+
 def delete_paths(spark: SparkSession, paths) -> int:
-    """Delete stored tables through the cluster file system (any scheme)."""
+    """Delete stored tables through the cluster file system (any scheme), and
+    what the catalog knows of them."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
     for p in paths:
+        if p.rsplit("/", 1)[1].startswith(BUCKETED):
+            spark.sql(f"DROP TABLE IF EXISTS {_bucketed_table(p)}")
         path = jvm.org.apache.hadoop.fs.Path(p)
         fs = path.getFileSystem(conf)
         if fs.exists(path):
@@ -140,6 +150,22 @@ def stash(df: DataFrame, name: str, partition_by: list[str] | None = None, codec
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stash_bucketed(df: DataFrame, name: str, buckets: int, key: str, partition_by: list[str]) -> DataFrame:
+    """:func:`stash` with the rows of a folder dealt into ``buckets`` files by the
+    hash of ``key``; a scan is then known to be partitioned by ``key``, and
+    grouping by it (and more) exchanges nothing. The layout is known through the
+    catalog: the table stays in it until :func:`delete_paths` gets its path."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{BUCKETED}{name}")
+    noted = _STORED.get()
+    if noted is not None:
+        noted.append(path)
+    table = _bucketed_table(path)
+    (df.repartition(buckets, key).write.format("parquet").partitionBy(*partition_by).bucketBy(buckets, key)
+     .option("path", path).saveAsTable(table))
+    return spark.table(table).select(*df.columns)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int, row_bytes: int, limit: int | None = None) -> DataFrame:
     """Hint a broadcast only when a proven row bound keeps the table under
     the limit; otherwise leave the choice to the planner (sort-merge + AQE)."""
