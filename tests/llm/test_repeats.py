@@ -76,17 +76,10 @@ def test_blocks_change_nothing(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(rs.Anchors().anchors(hashes), want))
 
 
-@pytest.mark.parametrize("limit", [None, "1"])
-def test_rows_equal_counting_all_windows(spark, limit):
-    """With ``limit`` no table is small enough to broadcast."""
+def test_rows_equal_counting_all_windows(spark):
     texts = planted(150, 3) + [edge.prose(80, 1), " ".join(["x"] * 100), " ".join(["y", "z"] * 30), "same " * 40]
     rows = [(k, t, "en", "a") for k, t in enumerate(texts)] + edge.texts()
-    if limit:
-        spark.conf.set("spark.tridelta.broadcastLimitBytes", limit)
-    try:
-        got = rs.remove(edge.frame(spark, rows).repartition(7), keep=["doc_id", "text"]).collect()
-    finally:
-        spark.conf.unset("spark.tridelta.broadcastLimitBytes")
+    got = rs.remove(edge.frame(spark, rows).repartition(7), keep=["doc_id", "text"]).collect()
     want = plain_version([t for _, t, *_ in rows], rs.LENGTH)
     key = lambda r: tuple((x is None, x if x is not None else 0) for x in r)
     assert sorted([(r.row.doc_id, r.row.text, r.n_words, r.n_removed, r.kept) for r in got], key=key) == sorted(

@@ -19,8 +19,10 @@ cover are found without forming all windows:
 4. What matches of neighbouring anchors overlaps is merged into maximal repeats.
 
 No pairs are formed: a join partner is always a row per hash, so a passage that
-a third of all texts share costs each of them a few rows. Hashes that must agree
-are 128 bits together (an anchor's and its surroundings', or its window's).
+a third of all texts share costs each of them a few rows. All these tables grow
+with the texts, so none is broadcast: joins sort and merge, and a hot key is split
+at run time. Hashes that must agree are 128 bits together (an anchor's and its
+surroundings', or its window's).
 
 Null text: no words. Null ids, ties and repeated rows: every row of the input
 comes back once. Texts with fewer words than ``length`` lose nothing. Very long texts
@@ -38,8 +40,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tridelta.session import broadcast_if_small
-
 from .common import map_arrow, small_batches, store, words_of
 from .shingles import SPACE, Shingler, mix
 
@@ -47,8 +47,6 @@ LENGTH = 35
 SEED = 12
 BLOCK_WORDS = 1 << 16
 BLOCK_BYTES = 1 << 20
-# a row of two or four numbers in a broadcast hash table, at most
-SEED_ROW, MET_ROW = 96, 112
 KEY = ["k1", "k2"]
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -203,7 +201,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFra
     own = own.toDF(*KEY, "copied", "place", "seed", "around")
     shared = store(own.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("least"), F.max("around").alias("most"))
                    .where("n > 1").select("seed", (F.col("least") == F.col("most")).alias("alike")), "repeat-seeds")
-    joined = own.join(broadcast_if_small(shared, shared.count(), SEED_ROW), "seed")
+    joined = own.join(shared.hint("merge"), "seed")
     joined = store(joined.select(*KEY, "copied", "place", "alike"), "repeat-joined")
     # extended over the whole surroundings at once
     reach = length - seed
@@ -212,13 +210,12 @@ def repeats(texts: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFra
     # extended window by window
     wanted = store(joined.where("NOT alike").groupBy(*KEY).agg(F.max("copied").alias("copied"), F.sort_array(F.collect_list("place")).alias("places")),
                    "repeat-wanted")
-    row_bytes = 128 + 4 * int(wanted.agg(F.max(F.size("places"))).head()[0] or 0)
-    windows = store(window_table(texts, broadcast_if_small(wanted, wanted.count(), row_bytes), length, seed), "repeat-windows")
+    windows = store(window_table(texts, wanted.hint("merge"), length, seed), "repeat-windows")
     # copies of a text give the same rows: they are one place
     place = F.struct(*KEY, "window")
     met = store(windows.groupBy("seed", "hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
                 .where("first <> last").select("seed", "hash"), "repeat-met")
-    again = windows.where("NOT copied").join(broadcast_if_small(met, met.count(), MET_ROW), ["seed", "hash"])
+    again = windows.where("NOT copied").join(met.hint("merge"), ["seed", "hash"])
     single = again.select(*KEY, "copied", F.col("window").alias("begin"), (F.col("window") + length).alias("end"))
     none = F.lit(None).cast("int")
     copies = once.where("n > 1").select(*KEY, F.lit(True).alias("copied"), none.alias("begin"), none.alias("end"))
@@ -231,8 +228,7 @@ def remove(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text_col: st
     ``kept``: the words outside of them, joined by one space."""
     texts = keyed(docs, text_col, docs.columns if keep is None else keep)
     spans = store(repeats(texts, length, seed), "repeat-spans")
-    row_bytes = 128 + 16 * int(spans.agg(F.max(F.size("spans"))).head()[0] or 0)
-    joined = texts.join(broadcast_if_small(spans, spans.count(), row_bytes), KEY, "left").select("row", "text", "copied", "spans")
+    joined = texts.join(spans.hint("merge"), KEY, "left").select("row", "text", "copied", "spans")
     schema = StructType([joined.schema["row"], *StructType.fromDDL(
         "n_words bigint, n_removed bigint, spans array<struct<begin:int,end:int>>, kept string").fields])
 
