@@ -12,6 +12,12 @@ COLUMNS = {
     "op3_curriculum_mix": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
     "op4_byte_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
     "op5_warc": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
+    "op2_secret_forest": {"doc_id": "bigint"},
+    "op6_ngram_join": {"doc_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op7_multi_index": {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op8_rff_quality": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op9_weak_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint",
+                       "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
     "op10_style_tree": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
     "op11_repeat_spans": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
     "op12_token_align": {"doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint",

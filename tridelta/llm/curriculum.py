@@ -20,7 +20,8 @@ a bucket, with about sqrt(rows) buckets, so no task holds a whole source.
 Null text, empty text and text without words: size 0, never taken. Null
 source: a source of its own, last in order. Null ids sort first. Repeated
 rows are rows of their own; those equal in id and size are interchangeable.
-All columns of the input are kept apart in a struct and cannot clash.
+All columns of the input are kept apart in a struct and cannot clash. Very long
+texts only count by their words. An empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@ vectors of different length.
 
 A pair is found if either vector visits the other's cell, and counted once for
 each of the two. Repeated rows are copies of each other; null ids sort after
-all others. Other columns do not pass and cannot clash.
+all others. An empty table gives an empty one. Other columns do not pass and
+cannot clash.
 """
 
 from __future__ import annotations

@@ -27,7 +27,8 @@ over partitions, and a large cluster is spread over its block pairs.
 
 Null, empty and white-space-only texts link with nothing. Repeated rows are
 copies of each other. Null ids sort after all others when a representative is
-chosen. Other columns do not pass and cannot clash. Very long texts are taken
+chosen. An empty table gives an empty one. Other columns do not pass and cannot
+clash. Very long texts are taken
 whole; a block pair holds at most two blocks of shingle sets at a time.
 """
 

@@ -12,7 +12,8 @@ What reaches the driver does not grow with the data: means, one matrix of
 
 Null and empty text: statistics of the empty text, scored like any other.
 Null labels are not learnt from; several labels of one document are averaged.
-Rows with a null id get a score but no label. Repeated rows score alike.
+Rows with a null id get a score but no label. Repeated rows score alike. Very long
+texts are measured whole. Columns of the input other than id and text do not pass.
 Without any labelled row every score is 0.5.
 """
 

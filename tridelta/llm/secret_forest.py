@@ -24,7 +24,7 @@ used, those with the smallest hash.
 Null and empty text: no candidates, text unchanged. Null path: the path
 features are 0. Repeated rows give repeated findings. An empty table, or labels
 of one kind only, gives a forest of none: every candidate then scores as the
-share of positive labels, 0.5 without any. Columns of the input are kept in a
+share of positive labels, 0.5 without any. Very long texts are scanned whole. Columns of the input are kept in a
 struct and cannot clash.
 """
 

@@ -30,7 +30,8 @@ a third of all pages is spread; only its unimportant paths are handed to the
 pages, by broadcast if their measured size allows, else by a join on the host.
 
 Null and empty html: empty text. Null urls, or urls without a host: no site,
-so no style tree is applied. Repeated rows are extracted alike. Other columns
+so no style tree is applied. Repeated rows are extracted alike, very long pages
+whole, one at a time. An empty table gives an empty one. Other columns
 of the input are kept in a struct and cannot clash.
 """
 

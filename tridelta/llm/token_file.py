@@ -17,8 +17,9 @@ serves all tasks of a worker, and it starts no threads of its own. Texts that
 hold the string of an added token are encoded whole.
 
 Null text: the empty text (only the end id). Null ids sort first, repeated
-rows stay rows of their own, in any order among themselves. Other columns of
-the input do not pass and cannot clash.
+rows stay rows of their own, in any order among themselves. An empty table gives
+no segments and no rows. A very long text is a segment of its own, coded like any
+other. Other columns of the input do not pass and cannot clash.
 """
 
 from __future__ import annotations

@@ -17,7 +17,9 @@ join with the captures, so the join's hot partition can be split at run time.
 Repeated rows (equal id and payload) are all responses or all revisits, share
 their record ids and read back as just as many captures; a null id writes a record without one, reads back as
 null and sorts below every id. Null urls have no target header. Line breaks in
-urls are escaped. Columns other than id, url and payload do not pass.
+urls are escaped. Columns other than id, url and payload do not pass. An empty
+table gives archives without records. A task reads a whole file of the archive
+into memory, so very long payloads need room for a file of them.
 """
 
 from __future__ import annotations

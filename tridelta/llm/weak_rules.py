@@ -13,7 +13,7 @@ than ``max_repeat_pct`` % of the words in repeated five-word windows, fail.
 
 Null and empty text: no words, fails the base rules. Repeated rows are judged
 alike, each for itself. Columns of the input are kept in a struct and cannot
-clash. An empty table gives an empty result.
+clash. Very long texts are counted whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
