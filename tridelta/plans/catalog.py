@@ -29,7 +29,8 @@ from .job import start_model, tucker_job
 
 # The products of whole-number cores and Grams here are compared in this unit.
 TURN_UNIT = "1e14"
-GRAM_UNIT = "1e16"
+# Twelve differently conditioned inverses: pinv and cofactors differ in the 10th digit.
+GRAM_UNIT = "1e14"
 R = 3
 RANKS = (R, R, R)
 CUT = DEFAULT_CUT_NUM
@@ -719,20 +720,6 @@ def _start_core_cte() -> str:
     return f"g0 AS ({rows})"
 
 
-def _mgs_sql(src: str) -> str:
-    """Closed-form modified Gram-Schmidt of three columns from their Gram."""
-    return f"""gg AS (SELECT sum(c0*c0) AS g00, sum(c0*c1) AS g01, sum(c0*c2) AS g02,
-                           sum(c1*c1) AS g11, sum(c1*c2) AS g12, sum(c2*c2) AS g22 FROM {src}),
-           co1 AS (SELECT *, sqrt(g00) AS n0, g01 / sqrt(g00) AS r01, g02 / sqrt(g00) AS r02 FROM gg),
-           co2 AS (SELECT *, sqrt(g11 - r01 * r01) AS n1 FROM co1),
-           co3 AS (SELECT *, (g12 - r01 * r02) / n1 AS r12 FROM co2),
-           co4 AS (SELECT *, sqrt(g22 - r02 * r02 - r12 * r12) AS n2 FROM co3),
-           qq AS (SELECT idx, c0 / n0 AS q0,
-                         (c1 - r01 * c0 / n0) / n1 AS q1,
-                         (c2 - r02 * c0 / n0 - r12 * (c1 - r01 * c0 / n0) / n1) / n2 AS q2
-                  FROM {src}, co4)"""
-
-
 def oracles() -> dict:
     line_sets = ("ls AS (SELECT DISTINCT mode, idx FROM (SELECT 0 AS mode, i AS idx FROM t UNION ALL "
                  "SELECT 1, j FROM t UNION ALL SELECT 2, k FROM t), pp "
@@ -816,8 +803,8 @@ def oracles() -> dict:
         "update_factor": _with() + _tasks(lambda r, m: _own(_ttm_cte(r, m), _upd_cte(m)) + "SELECT * FROM upd"),
         "blend_factor": _with() + _tasks(lambda r, m: _own(_ttm_cte(r, m), _upd_cte(m))
                                          + f"SELECT coalesce(p.idx, u.idx) AS idx, {blend_cols} FROM n{m} p FULL OUTER JOIN upd u ON u.idx = p.idx"),
-        "orthonormalize": _with() + _tasks(lambda r, m: _own(_touched_cte(r, m), _mgs_sql("touched")) + "SELECT idx, " + ", ".join(
-            f"CAST(round(q{c} * 1e9) AS BIGINT) AS c{c}_e9" for c in range(R)) + " FROM qq"),
+        "orthonormalize": _with() + _tasks(lambda r, m: _own(_touched_cte(r, m), *_mgs_named("touched", "qq")) + "SELECT idx, " + ", ".join(
+            f"CAST(round(c{c} * 1e9) AS BIGINT) AS c{c}_e9" for c in range(R)) + " FROM qq"),
         "stack_split": _with() + _tasks(lambda r, m: _own(_touched_cte(r, m)) + f"SELECT idx, c0, c1, c2, 'old' AS block FROM o{m} "
                                         "UNION ALL SELECT idx, c0, c1, c2, 'new' AS block FROM touched"),
         "init_factor": _with() + "SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2",
