@@ -68,7 +68,7 @@ def test_all_cells_find_all_pairs(spark, monkeypatch):
 
 
 def test_few_cells_count_a_link_once(spark, monkeypatch):
-    """Whatever is found is found for both ends, from either end's visits."""
+    """Whatever is found is found for both ends, in one place."""
     data = rows()
     monkeypatch.setattr(multi_index, "choose_cells", lambda *a: 2)
     monkeypatch.setattr(multi_index, "grid_size", lambda n: 5)
@@ -83,14 +83,57 @@ def test_empty_and_invalid_tables(spark):
     assert sorted((r.id, r.n_links, r.component_id, r.kept) for r in only) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
+def plain_order(a, b):
+    """All sums of one vector, smallest first (ties in any order)."""
+    return np.sort((a[:, None] + b[None, :]).ravel())
+
+
 def test_cells_come_nearest_first():
     rng = np.random.default_rng(0)
-    grid = multi_index.Grid(rng.normal(size=(5, 3)), rng.normal(size=(5, 3)))
-    x = rng.normal(size=(7, 6))
-    d = grid.distances(x)
-    order = grid.nearest(x, 25)
-    assert (np.diff(np.take_along_axis(d, order, 1), axis=1) >= 0).all() and (np.sort(order, 1) == np.arange(25)).all()
-    assert (grid.nearest(x, 4) == order[:, :4]).all()
+    for k1, k2 in ((5, 5), (1, 7), (7, 1), (1, 1), (12, 4)):
+        grid = multi_index.Grid(rng.normal(size=(k1, 3)), rng.normal(size=(k2, 3)))
+        x = rng.normal(size=(7, 6))
+        first, second = grid.halves(x)
+        for a, b, cells in zip(first, second, grid.nearest(x, 1000)):
+            assert sorted(cells.tolist()) == list(range(k1 * k2))
+            assert np.array_equal((a[:, None] + b[None, :]).ravel()[cells], plain_order(a, b))
+        some = grid.nearest(x, 4)
+        assert all(np.array_equal(p, q[:4]) for p, q in zip(some, grid.nearest(x, 1000)))
+        assert [c[0] for c in some] == grid.home(x).tolist()
+
+
+def test_traversal_with_ties_and_a_limit():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 4, size=(50, 9)).astype(float), rng.integers(0, 4, size=(50, 6)).astype(float)
+    for limit in (-1, 0, 2, 3, 100):
+        for x, y, cells in zip(a, b, multi_index.multi_sequence(a, b, 54, within=limit)):
+            sums = (x[:, None] + y[None, :]).ravel()
+            assert sorted(cells.tolist()) == np.flatnonzero(sums <= limit).tolist()
+            assert (np.diff(sums[cells]) >= 0).all()
+
+
+def test_turn_is_when_a_cell_is_surely_visited():
+    rng = np.random.default_rng(2)
+    grid = multi_index.Grid(rng.normal(size=(9, 3)), rng.normal(size=(8, 3)))
+    x = rng.normal(size=(6, 6))
+    for v, cells in zip(x, grid.nearest(x, grid.cells)):
+        assert grid.turn(v, cells).tolist() == list(range(1, grid.cells + 1))
+
+
+def test_memory_on_a_large_grid():
+    """1,024 vectors on 256 x 256 cells: far from the 512 MB of all distances."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    grid = multi_index.Grid(rng.normal(size=(256, 32)), rng.normal(size=(256, 32)))
+    x = rng.normal(size=(1024, 64))
+    tracemalloc.start()
+    grid.nearest(x, 200)
+    grid.turn(x[0], np.arange(0, grid.cells, 50))
+    grid.in_reach(x[:64] / np.linalg.norm(x[:64], axis=1, keepdims=True), 0.93)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
 
 
 def rare(n=2500, pairs=40, cosine=0.94):
@@ -108,7 +151,7 @@ def rare(n=2500, pairs=40, cosine=0.94):
 def test_all_cells_in_reach_hold_all_links():
     x = rare()
     grid = multi_index.Grid(multi_index.kmeans(x[:, :32], 6, seed=3), multi_index.kmeans(x[:, 32:], 6, seed=4))
-    home, reach = grid.nearest(x, 1)[:, 0], grid.in_reach(x, 0.93)
+    home, reach = grid.home(x), grid.in_reach(x, 0.93)
     assert all(home[len(x) - 1 - k] in reach[k] and home[k] in reach[len(x) - 1 - k] for k in range(40))
     assert all(h in r for h, r in zip(home, reach)) and all(len(set(r.tolist())) == len(r) for r in reach)
 
@@ -120,3 +163,15 @@ def test_rare_links_are_found(spark, monkeypatch):
     want = {k for k in range(40)} | {2499 - k for k in range(40)}
     assert {r.id: r.n_links for r in got if r.n_links} == dict.fromkeys(want, 1)
     assert sum(r.component_id != r.id for r in got) == 40
+
+
+def test_rare_links_on_a_large_grid(spark, monkeypatch):
+    """256 x 256 cells, few links: recall against brute force."""
+    monkeypatch.setattr(multi_index, "grid_size", lambda n: 256)
+    data = [(k, [float(np.float32(c)) for c in v], 1) for k, v in enumerate(rare(2000, 60))]
+    x = np.array([v for _, v, _ in data])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.triu(x @ x.T >= 0.93, 1)
+    got = multi_index.near_duplicates(frame(spark, data), probes=2000).collect()
+    assert near.sum() >= 60 and sum(r.n_links for r in got) >= 0.9 * 2 * near.sum()
+    assert all(r.n_links <= near[r.id].sum() + near[:, r.id].sum() for r in got)

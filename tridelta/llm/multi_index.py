@@ -10,22 +10,23 @@ vectors of different length.
    fitted by k-means on at most ``sample`` classes (those with the smallest
    hash). Their product is the grid of cells; every class is filed under the
    cell of its nearest codewords.
-3. Cells are visited in the order of their distance from a vector, the sum of
-   the two halves' distances (the order in which a multi-sequence traversal
-   yields them). How many are visited follows from ``probes`` classes that are
-   compared with all others by brute force: as many cells as hold, for the
+3. A vector visits cells by a multi-sequence traversal: its distances from the
+   words of either half are sorted, and a frontier over the two sorted lists
+   yields the cells by the sum of the two, nearest first; the whole grid is
+   never written out. How many cells are visited follows from ``probes`` classes that are
+   compared with all others by brute force: as many as hold, for the
    average probe, ``recall`` of its true links. Probes are drawn, ``probes``
    at a time and ``ROUNDS`` times at most, until ``LINKED`` of them have links.
-   Where links are rarer than that, nothing is estimated: a vector visits every
-   cell that can hold a vector at the threshold (by its distance from the
-   bisecting planes of the codewords), and all links are found.
+   Where links are rarer than that, nothing is estimated: the same traversal runs over
+   the distances from the bisecting planes of the codewords, up to what the threshold
+   allows. These are all cells that can hold a linked vector, and all links are found.
 4. In every cell the visitors are compared with those filed there. Crowded
    cells are cut into blocks of members and of visitors, so a task holds at most
    two blocks of vectors. What leaves is one row per vector and block pair:
    its number of links and its component there - not the pairs.
 
-A pair is found if either vector visits the other's cell, and counted once for
-each of the two. Repeated rows are copies of each other; null ids sort after
+A pair is found if the one with the smaller key visits the other's cell, so it is
+found in one place and counted there for both. Repeated rows are copies of each other; null ids sort after
 all others. An empty table gives an empty one. Other columns do not pass and
 cannot clash.
 """
@@ -73,45 +74,88 @@ def _distances(x: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ words.T + (words * words).sum(1)[None, :])
 
 
+def multi_sequence(first: np.ndarray, second: np.ndarray, cells: int, within: float = np.inf) -> list[np.ndarray]:
+    """Cells of each vector by first[i] + second[j], smallest first: ``cells`` of
+    them, or fewer where the sum passes ``within``.
+
+    ``first`` and ``second`` hold one row per vector. All vectors of the batch
+    step together. The frontier has a place for each row i of a vector's sorted grid,
+    which waits at the first column not visited yet and is open once the row
+    before it has passed that column. Memory: the frontier (a row of ``first``
+    each) and the visits."""
+    n, k1 = first.shape
+    k2 = second.shape[1]
+    by_first, by_second = first.argsort(axis=1, kind="stable"), second.argsort(axis=1, kind="stable")
+    a, b = np.take_along_axis(first, by_first, 1), np.take_along_axis(second, by_second, 1)
+    column = np.zeros((n, k1), dtype=np.int32)
+    front = np.full((n, k1), np.inf)
+    front[:, 0] = a[:, 0] + b[:, 0]
+    live, steps, taken = np.arange(n), [], np.zeros(n, dtype=np.int64)
+    for step in range(min(cells, k1 * k2)):
+        at = np.arange(len(live))
+        row = front[:, :step + 1].argmin(axis=1)
+        go = front[at, row] <= within
+        if not go.all():  # what is left of these vectors is beyond the limit
+            live, row, column, front, a, b = (x[go] for x in (live, row, column, front, a, b))
+            at = np.arange(len(live))
+            if not len(live):
+                break
+        j = column[at, row]
+        steps.append((live, (by_first[live, row] * k2 + by_second[live, j]).astype(np.int32)))
+        taken[live] += 1
+        column[at, row] = j + 1
+        onward = (j + 1 < k2) & ((row == 0) | (column[at, np.maximum(row - 1, 0)] > j + 1))
+        front[at, row] = np.where(onward, a[at, row] + b[at, np.minimum(j + 1, k2 - 1)], np.inf)
+        below = np.flatnonzero((row + 1 < k1) & (column[at, np.minimum(row + 1, k1 - 1)] == j))
+        front[below, row[below] + 1] = a[below, row[below] + 1] + b[below, j[below]]
+    out = [np.empty(t, dtype=np.int32) for t in taken]
+    if not steps:
+        return out
+    owner, cell = np.concatenate([o for o, _ in steps]), np.concatenate([c for _, c in steps])
+    return np.split(cell[owner.argsort(kind="stable")], np.cumsum(taken)[:-1])
+
+
 class Grid:
     """Two codebooks and the cells they span (numbered first * words + second)."""
 
     def __init__(self, first: np.ndarray, second: np.ndarray):
         self.first, self.second = first, second
 
-    def distances(self, unit: np.ndarray) -> np.ndarray:
+    @property
+    def cells(self) -> int:
+        return len(self.first) * len(self.second)
+
+    def halves(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances (squared) from the words of each half."""
         half = self.first.shape[1]
-        a, b = _distances(unit[:, :half], self.first), _distances(unit[:, half:], self.second)
-        return (a[:, :, None] + b[:, None, :]).reshape(len(unit), -1)
+        return _distances(unit[:, :half], self.first), _distances(unit[:, half:], self.second)
 
-    def nearest(self, unit: np.ndarray, cells: int) -> np.ndarray:
+    def home(self, unit: np.ndarray) -> np.ndarray:
+        a, b = self.halves(unit)
+        return (a.argmin(axis=1) * len(self.second) + b.argmin(axis=1)).astype(np.int32)
+
+    def nearest(self, unit: np.ndarray, cells: int) -> list[np.ndarray]:
         """The ``cells`` nearest cells of each vector, nearest first."""
-        d = self.distances(unit)
-        cells = min(cells, d.shape[1])
-        some = np.argpartition(d, cells - 1, axis=1)[:, :cells]
-        order = np.take_along_axis(d, some, 1)
-        return np.take_along_axis(some, np.lexsort((some, order), axis=1), 1).astype(np.int32)
+        return multi_sequence(*self.halves(unit), cells)
 
+    def turn(self, unit: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Visits after which the traversal of one vector has surely reached each of
+        ``cells``: how many cells are no farther, counted on the sorted lists."""
+        a, b = (d[0] for d in self.halves(unit[None, :]))
+        far = a[cells // len(self.second)] + b[cells % len(self.second)] + 1e-12
+        return np.searchsorted(np.sort(b), far[:, None] - a[None, :], side="right").sum(axis=1)
 
     def in_reach(self, unit: np.ndarray, threshold: float) -> list[np.ndarray]:
         """All cells in which a vector of at least this cosine can be filed, of
-        each vector, nearest first."""
-        half = self.first.shape[1]
-        bounds, squares = [], []
-        for x, words in ((unit[:, :half], self.first), (unit[:, half:], self.second)):
-            d = _distances(x, words)
+        each vector, by their distance from it."""
+        bounds = []
+        for d, words in zip(self.halves(unit), (self.first, self.second)):
             apart = np.sqrt(_distances(words, words))
+            apart = np.where(apart > 1e-9, 2 * apart, np.inf)
             # a vector nearer to word a than to b is beyond the plane between them
-            steps = (d[:, :, None] - d[:, None, :]) / np.where(apart > 1e-9, 2 * apart, np.inf)[None, :, :]
-            bounds.append(np.maximum(0, steps.max(axis=2)) ** 2)
-            squares.append(d)
-        far = (bounds[0][:, :, None] + bounds[1][:, None, :]).reshape(len(unit), -1)
-        order = (squares[0][:, :, None] + squares[1][:, None, :]).reshape(len(unit), -1)
-        out = []
-        for f, o in zip(far, order):
-            cells = np.flatnonzero(f <= 2 - 2 * threshold + 1e-9)
-            out.append(cells[np.lexsort((cells, o[cells]))].astype(np.int32))
-        return out
+            steps = np.stack([((d[:, [w]] - d) / apart[w]).max(axis=1) for w in range(len(words))], axis=1)
+            bounds.append(np.maximum(0, steps) ** 2)
+        return multi_sequence(*bounds, self.cells, within=2 - 2 * threshold + 1e-9)
 
 
 def units(raw: list[bytes], width: int) -> np.ndarray:
@@ -165,56 +209,52 @@ def choose_cells(classes: DataFrame, grid: Grid, width: int, threshold: float, p
     """Cells to visit: the probes' links are found by brute force over all
     classes, and the rank of each link's cell is counted. ALL_IN_REACH if too
     few probes have links to tell."""
-    shares = np.zeros((0, len(grid.first) * len(grid.second)))
+    linked, reached = 0, {}
     for turn in range(ROUNDS):
         picked = classes.select("kin", "raw", "key").orderBy(F.xxhash64("key", F.lit(1)), "key").limit((turn + 1) * probes).collect()
         mine = picked[turn * probes:]
         if mine:
-            shares = np.concatenate([shares, _probe_links(classes, grid, width, threshold, mine)])
-        if len(shares) >= LINKED or len(mine) < probes:
+            for r in _probe_links(classes, grid, width, threshold, mine).collect():  # a row per turn, cells of the grid at most
+                reached[r["turn"]] = reached.get(r["turn"], 0.0) + r["share"]
+            linked = round(sum(reached.values()))  # the shares of each linked probe come to 1
+        if linked >= LINKED or len(mine) < probes:
             break
-    if len(mine) == probes and len(shares) < LINKED:  # neither enough links nor all classes
+    if len(mine) == probes and linked < LINKED:  # neither enough links nor all classes
         return ALL_IN_REACH
-    if not len(shares):
+    if not linked:
         return 1  # every class was a probe and none has a link
-    reached = np.cumsum(shares / shares.sum(1, keepdims=True), axis=1).mean(axis=0)
-    return int(np.searchsorted(reached, recall - 1e-9)) + 1
+    turns = sorted(reached)
+    within = np.cumsum([reached[t] for t in turns]) / sum(reached.values())
+    return turns[min(int(np.searchsorted(within, recall - 1e-9)), len(turns) - 1)]
 
 
-def _probe_links(classes: DataFrame, grid: Grid, width: int, threshold: float, picked: list) -> np.ndarray:
-    """Links by the rank of their cell, one row per probe that has any."""
+def _probe_links(classes: DataFrame, grid: Grid, width: int, threshold: float, picked: list) -> DataFrame:
+    """(turn, share): what share of a probe's links is reached at that turn of its
+    traversal, summed over the probes that have links."""
     probe = units([bytes(r["raw"]) for r in picked], width)
     kin = np.array([r["kin"] for r in picked])
     place = {bytes(r["key"]): k for k, r in enumerate(picked)}
-    total = len(grid.first) * len(grid.second)
-    order = grid.nearest(probe, total)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(total, dtype=np.int32)[None, :], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(probe), total), dtype=np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
                 unit = units(part.column(1).to_pylist(), width)
-                home = grid.nearest(unit, 1)[:, 0]
-                same = kin[:, None] == np.array(part.column(0).to_pylist())[None, :]
-                near = (probe @ unit.T >= threshold) & same
+                home = grid.home(unit)
+                near = (probe @ unit.T >= threshold) & (kin[:, None] == np.array(part.column(0).to_pylist())[None, :])
                 for j, key in enumerate(part.column(2).to_pylist()):
                     if key in place:
                         near[place[key], j] = False
-                p, q = np.nonzero(near)
-                np.add.at(counts, (p, rank[p, home[q]]), 1)
-        p, r = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(r, pa.int32()), pa.array(counts[p, r])],
-                                         ["probe", "place", "n"])
+                for p in np.flatnonzero(near.any(axis=1)):
+                    cells, n = np.unique(home[near[p]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(cells), p, np.int32)), pa.array(grid.turn(probe[p], cells).astype(np.int32)), pa.array(n.astype(np.int64))],
+                        ["probe", "turn", "n"])
 
-    seen = map_arrow(classes.select("kin", "raw", "key"), run, "probe int, place int, n bigint") \
-        .groupBy("probe", "place").agg(F.sum("n").alias("n")).collect()  # probes x cells at most
-    share = np.zeros((len(probe), total))
-    for r in seen:
-        share[r["probe"], r["place"]] += r["n"]
-    return share[share.sum(1) > 0]
+    seen = store(map_arrow(classes.select("kin", "raw", "key"), run, "probe int, turn int, n bigint")
+                 .groupBy("probe", "turn").agg(F.sum("n").alias("n")), "index-probes")
+    whole = seen.groupBy("probe").agg(F.sum("n").alias("whole"))
+    return seen.join(F.broadcast(whole), "probe").groupBy("turn").agg(F.sum(F.col("n") / F.col("whole")).alias("share"))
 
 
 def filed(classes: DataFrame, grid: Grid, width: int, cells: int, threshold: float) -> DataFrame:
@@ -223,16 +263,16 @@ def filed(classes: DataFrame, grid: Grid, width: int, cells: int, threshold: flo
     src = classes.select("kin", "key", "raw", "weight")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # visits of a batch: 4 million at most
+        step = max(1, min(1024, (4 << 20) // (grid.cells if cells == ALL_IN_REACH else cells)))
         for whole in batches:
-            step = 64 if cells == ALL_IN_REACH else 1024
             for at in range(0, whole.num_rows, step):
                 b = whole.slice(at, step)
                 unit = units(b.column(2).to_pylist(), width)
-                visits = grid.in_reach(unit, threshold) if cells == ALL_IN_REACH else list(grid.nearest(unit, cells))
+                visits = grid.in_reach(unit, threshold) if cells == ALL_IN_REACH else grid.nearest(unit, cells)
                 ends = np.cumsum([0, *map(len, visits)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(visits)))
-                home = pa.array(grid.nearest(unit, 1)[:, 0] if cells == ALL_IN_REACH else np.array([v[0] for v in visits], np.int32))
-                yield pa.RecordBatch.from_arrays([*b.columns, home, lists], [*b.schema.names, "home", "visits"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(grid.home(unit)), lists], [*b.schema.names, "home", "visits"])
 
     return map_arrow(src, run, "kin string, key binary, raw binary, weight bigint, home int, visits array<int>")
 
@@ -245,41 +285,29 @@ def verify(rows: DataFrame, width: int, threshold: float, block: int = BLOCK) ->
         "kin", "cell", F.ceil(F.col("n_members") / block).cast("int").alias("m_blocks"),
         F.ceil(F.col("n_visitors") / block).cast("int").alias("v_blocks")), "index-blocks")
     blocks = broadcast_if_small(blocks, blocks.count(), 96)
-    here = rows.select("kin", F.col("home").alias("cell"), "key", "raw", "weight", "home", "visits", F.lit(0).alias("role"))
-    there = rows.select("kin", F.explode("visits").alias("cell"), "key", "raw", "weight", "home",
-                        F.array().cast("array<int>").alias("visits"), F.lit(1).alias("role"))
+    here = rows.select("kin", F.col("home").alias("cell"), "key", "raw", "weight", F.lit(0).alias("role"))
+    there = rows.select("kin", F.explode("visits").alias("cell"), "key", "raw", "weight", F.lit(1).alias("role"))
 
     def spread(part: DataFrame, own: str, other: str) -> DataFrame:
         mine = F.pmod(F.xxhash64("key"), F.col(f"{own}_blocks")).cast("int")
         return (part.join(blocks, ["kin", "cell"]).withColumn(f"{own}_block", mine)
                 .withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
-                .select("kin", "cell", "m_block", "v_block", "role", "key", "raw", "weight", "home", "visits"))
+                .select("kin", "cell", "m_block", "v_block", "role", "key", "raw", "weight"))
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         m, v = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
         if not len(m) or not len(v):
             return pd.DataFrame({"key": [], "links": [], "root": []})
-        cell = int(pdf["cell"].iloc[0])
         near = units(v["raw"].tolist(), width) @ units(m["raw"].tolist(), width).T >= threshold
         v_keys, m_keys = v["key"].tolist(), m["key"].tolist()
-        place = {k: j for j, k in enumerate(m_keys)}
-        for i, k in enumerate(v_keys):  # a vector visits its own cell, too
-            if k in place:
-                near[i, place[k]] = False
+        both = {k: r for r, k in enumerate(sorted({*v_keys, *m_keys}))}
+        near &= np.array([both[k] for k in v_keys])[:, None] < np.array([both[k] for k in m_keys])[None, :]
         if not near.any():
             return pd.DataFrame({"key": [], "links": [], "root": []})
-        # a member that visits its visitor's cell counts the link there
-        home, own = v["home"].to_numpy(), m["visits"].tolist()
-        visits = np.full((len(own), max(map(len, own))), -1)
-        for k, cells in enumerate(own):
-            visits[k, :len(cells)] = cells
-        kept = np.unique(home)
-        known = np.stack([(visits == h).any(axis=1) for h in kept])[np.searchsorted(kept, home)]
         for_v = near @ m["weight"].to_numpy()
-        for_m = (near & ~known).T @ v["weight"].to_numpy()
-        names = sorted(set(v_keys) | set(m_keys))
-        index = {k: j for j, k in enumerate(names)}
-        at_v, at_m = np.array([index[k] for k in v_keys]), np.array([index[k] for k in m_keys])
+        for_m = near.T @ v["weight"].to_numpy()
+        names = list(both)
+        at_v, at_m = np.array([both[k] for k in v_keys]), np.array([both[k] for k in m_keys])
         adjacent = np.zeros((len(names), len(names)), dtype=bool)
         i, j = np.nonzero(near)
         adjacent[at_v[i], at_m[j]] = adjacent[at_m[j], at_v[i]] = True
