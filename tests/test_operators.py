@@ -126,3 +126,35 @@ def test_fused_update_and_blend_equals_update_then_blend(spark):
     y = {r["idx"]: np.array(r[1:]) for r in one.collect()}
     assert x.keys() == y.keys()
     assert all(np.allclose(x[k], y[k], rtol=1e-12, atol=1e-12) for k in x)
+
+
+def test_blocks_equal_columns_at_high_rank(spark, monkeypatch):
+    """The segment reduction against a column per entry, cells at absent rows
+    (which count as zero) and an empty region included, in blocks of a few cells."""
+    cells = activity_tensor(spark, SF0001)
+    dims = te.tensor_stats(cells).dims
+    rng = np.random.default_rng(3)
+    right = rng.normal(size=(90, 4))
+    a = fo.init_factor(spark, 1, 1, dims[1], 9).where("idx % 3 > 0")
+    b = fo.init_factor(spark, 2, 1, dims[2], 10)
+    args = a, 9, dims[1], b, 10, dims[2]
+    for keep in (False, True):
+        monkeypatch.setattr(ke, "BLOCK_VALUES", 90 * 37)
+        got = {r["idx"]: np.array(r[1:]) for r in ke.project_by_blocks(cells, 0, right, *args, keep_cells=keep).collect()}
+        t = ke.ttm_chain(cells, 0, *args, layout="wide", keep_cells=keep)
+        want = {r["idx"]: np.array([r[f"t{c}"] for c in range(90)]) @ right for r in t.collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-9) for k in want)
+    assert ke.project_by_blocks(cells.where("i < 0"), 0, right, *args).count() == 0
+
+
+def test_core_by_slabs_equals_columns(spark, monkeypatch):
+    cells = activity_tensor(spark, SF0001)
+    dims = te.tensor_stats(cells).dims
+    blocks = {m: fo.init_factor(spark, m, 1, dims[m], 3) for m in range(3)}
+    blocks[0] = blocks[0].where("idx % 4 > 0")
+    want = ke.contract_all(cells, blocks, (3, 3, 3), dict(enumerate(dims)))
+    monkeypatch.setattr(ke, "SUM_LIMIT", 1)
+    assert np.array_equal(ke.contract_all(cells, blocks, (3, 3, 3), dict(enumerate(dims))), want)
+    frame = {(r["p"], r["q"], r["r"]): r["g"] for r in ke.contract_frame(cells, blocks, (3, 3, 3), dict(enumerate(dims))).collect()}
+    assert frame == {(p + 1, q + 1, r + 1): want[p, q, r] for p in range(3) for q in range(3) for r in range(3)}
+    assert not ke.contract_all(cells.where("i < 0"), blocks, (3, 3, 3), dict(enumerate(dims))).any()

@@ -20,6 +20,8 @@ from .factors import blend_factor, factor_lookup, gram, lin_expr, num, project,
 WIDE_LIMIT = 64
 # Up to this many sums are one global aggregate (all in one codegen span).
 SUM_LIMIT = 64
+# Products that a worker holds at a time beyond these limits.
+BLOCK_VALUES = 1 << 20
 
 
 def ttm_chain(cells: DataFrame, mode: int, a_block: DataFrame, rank_a: int, a_rows: int,
@@ -60,7 +62,13 @@ def ttm_by_bin(whole: DataFrame, split: DataFrame | None, mode: int, *blocks, ke
 
 def update_by_bin(whole: DataFrame, split: DataFrame | None, mode: int, core: np.ndarray, a_block, rank_a, a_rows,
                   b_block, rank_b, b_rows, keep_cells: bool = False) -> DataFrame:
-    """:func:`update_factor` of cells stored by bin."""
+    """:func:`update_factor` of cells stored by bin. At high ranks what crosses
+    the exchange are rank-wide sums by block, from all bins alike."""
+    if rank_a * rank_b > WIDE_LIMIT:
+        cells = whole.select("i", "j", "k", "val")
+        if split is not None:
+            cells = cells.unionByName(split.select("i", "j", "k", "val"))
+        return update_factor(cells, mode, core, a_block, rank_a, a_rows, b_block, rank_b, b_rows, keep_cells)
     t = ttm_by_bin(whole, split, mode, a_block, rank_a, a_rows, b_block, rank_b, b_rows, keep_cells=keep_cells)
     return apply_right(t, rank_a * rank_b, core_pinv(core, mode))
 
@@ -75,52 +83,108 @@ def update_factor(cells: DataFrame, mode: int, core: np.ndarray, a_block, rank_a
                   b_block, rank_b, b_rows, keep_cells: bool = False) -> DataFrame:
     """New rows ``U[x,:] = T[x,:] . pinv(G_(mode))`` for rows with cells
     (exact when the other blocks are orthonormal)."""
+    if rank_a * rank_b > WIDE_LIMIT:
+        return project_by_blocks(cells, mode, core_pinv(core, mode), a_block, rank_a, a_rows, b_block, rank_b, b_rows, keep_cells)
     t = ttm_chain(cells, mode, a_block, rank_a, a_rows, b_block, rank_b, b_rows, keep_cells=keep_cells)
     return apply_right(t, rank_a * rank_b, core_pinv(core, mode))
 
 
-def outer_sums(rows: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
-    """``sum over rows of left (x) right`` as a matrix. Few sums are one global
-    aggregate; more are one small matrix product per Arrow batch, added up per
-    task and then entry by entry (the result has rank-many entries)."""
-    if len(left) * len(right) <= SUM_LIMIT:
-        row = rows.agg(*[F.expr(f"sum({x} * {y}) AS m{p}_{c}")
-                         for p, x in enumerate(left) for c, y in enumerate(right)]).collect()[0]
-        return np.array([[float(row[f"m{p}_{c}"] or 0.0) for c in range(len(right))] for p in range(len(left))])
-    n_left = len(left)
+def project_by_blocks(cells: DataFrame, mode: int, right: np.ndarray, a_block, rank_a, a_rows,
+                      b_block, rank_b, b_rows, keep_cells: bool = False) -> DataFrame:
+    """``T . right`` (see :func:`ttm_chain`) without a column per entry of ``T``.
 
-    def products(batches):
+    A block of cells is sorted by ``idx``, its products are summed by run
+    (one segment reduction), and the sums are multiplied by ``right`` at once, as both
+    steps are linear. So the aggregation that follows - partial, then final - has the
+    columns of ``right`` (the rank) instead of rank_a x rank_b."""
+    a, b = other_modes(mode)
+    ca, cb = COORD[a], COORD[b]
+    n, n_out = right.shape
+    x = cells.selectExpr(f"CAST({COORD[mode]} AS BIGINT) AS idx", ca, cb, "val")
+    x = factor_lookup(x, a_block, ca, rank_a, "a", a_rows, keep_cells)
+    x = factor_lookup(x, b_block, cb, rank_b, "b", b_rows, keep_cells)
+    x = x.select("idx", F.col("val").cast("double"), *[f"a{q}" for q in range(rank_a)], *[f"b{r}" for r in range(rank_b)])
+    step = max(1, BLOCK_VALUES // n)
+    names = ["idx", *[f"c{q}" for q in range(n_out)]]
+
+    def blocks(batches):
+        import numpy
+        import pyarrow
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                part = whole.slice(at, step)
+                idx = part.column(0).to_numpy()
+                order = idx.argsort(kind="stable")
+                idx = idx[order]
+                rows = numpy.column_stack([c.to_numpy() for c in part.columns[1:]])[order]
+                left = rows[:, 1:1 + rank_a] * rows[:, :1]
+                products = (rows[:, 1 + rank_a:, None] * left[:, None, :]).reshape(len(idx), n)
+                starts = numpy.flatnonzero(numpy.concatenate([[True], idx[1:] != idx[:-1]]))
+                out = numpy.add.reduceat(products, starts, axis=0) @ right
+                yield pyarrow.RecordBatch.from_arrays(
+                    [pyarrow.array(idx[starts]), *[pyarrow.array(out[:, q]) for q in range(n_out)]], names)
+
+    sums = x.mapInArrow(blocks, ", ".join(["idx bigint", *[f"{c} double" for c in names[1:]]]))
+    return sums.groupBy("idx").agg(*[F.sum(c).alias(c) for c in names[1:]])
+
+
+def core_sums(cells: DataFrame, blocks: dict, ranks, rows: dict) -> DataFrame:
+    """``(p, c, v)``, 0-based: entry ``c = q + r*R_1`` of slab ``p`` of
+    ``sum val * U0[i] (x) U1[j] (x) U2[k]``. A task holds one accumulator of
+    the core's size and adds a matrix product per block of cells; what it sends
+    is a row per slab, and they are added up entry by entry."""
+    r0, r1, r2 = (int(r) for r in ranks)
+    x = cells.select("i", "j", "k", F.col("val").cast("double"))
+    for m in (0, 1, 2):
+        x = factor_lookup(x, blocks[m], COORD[m], int(ranks[m]), f"u{m}_", rows[m])
+    x = x.select("val", *[f"u{m}_{q}" for m in (0, 1, 2) for q in range(int(ranks[m]))])
+    step = max(1, BLOCK_VALUES // (r1 * r2))
+
+    def slabs(batches):
         import numpy
         import pyarrow
 
         total = None
-        for b in batches:
-            if b.num_rows:
-                x = numpy.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
-                part = x[:, :n_left].T @ x[:, n_left:]
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                y = numpy.column_stack([c.to_numpy() for c in whole.slice(at, step).columns])
+                u, v, w = y[:, 1:1 + r0] * y[:, :1], y[:, 1 + r0:1 + r0 + r1], y[:, 1 + r0 + r1:]
+                part = u.T @ (w[:, :, None] * v[:, None, :]).reshape(len(y), r1 * r2)
                 total = part if total is None else total + part
         if total is not None:
             yield pyarrow.RecordBatch.from_arrays(
                 [pyarrow.array(range(len(total)), pyarrow.int32()),
                  pyarrow.array(total.tolist(), pyarrow.list_(pyarrow.float64()))], ["p", "sums"])
 
-    parts = rows.select(*left, *right).mapInArrow(products, "p int, sums array<double>")
-    out = np.zeros((len(left), len(right)))
-    for r in parts.select("p", F.posexplode("sums").alias("c", "v")).groupBy("p", "c").agg(F.sum("v").alias("v")).collect():
-        out[r["p"], r["c"]] = r["v"]
-    return out
+    parts = x.mapInArrow(slabs, "p int, sums array<double>")
+    return parts.select("p", F.posexplode("sums").alias("c", "v")).groupBy("p", "c").agg(F.sum("v").alias("v"))
 
 
 def contract_all(cells: DataFrame, blocks: dict, ranks, rows: dict, weight: str | None = None) -> np.ndarray:
-    """``sum val * U0[i] (x) U1[j] (x) U2[k]`` as an r0 x r1 x r2 array:
-    the kernel along mode 0, then ``U0^T T`` over the (small) kernel output."""
+    """``sum val * U0[i] (x) U1[j] (x) U2[k]`` as an r0 x r1 x r2 array. Few sums:
+    the kernel along mode 0, then ``U0^T T`` over the (small) kernel output as
+    one aggregate; more are :func:`core_sums`."""
     x = cells if weight is None else cells.selectExpr("i", "j", "k", f"val * {weight} AS val")
-    t = ttm_chain(x, 0, blocks[1], ranks[1], rows[1], blocks[2], ranks[2], rows[2])
-    joined = t.join(rename_cols(blocks[0], ranks[0], "idx", "u"), "idx")
-    mat = outer_sums(joined, [f"u{p}" for p in range(ranks[0])], [f"t{c}" for c in range(ranks[1] * ranks[2])])
+    n = ranks[1] * ranks[2]
+    mat = np.zeros((ranks[0], n))
+    if ranks[0] * n <= SUM_LIMIT:
+        row = _core_row(x, blocks, ranks, rows).collect()[0]
+        for p in range(ranks[0]):
+            mat[p] = [float(row[f"m{p}_{c}"] or 0.0) for c in range(n)]
+    else:
+        for r in core_sums(x, blocks, ranks, rows).collect():  # as many rows as the core has entries
+            mat[r["p"], r["c"]] = r["v"]
     return fold(mat, 0, tuple(ranks))
 
 
+def _core_row(cells: DataFrame, blocks: dict, ranks, rows: dict) -> DataFrame:
+    """All entries of the contraction as columns of one row."""
+    t = ttm_chain(cells, 0, blocks[1], ranks[1], rows[1], blocks[2], ranks[2], rows[2])
+    joined = t.join(rename_cols(blocks[0], ranks[0], "idx", "u"), "idx")
+    return joined.agg(*[F.expr(f"sum(u{p} * t{c}) AS m{p}_{c}") for p in range(ranks[0]) for c in range(ranks[1] * ranks[2])])
+
+
 def kron_rows(pairs: DataFrame, a_block: DataFrame, rank_a: int, a_pre: int, a_rows: int,
               b_block: DataFrame, rank_b: int, b_pre: int, b_rows: int) -> DataFrame:
     """Kronecker rows ``A (x) B`` only for the index pairs ``(xa, xb)`` that
@@ -177,14 +241,14 @@ def update_factor_gram(cells: DataFrame, mode: int, core: np.ndarray, a_block, r
 def contract_frame(cells: DataFrame, blocks: dict, ranks, rows: dict) -> DataFrame:
     """Same contraction as :func:`contract_all`, left as a core table
     ``(p, q, r, g)`` (1-based) computed entirely on the executors."""
-    t = ttm_chain(cells, 0, blocks[1], ranks[1], rows[1], blocks[2], ranks[2], rows[2])
     n = ranks[1] * ranks[2]
-    joined = t.join(rename_cols(blocks[0], ranks[0], "idx", "u"), "idx")
-    sums = joined.agg(*[F.expr(f"sum(u{p} * t{c}) AS m{p}_{c}") for p in range(ranks[0]) for c in range(n)])
+    if ranks[0] * n > SUM_LIMIT:
+        return core_sums(cells, blocks, ranks, rows).selectExpr(
+            "p + 1 AS p", f"c % {ranks[1]} + 1 AS q", f"CAST(floor(c / {ranks[1]}) AS INT) + 1 AS r", "v AS g")
     entries = ", ".join(
         f"struct({p + 1} AS p, {c % ranks[1] + 1} AS q, {c // ranks[1] + 1} AS r, m{p}_{c} AS g)"
         for p in range(ranks[0]) for c in range(n))
-    return sums.selectExpr(f"inline(array({entries}))")
+    return _core_row(cells, blocks, ranks, rows).selectExpr(f"inline(array({entries}))")
 
 
 def update_and_blend(cells: DataFrame, mode: int, core: np.ndarray, a_block, rank_a, a_rows,
@@ -196,8 +260,8 @@ def update_and_blend(cells: DataFrame, mode: int, core: np.ndarray, a_block, ran
 
     At small ranks this is ONE aggregation: the previous block's rows join the
     cell products before the grouping by row index (one shuffle instead of a
-    kernel shuffle plus a join shuffle). Beyond, the kernel contracts one mode
-    at a time and the blend is a join of the two row tables."""
+    kernel shuffle plus a join shuffle). Beyond, the update is summed by blocks
+    (:func:`project_by_blocks`) and the blend is a join of the two row tables."""
     if rank_a * rank_b + rank > WIDE_LIMIT:
         cur = update_factor(cells, mode, core, a_block, rank_a, a_rows, b_block, rank_b, b_rows, keep_cells=True)
         return blend_factor(prev, cur, rank, mu)

@@ -438,6 +438,32 @@ def q_update_core(spark, sf):
     return ke.contract_frame(s.labelled, s.full(), RANKS, s.dims)
 
 
+WIDE, WIDE_CORE = 10, 8
+
+
+def q_update_core_wide(spark, sf):
+    """The contraction at ranks (8, 8, 8): 512 entries."""
+    s = Setup(spark, sf)
+    blocks = {m: fo.init_factor(spark, m, 1, s.dims[m], WIDE_CORE) for m in MODES}
+    return ke.contract_frame(s.labelled, blocks, (WIDE_CORE,) * 3, s.dims)
+
+
+def q_project_wide(spark, sf):
+    """Kernel at ranks (10, 10) times the unfolded start core, for all twelve tasks."""
+    s = Setup(spark, sf)
+    core = co.start_core_array((WIDE,) * 3)
+
+    def block(region, m):
+        first, last = (s.pre[m] + 1, s.dims[m]) if region[m] == "1" else (1, s.pre[m])
+        return fo.init_factor(spark, m, first, last, WIDE), WIDE, last - first + 1
+
+    def rows(region, m):
+        a, b = other_modes(m)
+        return ke.project_by_blocks(s.region(region), m, unfold(core, m).T, *block(region, a), *block(region, b))
+
+    return _each_task(s, rows)
+
+
 def _scaled_frame(factors: DataFrame) -> DataFrame:
     return factors.selectExpr("mode", "idx", *[f"CAST(round(c{q} * 1e9) AS BIGINT) AS c{q}_e9" for q in range(R)])
 
@@ -531,6 +557,7 @@ QUERIES = {
     "partition_stage": q_partition_stage, "factor_stage": q_factor_stage, "core_stage": q_core_stage,
     "incremental_update": q_incremental_update, "tucker_job": q_tucker_job,
     "bucket_map_wide": q_bucket_map_wide, "bin_layout": q_bin_layout, "ttm_by_bin": q_ttm_by_bin,
+    "update_core_wide": q_update_core_wide, "project_wide": q_project_wide,
 }
 
 
@@ -583,6 +610,34 @@ def _tasks(sql) -> str:
     return " UNION ALL ".join(f"SELECT '{r}' AS region, {m} AS mode, * FROM ({sql(r, m)})" for r, m in TASKS)
 
 
+def _start_value(mode: int, idx: str, col: str) -> str:
+    return f"CAST(({idx} * 7919 + {col} * 104729 + {mode + 1}) % 1000 AS DOUBLE)"
+
+
+def _core_wide_sql() -> str:
+    n = f"range({WIDE_CORE})"
+    return _with(
+        f"by_ij AS (SELECT i, j, z, sum(val * {_start_value(2, 'k', 'z')}) AS v FROM t, {n} n(z) GROUP BY ALL)",
+        f"by_i AS (SELECT i, y, z, sum(v * {_start_value(1, 'j', 'y')}) AS v FROM by_ij, {n} n(y) GROUP BY ALL)",
+    ) + (f"SELECT CAST(x + 1 AS INTEGER) AS p, CAST(y + 1 AS INTEGER) AS q, CAST(z + 1 AS INTEGER) AS r, "
+         f"sum(v * {_start_value(0, 'i', 'x')}) AS g FROM by_i, {n} n(x) GROUP BY x, y, z")
+
+
+def _project_wide_sql(region: str, mode: int) -> str:
+    a, b = other_modes(mode)
+    weight = (31, 17, 7)  # the start core's, see functions.fixed
+
+    def entry(q):
+        return f"(({(q + 1) * weight[mode]} + (x + 1) * {weight[a]} + (y + 1) * {weight[b]}) % 97 + 1)"
+
+    n = f"range({WIDE})"
+    return _own(
+        f"s AS (SELECT {COORD[mode]} AS idx, {COORD[a]} AS other, y, sum(val * {_start_value(b, COORD[b], 'y')}) AS v "
+        f"FROM lab, {n} n(y) WHERE region = '{region}' GROUP BY ALL)",
+        f"u AS (SELECT idx, x, y, sum(v * {_start_value(a, 'other', 'x')}) AS v FROM s, {n} n(x) GROUP BY ALL)",
+    ) + "SELECT idx, " + ", ".join(f"sum(v * {entry(q)}) AS c{q}" for q in range(WIDE)) + " FROM u GROUP BY idx"
+
+
 def _own(*ctes: str) -> str:
     return "WITH " + ", ".join(ctes) + " "
 
@@ -820,6 +875,8 @@ def oracles() -> dict:
         + "SELECT p, q, r, sum(g) AS g FROM (SELECT * FROM dc UNION ALL SELECT * FROM g0) GROUP BY ALL",
         "core_mode_product": _with(whole, vrows, vsum, turn) + " UNION ALL ".join(turned),
         "update_core": _with(whole) + "SELECT p, q, r, g FROM dc",
+        "update_core_wide": _core_wide_sql(),
+        "project_wide": _with() + _tasks(_project_wide_sql),
     }
 
 
