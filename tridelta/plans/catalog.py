@@ -617,7 +617,7 @@ def _start_value(mode: int, idx: str, col: str) -> str:
 def _core_wide_sql() -> str:
     n = f"range({WIDE_CORE})"
     return _with(
-        f"by_ij AS (SELECT i, j, z, sum(val * {_start_value(2, 'k', 'z')}) AS v FROM t, {n} n(z) GROUP BY ALL)",
+        f"by_ij AS (SELECT i, j, z, sum(val * {_start_value(2, 'k', 'z')}) AS v FROM new_cells, {n} n(z) GROUP BY ALL)",
         f"by_i AS (SELECT i, y, z, sum(v * {_start_value(1, 'j', 'y')}) AS v FROM by_ij, {n} n(y) GROUP BY ALL)",
     ) + (f"SELECT CAST(x + 1 AS INTEGER) AS p, CAST(y + 1 AS INTEGER) AS q, CAST(z + 1 AS INTEGER) AS r, "
          f"sum(v * {_start_value(0, 'i', 'x')}) AS g FROM by_i, {n} n(x) GROUP BY x, y, z")
