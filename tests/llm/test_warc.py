@@ -77,3 +77,43 @@ def test_broken_archives_fail():
 
 def test_empty_table(spark):
     assert warc.capture_table(warc.round_trip(spark, frame(spark, []))).count() == 0
+
+
+def record(k, body):
+    return b"WARC/1.1\r\nWARC-Record-ID: r%d\r\nContent-Length: %d\r\n\r\n" % (k, len(body)) + body + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64, 1 << 20])
+def test_archives_are_walked_piece_by_piece(monkeypatch, piece):
+    import gzip
+
+    monkeypatch.setattr(warc, "PIECE", piece)
+    bodies = [b"", b"\r\n\r\n", b"WARC/1.1\r\n\r\n", b"x" * 3000, b"ab" * 500, b"\x1f\x8b", b"last"]
+    one = [record(k, b) for k, b in enumerate(bodies)]
+    for data in (b"".join(one), gzip.compress(b"".join(one)), b"".join(map(gzip.compress, one))):
+        got = [(h["warc-record-id"], bytes(b)) for h, b in warc.parse_records(data)]
+        assert got == [([f"r{k}"], b) for k, b in enumerate(bodies)]
+    assert list(warc.parse_records(b"")) == list(warc.parse_records(gzip.compress(b""))) == []
+    with pytest.raises(ValueError):
+        list(warc.parse_records(gzip.compress(one[0]) + b"rest"))
+
+
+def test_a_file_is_never_inflated_whole():
+    import gzip
+    import tracemalloc
+
+    data = b"".join(gzip.compress(record(k, b"page " * 100_000)) for k in range(60))  # 30 MB of blocks
+    whole = gzip.compress(gzip.decompress(data))
+    for archive in (data, whole):
+        tracemalloc.start()
+        assert sum(len(b) for _, b in warc.parse_records(archive)) == 30_000_000
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 8 << 20
+
+
+def test_long_pages_make_more_files(spark):
+    pages = frame(spark, [(k, "u", "x" * 1000) for k in range(40)] + [(100, "u", None)])
+    assert warc.file_records(pages, "html", file_bytes=10_000) == 30
+    assert warc.file_records(pages, "html") == 30_000 and warc.file_records(frame(spark, []), "html") == 30_000
+    assert warc.file_records(pages, "html", file_bytes=1) == 3

@@ -18,8 +18,10 @@ Repeated rows (equal id and payload) are all responses or all revisits, share
 their record ids and read back as just as many captures; a null id writes a record without one, reads back as
 null and sorts below every id. Null urls have no target header. Line breaks in
 urls are escaped. Columns other than id, url and payload do not pass. An empty
-table gives archives without records. A task reads a whole file of the archive
-into memory, so very long payloads need room for a file of them.
+table gives archives without records. A file holds about ``FILE_BYTES`` of payload
+(records of the average length) and is one gzip member, as Spark's writer makes
+it. A task holds a file as stored, compressed, and inflates it record by
+record, so a very long payload needs room for itself.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from tridelta.session import scratch_path
 
 from .common import map_arrow, store
 
+# Payload that a file holds on average, and what a worker inflates at a time.
+FILE_BYTES, PIECE = 256 << 20, 1 << 20
 CRLF = "\r\n"
 RECORD_END = CRLF + CRLF
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -127,34 +131,71 @@ def write_archive(captures: DataFrame, path: str, records_per_file: int = 30_000
      .option("maxRecordsPerFile", records_per_file).text(path))
 
 
+def file_records(pages: DataFrame, payload_col: str, file_bytes: int = FILE_BYTES, most: int = 30_000) -> int:
+    """Records (three a capture) of which a file holds about ``file_bytes`` of payload."""
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length(payload_col), F.lit(0)))).head()[0] or 0.0
+    return int(max(3, min(most, 3 * file_bytes / max(1.0, mean))))
+
+
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The archive's bytes piece by piece, plain or gzipped (one member or many)."""
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), PIECE):
+            yield data[at:at + PIECE]
+        return
+    at = 0
+    while at < len(data):
+        if data[at:at + 2] != b"\x1f\x8b":
+            raise ValueError(f"no gzip member at byte {at}")
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("the archive's gzip data is cut off")
+            fed = data[at:at + PIECE]
+            at += len(fed)
+            out = member.decompress(fed, PIECE)
+            yield out
+            while not member.eof and (out or member.unconsumed_tail):
+                out = member.decompress(member.unconsumed_tail, PIECE)
+                yield out
+        at -= len(member.unused_data)
+
+
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, list[str]], memoryview]]:
     """(headers by lower-case name, block) of every record of one archive,
-    plain or gzipped (one member or many). A broken archive fails."""
-    while data[:2] == b"\x1f\x8b":
-        out, rest = [], data
-        while rest[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            out.append(member.decompress(rest))
-            if not member.eof:
-                raise ValueError("the archive's gzip data is cut off")
-            rest = member.unused_data
-        data = b"".join(out)
-    view, at = memoryview(data), 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split(CRLF) if end >= 0 else [""]
+    plain or gzipped (one member or many), of which one record at a time is held
+    inflated. A broken archive fails, after the records before the break."""
+    pieces, held, done = _inflated(data), bytearray(), 0
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while held or more():
+        if not held:
+            continue
+        end, seen = -1, 0
+        while end < 0:
+            end = held.find(b"\r\n\r\n", seen)
+            seen = max(0, len(held) - 3)
+            if end < 0 and not more():
+                break
+        lines = held[:end].decode("utf-8").split(CRLF) if end >= 0 else [""]
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError(f"no record at byte {done}")
         headers: dict[str, list[str]] = {}
         for line in lines[1:]:
             name, _, value = line.partition(":")
             headers.setdefault(name.strip().lower(), []).append(value.strip())
-        start = end + 4
-        size = int(headers["content-length"][0])
-        if data[start + size:start + size + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where its length says")
-        yield headers, view[start:start + size]
-        at = start + size + 4
+        start, size = end + 4, int(headers["content-length"][0])
+        while len(held) < start + size + 4 and more():
+            pass
+        if held[start + size:start + size + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {done} does not end where its length says")
+        yield headers, memoryview(bytes(held[start:start + size]))
+        del held[:start + size + 4]
+        done += start + size + 4
 
 
 def read_records(spark: SparkSession, path: str, blocks: bool = True, batch_bytes: int = 16 << 20) -> DataFrame:
@@ -238,5 +279,5 @@ def round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", u
                payload_col: str = "html", min_bytes: int = 0, path: str | None = None) -> DataFrame:
     """Write an archive of ``pages`` and return its assembled captures."""
     path = path or scratch_path(spark, "warc")
-    write_archive(plan_captures(pages, id_col, url_col, payload_col, min_bytes), path)
+    write_archive(plan_captures(pages, id_col, url_col, payload_col, min_bytes), path, file_records(pages, payload_col))
     return assemble(store(read_records(spark, path, blocks=False), "warc-records"))
