@@ -15,16 +15,20 @@ document's own candidates: no candidate leaves its row, and a document with
 very many needs no shuffle.
 
 ``fit`` takes labelled findings (value, before, after, path, label).
-``format_labels`` makes them where nobody has labelled any: well-known formats
-and assigned values of mixed characters (``SHORT`` at least) are positive, plain
-words and numbers negative, everything between gets no label. Words before and
-after a candidate are those of the text, whether candidates themselves or not. At most ``train_rows`` of each label are
-used, those with the smallest hash.
+``labelled_sample`` makes them where nobody has labelled any: values of known
+kinds, secrets and what is mistaken for them (``KINDS``), are planted between
+pieces of ``contexts`` documents of the corpus, so a label says how the value was
+made and not how it looks; hashes, UUIDs, paths, placeholders and encoded text
+stand in the same places as keys. A quarter of the findings is held out
+(``by_kind`` counts the hits there). Words before and after a candidate are those
+of the text, whether candidates themselves or not. At most ``train_rows`` of each
+label are used, those with the smallest hash.
 
 Null and empty text: no candidates, text unchanged. Null path: the path
 features are 0. Repeated rows give repeated findings. An empty table, or labels
 of one kind only, gives a forest of none: every candidate then scores as the
-share of positive labels, 0.5 without any. Very long texts are scanned whole. Columns of the input are kept in a
+share of positive labels, 0.5 without any. A corpus of few documents gives
+every context several times. Very long texts are scanned whole. Columns of the input are kept in a
 struct and cannot clash.
 """
 
@@ -53,6 +57,13 @@ CANDIDATE = (
     f"|(?<!{RUN})(?:{RUN}{{{LONG},}}|(?<=[=:] ?[\"']?){RUN}{{{SHORT},{LONG - 1}}}(?!{RUN}))")
 BEFORE, AFTER = 48, 24
 HARMLESS_PATH = "test|example|sample|demo|mock|fixture|doc"
+PLACEHOLDER = "your|here|change|me|example|sample|dummy|todo|none|null|true|false|string|value|env|getenv|config|secret|token|password|key|api|x{3,}|\\*{3,}"
+DIGEST_WORDS = "commit|revision|sha[0-9]*|md5|digest|checksum|hash|etag|uuid|guid|blob|integrity"
+
+# --- fixed values: kinds of findings: (name, label, value in SQL, texts around it, with @ for the value) ---
+_HEX, _B32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_B62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_B64, _PASS = _B62 + "+/", _B62 + "!#$%&*+-.^_~?"
 
 
 def _sql(text: str) -> str:
@@ -60,6 +71,60 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _number(salt: str, low: int, high: int) -> str:
+    return f"int({low} + pmod(xxhash64(seed, '{salt}'), {high - low + 1}))"
+
+
+def _draw(alphabet: str, low: int, high: int, salt: str = "v") -> str:
+    """So many characters, drawn by the row's seed."""
+    return (f"array_join(transform(sequence(1, {_number(salt + 'n', low, high)}), i -> "
+            f"substr({_sql(alphabet)}, int(1 + pmod(xxhash64(seed, '{salt}', i), {len(alphabet)})), 1)), '')")
+
+
+def _words(low: int, high: int, between: str, salt: str = "w") -> str:
+    """Words of the context document."""
+    return (f"array_join(transform(sequence(1, {_number(salt + 'n', low, high)}), i -> "
+            f"words[int(pmod(xxhash64(seed, '{salt}', i), size(words)))]), '{between}')")
+
+
+def _one_of(*texts: str) -> str:
+    return f"array({', '.join(_sql(t) for t in texts)})[int(pmod(xxhash64(seed, 'one'), {len(texts)}))]"
+
+
+_ASSIGNED = ('token = "@"', "token=@", "api_key: @", "API_KEY='@'", '"secret": "@"', "access_token => '@'", "auth_token: @", "client_secret=@;")
+_PASSWORDS = ('password = "@"', "password: @", "password=@", "pwd=@", "passwd = '@'", "DB_PASSWORD=@", "'password': '@'", "password:   @,")
+_NAMED = ("id: @", "ref = @", "name: @", "value=@", "see @ for", "(@)", "@", "in @", '"@"', "file @")
+_UUID = "concat_ws('-', " + ", ".join(_draw(_HEX, n, n, f"u{k}") for k, n in enumerate((8, 4, 4, 4, 12))) + ")"
+KINDS = (
+    ("aws key", 1, f"concat('AKIA', {_draw(_B32, 16, 16)})", ("@", "key @", "AWS_ACCESS_KEY_ID=@", "aws: @", "(@)", "use @ now")),
+    ("aws secret", 1, _draw(_B64, 20, 40), ("AWS_SECRET_ACCESS_KEY=@", 'aws_secret_access_key = "@"', "secret_key: @")),
+    ("hex token", 1, _draw(_HEX, 16, 64), _ASSIGNED),
+    ("upper hex token", 1, f"upper({_draw(_HEX, 16, 64)})", _ASSIGNED),
+    ("token", 1, _draw(_B62 + "_-", 16, 60), _ASSIGNED + ("Authorization: Bearer @",)),
+    ("prefixed key", 1, f"concat({_one_of('ghp_', 'sk_live_', 'xoxb-', 'glpat-', 'AIza')}, {_draw(_B62, 20, 40)})", _ASSIGNED + ("@", "with @ set")),
+    ("password", 1, _draw(_PASS, 8, 20), _PASSWORDS),
+    ("plain password", 1, f"concat({_draw('abcdefghijklmnoprstuvwyz', 4, 9, 'p')}, {_draw('0123456789', 2, 5, 'd')}, {_draw('abcdefgh', 0, 4, 'q')})", _PASSWORDS),
+    ("URL password", 1, _draw(_PASS, 6, 16), ("postgres://app:@@db/x", "https://user:@@host.org/a", "amqp://svc:@@mq:5672")),
+    ("commit", 0, _draw(_HEX, 40, 40), ("commit @", "at revision @", "@", "fixed in @", "blob @", "merge: @", "see @.")),
+    ("digest", 0, f"{_draw(_HEX, 32, 64)}", ("sha256:@", "sha256 = @", "md5: @", "checksum=@", "digest: @", "@", "etag: \"@\"", "hash = '@'")),
+    ("bare digest", 0, f"sha2(string(seed), 256)", ("@", "file @", "(@)", "is @ now")),
+    ("UUID", 0, _UUID, _NAMED + ("uuid: @", "guid = '@'")),
+    ("path", 0, f"concat({_one_of('/usr/lib/', '/home/', 'src/', '/var/log/', 'https/')}, {_words(2, 6, '/')})", _NAMED + ("from @", "path=@")),
+    ("slug", 0, _words(3, 7, "-"), _NAMED + ("/@",)),
+    ("snake name", 0, _words(2, 6, "_"), _NAMED + ("secret_name: @", "token = @")),
+    ("long word", 0, _words(2, 6, ""), _NAMED),
+    ("word in capitals", 0, f"upper({_words(1, 6, '')})", _NAMED),
+    ("constant", 0, f"upper({_words(2, 5, '_')})", _NAMED + ("@ = 1", "@=x")),
+    ("number", 0, _draw("0123456789", 8, 24), _NAMED + ("card @", "phone: @")),
+    ("grouped number", 0, f"concat_ws('-', {', '.join(_draw('0123456789', 4, 4, f'g{k}') for k in range(4))})", _NAMED),
+    ("placeholder", 0, _one_of("changeme", "change_me_please", "YOUR_API_KEY", "your-token-here", "<your_token_here>", "********", "xxxxxxxxxxxxxxxx",
+                               "${SECRET}", "${DB_PASSWORD}", "{{ api_key }}", "os.environ", "getenv(TOKEN)", "None", "null", "string", "example_password",
+                               "TODO_SET_THIS", "config.token", "process.env.API_KEY", "self.password", "dummy-secret-value"), _ASSIGNED + _PASSWORDS),
+    ("word after a keyword", 0, _words(1, 1, ""), ("password: @", "token: @", "the secret: @", "auth: @", "password = @")),
+    ("encoded text", 0, f"rtrim('=', base64(encode({_words(3, 9, ' ')}, 'UTF-8')))", ("data:text/plain;base64,@", "@", "body: @", "content = \"@\"")),
+)
+
+
 def dictionary_regex(words: list[str]) -> str:
     """Matches any of the (lower-case) words, longest first."""
     plain = sorted({w for w in words if w.isalpha() and len(w) > 1}, key=lambda w: (-len(w), w))
@@ -103,9 +168,16 @@ def feature_sql(words: str) -> dict[str, str]:
         "covered_after": _coverage("c.after", words),
         "keyword_before": f"int(lower(c.before) rlike {_sql('(' + KEYWORDS + ')')})",
         "keyword_word": f"int(lower({last_word}) rlike {_sql('(' + KEYWORDS + ')')})",
+        "keyword_assigned": f"int(lower(c.before) rlike {_sql(f'(?:(?:{KEYWORDS}){ASSIGN}|{IN_URL})$')})",
         "assigned": r"""int(c.before rlike '[=:]>?\\s*["\']?$')""",
         "quoted": r"""int(c.before rlike '["\']$' and c.after rlike '^["\']')""",
         "apart": r"""int((c.before = '' or c.before rlike '[\\s"\'=:]$') and (c.after = '' or c.after rlike '^[\\s"\'.,;]'))""",
+        "dashes": f"(length({v}) - length(replace({v}, '-', '')))",
+        "slashes": f"(length({v}) - length(replace({v}, '/', '')))",
+        "code": share("$(){}<>*\\\\[\\\\]"),
+        "placeholder": _coverage(v, PLACEHOLDER),
+        "digest_before": f"int(lower(c.before) rlike {_sql('(' + DIGEST_WORDS + ')[^a-z]*$')})",
+        "prefix": f"int({v} rlike '^(AKIA|AIza|[a-z]{{2,5}}_|[a-z]{{2,5}}-[A-Za-z0-9]{{16}})')",
         "path_depth": f"(length({path}) - length(replace({path}, '/', '')))",
         "path_harmless": f"int({path} rlike {_sql('(' + HARMLESS_PATH + ')')})",
     }
@@ -175,20 +247,44 @@ def fit(labelled: DataFrame, words: str, trees: int = 20, depth: int = 6, train_
     return Forest(words, "((" + ") + (".join(parts) + f")) / {len(parts)}D")
 
 
-def format_labels(cands: DataFrame) -> DataFrame:
-    """Label findings (value, before, after, path) by what is known of formats."""
-    known = F.col("value").rlike("^AKIA[A-Z0-9]{16}$")
-    random = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") & (F.length("value") >= SHORT)
-    assigned = F.lower("before").rlike(f"(?:(?:{KEYWORDS}){ASSIGN}|{IN_URL})$")
-    plain = F.col("value").rlike("^[A-Za-z]?[a-z]+$") | F.col("value").rlike("^[0-9]+$") | F.col("value").rlike("^[A-Za-z]+([-_/][A-Za-z]+)+$")
-    label = F.when(known | (random & assigned), F.lit(1)).when(plain & ~assigned, F.lit(0))
-    return cands.withColumn("label", label).where("label is not null")
-
-
-def train(docs: DataFrame, words: str, text_col: str = "text", path_col: str | None = "source", **options) -> Forest:
-    found = store(with_candidates(docs, text_col, path_col, keep=[text_col]).select(
-        F.explode_outer("cands").alias("c")).where("c is not null").select("c.value", "c.before", "c.after", "c.path"), "secret-candidates")
-    return fit(format_labels(found), words, **options)
+def labelled_sample(docs: DataFrame, text_col: str = "text", path_col: str | None = "source", contexts: int = 400) -> DataFrame:
+    """Findings (value, before, after, path, label, kind, held_out): a value of
+    every kind, planted into each of ``contexts`` documents (those with the
+    smallest hash), between two pieces of its text."""
+    path = F.col(f"`{path_col}`").cast("string") if path_col else F.lit(None).cast("string")
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"), path.alias("path")).where("text <> ''")
+    picked = store(texts.orderBy(F.xxhash64("text", "path"), "text", "path").limit(contexts), "secret-contexts")
+    rounds = -(-contexts // max(1, picked.count()))
+    words = "filter(split(lower(regexp_replace(text, '[^A-Za-z]+', ' ')), ' '), w -> length(w) > 1)"
+    rows = (picked.withColumn("words", F.expr(f"concat({words}, if(size({words}) = 0, array('word'), cast(array() as array<string>)))"))
+            .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(KINDS) * rounds - 1))))
+            .withColumn("seed", F.xxhash64("text", "path", "k")).withColumn("kind", F.expr(f"k % {len(KINDS)}")))
+
+    def by_kind_sql(of) -> str:
+        return "CASE kind " + " ".join(f"WHEN {n} THEN {of(kind)}" for n, kind in enumerate(KINDS)) + " END"
+
+    form = by_kind_sql(lambda kind: f"array({', '.join(_sql(t) for t in kind[3])})[int(pmod(xxhash64(seed, 'form'), {len(kind[3])}))]")
+    rows = rows.withColumn("value", F.expr(by_kind_sql(lambda kind: kind[2]))).withColumn("form", F.expr(form))
+    at = "int(1 + pmod(xxhash64(seed, '{0}'), greatest(1, length(text) - 60)))"
+    planted = F.expr(f"concat(substr(text, {at.format('l')}, 60), ' ', left(form, locate('@', form) - 1), value, "
+                     f"substr(form, locate('@', form) + 1), ' ', substr(text, {at.format('r')}, 60))")
+    rows = rows.select("value", "path", "seed", F.expr(by_kind_sql(lambda kind: _sql(kind[0]))).alias("kind"),
+                       F.expr(by_kind_sql(lambda kind: str(kind[1]))).alias("label"), planted.alias("text"))
+    found = with_candidates(rows, "text", "path", ["value", "kind", "label", "seed"])
+    found = found.select("row.*", F.explode_outer(F.expr("filter(cands, c -> c.value = row.value)")).alias("c")).where("c is not null")
+    return found.select("c.value", "c.before", "c.after", "c.path", "label", "kind", (F.pmod("seed", F.lit(4)) == 2).alias("held_out"))
+
+
+def by_kind(findings: DataFrame, forest: Forest, keep_at: float = 0.5) -> DataFrame:
+    """kind, label, findings and those that the forest keeps, of the held-out ones."""
+    rows = findings.where("held_out").withColumn("cands", F.array(F.struct("value", "before", "after", "path")))
+    return (rows.withColumn("score", F.expr(forest.score_sql())[0]).groupBy("kind", "label")
+            .agg(F.count("*").alias("findings"), F.sum((F.col("score") >= keep_at).cast("int")).alias("kept")))
+
+
+def train(docs: DataFrame, words: str, text_col: str = "text", path_col: str | None = "source", contexts: int = 400, **options) -> Forest:
+    found = store(labelled_sample(docs, text_col, path_col, contexts), "secret-findings")
+    return fit(found.where("not held_out"), words, **options)
 
 
 def scan(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str | None = "source",
