@@ -46,13 +46,76 @@ def test_copies_count_once(spark):
     assert {r.text for r in st.extract(frame(spark, rows)).collect()} == {"only text"}
 
 
-def test_importance_by_hand(spark):
-    import math
-
-    data = [("h", ">a", 0, b"s", bytes([k])) for k in range(4)] + [("h", ">a", 1, bytes([k // 2]), bytes([k])) for k in range(4)]
-    row = st.importance(spark.createDataFrame(data + data, "host string, path string, kind int, feature binary, page binary")).head()
-    # two texts on two pages each, to base 4: one half; one look: none
-    assert row.pages == 4 and abs(row.importance - 0.9 * math.log(2) / math.log(4)) < 1e-9
+def plain_importance(features, gamma=0.9):
+    """The tree built and walked from the definition, in plain Python: {(host, path): (importance, highest)}."""
+    from collections import defaultdict
+    from math import log
+
+    seen, kids, has = defaultdict(set), {}, defaultdict(set)
+    for host, path, kind, feature, children, page in features:
+        if kind == 2:
+            has[host, path].add(page)
+        else:
+            seen[host, path, feature].add(page)
+            if kind == 0:
+                kids[host, path, feature] = children
+
+    def walk(host, path):
+        m = len(has[host, path])
+        counts = {f: len(p) for (h, q, f), p in seen.items() if (h, q) == (host, path)}
+        total = sum(counts.values())
+        if path.endswith(st.LEAF):
+            score = 1.0 if m == 1 else 1 - sum(n * log(n) / log(m) for n in counts.values()) / total
+            return score, score
+        look = 1.0 if m == 1 else min(1.0, -sum(n / total * log(n / total) for n in counts.values()) / log(m))
+        below, top = 0.0, 0.0
+        for f, n in counts.items():
+            scores = [walk(host, f"{path}>{c}") for c in kids[host, path, f]]
+            below += n / total * sum(x for x, _ in scores) / len(scores)
+            top = max([top, *(t for _, t in scores)])
+        score = (1 - gamma ** len(counts)) * look + gamma ** len(counts) * below
+        return score, max(score, top)
+
+    return {key: walk(*key) for key in has}
+
+
+def template(k, host="h"):
+    """No name in the list: a menu, a notice and a footer under names of no meaning, worded a little otherwise on each page."""
+    menu = "".join(f"<li><a href='/{w}'>{w} of the whole site</a></li>" for w in ("home", "news", "shop", "about"))
+    return (f"<body><div class=zq><ul class=k>{menu}<li><a href='/u{k}'>hello user{k}</a></li></ul></div>"
+            f"<div class=xx>We use small files to make this place work well for all who visit, number {k}</div>"
+            f"<section class=yy><h1>Title {k}</h1><p class=aa>first{k} part of own{k} text{k} here{k} and{k} more{k}</p>"
+            f"<p class=aa>second{k} part{k * 3} with{k} other{k} words{k} in{k} it{k}</p></section>"
+            f"<div class=ww>All rights of this place are reserved by its owners since the year {1990 + k}</div></body>")
+
+
+def test_importance_is_that_of_the_definition(spark):
+    rows = [(k, f"http://h/{k}", template(k)) for k in range(9)] + [(50 + k, f"http://g/{k}", BODY.replace("many", f"m{k}")) for k in range(3)]
+    rows += site(7, "s") + [(90, "http://s/x", "<div class=top>other <p>nested</p> text</div>"), (90, "http://s/x", "<div class=top>other <p>nested</p> text</div>")]
+    features = st.tree_features(frame(spark, rows), "url", "html", names=False)
+    want = plain_importance([tuple(r) for r in features.collect()])
+    got = {(r.host, r.path): (r.importance, r.highest) for r in st.importance(features).collect()}
+    assert got.keys() == want.keys() and len(got) > 20
+    assert all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k]))
+
+
+@pytest.mark.parametrize("names", [True, False])
+def test_templates_under_any_name_go(spark, names):
+    rows = [(k, f"http://h/{k}", template(k)) for k in range(20)]
+    for r in st.extract(frame(spark, rows), names=names).collect():
+        k = r.row.page_id
+        assert "whole site" not in r.text and "small files" not in r.text and "reserved" not in r.text
+        assert f"Title {k}" in r.text and f"first{k}" in r.text and f"second{k}" in r.text and r.n_template >= 6
+
+
+def test_own_text_beside_templates_stays(spark):
+    """A container of many template parts and one of its own is not taken out whole."""
+    parts = "".join(f"<div class=t{c}>the same words on all pages {c}</div>" for c in "abcdefghij")
+    rows = [(k, f"http://h/{k}", f"<div class=box>{parts}<div class=mine>own{k} words{k} only{k}</div></div>"
+             f"<div class=big><p>{' '.join(f'w{k}x{j}' for j in range(120))}</p></div>") for k in range(12)]
+    for r in st.extract(frame(spark, rows), names=False).collect():
+        k = r.row.page_id
+        assert f"own{k} words{k} only{k}" in r.text and "the same words" not in r.text and f"w{k}x119" in r.text
 
 
 def test_edge_cases(spark):

@@ -1,13 +1,17 @@
 """Main text of web pages with a site style tree.
 
 Pages of one host are merged by the paths of their elements (tag and class or
-id from the root down). For every path the tree has two distributions over the
-host's pages: of the element's presentation (the sequence of its children's
-tags) and of the text below it. Their entropies, to the base of the number of
-pages, give its importance: presentation that never varies and text that is
-the same everywhere count for little, and branches of low importance are taken
-out of each page. Pages of equal main text count once, and the number of pages
-is that of distinct ones.
+id from the root down). Below a path stand its presentations (the sequences of
+its children) with the children of each, and as leaves what elements hold
+themselves: neighbouring words, links and images. A leaf's importance is one less
+the mean entropy of what it holds, to the base of the number of pages, each
+feature by the pages that have it: what most pages share tells little, though a
+date or a name in it varies. That of an inner element is composed from below:
+with l presentations, (1 - gamma ** l) times the entropy of the presentations
+and gamma ** l times the mean importance of the children, by the share of the
+presentation that has them. A branch is taken out of the pages if it and all that
+lies below it are of low importance. Pages of equal main text count once. A block
+of main text (below) is one feature, its digest.
 
 Before that, what marks itself as no part of an article goes: scripts, styles,
 navigation, page headers, footers, asides, forms, dialogs, hidden elements and
@@ -26,8 +30,9 @@ Character references are decoded, white space within a block becomes one
 space, and blocks stand in page order, one to a line. Nothing is cut off.
 
 The tree is counted with partial sums by host, path and feature, so a host with
-a third of all pages is spread; only its unimportant paths are handed to the
-pages, by broadcast if their measured size allows, else by a join on the host.
+a third of all pages is spread; importance goes up to all ancestors of a path at
+once, as the product of weights between two elements is a quotient of two from
+the root. Only the unimportant paths are handed to the pages, by broadcast if their measured size allows, else by a join on the host.
 
 Null and empty html: empty text. Null urls, or urls without a host: no site,
 so no style tree is applied. Repeated rows are extracted alike, very long pages
@@ -45,7 +50,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tridelta.session import broadcast_if_small
 
@@ -90,12 +95,13 @@ NOT_IN_TREE = frozenset("html body head meta link title script style base".split
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "children", "dropped", "named", "inside", "plain")
+    __slots__ = ("tag", "name", "path", "parent", "children", "dropped", "named", "inside", "plain")
 
     def __init__(self, tag: str, names: str, parent: "Element | None", dropped: bool, named: frozenset[str] | set[str] = frozenset()):
         self.tag, self.parent = tag, parent
         self.named = named  # what its class, id or role says against it
         self.path = (parent.path + ">" if parent and parent.path else "") + tag + names
+        self.name = tag + names
         self.children: list[str] = []
         self.dropped = dropped or (parent is not None and parent.dropped)
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
@@ -116,8 +122,11 @@ def _tokens(attributes: dict[str, str]) -> set[str]:
 class Page:
     """Elements in order and text blocks of a page: (element, text)."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, names: bool = True):
+        """Without ``names``, no class, id or role drops anything."""
         self.root = Element("", "", None, False)
+        self.names = names
+        self.references: list[tuple[Element, str]] = []  # links and images
         self.elements: list[Element] = []
         self.blocks: list[tuple[Element, str]] = []
         self._open = [self.root]
@@ -165,6 +174,11 @@ class Page:
             if tag in INLINE:
                 if tag == "br":
                     self._text.append(" ")
+                elif tag in ("a", "img"):
+                    own = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(m[3])}
+                    target = own.get("href" if tag == "a" else "src")
+                    if target:
+                        self.references.append((self._open[-1], tag + " " + target))
                 continue
             if tag in CLOSES_P:
                 self._close({"p"}, SCOPES)
@@ -178,7 +192,7 @@ class Page:
             dropped = (tag in NO_TEXT or "hidden" in own or own.get("aria-hidden") == "true"
                        or "display:none" in own.get("style", "").replace(" ", "").lower()
                        or (not in_article and tag == "header"))
-            named = _tokens(own) & (NO_TEXT_NAMES if in_article else NO_TEXT_NAMES | HEAD_NAMES) if names else frozenset()
+            named = _tokens(own) & (NO_TEXT_NAMES if in_article else NO_TEXT_NAMES | HEAD_NAMES) if names and self.names else frozenset()
             if tag in ("html", "body", "main") or (tag == "article" and not any(e.tag == "article" for e in self._open)):
                 named = frozenset()
             element = Element(tag, "".join("." + n for n in sorted(names)), parent, dropped, named)
@@ -261,7 +275,7 @@ class Page:
     def lines(self, unimportant: frozenset[str] = frozenset()) -> list[str]:
         out = []
         for element, text in self._shown():
-            node, low = element, False
+            node, low = element, not element.plain and element.tag not in ("article", "main") and f"{element.path}>{LEAF}" in unimportant
             while node is not None and not low:
                 low = not node.plain and node.tag not in ("article", "main") and node.path in unimportant
                 node = node.parent
@@ -269,19 +283,37 @@ class Page:
                 out.append(text)
         return out
 
-    def features(self) -> Iterator[tuple[str, int, bytes]]:
-        """(path, kind, digest) of every element that is shown: kind 0 is its
-        presentation, kind 1 the text below it."""
-        below: dict[Element, list[str]] = {}
-        for element, text in self.blocks:
-            node = element
-            while node is not None and node.path:
-                below.setdefault(node, []).append(text)
-                node = node.parent
-        for e in self.elements:
-            if e.tag not in NOT_IN_TREE:
-                yield e.path, 0, _digest(",".join(e.children))
-                yield e.path, 1, _digest("\n".join(below.get(e, ())))
+    def features(self) -> Iterator[tuple[str, int, bytes, list[str] | None]]:
+        """(path, kind, digest, children) of what is shown. Kind 0: an element's
+        presentation, with the children that hold anything; kind 1: something a
+        leaf holds (its path ends in LEAF); kind 2: that the page has the path."""
+        held: dict[Element, set[bytes]] = {}
+        for e, text in self._shown():
+            words = text.split()
+            if e.plain or len(words) < 2:
+                held.setdefault(e, set()).add(_digest(text))
+            else:
+                held.setdefault(e, set()).update(_digest(f"{x} {y}") for x, y in zip(words, words[1:]))
+        for e, target in self.references:
+            if not e.plain and e in held:
+                held[e].add(_digest(target))
+        parts: dict[Element, list[str]] = {e: [LEAF] for e in held}
+        for e in reversed(self.elements):  # children come after their parents
+            if e in parts:
+                parts.setdefault(e.parent, []).append(e.name)
+        for e, features in held.items():
+            if e.path:
+                leaf = f"{e.path}>{LEAF}"
+                yield leaf, 2, b"", None
+                for feature in features:
+                    yield leaf, 1, feature, None
+        for e, children in parts.items():
+            if e.path and e.tag not in NOT_IN_TREE:
+                yield e.path, 2, b"", None
+                yield e.path, 0, _digest(",".join(e.children)), sorted(set(children))
+
+
+LEAF = "#"
 
 
 def _digest(text: str) -> bytes:
@@ -293,67 +325,93 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def tree_features(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(host, path, kind, feature, page): the elements of every page of a site;
-page is the digest of its main text, so copies that differ in a counter or a
-    tracking value are one page."""
+FEATURES = "host string, path string, kind int, feature binary, children array<string>, page binary"
+
+
+def tree_features(pages: DataFrame, url_col: str, html_col: str, names: bool = True) -> DataFrame:
+    """FEATURES: the elements of every page of a site; page is the digest of its
+    main text, so copies that differ in a counter or a tracking value are one page."""
     src = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("host is not null and html <> ''")
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, rows=256):
-            rows: set[tuple] = set()
+            rows: dict[tuple, list[str] | None] = {}
             for host, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                parsed = Page(text)
+                parsed = Page(text, names)
                 page = _digest(parsed.body())
-                rows.update((host, path, kind, feature, page) for path, kind, feature in parsed.features())
+                rows.update(((host, path, kind, feature, page), children) for path, kind, feature, children in parsed.features())
             if rows:
+                host, path, kind, feature, page = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary()))],
-                    ["host", "path", "kind", "feature", "page"])
+                    [pa.array(c, k) for c, k in zip((host, path, kind, feature, list(rows.values()), page), kinds)],
+                    ["host", "path", "kind", "feature", "children", "page"])
+
+    return map_arrow(src, run, FEATURES)
 
-    return map_arrow(src, run, "host string, path string, kind int, feature binary, page binary")
+
+def _ancestors(nodes: DataFrame) -> DataFrame:
+    """``nodes`` once for each path above them and their own, in column above."""
+    steps = F.expr("transform(sequence(1, size(split(path, '>'))), i -> array_join(slice(split(path, '>'), 1, i), '>'))")
+    return nodes.withColumn("above", F.explode(steps))
 
 
 def importance(features: DataFrame, gamma: float = 0.9) -> DataFrame:
-    """(host, path, pages, importance). With l presentations of a path, its
-    importance is (1 - gamma ** l) times the entropy of the presentation plus
-    gamma ** l times that of the text below."""
-    once = features.distinct()
-    counts = once.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
-    seen = counts.groupBy("host", "path", "kind").agg(
-        F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"))
-    pages = once.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count("*").alias("pages"))
-    seen = seen.join(pages, ["host", "path"])
-    entropy = F.when(F.col("pages") > 1, F.least(F.lit(1.0), (F.log("total") - F.col("n_log_n") / F.col("total")) / F.log("pages"))) \
+    """(host, path, pages, importance, highest): highest is the largest
+    importance in the branch, the path's own included."""
+    per_page = features.groupBy("host", "path", "kind", "feature", "page").agg(F.min("children").alias("children"))
+    counts = store(per_page.groupBy("host", "path", "kind", "feature").agg(
+        F.count("*").alias("n"), F.min("children").alias("children")), "style-counts")
+    pages = counts.where("kind = 2").select("host", "path", F.col("n").alias("pages"))
+    seen = counts.where("kind < 2").groupBy("host", "path", "kind").agg(
+        F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log("n")).alias("n_log_n")).join(pages, ["host", "path"])
+    # leaves: mean entropy of the features; elements: entropy of the presentations
+    leaf = F.when(F.col("pages") > 1, 1 - F.col("n_log_n") / F.col("total") / F.log("pages")).otherwise(F.lit(1.0))
+    look = F.when(F.col("pages") > 1, F.least(F.lit(1.0), (F.log("total") - F.col("n_log_n") / F.col("total")) / F.log("pages"))) \
         .otherwise(F.lit(1.0))
-    seen = seen.withColumn("entropy", entropy)
-    both = seen.groupBy("host", "path").agg(
-        F.max(F.when(F.col("kind") == 0, F.col("entropy"))).alias("look"),
-        F.max(F.when(F.col("kind") == 1, F.col("entropy"))).alias("text"),
-        F.max(F.when(F.col("kind") == 0, F.col("kinds"))).alias("looks"),
-        F.max("pages").alias("pages"))
-    weight = F.pow(F.lit(gamma), F.col("looks"))
-    return both.select("host", "path", "pages", ((1 - weight) * F.col("look") + weight * F.col("text")).alias("importance"))
+    nodes = store(seen.select(
+        "host", "path", "kind", "pages", "total", (F.col("kinds") * F.log(F.lit(gamma))).alias("log_below"),
+        F.when(F.col("kind") == 1, leaf).otherwise((1 - F.pow(F.lit(gamma), F.col("kinds"))) * look).alias("own")), "style-nodes")
+    looks = counts.where("kind = 0").join(nodes.where("kind = 0").select("host", "path", "total", "log_below"), ["host", "path"])
+    share = looks.select("host", F.col("n") / F.col("total") / F.size("children"), "log_below", "path", F.explode("children").alias("child")).toDF(
+        "host", "share", "log_below", "parent", "child")
+    step = share.groupBy("host", F.concat_ws(">", "parent", "child").alias("above")).agg(
+        (F.log(F.sum("share")) + F.max("log_below")).alias("step"))
+    # the weights' product from the root down to each path, as a sum of logarithms
+    weight = _ancestors(nodes.select("host", "path", "own", "pages")).join(step, ["host", "above"], "left") \
+        .groupBy("host", "path").agg(F.max("own").alias("own"), F.max("pages").alias("pages"), F.sum(F.coalesce("step", F.lit(0.0))).alias("weight"))
+    weight = store(weight, "style-weights")
+    up = _ancestors(weight).join(weight.select("host", F.col("path").alias("above"), F.col("weight").alias("weight_above")), ["host", "above"])
+    up = up.groupBy("host", F.col("above").alias("path")).agg(F.sum(F.exp(F.col("weight") - F.col("weight_above")) * F.col("own")).alias("importance"))
+    scored = store(up.join(weight.select("host", "path", "pages"), ["host", "path"]), "style-scores")
+    highest = _ancestors(scored).groupBy("host", F.col("above").alias("path")).agg(F.max("importance").alias("highest"))
+    return scored.join(highest, ["host", "path"]).select("host", "path", "pages", "importance", "highest")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None,
-            low: float = 0.25, min_pages: int = 5) -> DataFrame:
-    """row, text and n_chars (code points) of every page."""
+            low: float = 0.25, min_pages: int = 5, names: bool = True) -> DataFrame:
+    """row, text, n_chars (code points) and n_template (blocks that the style
+    tree takes out) of every page. Without ``names``, the tree works alone, with
+    no list of class names before it."""
     keep = pages.columns if keep is None else keep
-    tree = importance(tree_features(pages, url_col, html_col))
-    bad = tree.where((F.col("importance") < low) & (F.col("pages") >= min_pages))
+    tree = importance(tree_features(pages, url_col, html_col, names))
+    bad = tree.where((F.col("highest") < low) & (F.col("pages") >= min_pages))
     sites = store(bad.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths")), "style-sites")
     size = sites.select(F.count("*").alias("n"), F.sum(F.length(F.concat_ws("", "paths")) + 16 * F.size("paths")).alias("bytes")).head()
     rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(html_col).alias("html"),
                         host_of(F.col(url_col)).alias("host"))
     sites = broadcast_if_small(sites, size["n"], 64 + int(size["bytes"] or 0) // max(1, size["n"]))
     rows = rows.join(sites, "host", "left").select("row", "html", "paths")
-    schema = StructType([rows.schema["row"], StructField("text", StringType())])
+    schema = StructType([rows.schema["row"], StructField("text", StringType()), StructField("n_template", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, rows=256):
-            texts = ["\n".join(Page(source).lines(frozenset(paths or ()))) if source else ""
-                     for source, paths in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["row", "text"])
-
-    return map_arrow(rows, run, schema).select("row", "text", F.char_length("text").cast("long").alias("n_chars"))
+            texts, taken = [], []
+            for source, paths in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                page = Page(source, names) if source else None
+                lines = page.lines(frozenset(paths or ())) if page else []
+                texts.append("\n".join(lines))
+                taken.append(len(page.lines()) - len(lines) if page and paths else 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(taken, pa.int64())], ["row", "text", "n_template"])
+
+    return map_arrow(rows, run, schema).select("row", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template")
