@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import factor_value
 from ..functions.linalg import mgs_of_triangle, mgs_transform, unit_columns
-from ..session import DEFAULT_BROADCAST_LIMIT, broadcast_limit, factor_row_bytes, stash
+from ..session import DEFAULT_BROADCAST_LIMIT, broadcast_if_small, broadcast_limit, factor_row_bytes, stash
+
+
+BITMAP_BITS = 32768  # of one bitmap of Spark's bitmap functions
 
 
 def cols(rank: int, prefix: str = "c") -> list[str]:
@@ -81,6 +84,20 @@ def filter_factors(factors: DataFrame, index_sets: DataFrame) -> DataFrame:
     return factors.join(index_sets.select("mode", "idx"), ["mode", "idx"], "left_semi")
 
 
+def filter_factors_bitmap(factors: DataFrame, bitmaps: DataFrame, dims) -> DataFrame:
+    """:func:`filter_factors` by the bitmaps of ``line_bitmaps``: a factor row
+    meets one bitmap and looks its bit up. The bitmaps take at most one bit an
+    index up to ``dims``; by that bound they are broadcast, so the factors are
+    scanned without an exchange, or else joined."""
+    rows = sum(-(-int(d) // BITMAP_BITS) for d in dims)
+    right = broadcast_if_small(bitmaps.select("mode", "bucket", "bits"), rows, BITMAP_BITS // 8 + 16)
+    at = "bitmap_bit_position(CAST(idx AS BIGINT))"
+    byte = f"CAST(conv(hex(substring(bits, CAST({at} DIV 8 + 1 AS INT), 1)), 16, 10) AS INT)"
+    return (factors.withColumn("bucket", F.bitmap_bucket_number(F.col("idx").cast("long")))
+            .join(right, ["mode", "bucket"]).where(F.expr(f"shiftright({byte}, CAST({at} % 8 AS INT)) & 1 = 1"))
+            .select(*factors.columns))
+
+
 def gram(a: DataFrame, rank_a: int, b: DataFrame | None = None, rank_b: int | None = None) -> np.ndarray:
     """``A^T A`` or ``A^T B`` (joined on idx) as a small NumPy matrix."""
     if b is None:

@@ -128,6 +128,20 @@ def line_sets(cells: DataFrame, dims) -> DataFrame:
     )
 
 
+def line_bitmaps(cells: DataFrame, dims, by: tuple[str, ...] = ()) -> DataFrame:
+    """The index sets of :func:`line_sets` as bitmaps: ``(*by, mode, bucket,
+    bits)``, one row for every 32,768 indices with a touched one among them.
+    With ``by=("region",)`` one aggregation gives the sets of all regions.
+    Partial bitmaps are built before the shuffle, so a hot index costs at most
+    one 4 KB row a task and bucket."""
+    bound = F.element_at(F.array(*[F.lit(int(d)) for d in dims]), F.col("mode") + 1)
+    touched = cells.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(m).alias("mode"), coord(m).cast("long").alias("idx")) for m in MODES
+    ]))).where(F.col("idx") <= bound)
+    return touched.groupBy(*by, "mode", F.bitmap_bucket_number("idx").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("idx")).alias("bits"))
+
+
 def with_local_indices(cells: DataFrame, pre_dims) -> DataFrame:
     """Adds 0-based block-local indices ``li, lj, lk``."""
     return cells.select(

@@ -130,6 +130,19 @@ def q_filter_factors(spark, sf):
     return fo.filter_factors(old, te.line_sets(s.cells, s.pre))
 
 
+def q_line_bitmaps(spark, sf):
+    """Touched indices of every region and mode, from one aggregation."""
+    s = Setup(spark, sf)
+    return te.line_bitmaps(s.labelled, s.dims, by=("region",)).groupBy("region", "mode").agg(
+        F.sum(F.bitmap_count("bits")).alias("touched"))
+
+
+def q_filter_factors_bitmap(spark, sf):
+    s = Setup(spark, sf)
+    old = fo.combine({m: (s.old(m), R) for m in MODES}, R)
+    return fo.filter_factors_bitmap(old, te.line_bitmaps(s.cells, s.pre), s.pre)
+
+
 def q_factor_lookup(spark, sf):
     s = Setup(spark, sf)
     return fo.factor_lookup(s.cells, s.factor(1), "j", R, "a", s.dims[1])
@@ -541,6 +554,7 @@ def q_tucker_job(spark, sf):
 QUERIES = {
     "read_coo": q_read_coo, "write_model": q_write_model, "cut_regions": q_cut_regions,
     "local_index": q_local_index, "unfold_index": q_unfold_index, "line_sets": q_line_sets,
+    "line_bitmaps": q_line_bitmaps, "filter_factors_bitmap": q_filter_factors_bitmap,
     "filter_factors": q_filter_factors, "factor_lookup": q_factor_lookup,
     "unfolded_join_multiply": q_unfolded_join_multiply, "kron_rows": q_kron_rows,
     "mode_dims": q_mode_dims, "cell_count": q_cell_count, "slice_nnz": q_slice_nnz,
@@ -818,6 +832,9 @@ def oracles() -> dict:
         "unfold_index": _with() + " UNION ALL ".join(unfold_parts),
         "line_sets": _with(line_sets) + "SELECT mode, idx FROM ls",
         "filter_factors": _with(line_sets, olds, filtered) + "SELECT * FROM ff",
+        "filter_factors_bitmap": _with(line_sets, olds, filtered) + "SELECT * FROM ff",
+        "line_bitmaps": _with() + "SELECT region, mode, count(DISTINCT idx) AS touched FROM (" + " UNION ALL ".join(
+            f"SELECT region, {m} AS mode, {c} AS idx FROM new_cells" for m, c in enumerate(COORD)) + ") GROUP BY ALL",
         "factor_lookup": _with() + "SELECT c.j, c.i, c.k, c.val, a.c0 AS a0, a.c1 AS a1, a.c2 AS a2 FROM t c JOIN f1 a ON a.idx = c.j",
         "ttm_chain": _with() + _tasks(lambda r, m: _own(_ttm_cte(r, m)) + "SELECT * FROM ttm"),
         "ttm_by_bin": _with() + _tasks(lambda r, m: _own(_ttm_cte(r, m)) + "SELECT * FROM ttm"),
