@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import edge
-from tridelta.llm import idcoder, token_file
+from tridelta.llm import idcoder, piecewise, token_file
 from tridelta.llm.piecewise import PieceEncoder, byte_level
 from tridelta.session import scratch_path
 
@@ -96,3 +96,27 @@ def test_added_tokens_are_encoded_as_the_library_does():
     want = [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts]
     assert 50256 in want[0]
     assert [x.tolist() + [2] for x in encoder().encode(texts)[0]] == want
+
+
+def test_pieces_of_several_batches_outlive_a_full_memory(monkeypatch):
+    monkeypatch.setattr(piecewise, "CACHED_PIECES", 120)
+    enc = PieceEncoder([byte_level(PATH, specials=True)[0]])
+    tok, model = Tokenizer.from_file(PATH), enc.models[0]
+    taught, own = [], model.encode_all
+    model.encode_all = lambda texts: taught.append("".join(texts)) or own(texts)
+    often = " ".join(f"word{k}" for k in range(20))
+    for batch in range(30):
+        texts = [often, " ".join(f"once{batch}x{k}" for k in range(15))]
+        assert [x.tolist() for x in enc.encode(texts)[0]] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(enc.known) == len(enc.uses) == len(model.sizes) <= 140 and model.sizes.sum() == len(model.ids)
+    assert sum("word7" in t for t in taught) == 1
+
+
+def test_both_searches_find_the_same_spaces():
+    import sys
+
+    spaces = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace()]
+    texts = [t for x in spaces for t in (f"a{x} b", f"a {x}b", f"a{x}b", f"a {x}", f"{x} a", x)]
+    texts += ["", "a b", " a", "a ", "a \n", "a\n", "a\n b", "a\u200b b", "\n a", "a b\n"]
+    found = piecewise.pc.match_substring_regex(piecewise.pa.array(texts, piecewise.pa.large_string()), piecewise.UNSAFE_SPACE_RE2).to_pylist()
+    assert found == [bool(piecewise.UNSAFE_SPACE.search(t)) for t in texts]

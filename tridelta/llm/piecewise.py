@@ -4,7 +4,8 @@ Texts are split at single spaces between two characters that are not white
 space. No match of a byte-level split pattern, and no piece of a model whose
 pieces hold the space sign in front only, reaches over such a place, so what
 lies between encodes alone to the same ids. Each distinct piece of a batch is
-encoded once and remembered for later batches. Texts with other spaces, and
+encoded once and remembered for later batches; when the memory is full, pieces that
+came in one batch only are forgotten. Texts with other spaces, and
 those that match ``odd``, are encoded whole.
 """
 
@@ -17,9 +18,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_PIECES = 1 << 17
+CACHED_PIECES = 1 << 19  # some 200 bytes each
 # a space that is not between two characters other than white space
 UNSAFE_SPACE = re.compile(r"^ |\s | \s| $")
+# the same for Arrow, whose \s is ASCII only
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+UNSAFE_SPACE_RE2 = rf"\A |{_SPACE} | {_SPACE}| \z"
+
+
+def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``begins[k]`` to ``begins[k] + sizes[k] - 1`` of all k, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
 
 
 class Model:
@@ -34,6 +44,13 @@ class Model:
     def forget(self) -> None:
         self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
+    def keep(self, places: np.ndarray) -> None:
+        """Forget all pieces but those at ``places``, which is their new order."""
+        begins = np.cumsum(self.sizes) - self.sizes
+        sizes = self.sizes[places]
+        self.ids = self.ids[spread(begins[places], sizes)]
+        self.sizes = sizes
+
     def whole(self, texts: list[str], at_once: int = 32) -> list[np.ndarray]:
         out = []
         for k in range(0, len(texts), at_once):  # libraries take far more room than the ids they return
@@ -56,6 +73,7 @@ class PieceEncoder:
     def __init__(self, models: list[Model], lead: bool = False):
         self.models, self.lead = models, lead
         self.known: dict[str, int] = {}
+        self.uses = np.zeros(0, np.int32)  # batches that held each piece, since pieces were forgotten last
 
     def _learn(self, pieces: list[str], spaced: bool) -> None:
         """Encode pieces and remember them; those that begin with a space make
@@ -68,15 +86,29 @@ class PieceEncoder:
             model.learn(joined, ends)
         keys = pieces if spaced else [" " + p for p in pieces]
         self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys))))
+        self.uses = np.concatenate([self.uses, np.zeros(len(keys), np.int32)])
+
+    def _forget(self) -> None:
+        """Keep the pieces that came in two batches or more; one that is kept
+        must come again to be kept the next time."""
+        often = np.flatnonzero(self.uses > 1)
+        if 2 * len(often) > CACHED_PIECES:
+            often = often[:0]
+        order = list(self.known)  # keys stand in the order of their places
+        self.known = {order[at]: k for k, at in enumerate(often.tolist())}
+        for model in self.models:
+            model.keep(often)
+        self.uses = np.ones(len(often), np.int32)
 
-    def _plain(self, text: str) -> bool:
-        return not (UNSAFE_SPACE.search(text) or any(m.odd.search(text) for m in self.models)
-                    or (self.lead and (not text or text[0].isspace())))
+    def _plain(self, texts: list[str]) -> list[bool]:
+        unsafe = pc.match_substring_regex(pa.array(texts, pa.large_string()), UNSAFE_SPACE_RE2).to_pylist()
+        return [not (bad or any(m.odd.search(t) for m in self.models) or (self.lead and (not t or t[0].isspace())))
+                for t, bad in zip(texts, unsafe)]
 
     def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
         """For each model, the ids of each text."""
         out: list[list] = [[None] * len(texts) for _ in self.models]
-        plain = [k for k, t in enumerate(texts) if self._plain(t)]
+        plain = [k for k, fine in enumerate(self._plain(texts)) if fine]
         odd = sorted(set(range(len(texts))) - set(plain))
         for own, model in zip(out, self.models):
             for k, ids in zip(odd, model.whole([" " * self.lead + texts[k] for k in odd])):
@@ -92,7 +124,7 @@ class PieceEncoder:
         new = [x for x, at in zip(keys, found) if at is None and x]  # empty ones are not used
         if new:
             self._learn(new if spaced else [x[1:] for x in dict.fromkeys(new)], spaced)
-            found = [self.known.get(x, 0) for x in keys]
+            found = [self.known.get(x, 0) if at is None else at for x, at in zip(keys, found)]
         return np.array([at or 0 for at in found], np.int64)
 
     def _by_piece(self, texts: list[str]) -> list[list[np.ndarray]]:
@@ -101,23 +133,25 @@ class PieceEncoder:
         split = pc.split_pattern(pa.array([" " + t for t in texts], pa.large_string()), " ")
         coded = split.values.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        if len(self.known) + len(names) > CACHED_PIECES:
-            self.known = {}
-            for model in self.models:
-                model.forget()
+        room = CACHED_PIECES - len(self.known)
+        if len(names) > room and sum(x not in self.known for x in names) > room:
+            self._forget()
         offsets = split.offsets.to_numpy()
-        place = self._places(names, True)[coded.indices.to_numpy(zero_copy_only=False)]
+        at = self._places(names, True)
+        place = at[coded.indices.to_numpy(zero_copy_only=False)]
         if not self.lead:
-            place[offsets[:-1] + 1] = self._places([" " + t.split(" ", 1)[0] for t in texts], False)
+            first = self._places([" " + t.split(" ", 1)[0] for t in texts], False)
+            place[offsets[:-1] + 1] = first
+            at = np.concatenate([at, first])
+        if len(self.uses):  # texts without a piece know none
+            self.uses[np.unique(at)] += 1
         out = []
         for model in self.models:
             sizes = model.sizes[place]
             sizes[offsets[:-1]] = 0
             begins = np.cumsum(model.sizes) - model.sizes
-            ends = np.cumsum(sizes)
-            take = np.arange(ends[-1]) + np.repeat(begins[place] - (ends - sizes), sizes)
-            ids = model.ids[take]
-            cuts = np.concatenate([[0], ends])[offsets].tolist()
+            ids = model.ids[spread(begins[place], sizes)]
+            cuts = np.concatenate([[0], np.cumsum(sizes)])[offsets].tolist()
             out.append([ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])])
         return out
 
