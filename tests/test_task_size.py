@@ -39,3 +39,11 @@ def test_cells_are_summed_once(spark, folder):
     assert s.dims == te.tensor_stats(tables.sales_tensor(spark, folder)).dims
     assert rows(s.cells) == rows(tables.sales_tensor(spark, folder))
     assert "Exchange" not in cat.q_unfold_index(spark, folder)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_are_sorted_for_bitmaps_by_tasks_of_bounded_size(spark, folder, monkeypatch):
+    want = rows(cat.q_filter_factors_bitmap(spark, folder)), rows(cat.q_line_bitmaps(spark, folder))
+    monkeypatch.setattr(tables, "TASK_ROWS", 64)
+    for made, same in zip((cat.q_filter_factors_bitmap(spark, folder), cat.q_line_bitmaps(spark, folder)), want):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert f", {-(-1104 // 64)}), REPARTITION_BY_NUM" in plan and rows(made) == same
