@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tridelta.operators import tensor as te
 from tridelta.plans import catalog as cat
+from tridelta.plans import update as up
 from tridelta.sources import tables
 
 
@@ -47,3 +48,11 @@ def test_cells_are_sorted_for_bitmaps_by_tasks_of_bounded_size(spark, folder, mo
     for made, same in zip((cat.q_filter_factors_bitmap(spark, folder), cat.q_line_bitmaps(spark, folder)), want):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert f", {-(-1104 // 64)}), REPARTITION_BY_NUM" in plan and rows(made) == same
+
+
+def test_a_file_of_cells_has_a_bounded_number_of_rows(spark, folder, monkeypatch):
+    monkeypatch.setattr(up, "FILE_CELLS", 50)
+    s = cat.Setup(spark, folder)
+    ctx = up.prepare(s.cells, s.pre, (2, 2, 2))
+    sizes = [r["count"] for r in ctx.cells.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == sum(n for r, n in ctx.region_cells.items() if r != "000") > 100 and max(sizes) <= 50
