@@ -1,3 +1,4 @@
+import struct
 import zlib
 
 import numpy as np
@@ -120,3 +121,75 @@ def test_both_searches_find_the_same_spaces():
     texts += ["", "a b", " a", "a ", "a \n", "a\n", "a\n b", "a\u200b b", "\n a", "a b\n"]
     found = piecewise.pc.match_substring_regex(piecewise.pa.array(texts, piecewise.pa.large_string()), piecewise.UNSAFE_SPACE_RE2).to_pylist()
     assert found == [bool(piecewise.UNSAFE_SPACE.search(t)) for t in texts]
+
+
+def test_newlines_and_closing_marks_do_not_multiply_pieces():
+    words = [f"word{k}" for k in range(20)]
+    texts = ["\n".join(f"{a}{mark} {b}{mark}" for a in words for b in words) for mark in ("", ",", ".", "!")]
+    enc = PieceEncoder([byte_level(PATH, specials=True)[0]])
+    tok = Tokenizer.from_file(PATH)
+    assert [x.tolist() for x in enc.encode(texts)[0]] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(enc.known) < 3 * len(words)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("a1éªΩ×.,!'\" \n\t\r\0\x85\u2028")), max_size=24), max_size=6))
+def test_texts_cut_at_lines_and_marks_encode_like_whole_texts(texts):
+    enc = encoder()
+    whole = [x.tolist() for x in enc.models[0].whole(texts)] if texts else []
+    assert [x.tolist() for x in enc.encode(texts)[0]] == whole
+
+
+def plain_code(ranks: list[int], weights: list[int]) -> bytes:
+    """A block's code, one id after another, in Python's integers."""
+    entries, rates = {}, [idcoder.START_RATES.tolist(), idcoder.START_RATES.tolist()]
+    counts, total = [0] * len(weights), sum(weights)
+    low, span, used, one, two = 0, 1 << 56, 0, 0, 0
+    for t, s in enumerate(ranks):
+        if t in idcoder.REFRESH:
+            counts = np.bincount(ranks[:t], minlength=len(weights)).tolist()
+            total = sum(weights) + 16 * t
+        places = [(0, one & 2047), (1, (one + 1265 * two) & 2047)]
+        (id1, conf1), (id2, conf2) = told = [entries.get(p, (None, 0)) for p in places]
+        second = rates[1][conf2] * 252
+        first = ((idcoder.SPIKES - second) * rates[0][conf1]) >> 16
+        rest = idcoder.TOTAL - second - first
+        begin, width = sum(weights[:s]) + 16 * sum(counts[:s]), weights[s] + 16 * counts[s]
+        unit, plain = span >> 24, width * rest // total
+        if id2 == s and second > plain:
+            span = second * unit
+        elif id1 == s and first > plain:
+            low, span = low + second * unit, first * unit
+        else:
+            share = rest * unit // total
+            low, span = low + (second + first) * unit + begin * share, width * share
+        while span < 1 << 40:
+            low, span, used = low << 16, span << 16, used + 1
+        for k, (place, (known, conf)) in enumerate(zip(places, told)):
+            hit = known == s
+            rates[k][conf] += (65535 * hit - rates[k][conf]) >> 5
+            after = min(conf + 1, 7) if hit else conf >> 1
+            entries[place] = (known, after) if after else (s, 1)
+        one, two = s, one
+    return np.frombuffer((low << 8).to_bytes(2 * used + 8, "big"), ">u2").astype("<u2").tobytes()
+
+
+@pytest.mark.parametrize("ids", [
+    RNG.zipf(1.3, 3000) % 400, np.tile(RNG.integers(0, 99, 60), 40), np.full(2100, 7), RNG.integers(0, 50257, 2500)], ids=range(4))
+def test_coder_does_what_a_plain_one_does(ids):
+    data = idcoder.encode(ids)
+    _, _, n, block, size = struct.unpack_from(idcoder.HEAD, data)
+    at = struct.calcsize(idcoder.HEAD)
+    known, weights = np.frombuffer(zlib.decompress(data[at:at + size]), "<u4").reshape(2, -1)
+    rank = {k: r for r, k in enumerate(known.tolist())}
+    ranks = [rank[i] for i in ids.tolist()]
+    want = [plain_code(ranks[k:k + block], weights.tolist()) for k in range(0, n, block)]
+    assert data[at + size + 8 * len(want):] == b"".join(want)
+
+
+@pytest.mark.parametrize("n", [9001, 6200, 2049])
+def test_a_short_last_block_changes_no_other(monkeypatch, n):
+    ids = RNG.zipf(1.3, n) % 500
+    coded = idcoder.encode(ids)
+    monkeypatch.setattr(idcoder, "CELLS", 512)
+    assert idcoder.encode(ids) == coded and (idcoder.decode(coded) == ids).all()

@@ -14,12 +14,18 @@ The probability of an id mixes three predictions, each learnt within the block:
   refreshed at fixed places.
 
 How much probability an order-1 or order-2 prediction gets follows from how
-often predictions of the same confidence have come true in this block.
+often predictions of the same confidence have come true in this block. Orders 2
+and 1 have their parts at the low end of the distribution, order 0 shares out
+the rest; an id that stands in more than one part is coded in a larger one.
 Integers only, so both sides compute the same numbers anywhere.
 
 The range coder keeps 56 bits of the low end and emits 16-bit digits. A carry
 out of the low end stays in the digit emitted last and is added up once a
 block is complete.
+
+Steps are kept to few calls of numpy and to narrow integers: what of the encoder does
+not follow from the step before is computed for many steps at once, and the decoder
+finds ids in order 0 from a table. No number exceeds 2 ** 58.
 """
 
 from __future__ import annotations
@@ -32,36 +38,29 @@ import numpy as np
 BLOCK = 2048
 TOTAL_BITS = 24
 TOTAL = 1 << TOTAL_BITS
-SPIKES = TOTAL - (1 << 18)  # most that orders 1 and 2 may take together
+SPIKES = TOTAL - (1 << 18)  # most that orders 1 and 2 may take together: 252 / 256
 PRIOR_TOTAL = 1 << 17
 GAIN = 16  # weight of one occurrence within a block
 REFRESH = (256, 1024)
 SLOT_BITS = 11
 SLOT_MASK = (1 << SLOT_BITS) - 1
-TOP = np.uint64(1 << 40)
-DIGIT = np.uint64(16)
-LOW_MASK = np.uint64((1 << 40) - 1)
+TOP = 1 << 40
+LOW_MASK = TOP - 1
 CELLS = 4 << 20  # order-0 cells in memory: lanes x ids
-BEYOND = 0x7FFFFFFF
+STRETCH = 32  # steps that the encoder computes at once
+AT_ONCE = 16  # lanes whose order 0 is refreshed at once
 MAGIC = b"IDCM"
+VERSION = 2
 HEAD = "<4sBIII"
 
-
-# Confidence after a miss (first eight) or a hit; 0 gives the place away.
-NEXT_CONF = np.array([0, 0, 1, 1, 2, 2, 3, 3, 0, 2, 3, 4, 5, 6, 7, 7], dtype=np.int64)
+# An entry of orders 1 and 2 is 8 * id + confidence. Confidence 0 stands only where no id has come yet.
+NO_ID = 0x7FFFFFF8
 # Chance that a prediction of confidence 0 to 7 comes true, in 1/65536.
-START_RATES = np.array([0, 2000, 8000, 20000, 30000, 40000, 50000, 58000], dtype=np.int64)
-
-
-def below(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """All bits where x < y, else none (numpy's comparisons and ``where`` cost
-    several times as much as these on arrays of this length)."""
-    return (x - y) >> 63
-
-
-def equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """All bits where x == y, else none; neither may be negative."""
-    return ((x ^ y) - 1) >> 63
+START_RATES = np.array([0, 2000, 8000, 20000, 30000, 40000, 50000, 58000], dtype=np.int32)
+# By state (the confidence after a hit, 8 more after a miss): what the chance moves to, and
+# how the entry changes; one whose confidence becomes 0 gives its place to the new id.
+HIT_RATE = np.array([65535] * 8 + [0] * 8, dtype=np.int32)
+CONF_STEP = np.array([0, 1, 1, 1, 1, 1, 1, 0, 0, -1, -1, -2, -2, -3, -3, -4], dtype=np.int32)
 
 
 class Lanes:
@@ -71,194 +70,323 @@ class Lanes:
 
     def __init__(self, n: int, weights: np.ndarray):
         self.n, self.size = n, len(weights)
-        # one row of lanes per id, as the lanes use much the same few ids; the
-        # rows are filled up to a power of two, those past the last id with BEYOND
-        self.height = 1 << self.size.bit_length()
-        self.first = np.concatenate([[0], np.cumsum(weights)])[:, None]
-        self.total = int(self.first[-1, 0])
-        self.counts = np.zeros((self.size + 1, n), dtype=np.uint16)
-        # order 0: share of the ids below each id, in 1/TOTAL
-        self.grid = np.full((self.height, n), BEYOND, dtype=np.int32)
-        self.grid[:self.size + 1] = self._scaled(self.first)
-        self.share = self.grid.reshape(-1)
-        self.lane = np.arange(n, dtype=np.int64)
-        self.work = np.empty(n, dtype=np.int32)
-        self.slot_at = np.stack([self.lane, self.lane + (n << SLOT_BITS)])
-        self.rate_at_0 = np.stack([self.lane, self.lane + 8 * n])
-        self.slots = np.zeros(2 * n << SLOT_BITS, dtype=np.int32)
-        self.rates = np.tile(np.repeat(START_RATES, n), 2)
+        self.first = np.concatenate([[0], np.cumsum(weights)])
+        self.total = int(self.first[-1])
+        # order 0: weight of the ids below each id; a row of ids per lane
+        self.grid = np.empty((n, self.size + 1), dtype=np.int32)
+        self.grid[:] = self.first
+        self.cells = self.grid.reshape(-1)
+        # one row of lanes per slot, as the lanes use much the same few ids
+        self.slots = np.full(2 * n << SLOT_BITS, NO_ID, dtype=np.int32)
+        self.rates = np.tile(START_RATES, 2 * n)
         self.before = (np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64))
-        self.seen: list[np.ndarray] = []
-
-    def _scaled(self, cumulated: np.ndarray) -> np.ndarray:
-        out = (cumulated * (TOTAL / self.total)).astype(np.int32)
-        out[-1] = TOTAL
-        return out
-
-    def predict(self) -> None:
-        """Set ids (predicted), spikes (their probability) and rest (order 0's)."""
-        one, two = self.before
-        n = len(one)
-        slot = np.stack([one, (two * 40503 + one * 2654435) >> 5]) & SLOT_MASK
-        self.at = slot * self.n + self.slot_at[:, :n]
-        self.entry = self.slots.take(self.at, mode="clip").astype(np.int64)
-        self.conf = self.entry & 7
-        self.ids = self.entry >> 3
-        self.rate_at = self.conf * self.n + self.rate_at_0[:, :n]
-        self.rate = self.rates.take(self.rate_at, mode="clip")
-        second = (self.rate[1] * SPIKES) >> 16
-        first = ((SPIKES - second) * self.rate[0]) >> 16
-        self.spikes = np.stack([first, second])
-        self.rest = TOTAL - first - second
-
-    def low(self, ids: np.ndarray) -> np.ndarray:
-        """Order 0's part of the distribution below ``ids`` (any rows of lanes)."""
-        at = ids * self.n + self.lane[:ids.shape[-1]]
-        return (self.share.take(at, mode="clip") * self.rest) >> TOTAL_BITS
-
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, width) of ``ids`` in the mixed distribution."""
-        low, high = self.low(np.stack([ids, ids + 1]))
-        self.right = equal(self.ids, ids)
-        under, on = self.spikes & below(self.ids, ids), self.spikes & self.right
-        return low + under[0] + under[1], high - low + on[0] + on[1]
-
-    def find(self, target: np.ndarray) -> np.ndarray:
-        """The id whose interval holds ``target``. Targets beyond a spike are
-        moved down by it; one inside a spike maps to the spike's id."""
-        ids, spikes = self.ids, self.spikes
-        other = ids[::-1]
-        under = spikes[::-1] & below(other, ids)
-        begin = self.low(ids) + under
-        end = self.low(ids + 1) + under + spikes + (spikes[::-1] & equal(other, ids))
-        before_end = below(target, end)
-        inside = before_end & ~below(target, begin)
-        moved = spikes & ~before_end
-        plain = target - moved[0] - moved[1]
-        # largest id with share * rest / TOTAL <= plain; exact, as both sides stay below 2 ** 53
-        bound = ((((plain + 1) << TOTAL_BITS) - 1) / self.rest).astype(np.int32)
-        m, step = len(target), (self.height >> 1) * self.n
-        at, work = self.lane[:m].copy(), self.work[:m]
-        while step >= self.n:
-            at += step
-            self.share.take(at, mode="clip", out=work)
-            np.subtract(bound, work, out=work)
-            work >>= 31
-            work &= step
-            at -= work
-            step >>= 1
-        found = at // self.n
-        found = (found & ~inside[1]) | (ids[1] & inside[1])
-        return (found & ~inside[0]) | (ids[0] & inside[0])
-
-    def update(self, ids: np.ndarray) -> None:
-        """Learn ``ids``, of which ``interval`` was asked last."""
-        hit = self.right & (-self.conf >> 63)
-        self.rates[self.rate_at] = self.rate + (((hit & 65535) - self.rate) >> 5)
-        after = NEXT_CONF.take((hit & 8) + self.conf, mode="clip")
-        stays = -after >> 63
-        self.slots[self.at] = ((self.entry - self.conf + after) & stays) | (((ids << 3) + 1) & ~stays)
-        self.before = (ids, self.before[0])
-        self.seen.append(ids)
-
-    def shrink(self, n: int) -> None:
-        """Go on with the first ``n`` lanes (the last block is shorter)."""
-        self.before = (self.before[0][:n], self.before[1][:n])
-
-    def refresh(self) -> None:
-        """Add the counts since the last refresh to order 0."""
-        seen = np.stack(self.seen)
-        self.total += GAIN * len(self.seen)
-        self.seen = []
-        for k in range(0, self.n, 64):  # a few lanes at a time, to bound the memory taken
-            part = seen[:, k:k + 64]
+        self.shrink(n)
+
+    def shrink(self, m: int) -> None:
+        """Go on with the first ``m`` lanes (the last block is shorter)."""
+        lane = np.arange(m, dtype=np.int64)
+        self.row = lane * (self.size + 1)
+        self.slot_row = np.stack([lane, lane + (self.n << SLOT_BITS)])
+        self.rate_row = np.stack([8 * lane, 8 * lane + 8 * self.n]).astype(np.int32)
+        self.before = (self.before[0][:m], self.before[1][:m])
+
+    def places(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The slots of orders 1 and 2 after ``two`` and ``one`` (any rows of lanes)."""
+        at = np.empty((*one.shape[:-1], 2, one.shape[-1]), dtype=np.int64)
+        at[..., 0, :] = one
+        np.multiply(two, 1265, out=at[..., 1, :])
+        at[..., 1, :] += one
+        at &= SLOT_MASK
+        at *= self.n
+        at += self.slot_row
+        return at
+
+    def learn(self, at: np.ndarray, entry: np.ndarray, conf: np.ndarray, rate_at: np.ndarray, rate: np.ndarray,
+              id8: np.ndarray) -> None:
+        """The ids that came, times 8, against the entries that foretold them."""
+        state = np.minimum(entry ^ id8, conf | 8)
+        moved = HIT_RATE.take(state, mode="clip")
+        moved -= rate
+        moved >>= 5
+        moved += rate
+        self.rates[rate_at] = moved
+        new = CONF_STEP.take(state, mode="clip")
+        new += entry
+        np.copyto(new, id8 + 1, where=(new & 7) == 0)
+        self.slots[at] = new
+
+    def foretell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, rates) of orders 1 and 2 before each of ``ids``, [step, lane], which are learnt."""
+        known = np.concatenate([self.before[1][None], self.before[0][None], ids])
+        self.before = (known[-1], known[-2])
+        at, id8 = self.places(known[1:-1], known[:-2]), (ids << 3).astype(np.int32)
+        entries, rates = np.empty(at.shape, np.int32), np.empty(at.shape, np.int32)
+        for place, entry, rate, new in zip(at, entries, rates, id8):
+            self.slots.take(place, out=entry, mode="clip")
+            conf = entry & 7
+            rate_at = conf + self.rate_row
+            self.rates.take(rate_at, out=rate, mode="clip")
+            self.learn(place, entry, conf, rate_at, rate, new)
+        return entries, rates
+
+    def refresh(self, seen: np.ndarray) -> None:
+        """Order 0 anew, with the counts of the ids ``seen`` so far: [step, lane]."""
+        self.total = int(self.first[-1]) + GAIN * len(seen)
+        width = self.size + 1
+        for k in range(0, self.n, AT_ONCE):
+            part = seen[:, k:k + AT_ONCE]
             m = part.shape[1]
-            new = np.bincount(((part + 1) * m + np.arange(m)).reshape(-1), minlength=(self.size + 1) * m)
-            counts = self.counts[:, k:k + 64]
-            counts += new.reshape(-1, m).astype(np.uint16)
-            cum = np.cumsum(counts, axis=0, dtype=np.int64)
-            self.grid[:self.size + 1, k:k + 64] = self._scaled(cum * GAIN + self.first)
+            counts = np.bincount((part + (np.arange(m) * width + 1)).reshape(-1), minlength=width * m)
+            counts *= GAIN
+            below = np.cumsum(counts.reshape(m, width), axis=1)
+            below += self.first
+            self.grid[k:k + AT_ONCE] = below
+
+
+def parts_of(rate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of orders 2 and 1; the rates' last axis but one holds orders 1 and 2."""
+    second = rate[..., 1, :] * np.int64(SPIKES >> 16)
+    first = SPIKES - second
+    first *= rate[..., 0, :]
+    first >>= 16
+    return second, first
+
+
+class Finder:
+    """Finds ids in order 0: a table over equal pieces of the distribution
+    (smaller ones towards its end, where ids are rare) tells where to begin."""
+
+    def __init__(self, model: Lanes):
+        self.model = model
+        self.renew(same=True)
+
+    def _piece(self, x: np.ndarray) -> np.ndarray:
+        shift, _, _ = self.scales[0]
+        piece = x >> shift
+        for shift, start, ahead in self.scales[1:]:
+            finer = x - start
+            finer >>= shift
+            finer += ahead
+            np.maximum(piece, finer, out=piece)
+        return piece
+
+    def renew(self, same: bool = False) -> None:
+        """After order 0 has changed; ``same``: all lanes have the first lane's."""
+        model, total = self.model, self.model.total
+        widest = max(0, total.bit_length() - 11)
+        # (shift, start, pieces ahead): pieces of the last quarter and the last sixteenth are smaller
+        self.scales = [(widest, 0, 0)]
+        for part, shift in ((2, widest - 2), (4, widest - 5)):
+            before, begun, ahead = self.scales[-1]
+            start = (total - (total >> part)) >> widest << widest
+            self.scales.append((max(0, shift), start, ahead + ((start - begun) >> before)))
+        pieces = int(self._piece(np.array([total]))[0]) + 1
+        # the last id that begins before each piece, if any
+        self.table = np.zeros((model.n, pieces + 1), dtype=np.uint16 if model.size <= 1 << 16 else np.int32)
+        grid = model.grid[:1] if same else model.grid
+        for k in range(0, len(grid), AT_ONCE):
+            piece = self._piece(grid[k:k + AT_ONCE, :-1])
+            m = len(piece)
+            piece += (np.arange(m, dtype=np.int32) * pieces)[:, None]
+            counts = np.bincount(piece.reshape(-1), minlength=m * pieces).reshape(m, pieces)
+            begins = np.cumsum(counts, axis=1)
+            begins -= 1
+            self.table[k:k + AT_ONCE, 1:] = begins
+        if same:
+            self.table[1:] = self.table[0]
+        self.flat = self.table.reshape(-1)
+        self.row = np.arange(model.n, dtype=np.int64) * (pieces + 1)
+
+    def find(self, weight: np.ndarray) -> np.ndarray:
+        """Cells of the last ids with at most ``weight`` below them."""
+        cells, row = self.model.cells, self.model.row
+        at = self._piece(weight)
+        at += self.row[:len(weight)]
+        found = row + self.flat.take(at, mode="clip")
+        more = cells.take(found + 1, mode="clip") <= weight
+        found += more
+        rest = np.flatnonzero(more)
+        for _ in range(2):
+            if not len(rest):
+                return found
+            rest = rest[cells.take(found[rest] + 1) <= weight[rest]]
+            found[rest] += 1
+        if len(rest):
+            low, high, weight = found[rest], self.flat.take(at[rest] + 1) + row[rest], weight[rest]
+            gap = int((high - low).max())
+            while gap > 0:
+                middle = (low + high + 1) >> 1
+                fits = cells.take(middle) <= weight
+                low = np.where(fits, middle, low)
+                high = np.where(fits, high, middle - 1)
+                gap >>= 1
+            found[rest] = low
+        return found
 
 
 def _encode_lanes(ids: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> list[bytes]:
     """ids: [lane, step] as ranks; only the last lane may be shorter."""
     n, steps = ids.shape
     model = Lanes(n, weights)
-    low, span = np.zeros(n, np.uint64), np.full(n, 1 << 56, np.uint64)
-    digits = np.zeros((steps * TOTAL_BITS // 16 + 8, n), dtype=np.uint32)  # an id takes TOTAL_BITS at most
-    used = np.zeros(n, dtype=np.int64)
+    low, span = np.zeros(n, np.int64), np.full(n, 1 << 56, np.int64)
+    room = steps * TOTAL_BITS // 16 + 8  # an id takes TOTAL_BITS at most
+    digits = np.zeros(n * room, dtype=np.int32)
+    at = np.arange(n, dtype=np.int64) * room
     columns = np.ascontiguousarray(ids.T)
-    m = n
-    for t in range(steps):
-        if m == n and t >= lengths[-1]:
-            m = n - 1
-            model.shrink(m)
-        s = columns[t, :m].astype(np.int64)
-        model.predict()
-        start, width = model.interval(s)
-        unit = span[:m] >> np.uint64(TOTAL_BITS)
-        low[:m] += unit * start.astype(np.uint64)
-        span[:m] = unit * width.astype(np.uint64)
-        short = np.flatnonzero(span[:m] < TOP)
-        while len(short):
-            digits[used[short], short] = low[short] >> np.uint64(40)
-            used[short] += 1
-            low[short] = (low[short] & LOW_MASK) << DIGIT
-            span[short] <<= DIGIT
-            short = short[span[short] < TOP]
-        model.update(s)
-        if t + 1 in REFRESH and m == n:
-            model.refresh()
+    last = int(lengths[-1])
+    marks = sorted({0, steps, *(x for x in REFRESH if x < steps)})
+    for since, until in zip(marks[:-1], marks[1:]):
+        if since:
+            model.refresh(columns[:since])
+        # order 0 stays as it is from mark to mark; lane by lane its cells are near each other
+        cell = ids[:, since:until] + (np.arange(n) * (model.size + 1))[:, None]
+        begin = model.cells.take(cell)
+        cell += 1
+        order0 = np.ascontiguousarray(begin.T), np.ascontiguousarray((model.cells.take(cell) - begin).T)
+        cuts = sorted({*range(since, until, STRETCH), until, *([last] if since < last < until else [])})
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            m = n - (a >= last)
+            if m < len(model.row):
+                model.shrink(m)
+            begin, width = (x[a - since:b - since, :m].astype(np.int64) for x in order0)
+            _encode_stretch(model, columns[a:b, :m].astype(np.int64), begin, width, low[:m], span[:m], at[:m], digits)
     for _ in range(4):  # the rest of the low end
-        digits[used, np.arange(n)] = low >> np.uint64(40)
-        used += 1
-        low = (low & LOW_MASK) << DIGIT
-    for t in range(int(used.max()) - 1, 0, -1):
-        digits[t - 1] += digits[t] >> 16
-        digits[t] &= 0xFFFF
+        digits[at] = low >> 40
+        at += 1
+        low = (low & LOW_MASK) << 16
+    over = np.flatnonzero(digits >> 16)
+    while len(over):
+        digits[over] &= 0xFFFF
+        over -= 1
+        digits[over] += 1
+        over = over[digits[over] > 0xFFFF]
     out = digits.astype("<u2")
-    return [out[:u, k].tobytes() for k, u in enumerate(used.tolist())]
+    return [out[k * room:end].tobytes() for k, end in enumerate(at.tolist())]
+
+
+def _encode_stretch(model: Lanes, ids: np.ndarray, begin: np.ndarray, width: np.ndarray, low: np.ndarray, span: np.ndarray,
+                    at: np.ndarray, digits: np.ndarray) -> None:
+    """Code ``ids``, [step, lane], which begin and are as wide in order 0 as told."""
+    entries, rates = model.foretell(ids)
+    second, first = parts_of(rates)
+    offset = second + first
+    rest = TOTAL - offset
+    plain = (width * rest) // model.total
+    entries >>= 3
+    by_one = (entries[:, 0] == ids) & (first > plain)
+    by_two = (entries[:, 1] == ids) & (second > plain)
+    by_one &= ~by_two
+    # An id begins at offset units and begin shares, and is width shares wide. Units are parts of the
+    # span, shares those of order 0 in what is left; in the parts of orders 2 and 1, shares are units.
+    for by, start, spike in ((by_one, second, first), (by_two, 0, second)):
+        np.copyto(offset, start, where=by)
+        np.copyto(begin, 0, where=by)
+        np.copyto(width, spike, where=by)
+        np.copyto(rest, model.total, where=by)
+    for off, left, start, wide in zip(offset, rest, begin, width):
+        unit = span >> TOTAL_BITS
+        off *= unit
+        low += off
+        left *= unit
+        share = left // model.total
+        start *= share
+        low += start
+        np.multiply(share, wide, out=span)
+        # a digit is final where the span is short; elsewhere it will be written again
+        digit = low >> 40
+        digits[at] = digit
+        short = span - TOP
+        short >>= 63
+        digit <<= 40
+        digit &= short
+        low -= digit
+        at -= short
+        short &= 0xFFFF
+        short += 1
+        low *= short
+        span *= short
+        if span.min() < TOP:  # a second digit, seldom
+            again = np.flatnonzero(span < TOP)
+            digits[at[again]] = low[again] >> 40
+            at[again] += 1
+            low[again] = (low[again] & LOW_MASK) << 16
+            span[again] <<= 16
 
 
 def _decode_lanes(codes: list[bytes], lengths: np.ndarray, weights: np.ndarray) -> np.ndarray:
     n, steps = len(codes), int(lengths.max())
     model = Lanes(n, weights)
-    longest = max(len(c) for c in codes) // 2 + 8
-    digits = np.zeros((longest, n), dtype=np.uint64)
+    finder = Finder(model)
+    room = max(len(c) for c in codes) // 2 + 8
+    digits = np.zeros((n, room), dtype=np.int64)
     for k, c in enumerate(codes):
-        digits[:len(c) // 2, k] = np.frombuffer(c, "<u2")
-    code = np.zeros(n, np.uint64)
-    # the first digit stands for bits 40 to 55
-    for t in range(3):
-        code = (code << DIGIT) | digits[t]
-    code = (code << np.uint64(8)) | (digits[3] >> np.uint64(8))
-    # digits are taken 16 bits at a time at an offset of 8 bits
-    halves = ((digits[:-1] & np.uint64(0xFF)) << np.uint64(8)) | (digits[1:] >> np.uint64(8))
-    span = np.full(n, 1 << 56, np.uint64)
-    used = np.full(n, 3, dtype=np.int64)
+        digits[k, :len(c) // 2] = np.frombuffer(c, "<u2")
+    # the first digit stands for bits 40 to 55, and digits are taken 16 bits at a time at an offset of 8 bits
+    code = (digits[:, 0] << 40) | (digits[:, 1] << 24) | (digits[:, 2] << 8) | (digits[:, 3] >> 8)
+    halves = (((digits[:, :-1] & 0xFF) << 8) | (digits[:, 1:] >> 8)).astype(np.uint16).reshape(-1)
+    span = np.full(n, 1 << 56, np.int64)
+    at = np.arange(n, dtype=np.int64) * (room - 1) + 3
     out = np.zeros((steps, n), dtype=np.int32)
-    m = n
     for t in range(steps):
-        if m == n and t >= lengths[-1]:
-            m = n - 1
-            model.shrink(m)
-        model.predict()
-        unit = span[:m] >> np.uint64(TOTAL_BITS)
-        target = np.minimum(code[:m] // unit, np.uint64(TOTAL - 1)).astype(np.int64)
-        s = model.find(target)
-        start, width = model.interval(s)
-        code[:m] -= unit * start.astype(np.uint64)
-        span[:m] = unit * width.astype(np.uint64)
-        short = np.flatnonzero(span[:m] < TOP)
-        while len(short):
-            code[short] = (code[short] << DIGIT) | halves[used[short], short]
-            used[short] += 1
-            span[short] <<= DIGIT
-            short = short[span[short] < TOP]
-        out[t, :m] = s
-        model.update(s)
-        if t + 1 in REFRESH and m == n:
-            model.refresh()
+        if t == lengths[-1]:
+            model.shrink(n - 1)
+            code, span, at = code[:-1], span[:-1], at[:-1]
+        one, two = model.before
+        place = model.places(one, two)
+        entry = model.slots.take(place, mode="clip")
+        conf = entry & 7
+        rate_at = conf + model.rate_row
+        rate = model.rates.take(rate_at, mode="clip")
+        second, first = parts_of(rate)
+        offset = second + first
+        unit = span >> TOTAL_BITS
+        # order 0, as if all ids stood in its part
+        rest = TOTAL - offset
+        rest *= unit
+        share = rest // model.total
+        offset *= unit
+        by_one = code < offset
+        left = code - offset
+        target = np.minimum(left.view(np.uint64) // share.view(np.uint64), np.uint64(model.total - 1)).view(np.int64)
+        cell = finder.find(target)
+        begin = model.cells.take(cell, mode="clip")
+        ids = cell - model.row
+        cell += 1
+        width = model.cells.take(cell, mode="clip")
+        width -= begin
+        begin = begin * share
+        span = width * share
+        # ids in the parts of orders 2 and 1
+        second_end = second * unit
+        by_two = code < second_end
+        guess = entry >> 3
+        first *= unit
+        for by, k, start, wide in ((by_one, 0, second_end, first), (by_two, 1, 0, second_end)):
+            np.copyto(ids, guess[k], where=by)
+            np.copyto(left, code - start, where=by)
+            np.copyto(begin, 0, where=by)
+            np.copyto(span, wide, where=by)
+        code = left
+        code -= begin
+        short = span - TOP
+        while True:
+            short >>= 63
+            digit = halves.take(at, mode="clip") & short
+            at -= short
+            short &= 0xFFFF
+            short += 1
+            code *= short
+            code += digit
+            span *= short
+            if span.min() >= TOP:
+                break
+            short = span - TOP
+        out[t, :len(ids)] = ids
+        model.learn(place, entry, conf, rate_at, rate, (ids << 3).astype(np.int32))
+        model.before = (ids, one)
+        if t + 1 in REFRESH and t + 1 < steps:
+            model.refresh(out[:t + 1])
+            finder.renew()
     return out.T
 
 
@@ -273,7 +401,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     ids = np.asarray(ids, dtype=np.uint32)
     n = len(ids)
     if not n:
-        return struct.pack(HEAD, MAGIC, 1, 0, block, 0)
+        return struct.pack(HEAD, MAGIC, VERSION, 0, block, 0)
     counts = np.bincount(ids)
     known = np.flatnonzero(counts)
     known = known[np.argsort(-counts[known], kind="stable")]
@@ -293,13 +421,13 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     raw = ids.astype("<u4")
     sums = [zlib.crc32(raw[k * block:(k + 1) * block]) for k in range(n_blocks)]
     directory = np.array([[s, len(c)] for s, c in zip(sums, codes)], dtype="<u4").tobytes()
-    return struct.pack(HEAD, MAGIC, 1, n, block, len(table)) + table + directory + b"".join(codes)
+    return struct.pack(HEAD, MAGIC, VERSION, n, block, len(table)) + table + directory + b"".join(codes)
 
 
 def decode(data: bytes) -> np.ndarray:
     """The ids of one segment; a block whose checksum differs fails."""
     magic, version, n, block, table_size = struct.unpack_from(HEAD, data)
-    if magic != MAGIC or version != 1:
+    if magic != MAGIC or version != VERSION:
         raise ValueError("not a segment of coded ids")
     if not n:
         return np.zeros(0, np.uint32)

@@ -24,6 +24,17 @@ UNSAFE_SPACE = re.compile(r"^ |\s | \s| $")
 # the same for Arrow, whose \s is ASCII only
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 UNSAFE_SPACE_RE2 = rf"\A |{_SPACE} | {_SPACE}| \z"
+# newlines next to other white space, in threes, or in twos at the end
+_OTHER_SPACE = _SPACE.replace(r"[\t-\r", r"[\t\x0b-\r")
+UNSAFE_LINE_RE2 = rf"\n{_OTHER_SPACE}|{_OTHER_SPACE}\n|\n\n\n|\n\n\z"
+MARK = "\0"
+# a letter or digit (of blocks that no version of Unicode changes) and a mark that a space follows
+CLOSING_RE2 = r"([0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([.,;:!?]) ", r"\1 " + MARK + r"\2 "
+
+
+def _join(sign: str, texts: pa.Array) -> pa.Array:
+    """Each text with ``sign`` in front."""
+    return pc.binary_join_element_wise(pa.scalar(sign, pa.large_string()), texts, pa.scalar("", pa.large_string()))
 
 
 def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -35,10 +46,12 @@ def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Model:
     """One tokenizer: ``encode_all`` gives the ids of a list of whole texts,
     ``token_bytes`` how many bytes of text each id stands for, ``odd`` finds
-    what may not be cut into pieces."""
+    what may not be cut into pieces, ``lines`` says that texts are split by the
+    pattern of GPT-2: a newline before other than white space is a match of its own there,
+    and no match goes from a letter or digit on to a punctuation mark."""
 
-    def __init__(self, encode_all: Callable[[list[str]], list], token_bytes: np.ndarray, odd: re.Pattern):
-        self.encode_all, self.token_bytes, self.odd = encode_all, token_bytes, odd
+    def __init__(self, encode_all: Callable[[list[str]], list], token_bytes: np.ndarray, odd: re.Pattern, lines: bool = False):
+        self.encode_all, self.token_bytes, self.odd, self.lines = encode_all, token_bytes, odd, lines
         self.forget()
 
     def forget(self) -> None:
@@ -51,6 +64,11 @@ class Model:
         self.ids = self.ids[spread(begins[places], sizes)]
         self.sizes = sizes
 
+    def known(self) -> pa.Array:
+        """The ids of each piece as bytes."""
+        begins = np.concatenate([[0], np.cumsum(4 * self.sizes)])
+        return pa.Array.from_buffers(pa.large_binary(), len(self.sizes), [None, pa.py_buffer(begins), pa.py_buffer(self.ids)])
+
     def whole(self, texts: list[str], at_once: int = 32) -> list[np.ndarray]:
         out = []
         for k in range(0, len(texts), at_once):  # libraries take far more room than the ids they return
@@ -71,22 +89,26 @@ class PieceEncoder:
     one more space in front."""
 
     def __init__(self, models: list[Model], lead: bool = False):
-        self.models, self.lead = models, lead
-        self.known: dict[str, int] = {}
+        self.models, self.lead, self.lines = models, lead, all(m.lines for m in models)
+        # A piece is meant with a space in front, unless it starts with a newline. The first piece of
+        # a text stands after a space, a cut-off mark after MARK: both are meant without that.
+        self.known = pa.array([], pa.large_string())
         self.uses = np.zeros(0, np.int32)  # batches that held each piece, since pieces were forgotten last
 
-    def _learn(self, pieces: list[str], spaced: bool) -> None:
-        """Encode pieces and remember them; those that begin with a space make
-        one text when put together. The key of one without is the piece after a space,
-        as no other holds one."""
-        texts = [" " + p for p in pieces] if spaced else pieces
-        joined = ["".join(texts[k:k + 256]) for k in range(0, len(texts), 256)] if spaced else texts
-        ends = np.cumsum([len(p.encode()) for p in texts])
+    def _learn(self, pieces: pa.Array) -> None:
+        """Encode pieces and remember them; those that begin with white space make
+        one text when put together."""
+        alone = pc.or_(pc.starts_with(pieces, " "), pc.starts_with(pieces, MARK))
+        bare = pc.or_(pc.starts_with(pieces, "\n"), pc.equal(pieces, ""))
+        texts = pc.if_else(alone, pc.utf8_slice_codeunits(pieces, 1), pc.if_else(bare, pieces, _join(" ", pieces)))
+        single = np.flatnonzero(alone.to_numpy(zero_copy_only=False))
+        cuts = np.unique(np.concatenate([np.arange(0, len(texts), 256), single, single + 1, [len(texts)]]))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), texts), pa.scalar("", pa.large_string()))
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
         for model in self.models:
-            model.learn(joined, ends)
-        keys = pieces if spaced else [" " + p for p in pieces]
-        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys))))
-        self.uses = np.concatenate([self.uses, np.zeros(len(keys), np.int32)])
+            model.learn(joined.to_pylist(), ends)
+        self.known = pa.concat_arrays([self.known, pieces])
+        self.uses = np.concatenate([self.uses, np.zeros(len(pieces), np.int32)])
 
     def _forget(self) -> None:
         """Keep the pieces that came in two batches or more; one that is kept
@@ -94,64 +116,71 @@ class PieceEncoder:
         often = np.flatnonzero(self.uses > 1)
         if 2 * len(often) > CACHED_PIECES:
             often = often[:0]
-        order = list(self.known)  # keys stand in the order of their places
-        self.known = {order[at]: k for k, at in enumerate(often.tolist())}
+        self.known = self.known.take(pa.array(often))
         for model in self.models:
             model.keep(often)
         self.uses = np.ones(len(often), np.int32)
 
-    def _plain(self, texts: list[str]) -> list[bool]:
-        unsafe = pc.match_substring_regex(pa.array(texts, pa.large_string()), UNSAFE_SPACE_RE2).to_pylist()
-        return [not (bad or any(m.odd.search(t) for m in self.models) or (self.lead and (not t or t[0].isspace())))
-                for t, bad in zip(texts, unsafe)]
+    def _plain(self, column: pa.Array) -> np.ndarray:
+        unsafe = pc.or_(pc.match_substring_regex(column, UNSAFE_SPACE_RE2), pc.match_substring(column, MARK))
+        fine = ~unsafe.to_numpy(zero_copy_only=False)
+        searches = [m.odd.search for m in self.models]
+        for k, t in enumerate(column.to_pylist()):
+            if (self.lead and (not t or t[0].isspace())) or any([search(t) for search in searches]):
+                fine[k] = False
+        return fine
 
-    def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
+    def encode(self, texts: list[str] | pa.Array) -> list[list[np.ndarray]]:
         """For each model, the ids of each text."""
-        out: list[list] = [[None] * len(texts) for _ in self.models]
-        plain = [k for k, fine in enumerate(self._plain(texts)) if fine]
-        odd = sorted(set(range(len(texts))) - set(plain))
-        for own, model in zip(out, self.models):
-            for k, ids in zip(odd, model.whole([" " * self.lead + texts[k] for k in odd])):
-                own[k] = ids
-        if plain:
-            for own, found in zip(out, self._by_piece([texts[k] for k in plain])):
-                for k, ids in zip(plain, found):
+        column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        out: list[list] = [[None] * len(column) for _ in self.models]
+        fine = self._plain(column)
+        plain, odd = np.flatnonzero(fine), np.flatnonzero(~fine)
+        if len(odd):
+            whole = [" " * self.lead + t for t in column.take(pa.array(odd)).to_pylist()]
+            for own, model in zip(out, self.models):
+                for k, ids in zip(odd.tolist(), model.whole(whole)):
+                    own[k] = ids
+        if len(plain):
+            for own, found in zip(out, self._by_piece(column.take(pa.array(plain)) if len(odd) else column)):
+                for k, ids in zip(plain.tolist(), found):
                     own[k] = ids
         return out
 
-    def _places(self, keys: list[str], spaced: bool) -> np.ndarray:
-        found = list(map(self.known.get, keys))
-        new = [x for x, at in zip(keys, found) if at is None and x]  # empty ones are not used
-        if new:
-            self._learn(new if spaced else [x[1:] for x in dict.fromkeys(new)], spaced)
-            found = [self.known.get(x, 0) if at is None else at for x, at in zip(keys, found)]
-        return np.array([at or 0 for at in found], np.int64)
-
-    def _by_piece(self, texts: list[str]) -> list[list[np.ndarray]]:
-        # a list of pieces starts with an empty one, in place of which the first
-        # piece stands where it has no space in front
-        split = pc.split_pattern(pa.array([" " + t for t in texts], pa.large_string()), " ")
-        coded = split.values.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        room = CACHED_PIECES - len(self.known)
-        if len(names) > room and sum(x not in self.known for x in names) > room:
+    def _places(self, pieces: list[pa.Array]) -> np.ndarray:
+        """Where pieces are remembered; new ones are learnt."""
+        def look() -> tuple[np.ndarray, pa.Array]:
+            # the pieces known come first in the common dictionary, in their order
+            coded = pa.concat_arrays([self.known, *pieces]).dictionary_encode()
+            return coded.indices.to_numpy()[len(self.known):], coded.dictionary[len(self.known):]
+
+        at, new = look()
+        if len(self.known) + len(new) > CACHED_PIECES and len(self.known):
             self._forget()
-        offsets = split.offsets.to_numpy()
-        at = self._places(names, True)
-        place = at[coded.indices.to_numpy(zero_copy_only=False)]
+            at, new = look()
+        if len(new):
+            self._learn(new)
+        self.uses += np.bincount(at, minlength=len(self.uses)) > 0
+        return at
+
+    def _by_piece(self, texts: pa.Array) -> list[list[np.ndarray]]:
+        if self.lines:
+            cut = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " \n"), *CLOSING_RE2)
+            texts = pc.if_else(pc.match_substring_regex(texts, UNSAFE_LINE_RE2), texts, cut)
+        split = pc.split_pattern(texts, " ")
+        offsets, pieces = split.offsets.to_numpy(), [split.values]
+        if not self.lead:
+            pieces.append(_join(" ", split.values.take(pa.array(offsets[:-1]))))
+        place = self._places(pieces)
         if not self.lead:
-            first = self._places([" " + t.split(" ", 1)[0] for t in texts], False)
-            place[offsets[:-1] + 1] = first
-            at = np.concatenate([at, first])
-        if len(self.uses):  # texts without a piece know none
-            self.uses[np.unique(at)] += 1
+            place, first = place[:len(split.values)].copy(), place[len(split.values):]
+            place[offsets[:-1]] = first
+        place = pa.array(place)
         out = []
         for model in self.models:
-            sizes = model.sizes[place]
-            sizes[offsets[:-1]] = 0
-            begins = np.cumsum(model.sizes) - model.sizes
-            ids = model.ids[spread(begins[place], sizes)]
-            cuts = np.concatenate([[0], np.cumsum(sizes)])[offsets].tolist()
+            _, ends, ids = model.known().take(place).buffers()
+            cuts = (np.frombuffer(ends, np.int64)[offsets] // 4).tolist()
+            ids = np.frombuffer(ids, np.uint32) if cuts[-1] else np.zeros(0, np.uint32)
             out.append([ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])])
         return out
 
@@ -160,6 +189,7 @@ def byte_level(path: str, specials: bool) -> tuple[Model, dict[str, int]]:
     """(model, vocabulary) of a byte-level BPE file of the tokenizers library.
     ``specials``: strings of added tokens become those tokens, else plain text."""
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = not specials
@@ -170,4 +200,6 @@ def byte_level(path: str, specials: bool) -> tuple[Model, dict[str, int]]:
     vocab = tokenizer.get_vocab(with_added_tokens=False)
     token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
     token_bytes[list(vocab.values())] = [len(t) for t in vocab]
-    return Model(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], token_bytes, odd), vocab
+    split = tokenizer.pre_tokenizer
+    lines = isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space and tokenizer.normalizer is None
+    return Model(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], token_bytes, odd, lines), vocab

@@ -41,6 +41,20 @@ from .common import map_arrow, per_worker, small_batches
 from .piecewise import PieceEncoder, byte_level
 
 SEGMENT_IDS = 2 << 20
+ENCODED_BYTES = 12 << 20  # texts encoded at once: the more, the fewer pieces are looked up again
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to ENCODED_BYTES."""
+    held, size = [], 0
+    for b in small_batches(batches, rows=4096, byte_limit=4 << 20):
+        if held and size + b.nbytes > ENCODED_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield pa.concat_batches(held)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id",
@@ -65,8 +79,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(("tokens", tokenizer_path), lambda: PieceEncoder([byte_level(tokenizer_path, specials=True)[0]]))
         doc_ids, ids, held, number = [], [], 0, 0
-        for b in small_batches(batches, rows=4096, byte_limit=4 << 20):
-            for doc_id, own in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()])[0]):
+        for b in _gathered(batches):
+            for doc_id, own in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).fill_null(""))[0]):
                 own = np.append(own, np.uint32(end_id))
                 if ids and held + len(own) > segment_ids:
                     yield segment(number, doc_ids, ids)
