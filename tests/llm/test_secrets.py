@@ -1,6 +1,9 @@
 import random
+import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 import edge
 from tridelta.llm import secret_forest as sf
@@ -141,3 +144,65 @@ def test_labels_say_how_a_value_was_made(spark, corpus):
     assert len(found.select("kind").distinct().collect()) == len(sf.KINDS) and all(r["count"] > 0 for r in both)
     few = sf.labelled_sample(edge.frame(spark, [(1, "one short text", None, None), (2, None, "en", "a"), (3, "", "en", "a")]), contexts=40)
     assert few.select("kind").distinct().count() == len(sf.KINDS)
+
+
+# the candidates as first written: every alternative at every place
+PLAIN_CANDIDATE = (
+    f"(?<=[=:> \\t\"'`])(?<=[=:>][ \\t]{{0,8}}[\"'`]?)(?<=(?i:{sf.KEYWORDS}){sf.ASSIGN})"
+    "(?:(?<=[\"'`])[^\\s\"'`]{4,}(?=[\"'`])|(?![=>])[^\\s\"'`]{3,}[^\\s\"'`.,;:!?)\\]}>])"
+    f"|(?<=:)(?<={sf.IN_URL})[^\\s/@\"'`]{{4,}}(?=@)"
+    f"|(?<!{sf.RUN})(?:{sf.RUN}{{16,}}|(?<=[=:] ?[\"']?){sf.RUN}{{8,15}}(?!{sf.RUN}))")
+
+
+def test_candidates_are_those_of_the_plain_pattern(spark):
+    rng = random.Random(3)
+    pieces = ("password PASSWD pwd secret Token api_key api\nkey access-key credential auth bearer :// user postgres://app: = => := : @ > < == \"] ') "
+              "\" ' ` . , ; ! é 日本 😀 a b1 - _ + / p@ss $ # x" + " " + "x" * 15 + " " + "x" * 16 + " abcdefgh").split(" ") + [" ", "  ", "\t", "\n", "\r\n", " " * 9]
+    rows = [(k, "".join(rng.choice(pieces) for _ in range(rng.randint(1, 40))), "en", "a") for k in range(4000)]
+    found = edge.frame(spark, rows).select(
+        "text", F.regexp_extract_all("text", F.lit(sf.CANDIDATE), F.lit(0)).alias("hits"), F.split("text", sf.CANDIDATE, -1).alias("parts"),
+        F.regexp_extract_all("text", F.lit(PLAIN_CANDIDATE), F.lit(0)).alias("plain"), F.split("text", PLAIN_CANDIDATE, -1).alias("plain_parts"))
+    assert found.where("size(plain) > 0").count() > 1000
+    assert [r.text for r in found.where("hits <> plain or parts <> plain_parts").limit(3).collect()] == []
+
+
+def test_dictionary_takes_the_longest_word():
+    words = ["the", "then", "them", "he", "hen", "über", "a", "x1", "ing", "in", "thenin"]
+    plain = re.compile("|".join(sorted({w for w in words if w.isalpha() and len(w) > 1}, key=lambda w: (-len(w), w))))
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("thenimgübr ") for _ in range(30)) for _ in range(2000)]
+    found = re.compile(sf.dictionary_regex(words))
+    assert [found.findall(t) for t in texts] == [plain.findall(t) for t in texts] and sf.dictionary_regex([]) == "(?!)"
+
+
+def _keys(n):
+    return [f"the {key(k)} street " if k % 3 else f"é password={hexes(18, k)} word " for k in range(n)]
+
+
+def test_many_findings_in_one_text(spark, forest):
+    text = "".join(_keys(3 * sf.BLOCK + 5))
+    rows = [(1, text, "en", "a"), (2, "nothing here", "en", "a"), (3, None, "en", "a"), (4, "".join(_keys(sf.BLOCK)), "en", "a")]
+    found = sf.scan(edge.frame(spark, rows), forest).collect()
+    one = sorted((r.start, r.length, r.value) for r in found if r.row.doc_id == 1)
+    assert [(s, n, v) for s, n, v in one] == [(text.index(v), len(v), v) for _, _, v in one] and len(one) == 3 * sf.BLOCK + 5
+    assert sum(r.row.doc_id == 4 for r in found) == sf.BLOCK and {r.row.doc_id for r in found} == {1, 4}
+    clean = {r.doc_id: r.text for r in sf.redact(edge.frame(spark, rows), forest).collect()}
+    want = text
+    for _, _, v in one:
+        want = want.replace(v, "[SECRET]")
+    assert clean[1] == want and clean[2] == "nothing here" and clean[3] is None
+
+
+@pytest.mark.parametrize("run", [sf.scan, sf.redact])
+def test_each_candidate_is_scored_once(spark, forest, run):
+    """As many candidates take about as long in one text as in one text each."""
+    keys = _keys(800)
+
+    def seconds(rows):
+        df = run(edge.frame(spark, rows).coalesce(1), forest)
+        began = time.time()
+        assert len(df.collect()) > 0
+        return time.time() - began
+
+    seconds([(1, "".join(keys[:5]), "en", "a")])
+    assert seconds([(1, "".join(keys), "en", "a")]) < 3 + 3 * seconds([(k, t, "en", "a") for k, t in enumerate(keys)])
